@@ -24,7 +24,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     executors, and lets later steps read single columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,6 +42,21 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+#: A side with more rows is never broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Broadcast a side whose rows have been counted and are few; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def with_row_key(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """k1 and k2: 128 bits that name a document by its key and text; null keys and texts have theirs too, and rows that
+    repeat both share one."""
+    return docs.withColumns({"k1": F.xxhash64(key, text), "k2": F.xxhash64(F.lit("#"), text, key)})
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 50) -> DataFrame:
     """Connected components of edges (a, b): (node, root), root the least node that is reachable.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, winnow
+from . import linededup, simhash, winnow
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_simhash_near_dedup": lambda spark, d: simhash.op3(read(spark, d, "documents")),
+        "op6_line_dedup": lambda spark, d: linededup.op6(read(spark, d, "documents")),
         "op10_winnowing_decontamination": lambda spark, d: winnow.op10(read(spark, d, "documents"), read(spark, d, "benchmark")),
     }
 

@@ -5,7 +5,7 @@ share 13 words share a kept hash. Documents' kept hashes meet the benchmark's in
 windows that hold the hit gram are compared with the benchmark's windows by 128 bits of hash. Items of fewer words are one
 window each; they are found by their longest word instead, as no gram is sure to be kept there.
 
-The benchmark side is broadcast only while it has at most BROADCAST_ROWS rows, and joined by shuffle beyond that.
+The benchmark side is broadcast only while it has at most common.BROADCAST_ROWS rows, and joined by shuffle beyond that.
 Nulls and empty texts have no words; a repeated document row gives a row each time; a null item_id is no item.
 """
 
@@ -19,7 +19,6 @@ from . import common
 WINDOW, GRAM = 13, 6
 SPAN = WINDOW - GRAM + 1
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -63,11 +62,6 @@ def benchmark_side(benchmark: DataFrame, key: str, text: str) -> tuple[DataFrame
     return probes.distinct(), windows, short
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose size has been counted and is small; else Spark joins it by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, k1, k2, n_words, n_hit, items): of every row of docs its words, those inside an occurrence of a window, and
     the sorted items with such windows. k1 and k2 are hashes of key and text."""
@@ -79,7 +73,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     # explode() would add a filter on the size, which the optimiser pushes through every projection above and so
     # evaluates the arrays many times over; explode_outer() doesn't. The null that leads each document's hashes keeps a row for the document itself
     rows = rows.select("key", "k1", "k2", "n", "words", "gram_h", *["word_h"] * short, F.explode_outer(F.concat(F.array(F.lit(None).cast("long")), seen)).alias("fp"))
-    found = rows.join(sized(probes), "fp", "left").where("fp is null or len is not null")
+    found = rows.join(common.sized(probes), "fp", "left").where("fp is null or len is not null")
     hashes = F.when(F.col("of_word"), F.col("word_h")).otherwise(F.col("gram_h")) if short else F.col("gram_h")
     places = F.filter(F.transform(hashes, lambda h, i: F.when(h == F.col("fp"), i)), lambda i: i.isNotNull())
     starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.transform(F.col("backs"), lambda b: p - b))))
@@ -88,7 +82,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     tried = F.transform("starts", lambda s: F.struct(s.alias("start"), window_key(F.col("words"), s, F.col("len")).alias("key")))
     found = common.table(found.select("key", "k1", "k2", "n", F.col("fp").isNull().alias("own"), "len", tried.alias("tried")), "winnow-hits")
     hits = found.where("not own").select("k1", "k2", "len", F.explode("tried").alias("t")).select("k1", "k2", "len", "t.start", "t.key.h1", "t.key.h2").distinct()
-    hits = hits.join(sized(windows), ["h1", "h2", "len"])
+    hits = hits.join(common.sized(windows), ["h1", "h2", "len"])
     per = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "len")).alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["len"] - 1))))
     per = per.select("k1", "k2", F.size(covered).cast("long").alias("n_hit"), "items")
