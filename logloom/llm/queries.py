@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, pii, simhash, winnow
+from . import linededup, mpeg, pii, quality, simhash, winnow
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "op3_simhash_near_dedup": lambda spark, d: simhash.op3(read(spark, d, "documents")),
         "op6_line_dedup": lambda spark, d: linededup.op6(read(spark, d, "documents")),
+        "op7_quality_gam": lambda spark, d: quality.op7(read(spark, d, "documents"), read(spark, d, "labels")),
+        "op8_mpeg_audio": lambda spark, d: mpeg.op8(read(spark, d, "documents")),
         "op9_pii_candidates": lambda spark, d: pii.op9(read(spark, d, "documents")),
         "op10_winnowing_decontamination": lambda spark, d: winnow.op10(read(spark, d, "documents"), read(spark, d, "benchmark")),
     }
