@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mpeg, pii, quality, simhash, winnow
+from . import chat, linededup, mpeg, pii, quality, simhash, urlrules, winnow
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_simhash_near_dedup": lambda spark, d: simhash.op3(read(spark, d, "documents")),
+        "op4_url_rules": lambda spark, d: urlrules.op4(read(spark, d, "pages")),
+        "op5_chat_repair": lambda spark, d: chat.op5(read(spark, d, "conversations")),
         "op6_line_dedup": lambda spark, d: linededup.op6(read(spark, d, "documents")),
         "op7_quality_gam": lambda spark, d: quality.op7(read(spark, d, "documents"), read(spark, d, "labels")),
         "op8_mpeg_audio": lambda spark, d: mpeg.op8(read(spark, d, "documents")),
@@ -24,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_winnowing_decontamination": winnow.ORACLE}
+    return {"op4_url_rules": urlrules.ORACLE, "op10_winnowing_decontamination": winnow.ORACLE}
