@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, mpeg, pieces, pii, quality, simhash, urlrules, winnow
+from . import chat, licenses, linededup, mpeg, pieces, pii, quality, simhash, urlrules, winnow
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": lambda spark, d: licenses.op1(read(spark, d, "documents")),
         "op2_sentencepiece_topk": lambda spark, d: pieces.op2(read(spark, d, "documents")),
         "op3_simhash_near_dedup": lambda spark, d: simhash.op3(read(spark, d, "documents")),
         "op4_url_rules": lambda spark, d: urlrules.op4(read(spark, d, "pages")),
