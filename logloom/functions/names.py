@@ -71,7 +71,7 @@ def is_safe_path(path: Column) -> Column:
 
 
 def csv_list(value: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def image_extension(fmt: Column) -> Column:

@@ -317,7 +317,8 @@ def offset_ring(ring: Ring, metres: float, miter: float = 10.0) -> Ring:
         scale = min(miter, 1 / half) if half > 1e-9 else 0.0
         out.append((q[0] + sx * scale * metres, q[1] + sy * scale * metres))
     new = sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(out, out[1:] + out[:1], strict=True)) / 2
-    return ring if new * area <= 0 else [(y / geo.METRES, x / k) for x, y in out]
+    turned = any((b[0] - a[0]) * (d[0] - c[0]) + (b[1] - a[1]) * (d[1] - c[1]) < 0 for a, b, c, d in zip(xy, xy[1:] + xy[:1], out, out[1:] + out[:1], strict=True))
+    return ring if new * area <= 0 or turned else [(y / geo.METRES, x / k) for x, y in out]
 
 
 def boundaries(p: DataFrame, size: float = geo.CELL) -> DataFrame:
