@@ -1,13 +1,13 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame expressions only.
 
 A line is the set of its words. It is removed if an earlier line has a Jaccard similarity of THRESHOLD = 0.8 or more with
-it; earlier is by doc_id (null first), a hash of the document's text, and the line's place, whether or not that earlier
+it; earlier is by doc_id (null first), a hash of the document, and the line's place, whether or not that earlier
 line is removed itself. Rows that repeat both doc_id and text count as one document, and blank lines stay.
 
 Equal lines meet in one aggregate, which keeps the first. Among the different ones the words of each are ordered by rarity:
-corpus counts over BUCKETS hashed counters, a table of fixed size, so that any corpus has one global order. Two sets with
-that similarity share a word among the first n - ceil(0.8 n) + 1 of each, so only those are joined, under the length and
-positional filters; what is left is verified on the whole sets. Up to three words a set can only match an equal one.
+corpus counts in 2^BUCKET_BITS hashed counters, a table of fixed size, give each a class, and hashes order a class. Two sets with
+that similarity share SHARED words among the first n - ceil(0.8 n) + SHARED of each, so only those are kept, under the
+length and positional filters; what is left is verified on the whole sets. Up to three words a set can only match an equal one.
 """
 
 from __future__ import annotations
@@ -20,9 +20,13 @@ from . import common
 
 #: Jaccard threshold as a fraction, so that sizes are compared in whole numbers.
 UP, DOWN = 4, 5
-BUCKET_BITS = 18
+BUCKET_BITS = 22
 SPACE = r"[\x20\x09-\x0D]+"
+#: Sets of fewer words match only equal ones.
 SMALLEST = 4
+ANCHORS = 3
+#: Words that two similar sets share at least among their first n - ceil(0.8 n) + SHARED.
+SHARED = 2
 
 
 def words_of(line: Column) -> Column:
@@ -30,13 +34,16 @@ def words_of(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """Word counters' ranks by count, rarest first: an array of 2^18 numbers as a scalar subquery."""
-    spark, n = docs.sparkSession, 1 << BUCKET_BITS
+    """Of each word counter a class that rises with its count (four to a doubling): an array of 2^22 bytes as a scalar
+    subquery, of the same size for any corpus."""
+    spark, chunk = docs.sparkSession, 1 << 11
     words = docs.select(F.explode_outer(F.split(F.col(text), SPACE)).alias("word")).select(bucket(F.xxhash64("word")).alias("id"))
     counts = words.groupBy("id").count()
-    ranks = spark.range(n).join(counts, "id", "left").select("id", (F.row_number().over(W.orderBy(F.coalesce("count", F.lit(0)), "id")) - 1).cast("long").alias("rank"))
-    one = ranks.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "rank"))), lambda x: x["rank"]).alias("ranks"))
-    return common.table(one, "linededup-ranks").scalar()
+    level = F.least(F.floor(F.log2(F.col("count") + 1) * 4), F.lit(127)).cast("byte")
+    every = spark.range(1 << BUCKET_BITS).join(counts, "id", "left").select("id", F.coalesce(level, F.lit(0).cast("byte")).alias("level"))
+    parts = every.groupBy(F.floor(F.col("id") / chunk).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "level"))), lambda x: x["level"]).alias("levels"))
+    one = parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "levels"))), lambda x: x["levels"])).alias("levels"))
+    return common.table(one, "linededup-rarity").scalar()
 
 
 def bucket(h: Column) -> Column:
@@ -44,54 +51,80 @@ def bucket(h: Column) -> Column:
 
 
 def with_codes(sets: DataFrame, ranks: Column) -> DataFrame:
-    """(id, codes) of (id, line). Higher-order functions take a subquery's value only as a column."""
-    return sets.select("id", "line", ranks.alias("ranks")).select("id", codes_of(F.col("line"), F.col("ranks")).alias("codes"))
+    """(id, first, codes) of (id, first, line). Higher-order functions take a subquery's value only as a column."""
+    return sets.select("id", "first", "line", ranks.alias("ranks")).select("id", "first", codes_of(F.col("line"), F.col("ranks")).alias("codes"))
 
 
-def codes_of(line: Column, ranks: Column) -> Column:
-    """The set of a line's words as sorted 63-bit codes: the rank of a word's counter above the other 45 bits of its hash."""
+def codes_of(line: Column, levels: Column) -> Column:
+    """The set of a line's words as sorted 63-bit codes: the 7 bits of a word's class above 56 of its hash."""
     hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
-    code = lambda h: F.shiftleft(F.get(ranks, bucket(h).cast("int")), 63 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS + 1))
+    code = lambda h: F.shiftleft(F.get(levels, bucket(h).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(hashes, code))
 
 
 def lines_of(docs: DataFrame, text: str) -> DataFrame:
-    lines = docs.select("k1", "k2", F.struct(F.col("doc_key"), F.col("k1"), F.col("k2")).alias("doc"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("place", "line"))
-    return lines.where(F.length(F.regexp_replace("line", SPACE, "")) > 0).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("#"), "line")})
-
-
-def similar_pairs(sets: DataFrame, ranks: Column) -> DataFrame:
-    """(a, b): ids of different sets with a Jaccard similarity of UP / DOWN or more. sets: (id, line)."""
-    coded = with_codes(sets, ranks)
-    n = F.size("codes")
-    prefix = n - F.ceil(n * F.lit(UP) / F.lit(DOWN)).cast("int") + 1
-    rows = coded.select("id", n.alias("n"), F.posexplode_outer(F.when(n >= SMALLEST, F.slice("codes", 1, prefix))).alias("i", "code")).where("code is not null")
-    a, b = (rows.select("code", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "i"))) for x in "ab")
-    most = F.least("i_a", "i_b") + 1 + F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
-    fits = (F.col("id_a") < F.col("id_b")) & (F.col("n_a") * DOWN >= F.col("n_b") * UP) & (F.col("n_b") * DOWN >= F.col("n_a") * UP)
-    fits &= most * (UP + DOWN) >= (F.col("n_a") + F.col("n_b")) * UP
-    pairs = common.table(a.join(b, "code").where(fits).select("id_a", "id_b").distinct(), "linededup-pairs")
-    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    tried = common.table(with_codes(sets.join(common.sized(ids), "id", "left_semi"), ranks), "linededup-tried")
-    both = pairs.join(tried.select(F.col("id").alias("id_a"), F.col("codes").alias("a")), "id_a").join(tried.select(F.col("id").alias("id_b"), F.col("codes").alias("b")), "id_b")
-    common_n = F.size(F.array_intersect("a", "b"))
-    return both.where(common_n * DOWN >= (F.size("a") + F.size("b") - common_n) * UP).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    lines = docs.select("k1", "k2", "doc_key", F.posexplode_outer(F.split(F.col(text), "\n")).alias("place", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("#"), "line")})
+
+
+def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
+    """Length and positional filters for sets of n words that share their i-th."""
+    most = F.least(i_a, i_b) + 1 + F.least(n_a - i_a - 1, n_b - i_b - 1)
+    return (n_a * DOWN >= n_b * UP) & (n_b * DOWN >= n_a * UP) & (most * (UP + DOWN) >= (n_a + n_b) * UP)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ids b of pairs (a, b) whose whole sets have the similarity."""
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+    named = sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    both = with_b.join(named.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+    both = both.select("b", *(F.array_distinct(words_of(F.col(f"line_{x}"))).alias(f"words_{x}") for x in "ab"))
+    both = both.select("b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), (F.size("words_a") + F.size("words_b")).alias("sum"))
+    return both.where(F.col("shared") * DOWN >= (F.col("sum") - F.col("shared")) * UP).select("b").distinct()
+
+
+def with_earlier(sets: DataFrame, ranks: Column) -> DataFrame:
+    """(id) of the sets (id, line, first) that have a similar set with an earlier first place.
+
+    A set is first held against one other: of the earliest sets in the groups of its ANCHORS rarest words, that which most
+    of them name. This settles nearly all copies in as many pairs as there are sets; only the sets it leaves open are
+    joined with all that share a word of the prefix."""
+    coded = with_codes(sets, ranks).withColumn("n", F.size("codes"))
+    prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, F.col("n") - F.ceil(F.col("n") * F.lit(UP) / F.lit(DOWN)).cast("int") + SHARED))
+    index = common.table(coded.select("id", "first", "n", prefix.alias("prefix")), "linededup-prefixes")
+
+    about = F.floor(F.log("n") * 4).alias("about")
+    anchors = index.select("id", "first", about, F.explode_outer(F.slice("prefix", 1, ANCHORS)).alias("code")).where("code is not null")
+    earliest = anchors.groupBy("code", "about").agg(F.min(F.struct("first", "id")).alias("e"), F.count("*").alias("size")).where("size > 1").drop("size")
+    one = anchors.join(earliest, ["code", "about"]).where(F.col("first") > F.col("e.first"))
+    votes = one.groupBy("id", F.col("e.id").alias("a")).count().where("count > 1")
+    best = votes.groupBy("id").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
+    settled = common.table(verified(common.table(best, "linededup-pairs"), sets), "linededup-settled")
+
+    rows = index.select("id", "n", F.posexplode_outer("prefix").alias("i", "code")).where("code is not null")
+    b = rows.join(common.sized(settled.select(F.col("b").alias("id"))), "id", "left_anti").select("code", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "i")))
+    a = rows.select("code", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "i")))
+    pairs = a.join(b, "code").where((F.col("id_a") != F.col("id_b")) & fitting(F.col("n_a"), F.col("i_a"), F.col("n_b"), F.col("i_b")))
+    pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).count().where(F.col("count") >= SHARED).select("a", "b")
+    pairs = common.table(pairs, "linededup-pairs")
+    place = lambda x: sets.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}"))
+    earlier = pairs.join(place("a"), "a").join(place("b"), "b").where("first_a < first_b").select("a", "b")
+    rest = verified(common.table(earlier, "linededup-earlier"), sets)
+    return settled.unionByName(rest).select(F.col("b").alias("id"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k1, k2, places): of each document with lines to remove, named by common.with_row_key, their places from 0."""
     docs = common.with_row_key(docs.select(F.col(key).alias("doc_key"), F.col(text).alias(text)), "doc_key", text)
     ranks = rarity(docs, text)
+    place = F.struct("doc_key", "k1", "place")
     lines = lines_of(docs, text)
-    sets = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("times"), F.first("line").alias("line"))
+    sets = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("line").alias("line"))
     sets = common.table(sets.withColumn("id", F.monotonically_increasing_id()), "linededup-sets")
-    near = similar_pairs(sets.select("id", "line"), ranks)
-    first = sets.select("id", "first")
-    near = near.join(first.select(F.col("id").alias("a"), F.col("first").alias("first_a")), "a").join(first.select(F.col("id").alias("b"), F.col("first").alias("first_b")), "b")
-    later = near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct().withColumn("near", F.lit(True))
-    marked = sets.select("id", "h1", "h2", "first", "times").join(common.sized(common.table(later, "linededup-later")), "id", "left")
+    later = common.table(with_earlier(sets.select("id", "line", "first"), ranks), "linededup-later").withColumn("near", F.lit(True))
+    marked = sets.select("id", "h1", "h2", "first", "times").join(common.sized(later), "id", "left")
     marked = marked.where("times > 1 or near is not null").select("h1", "h2", "near", "first")
-    found = lines.select("h1", "h2", "k1", "k2", F.struct("doc", "place").alias("at")).join(marked, ["h1", "h2"])
+    found = lines.select("h1", "h2", "k1", "k2", place.alias("at")).join(marked, ["h1", "h2"])
     found = found.where("near is not null or at > first")
     return found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at.place")).alias("places"))
 
