@@ -75,9 +75,10 @@ def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ids b of pairs (a, b) whose whole sets have the similarity."""
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    named = sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    both = with_b.join(named.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = common.table(sets.select("id", "line").join(common.sized(named), "id", "left_semi"), "linededup-held")
+    text = lambda x: held.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
+    both = pairs.join(text("b"), "b").join(text("a"), "a")
     both = both.select("b", *(F.array_distinct(words_of(F.col(f"line_{x}"))).alias(f"words_{x}") for x in "ab"))
     both = both.select("b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), (F.size("words_a") + F.size("words_b")).alias("sum"))
     return both.where(F.col("shared") * DOWN >= (F.col("sum") - F.col("shared")) * UP).select("b").distinct()
@@ -90,18 +91,22 @@ def with_earlier(sets: DataFrame, ranks: Column) -> DataFrame:
     of them name. This settles nearly all copies in as many pairs as there are sets; only the sets it leaves open are
     joined with all that share a word of the prefix."""
     coded = with_codes(sets, ranks).withColumn("n", F.size("codes"))
-    prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, F.col("n") - F.ceil(F.col("n") * F.lit(UP) / F.lit(DOWN)).cast("int") + SHARED))
+    prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, F.col("n") - F.ceil(F.col("n") * F.lit(UP) / F.lit(DOWN)).cast("int") + SHARED)).otherwise(F.col("codes"))
     index = common.table(coded.select("id", "first", "n", prefix.alias("prefix")), "linededup-prefixes")
 
+    small = index.where(F.col("n") < SMALLEST)
+    same = small.groupBy("prefix").agg(F.min("first").alias("e"), F.count("*").alias("size")).where("size > 1")
+    equal = small.join(same, "prefix").where("first > e").select(F.col("id").alias("b"))
+
     about = F.floor(F.log("n") * 4).alias("about")
-    anchors = index.select("id", "first", about, F.explode_outer(F.slice("prefix", 1, ANCHORS)).alias("code")).where("code is not null")
+    anchors = index.where(F.col("n") >= SMALLEST).select("id", "first", about, F.explode_outer(F.slice("prefix", 1, ANCHORS)).alias("code")).where("code is not null")
     earliest = anchors.groupBy("code", "about").agg(F.min(F.struct("first", "id")).alias("e"), F.count("*").alias("size")).where("size > 1").drop("size")
     one = anchors.join(earliest, ["code", "about"]).where(F.col("first") > F.col("e.first"))
     votes = one.groupBy("id", F.col("e.id").alias("a")).count().where("count > 1")
     best = votes.groupBy("id").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
     settled = common.table(verified(common.table(best, "linededup-pairs"), sets), "linededup-settled")
 
-    rows = index.select("id", "n", F.posexplode_outer("prefix").alias("i", "code")).where("code is not null")
+    rows = index.where(F.col("n") >= SMALLEST).select("id", "n", F.posexplode_outer("prefix").alias("i", "code")).where("code is not null")
     b = rows.join(common.sized(settled.select(F.col("b").alias("id"))), "id", "left_anti").select("code", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "i")))
     a = rows.select("code", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "i")))
     pairs = a.join(b, "code").where((F.col("id_a") != F.col("id_b")) & fitting(F.col("n_a"), F.col("i_a"), F.col("n_b"), F.col("i_b")))
@@ -110,7 +115,7 @@ def with_earlier(sets: DataFrame, ranks: Column) -> DataFrame:
     place = lambda x: sets.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}"))
     earlier = pairs.join(place("a"), "a").join(place("b"), "b").where("first_a < first_b").select("a", "b")
     rest = verified(common.table(earlier, "linededup-earlier"), sets)
-    return settled.unionByName(rest).select(F.col("b").alias("id"))
+    return equal.unionByName(settled).unionByName(rest).select(F.col("b").alias("id"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
