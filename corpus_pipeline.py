@@ -25,8 +25,9 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(docs)
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    lines, removed = common.fresh(docs, "n_lines", "n_removed")
+    out = linededup.dedup_lines(docs, counts=(lines, removed))
+    length = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
 
 

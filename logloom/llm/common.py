@@ -19,15 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read back. It cuts lineage as checkpoint() does, survives lost
-    executors, and lets later steps read single columns."""
+    executors, and lets later steps read single columns. scratch gathers tables that drop_tables() is to delete."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     # the steps before are done: let Spark's cleaner drop their shuffle files, which it does once the driver's garbage is collected
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch is not None:
+        scratch.append(out)
+    return out
+
+
+def drop_tables(scratch: list[DataFrame]) -> None:
+    while scratch:
+        drop_table(scratch.pop())
 
 
 def drop_table(df: DataFrame) -> None:
@@ -48,9 +56,11 @@ def lower_ascii(text: Column) -> Column:
 BROADCAST_ROWS = 500_000
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose rows have been counted and are few; else Spark joins it by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Broadcast a side whose rows have been counted and are few; else Spark joins it by shuffle. Rows with arrays count
+    by `weight`, their length."""
+    rows = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def with_row_key(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,6 +69,16 @@ def with_row_key(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumns({"k1": F.xxhash64(key, text), "k2": F.xxhash64(F.lit("#"), text, key)})
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has such a column."""
+    out = []
+    for name in names:
+        while name in df.columns or name in out:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 50) -> DataFrame:
     """Connected components of edges (a, b): (node, root), root the least node that is reachable.
 

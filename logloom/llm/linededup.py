@@ -5,9 +5,11 @@ it; earlier is by doc_id (null first), a hash of the document, and the line's pl
 line is removed itself. Rows that repeat both doc_id and text count as one document, and blank lines stay.
 
 Equal lines meet in one aggregate, which keeps the first. Among the different ones the words of each are ordered by rarity:
-corpus counts in 2^BUCKET_BITS hashed counters, a table of fixed size, give each a class, and hashes order a class. Two sets with
-that similarity share SHARED words among the first n - ceil(0.8 n) + SHARED of each, so only those are kept, under the
-length and positional filters; what is left is verified on the whole sets. Up to three words a set can only match an equal one.
+counts over all different lines in 2^BUCKET_BITS hashed counters, a table of fixed size, give each a class, and hashes order
+a class. Two sets with that similarity share SHARED words among the first n - ceil(0.8 n) + SHARED of each, so only those are
+joined, under the length and positional filters and one of 64 parity bits: bit b of a set tells whether an odd number of its words
+hash to b, so two sets' bits differ in no more places than they have words of one alone, which is at most a ninth of both
+sizes' sum. What is left is verified on the whole sets. Up to three words a set can only match an equal one.
 """
 
 from __future__ import annotations
@@ -20,24 +22,28 @@ from . import common
 
 #: Jaccard threshold as a fraction, so that sizes are compared in whole numbers.
 UP, DOWN = 4, 5
-BUCKET_BITS = 22
+BUCKET_BITS = 20
 SPACE = r"[\x20\x09-\x0D]+"
 #: Sets of fewer words match only equal ones.
 SMALLEST = 4
-ANCHORS = 3
 #: Words that two similar sets share at least among their first n - ceil(0.8 n) + SHARED.
 SHARED = 2
 
 
+def split_words(line: Column) -> Column:
+    """Words of a line, and empty strings. A single character splits several times faster than a class does."""
+    return F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
+
+
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE), "")
+    return F.array_remove(split_words(line), "")
 
 
-def rarity(docs: DataFrame, text: str) -> Column:
-    """Of each word counter a class that rises with its count (four to a doubling): an array of 2^22 bytes as a scalar
-    subquery, of the same size for any corpus."""
-    spark, chunk = docs.sparkSession, 1 << 11
-    words = docs.select(F.explode_outer(F.split(F.col(text), SPACE)).alias("word")).select(bucket(F.xxhash64("word")).alias("id"))
+def rarity(sets: DataFrame) -> Column:
+    """Of each word counter a class that rises with its count in sets (line), four to a doubling: an array of
+    2^BUCKET_BITS bytes as a scalar subquery, of the same size for any corpus."""
+    spark, chunk = sets.sparkSession, 1 << 11
+    words = sets.select(F.explode_outer(split_words(F.col("line"))).alias("word")).select(bucket(F.xxhash64("word")).alias("id"))
     counts = words.groupBy("id").count()
     level = F.least(F.floor(F.log2(F.col("count") + 1) * 4), F.lit(127)).cast("byte")
     every = spark.range(1 << BUCKET_BITS).join(counts, "id", "left").select("id", F.coalesce(level, F.lit(0).cast("byte")).alias("level"))
@@ -57,9 +63,14 @@ def with_codes(sets: DataFrame, ranks: Column) -> DataFrame:
 
 def codes_of(line: Column, levels: Column) -> Column:
     """The set of a line's words as sorted 63-bit codes: the 7 bits of a word's class above 56 of its hash."""
-    hashes = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
     code = lambda h: F.shiftleft(F.get(levels, bucket(h).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.transform(hashes, code))
+    return F.sort_array(F.array_distinct(F.transform(words_of(line), lambda w: code(F.xxhash64(w)))))
+
+
+def parity(codes: Column) -> Column:
+    """64 bits, each whether an odd number of the codes hash to it."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
 def lines_of(docs: DataFrame, text: str) -> DataFrame:
@@ -73,10 +84,15 @@ def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
     return (n_a * DOWN >= n_b * UP) & (n_b * DOWN >= n_a * UP) & (most * (UP + DOWN) >= (n_a + n_b) * UP)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def near(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Column:
+    """The filter of parity bits; sets of the similarity pass it always."""
+    return F.bit_count(bits_a.bitwiseXOR(bits_b)) * (UP + DOWN) <= (n_a + n_b) * (DOWN - UP)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """The ids b of pairs (a, b) whose whole sets have the similarity."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = common.table(sets.select("id", "line").join(common.sized(named), "id", "left_semi"), "linededup-held")
+    held = common.table(sets.select("id", "line").join(common.sized(named), "id", "left_semi"), "linededup-held", scratch)
     text = lambda x: held.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(text("b"), "b").join(text("a"), "a")
     both = both.select("b", *(F.array_distinct(words_of(F.col(f"line_{x}"))).alias(f"words_{x}") for x in "ab"))
@@ -84,49 +100,52 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("shared") * DOWN >= (F.col("sum") - F.col("shared")) * UP).select("b").distinct()
 
 
-def with_earlier(sets: DataFrame, ranks: Column) -> DataFrame:
+def with_earlier(sets: DataFrame, ranks: Column, scratch: list[DataFrame]) -> DataFrame:
     """(id) of the sets (id, line, first) that have a similar set with an earlier first place.
 
-    A set is first held against one other: of the earliest sets in the groups of its ANCHORS rarest words, that which most
-    of them name. This settles nearly all copies in as many pairs as there are sets; only the sets it leaves open are
-    joined with all that share a word of the prefix."""
+    A set is first held against one other: any two of its three words of the least hashes, whatever their rarity, name a
+    group; of these groups' earliest sets that pass the parity filter it is the one that most name. This settles nearly
+    all copies in as many pairs as there are sets, even in a group of very many near copies; only the sets it leaves open
+    are joined with all that share words of the prefix."""
     coded = with_codes(sets, ranks).withColumn("n", F.size("codes"))
     prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, F.col("n") - F.ceil(F.col("n") * F.lit(UP) / F.lit(DOWN)).cast("int") + SHARED)).otherwise(F.col("codes"))
-    index = common.table(coded.select("id", "first", "n", prefix.alias("prefix")), "linededup-prefixes")
+    least = F.sort_array(F.transform("codes", lambda c: F.shiftleft(c, 8)))  # without the class
+    anchors = F.array(*(F.xxhash64(F.get(least, F.lit(i)), F.get(least, F.lit(j))) for i, j in ((0, 1), (0, 2), (1, 2))))
+    index = common.table(coded.select("id", "first", "n", parity(F.col("codes")).alias("bits"), prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch)
 
     small = index.where(F.col("n") < SMALLEST)
     same = small.groupBy("prefix").agg(F.min("first").alias("e"), F.count("*").alias("size")).where("size > 1")
     equal = small.join(same, "prefix").where("first > e").select(F.col("id").alias("b"))
 
-    about = F.floor(F.log("n") * 4).alias("about")
-    anchors = index.where(F.col("n") >= SMALLEST).select("id", "first", about, F.explode_outer(F.slice("prefix", 1, ANCHORS)).alias("code")).where("code is not null")
-    earliest = anchors.groupBy("code", "about").agg(F.min(F.struct("first", "id")).alias("e"), F.count("*").alias("size")).where("size > 1").drop("size")
-    one = anchors.join(earliest, ["code", "about"]).where(F.col("first") > F.col("e.first"))
-    votes = one.groupBy("id", F.col("e.id").alias("a")).count().where("count > 1")
+    anchors = index.where(F.col("n") >= SMALLEST).select("id", "first", "n", "bits", F.explode_outer("anchors").alias("code")).where("code is not null")
+    earliest = anchors.groupBy("code").agg(F.min(F.struct("first", "id", "n", "bits")).alias("e"), F.count("*").alias("size")).where("size > 1").drop("size")
+    one = anchors.join(earliest, "code").where((F.col("first") > F.col("e.first")) & near(F.col("n"), F.col("bits"), F.col("e.n"), F.col("e.bits")))
+    votes = one.groupBy("id", F.col("e.id").alias("a")).count()
     best = votes.groupBy("id").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
-    settled = common.table(verified(common.table(best, "linededup-pairs"), sets), "linededup-settled")
+    settled = common.table(verified(common.table(best, "linededup-pairs", scratch), sets, scratch), "linededup-settled", scratch)
 
-    rows = index.where(F.col("n") >= SMALLEST).select("id", "n", F.posexplode_outer("prefix").alias("i", "code")).where("code is not null")
-    b = rows.join(common.sized(settled.select(F.col("b").alias("id"))), "id", "left_anti").select("code", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "i")))
-    a = rows.select("code", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "i")))
-    pairs = a.join(b, "code").where((F.col("id_a") != F.col("id_b")) & fitting(F.col("n_a"), F.col("i_a"), F.col("n_b"), F.col("i_b")))
+    rows = index.where(F.col("n") >= SMALLEST).select("id", "n", "bits", F.posexplode_outer("prefix").alias("i", "code")).where("code is not null")
+    b = rows.join(common.sized(settled.select(F.col("b").alias("id"))), "id", "left_anti")
+    a, b = (side.select("code", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "bits", "i"))) for x, side in (("a", rows), ("b", b)))
+    c = {f"{k}_{x}": F.col(f"{k}_{x}") for k in ("n", "i", "bits") for x in "ab"}
+    pairs = a.join(b, "code").where((F.col("id_a") != F.col("id_b")) & fitting(c["n_a"], c["i_a"], c["n_b"], c["i_b"]) & near(c["n_a"], c["bits_a"], c["n_b"], c["bits_b"]))
     pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).count().where(F.col("count") >= SHARED).select("a", "b")
-    pairs = common.table(pairs, "linededup-pairs")
+    pairs = common.table(pairs, "linededup-pairs", scratch)
     place = lambda x: sets.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}"))
     earlier = pairs.join(place("a"), "a").join(place("b"), "b").where("first_a < first_b").select("a", "b")
-    rest = verified(common.table(earlier, "linededup-earlier"), sets)
+    rest = verified(common.table(earlier, "linededup-earlier", scratch), sets, scratch)
     return equal.unionByName(settled).unionByName(rest).select(F.col("b").alias("id"))
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, places): of each document with lines to remove, named by common.with_row_key, their places from 0."""
+def removed_lines(docs: DataFrame, scratch: list[DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k1, k2, places): of each document with lines to remove, named by common.with_row_key, their places from 0. The
+    tables in scratch are needed until it has been written."""
     docs = common.with_row_key(docs.select(F.col(key).alias("doc_key"), F.col(text).alias(text)), "doc_key", text)
-    ranks = rarity(docs, text)
     place = F.struct("doc_key", "k1", "place")
     lines = lines_of(docs, text)
     sets = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("line").alias("line"))
-    sets = common.table(sets.withColumn("id", F.monotonically_increasing_id()), "linededup-sets")
-    later = common.table(with_earlier(sets.select("id", "line", "first"), ranks), "linededup-later").withColumn("near", F.lit(True))
+    sets = common.table(sets.withColumn("id", F.monotonically_increasing_id()), "linededup-sets", scratch)
+    later = common.table(with_earlier(sets.select("id", "line", "first"), rarity(sets), scratch), "linededup-later", scratch).withColumn("near", F.lit(True))
     marked = sets.select("id", "h1", "h2", "first", "times").join(common.sized(later), "id", "left")
     marked = marked.where("times > 1 or near is not null").select("h1", "h2", "near", "first")
     found = lines.select("h1", "h2", "k1", "k2", place.alias("at")).join(marked, ["h1", "h2"])
@@ -134,15 +153,22 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at.place")).alias("places"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text less its removed lines, and n_lines and n_removed. A null text stays null, of no lines."""
-    removed = common.table(removed_lines(docs, key, text), "linededup-removed")
-    joined = common.with_row_key(docs, key, text).join(common.sized(removed), ["k1", "k2"], "left")
-    lines = F.split(F.col(text), "\n")
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the text less its removed lines, and two counts under the names `counts`, which docs may not have. A null
+    text stays null, of no lines."""
+    if taken := [c for c in counts if c in docs.columns]:
+        raise ValueError(f"columns {taken} are there already; name others in `counts`")
+    scratch: list[DataFrame] = []
+    removed = common.table(removed_lines(docs, scratch, key, text), "linededup-removed")
+    common.drop_tables(scratch)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit("#"), text, key).alias("k2"))
+    rows = rows.join(common.sized(removed, F.size("places")), ["k1", "k2"], "left")
+    whole = F.col("row").getField(text)
+    lines = F.split(whole, "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("places", i)), "\n")
-    return joined.withColumns({
-        "n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("places"), F.lit(0)), text: F.when(F.col("places").isNull(), F.col(text)).otherwise(kept),
-    }).select(*docs.columns, "n_lines", "n_removed")
+    new = F.when(F.col("places").isNull(), whole).otherwise(kept)
+    columns = [(new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias(counts[0]), F.coalesce(F.size("places"), F.lit(0)).alias(counts[1]))
 
 
 def op6(docs: DataFrame) -> DataFrame:
