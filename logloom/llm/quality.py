@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 TRAIN_ROWS, BINS, ROUNDS, PAIRS, RATE = 12_000, 32, 60, 6, 0.1
 CUT = 0.3
 NAMES = ["log_bytes", "log_words", "word_length", "letters", "upper", "digits", "symbols", "space", "high", "entropy", "distinct_words", "top_word", "line_words", "repeated_lines", "symbol_words", "short_lines", "echoes"]
@@ -148,8 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     own = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
     part = min(1.0, rows / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    # the sample has about `rows` rows at any size of the tables, so that this broadcast is bounded
-    sample = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "label", F.pandas_udf(features_series, "array<double>")(F.col("text")).alias("x"))
+    # the sample has about `rows` rows at any size of the tables, so that this broadcast is bounded; of rows that repeat
+    # a doc_id one is taken, so that what comes back is bounded too
+    sample = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = sample.select("doc_id", "label", F.pandas_udf(features_series, "array<double>")(F.col("text")).alias("x"))
     got = sorted((r["doc_id"], r["label"], tuple(r["x"])) for r in sample.collect())
     return fit(np.array([r[2] for r in got]).reshape(-1, len(NAMES)), np.array([r[1] for r in got], float))
 
@@ -169,7 +173,5 @@ def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """Documents of a score of at least cut. All columns stay as they are."""
-    name = "quality_score"
-    while name in docs.columns:
-        name += "_"
+    (name,) = common.fresh(docs, "quality_score")
     return with_score(docs, train(docs, labels), score=name).where(F.col(name) >= cut).drop(name)

@@ -5,7 +5,9 @@ within RADIUS = 2 bits differ in at most two of four 16-bit parts, so they agree
 pair of parts is a table keyed by 32 bits, and only fingerprints that share a key are compared. A key's fingerprints are
 stored as bit planes: word p holds bit p of 64 of them, so that one XOR and a carry-save counter of three words advance
 64 distances at once; a block all of whose distances exceed the radius is dropped from further planes. The links of a
-block shrink to a spanning forest before they leave the task, and connected components join the rest.
+block shrink to a spanning forest before they leave the task, and connected components join the rest. A key of very many
+fingerprints is split before the shuffle: of three thirds of the other 32 bits one agrees as well, so each becomes three
+keys of 42 bits or more, and no key has over 2^22 fingerprints.
 
 Nulls and empty texts have fingerprint zero and are linked like any other. A null key column is never a component's
 name unless all its members are null.
@@ -29,8 +31,10 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 PARTS = list(combinations(range(4), 2))  # of four 16-bit parts, two that agree
 #: Pairs of a fingerprint and a block that are compared in one step; bounds a task's memory.
 STEP = 1 << 15
-#: Keys with more fingerprints than this are split once more, by a third of their remaining bits.
+#: Groups with more fingerprints than this are compared by a third of their remaining bits.
 LARGE = 1 << 14
+#: Keys that about so many fingerprints share, by a count of one fingerprint in SAMPLE, are split before the shuffle.
+HEAVY, SAMPLE = 1 << 16, 64
 ONE = np.uint64(1)
 
 
@@ -191,23 +195,38 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp) for each of the six tables: the table's number above 32 bits of the fingerprint."""
+    """(key, rest, fp) for each of the six tables: the table's number above 32 bits of the fingerprint, and its other bits."""
     part = lambda i: F.shiftrightunsigned(F.col("fp"), 16 * i).bitwiseAND(F.lit(0xFFFF))
-    key = lambda n, i, j: F.lit(n << 32) + F.shiftleft(part(j), 16) + part(i)
-    return fps.select(F.explode(F.array(*(key(n, i, j) for n, (i, j) in enumerate(PARTS)))).alias("key"), "fp")
+    both = lambda i, j: F.shiftleft(part(j), 16) + part(i)
+    keys = [F.struct((F.lit(n << 32) + both(*p)).alias("key"), both(*(i for i in range(4) if i not in p)).alias("rest")) for n, p in enumerate(PARTS)]
+    return fps.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.key", "k.rest", "fp")
+
+
+def split_heavy(keyed: DataFrame, heavy_from: int = HEAVY, sample: int = SAMPLE) -> DataFrame:
+    """(key, fp): heavy keys become three, each with a third of the other bits. Which are heavy changes no result."""
+    counts = keyed.where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0).groupBy("key").count()
+    heavy = common.table(counts.where(F.col("count") > heavy_from // sample).select("key", F.lit(True).alias("heavy")), "simhash-heavy")
+    if heavy.isEmpty():
+        return keyed.select("key", "fp")
+    third = lambda t: F.shiftrightunsigned("rest", 11 * t).bitwiseAND(F.lit(0x7FF))
+    finer = F.array(*(F.col("key") + F.lit(t + 1 << 35) + F.shiftleft(third(t), 37) for t in range(3)))
+    marked = keyed.join(common.sized(heavy), "key", "left")
+    return marked.select(F.explode(F.when(F.col("heavy"), finer).otherwise(F.array("key"))).alias("key"), "fp")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, component): of every row of docs its fingerprint and the least key that is reachable by links."""
-    prints = common.table(docs.select(F.col(key).alias("key"), F.pandas_udf(fingerprints, "long")(F.col(text)).alias("fp")), "simhash")
+    """(key, k1, k2, fp, component): of every row of docs its fingerprint and the least key that is reachable by links;
+    k1 and k2 as in common.with_row_key."""
+    named = common.with_row_key(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text")
+    prints = common.table(named.select("key", "k1", "k2", F.pandas_udf(fingerprints, "long")(F.col("text")).alias("fp")), "simhash")
     unique = prints.groupBy("fp").agg(F.min("key").alias("least"))
-    keyed = candidate_keys(unique.select("fp"))
+    keyed = split_heavy(candidate_keys(unique.select("fp")))
     pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
     member = common.table(common.components(pairs, "simhash-links"), "simhash-members")
     named = unique.join(member, unique["fp"] == member["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     of_root = named.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = named.join(of_root, "root").select("fp", "component")
-    return prints.join(by_fp, "fp").select("key", "fp", "component")
+    return prints.join(by_fp, "fp").select("key", "k1", "k2", "fp", "component")
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -216,12 +235,15 @@ def op3(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the least doc_id; rows without a doc_id stay. Of rows that repeat a
-    kept doc_id one stays."""
+    """One row of each component, of the least doc_id and, if rows of different texts have that, of the least hash; rows
+    without a doc_id stay."""
     found = near_duplicates(docs)
-    counts = common.table(found.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c")), "simhash-kept")
-    kept = docs.join(counts.where("c < key").select(F.col("key").alias("doc_id")), "doc_id", "left_anti")
-    if counts.where("n > 1").isEmpty():
-        return kept.select(*docs.columns)
-    nulls = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nulls).select(*docs.columns)
+    k1, k2 = common.fresh(docs, "k1", "k2")
+    least = found.where("key = component").groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
+    least = common.table(least.select("k.*", "n"), "simhash-kept")
+    kept = least.select("k1", "k2").unionByName(found.where("key is null").select("k1", "k2").distinct())
+    ident = docs.withColumns({k1: F.xxhash64("doc_id", "text"), k2: F.xxhash64(F.lit("#"), "text", "doc_id")})
+    out = ident.join(common.sized(kept.select(F.col("k1").alias(k1), F.col("k2").alias(k2))), [k1, k2], "left_semi")
+    if not least.where("n > 1").isEmpty():  # a kept row may be there more than once
+        out = out.where("doc_id is not null").dropDuplicates([k1, k2]).unionByName(out.where("doc_id is null"))
+    return out.select(*docs.columns)

@@ -103,9 +103,11 @@ def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that are not contaminated. A document is named by its doc_id and text, so one without a doc_id is judged as well."""
-    bad = contamination(docs, benchmark).where(IS_CONTAMINATED).select("k1", "k2").distinct()
-    ident = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit("#"), "text", "doc_id")})
-    return ident.join(bad, ["k1", "k2"], "left_anti").select(*docs.columns)
+    k1, k2 = common.fresh(docs, "k1", "k2")
+    bad = contamination(docs, benchmark).where(IS_CONTAMINATED).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
+    bad = common.sized(common.table(bad, "winnow-contaminated"))
+    ident = docs.withColumns({k1: F.xxhash64("doc_id", "text"), k2: F.xxhash64(F.lit("#"), "text", "doc_id")})
+    return ident.join(bad, [k1, k2], "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

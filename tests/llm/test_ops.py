@@ -109,6 +109,31 @@ def test_bit_sliced_links_match_counted_bits():
         assert {p: find(p) for p in fps.tolist()} == whole
 
 
+def test_simhash_heavy_keys_lose_no_link(spark):
+    fps = [0x1234_5678_0000_0000 | x for x in random.Random(6).sample(range(1 << 20), 300)] + [7, 5, 1 << 63]
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    keyed = simhash.candidate_keys(spark.createDataFrame(signed, "fp long"))
+    split = simhash.split_heavy(keyed, 8, 1)
+    assert split.groupBy("key").count().where("count > 50").isEmpty() or split.count() > keyed.count()
+    pairs = split.repartition("key").sortWithinPartitions("key").mapInArrow(simhash.compare, "a long, b long").collect()
+    root = {p: p for p in fps}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for x in pairs:
+        a, b = find(x.a % (1 << 64)), find(x.b % (1 << 64))
+        root[max(a, b)] = min(a, b)
+    assert {p: find(p) for p in fps} == components(set(fps))
+
+
+def test_near_duplicates_of_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "other words here now"), (2, "a b c d"), (3, "other words here now"), (3, "other words here now")], SCHEMA)
+    assert sorted(tuple(r) for r in simhash.keep_one(df).collect()) == [(1, "a b c d"), (2, "other words here now")]
+
+
 def test_simhash_odd(odd, empty):
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.op3(odd).collect()]
     assert len(got) == len(ODD) and {(k, c) for k, f, c in got if f == "0" * 16} == {(1, 1), (2, 1), (3, 1)}
