@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 PARTS = list(combinations(range(4), 2))  # of four 16-bit parts, two that agree
@@ -214,14 +214,37 @@ def split_heavy(keyed: DataFrame, heavy_from: int = HEAVY, sample: int = SAMPLE)
     return marked.select(F.explode(F.when(F.col("heavy"), finer).otherwise(F.array("key"))).alias("key"), "fp")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shingle_links(prints: DataFrame, named: DataFrame) -> DataFrame:
+    """Links of fingerprints whose texts have five-word shingles with a Jaccard similarity of at least 0.8."""
+    often, counts = shingles.common_shingles(named)
+
+    def sets(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            own = [shingles.shingle_set(t) for t in texts]
+            h = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own]
+            yield pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64), "n": np.array([len(x) for x in own], np.int32), "prefix": [shingles.prefix(x, often, counts) for x in own]})
+
+    made = named.select("k1", "k2", F.pandas_udf(sets, "h long, n int, prefix array<long>")(F.col("text")).alias("x")).select("k1", "k2", "x.*")
+    made = common.table(made, "shingles")
+    links = shingles.links(made, named)
+    fp_of = made.select("k1", "k2", "h").join(prints.select("k1", "k2", "fp").distinct(), ["k1", "k2"]).select("h", "fp").distinct()
+    fp_of = common.table(fp_of, "shingle-prints")
+    least = common.table(fp_of.groupBy("h").agg(F.min("fp").alias("least"), F.count("*").alias("n")), "shingle-least")
+    same = fp_of.join(least.where("n > 1"), "h").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    one = lambda k: least.select(F.col("h").alias(k), F.col("least").alias(f"fp_{k}"))
+    return links.join(one("a"), "a").join(one("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).unionByName(same)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", edited: bool = False) -> DataFrame:
     """(key, k1, k2, fp, component): of every row of docs its fingerprint and the least key that is reachable by links;
-    k1 and k2 as in common.with_row_key."""
+    k1 and k2 as in common.with_row_key. edited: links of shingle_links() count too."""
     named = common.with_row_key(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text")
     prints = common.table(named.select("key", "k1", "k2", F.pandas_udf(fingerprints, "long")(F.col("text")).alias("fp")), "simhash")
     unique = prints.groupBy("fp").agg(F.min("key").alias("least"))
     keyed = split_heavy(candidate_keys(unique.select("fp")))
     pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    if edited:
+        pairs = pairs.unionByName(shingle_links(prints, named.select("k1", "k2", "text")))
     member = common.table(common.components(pairs, "simhash-links"), "simhash-members")
     named = unique.join(member, unique["fp"] == member["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     of_root = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -236,8 +259,8 @@ def op3(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, of the least doc_id and, if rows of different texts have that, of the least hash; rows
-    without a doc_id stay."""
-    found = near_duplicates(docs)
+    without a doc_id stay. Edited copies are of a component too: those alike in five-word shingles."""
+    found = near_duplicates(docs, edited=True)
     k1, k2 = common.fresh(docs, "k1", "k2")
     least = found.where("key = component").groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
     least = common.table(least.select("k.*", "n"), "simhash-kept")

@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import pytest
@@ -39,3 +40,46 @@ def test_stages_against_brute_force(spark, tmp_path):
     before, after = out["sentencepiece"]
     assert {r.doc_id for r in after.where("decodes").collect()} == {k for k, _ in before} and after.where("not decodes").count() == 0
     assert winnow.WINDOW == 13 and pipeline.run(spark, FOLDER).columns == after.columns
+
+
+def brute_sets(texts):
+    words = {k: t.encode().lower().split() for k, t in texts}
+    return {k: {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for k, w in words.items()}
+
+
+def test_near_dedup_stage_links_edited_copies(spark):
+    """Whole recall against brute force: five-word Jaccard of 0.8 or more, in groups above and below shingles.SMALL."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for group in range(40):
+        base = [word() for _ in range(r.randint(6, 300))]
+        for _ in range(r.choice([1, 2, 3, 12, 30])):
+            copy = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 45))):
+                copy[r.randrange(len(copy))] = word()
+            rows.append(" ".join(copy))
+    passage = " ".join(word() for _ in range(12))
+    rows += [passage + " " + " ".join(word() for _ in range(60)) for _ in range(30)] + [passage, "", " "]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    prints, sets = {k: brute_print(t) for k, t in rows}, brute_sets(rows)
+    near = components(set(prints.values()))
+    root = {k: k for k, _ in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    n_pairs = 0
+    for a, _ in rows:
+        for b in range(a):
+            like = bool(sets[a] | sets[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            n_pairs += like and near[prints[a]] != near[prints[b]]
+            if like or near[prints[a]] == near[prints[b]]:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert n_pairs > 100
+    kept = pipeline.stage_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({find(k) for k, _ in rows})
