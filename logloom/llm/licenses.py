@@ -1,9 +1,10 @@
 """Licence scans: paragraphs classified into licence families by a trained sparse n-gram model.
 
 A paragraph is a line. Its features are the word n-grams of one to three words that the training notices have and that
-hold at least one anchor, a word of theirs that ordinary paragraphs rarely have; a paragraph without an anchor has none
-and is ordinary. A softmax regression over families and "none" is fitted to notices drawn from TEMPLATES, to look-alikes,
-and to at most BACKGROUND paragraphs of the corpus chosen by a hash (a bounded parameter). Its probabilities are calibrated
+hold at least one anchor, a word of TEMPLATES that is no function word, whatever the corpus; a paragraph without an anchor
+has no features and is ordinary. A softmax regression over families and "none" is fitted to notices drawn from TEMPLATES,
+to look-alikes, and to at most BACKGROUND different paragraphs of the corpus chosen by a hash (a bounded parameter) from all
+places; paragraphs that hold LIKE of a template's word pairs are left out of these. Its probabilities are calibrated
 by a temperature on held-out notices; below CERTAIN the class is "unknown". A prediction is confirmed if one of the family's
 templates is contained in the paragraph: at least CONFIRM of the template's word pairs.
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BACKGROUND, CERTAIN, CONFIRM = 4000, 0.6, 0.6
+BACKGROUND, CERTAIN, CONFIRM, LIKE = 4000, 0.6, 0.6, 0.5
 TOKEN = re.compile(r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*")
 TEMPLATES = {
     "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "licensed under the mit license", "spdx-license-identifier mit"],
@@ -38,6 +39,8 @@ TEMPLATES = {
     "Proprietary": ["all rights reserved", "copyright all rights reserved", "no part of this work may be reproduced without written permission all rights reserved"],
 }
 FAMILIES = ["none", *TEMPLATES]
+FUNCTION = set("a all and any as at be by except for from in is it may no of on or part person that the this to under with without you".split())
+ANCHORS = frozenset(w for ts in TEMPLATES.values() for t in ts for w in t.split() if w not in FUNCTION and not w.isdigit())
 LOOKALIKES = [
     "his driving license expired last year", "the apache helicopter landed at the base version 2.0", "the general public was informed about the work", "students of mit released a study",
     "the license plate was unreadable", "poetic license is allowed here", "all seats are reserved for members", "the public library is part of the domain", "a fishing license costs ten euros", "source code is taught in the third year",
@@ -90,12 +93,9 @@ def drawn(seed: int = 5, each: int = 120) -> list[tuple[list[str], int]]:
 
 
 def fit(background: list[str], seed: int = 5) -> Model:
-    plain = [tokens(p)[:200] for p in background] or [[]]
-    notices = drawn(seed)
-    common = Counter(w for words in plain for w in set(words))
-    anchors = frozenset(w for words, y in notices if y for w in words if common[w] <= 0.002 * len(plain) and not w.isdigit())
-    data = notices + [(w, 0) for w in plain]
-    sets, labels = [grams(w, anchors) for w, _ in data], np.array([y for _, y in data])
+    plain = [w for p in background if not resembles(w := tokens(p))] or [[]]
+    data = drawn(seed) + [(w, 0) for w in plain]
+    sets, labels = [grams(w, ANCHORS) for w, _ in data], np.array([y for _, y in data])
     seen = Counter(g for s, y in zip(sets, labels, strict=True) if y for g in s)
     features = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n >= 3))}
     rows, cols = (np.array(x, dtype=np.int64) for x in ([i for i, s in enumerate(sets) for g in s if g in features], [features[g] for s in sets for g in s if g in features]))
@@ -126,7 +126,7 @@ def fit(background: list[str], seed: int = 5) -> Model:
         bias -= 0.5 * gb / np.sqrt(speed_b)
     z = scores()[held].copy()
     loss = lambda t: -np.log(softmax(z / t)[np.arange(len(z)), labels[held]] + 1e-12).mean()
-    return Model(anchors, features, weights, bias, float(min(np.linspace(0.5, 3, 26), key=loss)))
+    return Model(ANCHORS, features, weights, bias, float(min(np.linspace(0.5, 3, 26), key=loss)))
 
 
 PAIRS = {f: [set(zip(t.split(), t.split()[1:], strict=False)) for t in ts] for f, ts in TEMPLATES.items()}
@@ -138,6 +138,11 @@ def contained(family: str, words: list[str]) -> float:
     return max(len(p & own) / len(p) for p in PAIRS[family])
 
 
+def resembles(words: list[str]) -> bool:
+    """Whether a paragraph may be a notice of some family, so that nobody may call it ordinary."""
+    return any(contained(f, words) >= LIKE for f in TEMPLATES)
+
+
 def scan(text: str | None, model: Model) -> list[dict]:
     """Of each licence paragraph its place, family (or unknown), probability, and the template comparison."""
     if not text or model.anchors.isdisjoint(TOKEN.findall(text.lower())):
@@ -157,9 +162,14 @@ FOUND = "array<struct<place: int, family: string, probability: double, likeness:
 
 
 def train(docs: DataFrame, text: str = "text", rows: int = BACKGROUND) -> Model:
-    """A model with background paragraphs of at most `rows` documents, those of the least hashes of their texts."""
-    least = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.element_at(F.split(F.col(text), "\n"), 1).alias("p")).orderBy("h", "p").limit(rows)
-    return fit([r["p"] for r in least.collect()])
+    """A model with at most `rows` different background paragraphs, whole, chosen by their hashes from all places."""
+    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("p")).where("p <> ''").select("p", F.xxhash64("p").alias("h"))
+    every = max(1, lines.count() // (2 * rows))
+    while True:  # copies count once: where they are many, more hashes are let in
+        least = lines.where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["p"]).orderBy("h", "p").limit(rows).collect()
+        if every == 1 or len(least) >= rows // 2:
+            return fit([r["p"] for r in least])
+        every = max(1, every // 8)
 
 
 def with_licences(docs: DataFrame, model: Model, text: str = "text", name: str = "licences") -> DataFrame:

@@ -382,6 +382,17 @@ def test_licences(spark, odd, empty):
     assert licenses.scan("licensed under some " + "strange " * 3 + "terms nobody knows", m)[:1] in ([], [x for x in licenses.scan("licensed under some strange strange strange terms nobody knows", m)][:1])
 
 
+def test_licences_that_many_documents_begin_with(spark):
+    """Notices on first lines of many documents are found, and so is one inside a long paragraph."""
+    notice = "Released under the MIT License."
+    docs = [(k, f"{notice}\n{t}" if k % 10 == 0 else t) for k, t in texts(300, 7)] + [(500 + i, f"{notice}\nsame text") for i in range(100)]
+    docs.append((1000, "word here " * 300 + notice + " more of it" * 100))
+    got = {r.doc_id: r.found for r in licenses.op1(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert all((got[k] == "0:MIT:confirmed") == (t[: len(notice)] == notice or k == 1000) for k, t in docs)
+    m = licenses.fit([notice] * 50 + [t for _, t in texts(200, 5)])
+    assert licenses.scan(f"text\n{notice}", m)[0]["family"] == "MIT"
+
+
 # ---- 2 ----
 
 
