@@ -140,7 +140,8 @@ def model(spark: SparkSession) -> tuple[list[boost.Tree], list[str], dict[int, f
 
 
 def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans) for every row of docs: its sorted structs (kind, start, end, base, score)."""
+    """(key, k1, k2, spans) for every row of docs: its sorted structs (kind, start, end, base, score); k1 and k2 as in
+    common.with_row_key, of the text or, if it is null, an empty one."""
     trees, names, cut = model(docs.sparkSession)
     rows = common.with_row_key(docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")), "key", "text")
     rows = rows.withColumns({f"m_{k}": matches(F.col("text"), k) for k in KINDS})
@@ -165,7 +166,7 @@ def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     hits = hits.withColumn("has_base", F.max("base").over(island)).withColumn("nth", F.row_number().over(island.orderBy(F.desc("score"), "start", "kind")))
     kept = hits.where("base or (not has_base and nth = 1)")
     per = kept.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "base", "score"))).alias("spans"))
-    return found.where("kind is null").select("key", "k1", "k2").join(per, ["k1", "k2"], "left").select("key", "spans")
+    return found.where("kind is null").select("key", "k1", "k2").join(per, ["k1", "k2"], "left").select("key", "k1", "k2", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -176,8 +177,11 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text) with every span replaced by its kind in brackets; overlapping base spans become one of the first kind."""
-    spans = spans_of(docs, key, text).distinct()
-    return docs.join(spans.withColumnRenamed("key", key), key, "left").withColumn(text, redacted(F.col(text), F.col("spans")))
+    k1, k2 = common.fresh(docs, "k1", "k2")
+    spans = spans_of(docs, key, text).select(F.col("k1").alias(k1), F.col("k2").alias(k2), "spans").distinct()
+    whole = F.coalesce(text, F.lit(""))
+    ident = docs.withColumns({k1: F.xxhash64(key, whole), k2: F.xxhash64(F.lit("#"), whole, key)})
+    return ident.join(spans, [k1, k2], "left").withColumn(text, redacted(F.col(text), F.col("spans"))).select(*docs.columns, "spans")
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -299,6 +299,13 @@ def test_pii(spark, odd, empty):
     assert pii.redact(one).first().text == 'mail é@x [email] now, token = "[secret]" [secret] in 2024 and 12 apples'
 
 
+def test_redact_null_keys_and_repeated_keys(spark):
+    rows = [(None, "mail a@b.cd now"), (1, "mail a@b.cd now"), (1, "from here 1.2.3.4 on"), (1, "from here 1.2.3.4 on"), (2, None), (2, ""), (None, "nothing")]
+    got = [(r.doc_id, r.text) for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want = [(k, t and t.replace("a@b.cd", "[email]").replace("1.2.3.4", "[ip]")) for k, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 # ---- 4 ----
 
 
