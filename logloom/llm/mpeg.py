@@ -210,8 +210,8 @@ DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_byte
 def digest(data: bytes) -> tuple:
     a = parse(data)
     payload = payload_of(data, a)
-    ends = f"{a.offsets[0]}..{a.offsets[-1]}" if a.offsets else ""
-    feature = f"frames={len(a.offsets)};samples={a.samples};seconds={a.seconds};crc={a.crc_good}/{a.crc_bad};skipped={a.skipped};table={a.table and a.table.get('frames')};offsets={ends};bytesum={sum(payload[::16])}"
+    places = hashlib.sha256(",".join(map(str, a.offsets)).encode()).hexdigest()
+    feature = f"frames={len(a.offsets)};samples={a.samples};seconds={a.seconds};crc={a.crc_good}/{a.crc_bad};skipped={a.skipped};table={a.table and a.table.get('frames')};offsets={places};bytesum={sum(payload)}"
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
 

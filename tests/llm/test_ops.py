@@ -254,6 +254,15 @@ def test_media_round_trip(spark, odd, empty):
     assert mpeg.op8(empty).count() == 0
 
 
+def test_media_feature_covers_all_bytes_and_offsets():
+    a, b = mpeg.digest(mpeg.store(b"a" * 960)), mpeg.digest(mpeg.store(b"a" * 5 + b"b" + b"a" * 954))
+    assert a[-1] != b[-1] and a[-1].endswith(f"bytesum={97 * 960}")
+    data = mpeg.store(b"a" * 960)
+    first, second = mpeg.parse(data).offsets[1:3]
+    moved = data[:first] + bytes(4) + data[first:second] + data[second + 4 :]
+    assert mpeg.digest(moved)[-1].split(";offsets=")[1] != a[-1].split(";offsets=")[1]
+
+
 def test_media_parser_resynchronises_and_checks():
     good = mpeg.store(b"\xff\xfb" * 96 * 4)
     a = mpeg.parse(good)
