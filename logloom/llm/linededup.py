@@ -2,32 +2,35 @@
 
 A line is the set of its words. It is removed if an earlier line has a Jaccard similarity of THRESHOLD = 0.8 or more with
 it; earlier is by doc_id (null first), a hash of the document, and the line's place, whether or not that earlier
-line is removed itself. Rows that repeat both doc_id and text count as one document, and blank lines stay.
-
-Equal lines meet in one aggregate, which keeps the first. Among the different ones the words of each are ordered by rarity:
-counts over all different lines in 2^BUCKET_BITS hashed counters, a table of fixed size, give each a class, and hashes order
-a class. Two sets with that similarity share SHARED words among the first n - ceil(0.8 n) + SHARED of each, so only those are
-joined, under the length and positional filters and one of 64 parity bits: bit b of a set tells whether an odd number of its words
-hash to b, so two sets' bits differ in no more places than they have words of one alone, which is at most a ninth of both
-sizes' sum. What is left is verified on the whole sets. Up to three words a set can only match an equal one.
+line is removed itself. Rows that repeat both doc_id and text count as one document, and blank lines stay. Nulls, empty
+texts and empty tables have no lines; other columns pass through under their own names, whatever these are.
+
+Documents are numbered in that order, and a line's number is its document's and its place in one. Equal lines meet in one
+aggregate, which keeps the least number. Among the different ones the words of each are ordered by rarity: counts over all
+different lines in 2^BUCKET_BITS hashed counters, a table of fixed size, give each a class, and hashes order a class. Two
+sets with that similarity share SHARED words among the first n - ceil(0.8 n) + SHARED of each, so only those are joined, each with
+earlier ones alone, under the length and positional filters and one of 64 parity bits: bit b of a set tells whether an odd
+number of its words hash to b, so two sets' bits differ in no more places than they have words of one alone, which is at
+most a ninth of both sizes' sum. What is left is verified on the whole sets. Up to three words a set can only match an equal one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Jaccard threshold as a fraction, so that sizes are compared in whole numbers.
 UP, DOWN = 4, 5
-BUCKET_BITS = 20
+BUCKET_BITS = 17
 SPACE = r"[\x20\x09-\x0D]+"
 #: Sets of fewer words match only equal ones.
 SMALLEST = 4
 #: Words that two similar sets share at least among their first n - ceil(0.8 n) + SHARED.
 SHARED = 2
+#: monotonically_increasing_id() counts the rows of a partition in its low bits.
+NTH = (1 << 33) - 1
 
 
 def split_words(line: Column) -> Column:
@@ -39,43 +42,34 @@ def words_of(line: Column) -> Column:
     return F.array_remove(split_words(line), "")
 
 
-def rarity(sets: DataFrame) -> Column:
-    """Of each word counter a class that rises with its count in sets (line), four to a doubling: an array of
-    2^BUCKET_BITS bytes as a scalar subquery, of the same size for any corpus."""
-    spark, chunk = sets.sparkSession, 1 << 11
-    words = sets.select(F.explode_outer(split_words(F.col("line"))).alias("word")).select(bucket(F.xxhash64("word")).alias("id"))
-    counts = words.groupBy("id").count()
-    level = F.least(F.floor(F.log2(F.col("count") + 1) * 4), F.lit(127)).cast("byte")
-    every = spark.range(1 << BUCKET_BITS).join(counts, "id", "left").select("id", F.coalesce(level, F.lit(0).cast("byte")).alias("level"))
-    parts = every.groupBy(F.floor(F.col("id") / chunk).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "level"))), lambda x: x["level"]).alias("levels"))
-    one = parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "levels"))), lambda x: x["levels"])).alias("levels"))
-    return common.table(one, "linededup-rarity").scalar()
-
-
 def bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
 
 
-def with_codes(sets: DataFrame, ranks: Column) -> DataFrame:
-    """(id, first, codes) of (id, first, line). Higher-order functions take a subquery's value only as a column."""
-    return sets.select("id", "first", "line", ranks.alias("ranks")).select("id", "first", codes_of(F.col("line"), F.col("ranks")).alias("codes"))
+def rarity(sets: DataFrame) -> list[int]:
+    """Of each word counter a class from 0 to 127 that rises with its count in sets (line), four to a doubling: of the same
+    size for any corpus, and small enough to stay in a processor's cache."""
+    words = sets.select(F.explode_outer(split_words(F.col("line"))).alias("word")).select(bucket(F.xxhash64("word")).cast("int").alias("id"))
+    level = F.least(F.floor(F.log2(F.col("count") + 1) * 4), F.lit(127)).cast("int")
+    out = [0] * (1 << BUCKET_BITS)
+    for at, of in words.groupBy("id").count().select("id", level).collect():
+        out[at] = of
+    return out
 
 
-def codes_of(line: Column, levels: Column) -> Column:
-    """The set of a line's words as sorted 63-bit codes: the 7 bits of a word's class above 56 of its hash."""
-    code = lambda h: F.shiftleft(F.get(levels, bucket(h).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), lambda w: code(F.xxhash64(w)))))
+def with_codes(sets: DataFrame, levels: list[int]) -> DataFrame:
+    """(id, n, bits, least, codes) of (id, line): the number of different words, 64 parity bits, the three least hashes, and
+    the words as sorted 63-bit codes, the 7 bits of a word's class above 56 of its hash.
 
-
-def parity(codes: Column) -> Column:
-    """64 bits, each whether an odd number of the codes hash to it."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
-
-
-def lines_of(docs: DataFrame, text: str) -> DataFrame:
-    lines = docs.select("k1", "k2", "doc_key", F.posexplode_outer(F.split(F.col(text), "\n")).alias("place", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("#"), "line")})
+    The table is a literal: as a column it would be copied into every row. No element that the sorts get may be null, or
+    they compare boxed values."""
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
+    shiftleft = lambda x, n: F.call_function("shiftleft", x.cast("long"), n)
+    bit = lambda h: shiftleft(F.lit(1), F.shiftrightunsigned(h, 58).cast("int"))
+    code = lambda h: F.coalesce(shiftleft(table[bucket(h)], F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
+    df = sets.select("id", F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    parity = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+    return df.select("id", F.size("h").alias("n"), parity.alias("bits"), F.slice(F.sort_array("h"), 1, 3).alias("least"), F.sort_array(F.transform("h", code)).alias("codes"))
 
 
 def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
@@ -92,65 +86,91 @@ def near(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Column:
 def verified(pairs: DataFrame, sets: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """The ids b of pairs (a, b) whose whole sets have the similarity."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = common.table(sets.select("id", "line").join(common.sized(named), "id", "left_semi"), "linededup-held", scratch)
-    text = lambda x: held.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
-    both = pairs.join(text("b"), "b").join(text("a"), "a")
-    both = both.select("b", *(F.array_distinct(words_of(F.col(f"line_{x}"))).alias(f"words_{x}") for x in "ab"))
-    both = both.select("b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), (F.size("words_a") + F.size("words_b")).alias("sum"))
-    return both.where(F.col("shared") * DOWN >= (F.col("sum") - F.col("shared")) * UP).select("b").distinct()
+    held = sets.select("id", "line").join(common.sized(named), "id", "left_semi").select("id", F.array_distinct(words_of(F.col("line"))).alias("words"))
+    held = common.table(held, "linededup-held", scratch)
+    words = lambda x: held.select(F.col("id").alias(x), F.col("words").alias(f"words_{x}"))
+    both = pairs.join(words("b"), "b").join(words("a"), "a")
+    alike = F.size(F.array_intersect("words_a", "words_b")) * (UP + DOWN) >= (F.size("words_a") + F.size("words_b")) * UP
+    return both.where(alike).select("b").distinct()
 
 
-def with_earlier(sets: DataFrame, ranks: Column, scratch: list[DataFrame]) -> DataFrame:
-    """(id) of the sets (id, line, first) that have a similar set with an earlier first place.
+def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -> DataFrame:
+    """(id) of the sets (id, line) that have a similar set with a lesser id.
 
     A set is first held against one other: any two of its three words of the least hashes, whatever their rarity, name a
     group; of these groups' earliest sets that pass the parity filter it is the one that most name. This settles nearly
     all copies in as many pairs as there are sets, even in a group of very many near copies; only the sets it leaves open
-    are joined with all that share words of the prefix."""
-    coded = with_codes(sets, ranks).withColumn("n", F.size("codes"))
+    are joined with all earlier ones that share words of the prefix, and of these the one that shares most is tried first."""
+    coded = with_codes(sets, levels)
     prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, F.col("n") - F.ceil(F.col("n") * F.lit(UP) / F.lit(DOWN)).cast("int") + SHARED)).otherwise(F.col("codes"))
-    least = F.sort_array(F.transform("codes", lambda c: F.shiftleft(c, 8)))  # without the class
-    anchors = F.array(*(F.xxhash64(F.get(least, F.lit(i)), F.get(least, F.lit(j))) for i, j in ((0, 1), (0, 2), (1, 2))))
-    index = common.table(coded.select("id", "first", "n", parity(F.col("codes")).alias("bits"), prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch)
+    anchors = F.array(*(F.xxhash64(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for i, j in ((0, 1), (0, 2), (1, 2))))
+    index = common.table(coded.select("id", "n", "bits", prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch)
 
     small = index.where(F.col("n") < SMALLEST)
-    same = small.groupBy("prefix").agg(F.min("first").alias("e"), F.count("*").alias("size")).where("size > 1")
-    equal = small.join(same, "prefix").where("first > e").select(F.col("id").alias("b"))
-
-    anchors = index.where(F.col("n") >= SMALLEST).select("id", "first", "n", "bits", F.explode_outer("anchors").alias("code")).where("code is not null")
-    earliest = anchors.groupBy("code").agg(F.min(F.struct("first", "id", "n", "bits")).alias("e"), F.count("*").alias("size")).where("size > 1").drop("size")
-    one = anchors.join(earliest, "code").where((F.col("first") > F.col("e.first")) & near(F.col("n"), F.col("bits"), F.col("e.n"), F.col("e.bits")))
-    votes = one.groupBy("id", F.col("e.id").alias("a")).count()
-    best = votes.groupBy("id").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
+    same = small.groupBy("prefix").agg(F.min("id").alias("e"), F.count("*").alias("size")).where("size > 1")
+    equal = small.join(same, "prefix").where("id > e").select(F.col("id").alias("b"))
+
+    whole = index.where(F.col("n") >= SMALLEST)
+    rows = whole.select("id", "n", "bits", F.explode_outer("anchors").alias("code"))
+    earliest = rows.groupBy("code").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("code", "a")
+    votes = rows.join(earliest, "code").where("id > a").groupBy("a", "id").agg(F.count("*").alias("votes"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    first = whole.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    votes = votes.join(first, "a").where(near(F.col("n"), F.col("bits"), F.col("n_a"), F.col("bits_a")))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
     settled = common.table(verified(common.table(best, "linededup-pairs", scratch), sets, scratch), "linededup-settled", scratch)
 
-    rows = index.where(F.col("n") >= SMALLEST).select("id", "n", "bits", F.posexplode_outer("prefix").alias("i", "code")).where("code is not null")
-    b = rows.join(common.sized(settled.select(F.col("b").alias("id"))), "id", "left_anti")
-    a, b = (side.select("code", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "bits", "i"))) for x, side in (("a", rows), ("b", b)))
-    c = {f"{k}_{x}": F.col(f"{k}_{x}") for k in ("n", "i", "bits") for x in "ab"}
-    pairs = a.join(b, "code").where((F.col("id_a") != F.col("id_b")) & fitting(c["n_a"], c["i_a"], c["n_b"], c["i_b"]) & near(c["n_a"], c["bits_a"], c["n_b"], c["bits_b"]))
-    pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).count().where(F.col("count") >= SHARED).select("a", "b")
+    # a settled set has no `open` number and so is no b. Both sides read the same columns, so that they are one exchange
+    done = common.sized(settled.select(F.col("b").alias("id"), F.lit(True).alias("done")))
+    sides = whole.join(done, "id", "left").select("id", F.when(F.col("done"), -1).otherwise(F.col("id")).alias("open"), "n", "bits", F.posexplode_outer("prefix").alias("i", "code"))
+    c = {f"{k}_{x}": F.col(f"{x}.{k}") for k in ("n", "i", "bits", "id", "open") for x in "ab"}
+    pairs = sides.alias("a").join(sides.alias("b"), F.col("a.code") == F.col("b.code"))
+    pairs = pairs.where((c["id_a"] < c["open_b"]) & (c["open_a"] <= c["id_a"] + c["id_b"]) & fitting(c["n_a"], c["i_a"], c["n_b"], c["i_b"]) & near(c["n_a"], c["bits_a"], c["n_b"], c["bits_b"]))
+    pairs = pairs.groupBy(c["id_a"].alias("a"), c["id_b"].alias("b")).count().where(F.col("count") >= SHARED)
     pairs = common.table(pairs, "linededup-pairs", scratch)
-    place = lambda x: sets.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}"))
-    earlier = pairs.join(place("a"), "a").join(place("b"), "b").where("first_a < first_b").select("a", "b")
-    rest = verified(common.table(earlier, "linededup-earlier", scratch), sets, scratch)
-    return equal.unionByName(settled).unionByName(rest).select(F.col("b").alias("id"))
+    likely = pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select("m.a", "b")
+    more = common.table(verified(common.table(likely, "linededup-likely", scratch), sets, scratch), "linededup-more", scratch)
+    left = pairs.select("a", "b").join(common.sized(more), "b", "left_anti").join(common.sized(likely), ["a", "b"], "left_anti")
+    rest = verified(common.table(left, "linededup-left", scratch), sets, scratch)
+    return equal.unionByName(settled).unionByName(more).unionByName(rest).select(F.col("b").alias("id"))
+
+
+def numbered(docs: DataFrame, text: str, scratch: list[DataFrame]) -> tuple[DataFrame, int]:
+    """(k1, k2, number) of every different document (doc_key, k1, k2), from 0 in this order, and a number of lines that none
+    exceeds. A partition of the sorted rows counts its own; only the partitions' sizes come to the driver."""
+    per = docs.groupBy("doc_key", "k1", "k2").agg((F.max(F.octet_length(text)) + 1).cast("long").alias("n"))
+    per = common.table(per, "linededup-documents", scratch)
+    order = per.repartitionByRange("doc_key", "k1", "k2").sortWithinPartitions("doc_key", "k1", "k2")
+    order = common.table(order.select("k1", "k2", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(NTH)).alias("nth")), "linededup-order", scratch)
+    starts, at = [], 0
+    for part, size in sorted(tuple(r) for r in order.groupBy("part").count().collect()):
+        starts.append((part, at))
+        at += size
+    starts = docs.sparkSession.createDataFrame(starts, "part int, start long")
+    return order.join(F.broadcast(starts), "part").select("k1", "k2", (F.col("start") + F.col("nth")).alias("number")), per.agg(F.max("n")).first()[0] or 1
+
+
+def lines_of(docs: DataFrame, text: str, *columns: str) -> DataFrame:
+    lines = docs.select("k1", "k2", *columns, F.posexplode_outer(F.split(F.col(text), "\n")).alias("place", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("#"), "line")})
 
 
 def removed_lines(docs: DataFrame, scratch: list[DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k1, k2, places): of each document with lines to remove, named by common.with_row_key, their places from 0. The
     tables in scratch are needed until it has been written."""
-    docs = common.with_row_key(docs.select(F.col(key).alias("doc_key"), F.col(text).alias(text)), "doc_key", text)
-    place = F.struct("doc_key", "k1", "place")
-    lines = lines_of(docs, text)
-    sets = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("line").alias("line"))
-    sets = common.table(sets.withColumn("id", F.monotonically_increasing_id()), "linededup-sets", scratch)
-    later = common.table(with_earlier(sets.select("id", "line", "first"), rarity(sets), scratch), "linededup-later", scratch).withColumn("near", F.lit(True))
-    marked = sets.select("id", "h1", "h2", "first", "times").join(common.sized(later), "id", "left")
-    marked = marked.where("times > 1 or near is not null").select("h1", "h2", "near", "first")
-    found = lines.select("h1", "h2", "k1", "k2", place.alias("at")).join(marked, ["h1", "h2"])
-    found = found.where("near is not null or at > first")
-    return found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at.place")).alias("places"))
+    docs = common.with_row_key(docs.select(F.col(key).alias("doc_key"), F.col(text).alias(text)), "doc_key", text).where(F.col(text).isNotNull())
+    numbers, most = numbered(docs, text, scratch)
+    at = F.col("number") * F.lit(most) + F.col("place")
+    lines = lines_of(docs.join(common.sized(numbers), ["k1", "k2"]), text, "number")
+    sets = lines.groupBy("h1", "h2").agg(F.min(at).alias("id"), F.count("*").alias("times"), F.first("line").alias("line"))
+    sets = common.table(sets, "linededup-sets", scratch)
+    later = common.table(with_earlier(sets.select("id", "line"), rarity(sets), scratch), "linededup-later", scratch).withColumn("near", F.lit(True))
+    marked = sets.select("id", "h1", "h2", "times").join(common.sized(later), "id", "left").where("times > 1 or near is not null")
+    owner = numbers.select(F.col("number").alias("owner"), F.col("k1").alias("o1"), F.col("k2").alias("o2"))
+    marked = marked.withColumn("owner", F.expr(f"id div {most}")).join(common.sized(owner), "owner")
+    marked = marked.select("h1", "h2", "near", "o1", "o2", F.expr(f"cast(id % {most} as int)").alias("o_place"))
+    found = lines_of(docs, text).select("h1", "h2", "k1", "k2", "place").join(common.sized(marked), ["h1", "h2"])
+    found = found.where("near is not null or k1 <> o1 or k2 <> o2 or place <> o_place")
+    return found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
