@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,18 +16,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset, as in tests, a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Only a session in one process may leave that unset and
+    gets a local folder; on a cluster each executor would write to a disk of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (path or "file:///tmp/checkpoints").rstrip("/")
 
 
-def table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None, dictionary: bool = True) -> DataFrame:
     """df written as Parquet in the shared folder and read back. It cuts lineage as checkpoint() does, survives lost
-    executors, and lets later steps read single columns. scratch gathers tables that drop_tables() is to delete."""
+    executors, and lets later steps read single columns. scratch gathers tables that drop_tables() is to delete.
+
+    While it is written, Spark drops shuffle files as soon as a job has ended, since the table stands for what they held;
+    the setting changes no result."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # the steps before are done: let Spark's cleaner drop their shuffle files, which it does once the driver's garbage is collected
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     if scratch is not None:
         scratch.append(out)

@@ -29,13 +29,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 SMALLEST = 4
 #: Words that two similar sets share at least among their first n - ceil(0.8 n) + SHARED.
 SHARED = 2
+#: Two 32-bit numbers in one.
+WIDE = 1 << 32
 #: monotonically_increasing_id() counts the rows of a partition in its low bits.
 NTH = (1 << 33) - 1
 
 
 def split_words(line: Column) -> Column:
-    """Words of a line, and empty strings. A single character splits several times faster than a class does."""
-    return F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
+    """Words of a line, and empty strings. A single character splits, and is looked for, several times faster than a class."""
+    other = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\n")
+    return F.when(other, F.split(line, SPACE)).otherwise(F.split(line, " "))
 
 
 def words_of(line: Column) -> Column:
@@ -86,12 +89,11 @@ def near(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Column:
 def verified(pairs: DataFrame, sets: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """The ids b of pairs (a, b) whose whole sets have the similarity."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = sets.select("id", "line").join(common.sized(named), "id", "left_semi").select("id", F.array_distinct(words_of(F.col("line"))).alias("words"))
-    held = common.table(held, "linededup-held", scratch)
-    words = lambda x: held.select(F.col("id").alias(x), F.col("words").alias(f"words_{x}"))
+    held = common.table(sets.select("id", "line").join(common.sized(named), "id", "left_semi"), "linededup-held", scratch)
+    words = lambda x: held.select(F.col("id").alias(x), F.array_distinct(words_of(F.col("line"))).alias(f"words_{x}"))
     both = pairs.join(words("b"), "b").join(words("a"), "a")
     alike = F.size(F.array_intersect("words_a", "words_b")) * (UP + DOWN) >= (F.size("words_a") + F.size("words_b")) * UP
-    return both.where(alike).select("b").distinct()
+    return both.select("b", alike.alias("alike")).where("alike").select("b").distinct()
 
 
 def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -> DataFrame:
@@ -104,7 +106,7 @@ def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -
     coded = with_codes(sets, levels)
     prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, F.col("n") - F.ceil(F.col("n") * F.lit(UP) / F.lit(DOWN)).cast("int") + SHARED)).otherwise(F.col("codes"))
     anchors = F.array(*(F.xxhash64(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for i, j in ((0, 1), (0, 2), (1, 2))))
-    index = common.table(coded.select("id", "n", "bits", prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch)
+    index = common.table(coded.select("id", "n", "bits", prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch, dictionary=False)
 
     small = index.where(F.col("n") < SMALLEST)
     same = small.groupBy("prefix").agg(F.min("id").alias("e"), F.count("*").alias("size")).where("size > 1")
@@ -119,13 +121,18 @@ def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -
     best = votes.groupBy("id").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
     settled = common.table(verified(common.table(best, "linededup-pairs", scratch), sets, scratch), "linededup-settled", scratch)
 
-    # a settled set has no `open` number and so is no b. Both sides read the same columns, so that they are one exchange
+    # these rows are most of what is shuffled, so they are narrow: n and i in one number, a settled set, which is no b any
+    # more, by a negative id, and 32 bits of a code, whose collisions only add candidates. Both sides read the same columns,
+    # so that they are one exchange
     done = common.sized(settled.select(F.col("b").alias("id"), F.lit(True).alias("done")))
-    sides = whole.join(done, "id", "left").select("id", F.when(F.col("done"), -1).otherwise(F.col("id")).alias("open"), "n", "bits", F.posexplode_outer("prefix").alias("i", "code"))
-    c = {f"{k}_{x}": F.col(f"{x}.{k}") for k in ("n", "i", "bits", "id", "open") for x in "ab"}
+    sides = whole.join(done, "id", "left").select(F.coalesce(F.when(F.col("done"), -1 - F.col("id")), "id", F.lit(0)).alias("tag"), "n", "bits", F.posexplode_outer("prefix").alias("i", "code"))
+    sides = sides.select("tag", (F.col("n").cast("long") * WIDE + F.col("i")).alias("n_i"), "bits", F.hash("code").alias("code"))
+    c = {f"{k}_{x}": F.col(f"{x}.{k}") for k in ("tag", "n_i", "bits") for x in "ab"}
+    n_a, i_a, n_b, i_b = (x for k in "ab" for x in (F.shiftright(f"{k}.n_i", 32), F.col(f"{k}.n_i").bitwiseAND(F.lit(WIDE - 1))))
+    earlier = F.greatest(c["tag_a"], -1 - c["tag_a"])
     pairs = sides.alias("a").join(sides.alias("b"), F.col("a.code") == F.col("b.code"))
-    pairs = pairs.where((c["id_a"] < c["open_b"]) & (c["open_a"] <= c["id_a"] + c["id_b"]) & fitting(c["n_a"], c["i_a"], c["n_b"], c["i_b"]) & near(c["n_a"], c["bits_a"], c["n_b"], c["bits_b"]))
-    pairs = pairs.groupBy(c["id_a"].alias("a"), c["id_b"].alias("b")).count().where(F.col("count") >= SHARED)
+    pairs = pairs.where((earlier < c["tag_b"]) & fitting(n_a, i_a, n_b, i_b) & near(n_a, c["bits_a"], n_b, c["bits_b"]))
+    pairs = pairs.groupBy(earlier.alias("a"), c["tag_b"].alias("b")).count().where(F.col("count") >= SHARED)
     pairs = common.table(pairs, "linededup-pairs", scratch)
     likely = pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select("m.a", "b")
     more = common.table(verified(common.table(likely, "linededup-likely", scratch), sets, scratch), "linededup-more", scratch)
