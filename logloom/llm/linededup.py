@@ -8,10 +8,11 @@ texts and empty tables have no lines; other columns pass through under their own
 Documents are numbered in that order, and a line's number is its document's and its place in one. Equal lines meet in one
 aggregate, which keeps the least number. Among the different ones the words of each are ordered by rarity: counts over all
 different lines in 2^BUCKET_BITS hashed counters, a table of fixed size, give each a class, and hashes order a class. Two
-sets with that similarity share SHARED words among the first n - ceil(0.8 n) + SHARED of each, so only those are joined, each with
-earlier ones alone, under the length and positional filters and one of 64 parity bits: bit b of a set tells whether an odd
+sets with that similarity share a word among the first n - ceil(0.8 n) + 1 of each, so only those are joined, each with
+earlier ones alone, under the length and positional filters and one of parity bits: bit b of a set tells whether an odd
 number of its words hash to b, so two sets' bits differ in no more places than they have words of one alone, which is at
-most a ninth of both sizes' sum. What is left is verified on the whole sets. Up to three words a set can only match an equal one.
+most a ninth of both sizes' sum. Of what is left, the words that both prefixes share, with all that may follow them, must
+be enough (see `enough`), and the rest is verified on the whole sets. Up to three words a set can only match an equal one.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ BUCKET_BITS = 17
 SPACE = r"[\x20\x09-\x0D]+"
 #: Sets of fewer words match only equal ones.
 SMALLEST = 4
-#: Words that two similar sets share at least among their first n - ceil(0.8 n) + SHARED.
-SHARED = 2
+#: Sets of as many words have twice the parity bits, as the bits of long ones differ by chance no more than they may.
+LONG = 72
 #: Two 32-bit numbers in one.
 WIDE = 1 << 32
 #: monotonically_increasing_id() counts the rows of a partition in its low bits.
@@ -61,7 +62,7 @@ def rarity(sets: DataFrame) -> list[int]:
 
 
 def with_codes(sets: DataFrame, levels: list[int]) -> DataFrame:
-    """(id, n, bits, least, codes) of (id, line): the number of different words, 64 parity bits, the three least hashes, and
+    """(id, n, bits, more, least, codes) of (id, line): the number of different words, parity bits, the three least hashes, and
     the words as sorted 63-bit codes, the 7 bits of a word's class above 56 of its hash.
 
     The table is a literal: as a column it would be copied into every row. No element that the sorts get may be null, or
@@ -69,10 +70,13 @@ def with_codes(sets: DataFrame, levels: list[int]) -> DataFrame:
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
     shiftleft = lambda x, n: F.call_function("shiftleft", x.cast("long"), n)
     bit = lambda h: shiftleft(F.lit(1), F.shiftrightunsigned(h, 58).cast("int"))
+    is_odd = lambda h: h.bitwiseAND(F.lit(1 << 57)) != 0
+    zero = F.lit(0).cast("long")
     code = lambda h: F.coalesce(shiftleft(table[bucket(h)], F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
     df = sets.select("id", F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    parity = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
-    return df.select("id", F.size("h").alias("n"), parity.alias("bits"), F.slice(F.sort_array("h"), 1, 3).alias("least"), F.sort_array(F.transform("h", code)).alias("codes"))
+    parity = F.aggregate("h", zero, lambda acc, h: acc.bitwiseXOR(bit(h)))
+    odd = F.when(F.size("h") >= LONG, F.aggregate("h", zero, lambda acc, h: F.when(is_odd(h), acc.bitwiseXOR(bit(h))).otherwise(acc))).otherwise(zero)
+    return df.select("id", F.size("h").alias("n"), parity.alias("bits"), odd.alias("more"), F.slice(F.sort_array("h"), 1, 3).alias("least"), F.sort_array(F.transform("h", code)).alias("codes"))
 
 
 def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
@@ -81,9 +85,24 @@ def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
     return (n_a * DOWN >= n_b * UP) & (n_b * DOWN >= n_a * UP) & (most * (UP + DOWN) >= (n_a + n_b) * UP)
 
 
-def near(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Column:
-    """The filter of parity bits; sets of the similarity pass it always."""
-    return F.bit_count(bits_a.bitwiseXOR(bits_b)) * (UP + DOWN) <= (n_a + n_b) * (DOWN - UP)
+def near(n_a: Column, bits_a: Column, more_a: Column, n_b: Column, bits_b: Column, more_b: Column) -> Column:
+    """The filter of parity bits; sets of the similarity pass it always. `more` has those of about half of the words, so that
+    two long sets are compared by them and by the rest."""
+    bits, more = bits_a.bitwiseXOR(bits_b), more_a.bitwiseXOR(more_b)
+    differ = F.when((n_a >= LONG) & (n_b >= LONG), F.bit_count(more) + F.bit_count(bits.bitwiseXOR(more))).otherwise(F.bit_count(bits))
+    return differ * (UP + DOWN) <= (n_a + n_b) * (DOWN - UP)
+
+
+def prefix_length(n: Column) -> Column:
+    return n - F.ceil(n * F.lit(UP) / F.lit(DOWN)).cast("int") + 1
+
+
+def enough(shared: Column, n_a: Column, last_a: Column, n_b: Column, last_b: Column) -> Column:
+    """Whether sets that share so many words of their prefixes, at most at the places last_a and last_b, may be alike. All
+    shared words up to the end of the prefix that ends first are in both, so behind it one has no more than its words
+    behind its prefix; and behind the last shared one no more can follow than either set has there."""
+    most = F.least(F.greatest(n_a - prefix_length(n_a), n_b - prefix_length(n_b)), F.least(n_a - 1 - last_a, n_b - 1 - last_b))
+    return (shared + most) * (UP + DOWN) >= (n_a + n_b) * UP
 
 
 def verified(pairs: DataFrame, sets: DataFrame, scratch: list[DataFrame]) -> DataFrame:
@@ -102,22 +121,22 @@ def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -
     A set is first held against one other: any two of its three words of the least hashes, whatever their rarity, name a
     group; of these groups' earliest sets that pass the parity filter it is the one that most name. This settles nearly
     all copies in as many pairs as there are sets, even in a group of very many near copies; only the sets it leaves open
-    are joined with all earlier ones that share words of the prefix, and of these the one that shares most is tried first."""
+    are joined with all earlier ones that share words of the prefix."""
     coded = with_codes(sets, levels)
-    prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, F.col("n") - F.ceil(F.col("n") * F.lit(UP) / F.lit(DOWN)).cast("int") + SHARED)).otherwise(F.col("codes"))
+    prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, prefix_length(F.col("n")))).otherwise(F.col("codes"))
     anchors = F.array(*(F.xxhash64(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for i, j in ((0, 1), (0, 2), (1, 2))))
-    index = common.table(coded.select("id", "n", "bits", prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch, dictionary=False)
+    index = common.table(coded.select("id", "n", "bits", "more", prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch, dictionary=False)
 
     small = index.where(F.col("n") < SMALLEST)
     same = small.groupBy("prefix").agg(F.min("id").alias("e"), F.count("*").alias("size")).where("size > 1")
     equal = small.join(same, "prefix").where("id > e").select(F.col("id").alias("b"))
 
     whole = index.where(F.col("n") >= SMALLEST)
-    rows = whole.select("id", "n", "bits", F.explode_outer("anchors").alias("code"))
+    rows = whole.select("id", "n", "bits", "more", F.explode_outer("anchors").alias("code"))
     earliest = rows.groupBy("code").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("code", "a")
-    votes = rows.join(earliest, "code").where("id > a").groupBy("a", "id").agg(F.count("*").alias("votes"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
-    first = whole.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    votes = votes.join(first, "a").where(near(F.col("n"), F.col("bits"), F.col("n_a"), F.col("bits_a")))
+    votes = rows.join(earliest, "code").where("id > a").groupBy("a", "id").agg(F.count("*").alias("votes"), *(F.any_value(c).alias(c) for c in ("n", "bits", "more")))
+    first = whole.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "bits", "more")))
+    votes = votes.join(first, "a").where(near(*(F.col(c) for c in ("n", "bits", "more", "n_a", "bits_a", "more_a"))))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
     settled = common.table(verified(common.table(best, "linededup-pairs", scratch), sets, scratch), "linededup-settled", scratch)
 
@@ -125,20 +144,17 @@ def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -
     # more, by a negative id, and 32 bits of a code, whose collisions only add candidates. Both sides read the same columns,
     # so that they are one exchange
     done = common.sized(settled.select(F.col("b").alias("id"), F.lit(True).alias("done")))
-    sides = whole.join(done, "id", "left").select(F.coalesce(F.when(F.col("done"), -1 - F.col("id")), "id", F.lit(0)).alias("tag"), "n", "bits", F.posexplode_outer("prefix").alias("i", "code"))
-    sides = sides.select("tag", (F.col("n").cast("long") * WIDE + F.col("i")).alias("n_i"), "bits", F.hash("code").alias("code"))
-    c = {f"{k}_{x}": F.col(f"{x}.{k}") for k in ("tag", "n_i", "bits") for x in "ab"}
+    sides = whole.join(done, "id", "left").select(F.coalesce(F.when(F.col("done"), -1 - F.col("id")), "id", F.lit(0)).alias("tag"), "n", "bits", "more", F.posexplode_outer("prefix").alias("i", "code"))
+    sides = sides.select("tag", (F.col("n").cast("long") * WIDE + F.col("i")).alias("n_i"), "bits", "more", F.hash("code").alias("code"))
+    c = {f"{k}_{x}": F.col(f"{x}.{k}") for k in ("tag", "bits", "more") for x in "ab"}
     n_a, i_a, n_b, i_b = (x for k in "ab" for x in (F.shiftright(f"{k}.n_i", 32), F.col(f"{k}.n_i").bitwiseAND(F.lit(WIDE - 1))))
     earlier = F.greatest(c["tag_a"], -1 - c["tag_a"])
     pairs = sides.alias("a").join(sides.alias("b"), F.col("a.code") == F.col("b.code"))
-    pairs = pairs.where((earlier < c["tag_b"]) & fitting(n_a, i_a, n_b, i_b) & near(n_a, c["bits_a"], n_b, c["bits_b"]))
-    pairs = pairs.groupBy(earlier.alias("a"), c["tag_b"].alias("b")).count().where(F.col("count") >= SHARED)
-    pairs = common.table(pairs, "linededup-pairs", scratch)
-    likely = pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select("m.a", "b")
-    more = common.table(verified(common.table(likely, "linededup-likely", scratch), sets, scratch), "linededup-more", scratch)
-    left = pairs.select("a", "b").join(common.sized(more), "b", "left_anti").join(common.sized(likely), ["a", "b"], "left_anti")
-    rest = verified(common.table(left, "linededup-left", scratch), sets, scratch)
-    return equal.unionByName(settled).unionByName(more).unionByName(rest).select(F.col("b").alias("id"))
+    pairs = pairs.where((earlier < c["tag_b"]) & fitting(n_a, i_a, n_b, i_b) & near(n_a, c["bits_a"], c["more_a"], n_b, c["bits_b"], c["more_b"]))
+    pairs = pairs.groupBy(earlier.alias("a"), c["tag_b"].alias("b"), n_a.cast("int").alias("n_a"), n_b.cast("int").alias("n_b")).agg(F.count("*").alias("shared"), F.max(i_a).alias("last_a"), F.max(i_b).alias("last_b"))
+    pairs = pairs.where(enough(*(F.col(k) for k in ("shared", "n_a", "last_a", "n_b", "last_b")))).select("a", "b")
+    rest = verified(common.table(pairs, "linededup-pairs", scratch), sets, scratch)
+    return equal.unionByName(settled).unionByName(rest).select(F.col("b").alias("id"))
 
 
 def numbered(docs: DataFrame, text: str, scratch: list[DataFrame]) -> tuple[DataFrame, int]:
