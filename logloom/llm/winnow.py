@@ -1,12 +1,15 @@
 """Benchmark decontamination by winnowing, in DataFrame expressions only.
 
 Of every WINDOW = 13 consecutive words the least hash of its eight 6-word grams is kept, on both sides; so two texts that
-share 13 words share a kept hash. Documents' kept hashes meet the benchmark's in one join, and every hit is extended: the
-windows that hold the hit gram are compared with the benchmark's windows by 128 bits of hash. Items of fewer words are one
-window each; they are found by their longest word instead, as no gram is sure to be kept there.
+share 13 words share a kept hash. Documents' kept hashes, each with the document's key alone, meet the benchmark's in one
+join; only documents with hits are read again, and every hit is extended there: the windows that hold the hit gram are
+compared with the benchmark's windows by 128 bits of hash. Items of fewer words are one window each; they are found by
+their longest word instead, as no gram is sure to be kept there.
 
 The benchmark side is broadcast only while it has at most common.BROADCAST_ROWS rows, and joined by shuffle beyond that.
-Nulls and empty texts have no words; a repeated document row gives a row each time; a null item_id is no item.
+Nulls and empty texts have no words; a repeated document row gives a row each time; a null item_id is no item. Other
+columns, whatever their names, play no part and pass through remove_contaminated(). The items of a document come together
+in one row, as their digest asks for.
 """
 
 from __future__ import annotations
@@ -62,31 +65,40 @@ def benchmark_side(benchmark: DataFrame, key: str, text: str) -> tuple[DataFrame
     return probes.distinct(), windows, short
 
 
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return common.with_row_key(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, k1, k2, n_words, n_hit, items): of every row of docs its words, those inside an occurrence of a window, and
     the sorted items with such windows. k1 and k2 are hashes of key and text."""
     probes, windows, short = benchmark_side(benchmark, item, item_text)
     probes, windows = (common.table(x, "winnow-benchmark") for x in (probes, windows))
-    ident = [F.col("key"), F.xxhash64("key", "text").alias("k1"), F.xxhash64(F.lit("#"), "text", "key").alias("k2")]
-    rows = with_grams(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select(*ident, words_of(F.col("text")).alias("words")))
-    seen = F.concat(F.col("kept"), F.array_distinct("word_h")) if short else F.col("kept")
-    # explode() would add a filter on the size, which the optimiser pushes through every projection above and so
-    # evaluates the arrays many times over; explode_outer() doesn't. The null that leads each document's hashes keeps a row for the document itself
-    rows = rows.select("key", "k1", "k2", "n", "words", "gram_h", *["word_h"] * short, F.explode_outer(F.concat(F.array(F.lit(None).cast("long")), seen)).alias("fp"))
-    found = rows.join(common.sized(probes), "fp", "left").where("fp is null or len is not null")
-    hashes = F.when(F.col("of_word"), F.col("word_h")).otherwise(F.col("gram_h")) if short else F.col("gram_h")
-    places = F.filter(F.transform(hashes, lambda h, i: F.when(h == F.col("fp"), i)), lambda i: i.isNotNull())
-    starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.transform(F.col("backs"), lambda b: p - b))))
-    starts = F.filter(starts, lambda s: (s >= 0) & (s <= F.col("n") - F.col("len")))
-    found = found.withColumn("starts", F.when(F.col("fp").isNotNull(), starts))
-    tried = F.transform("starts", lambda s: F.struct(s.alias("start"), window_key(F.col("words"), s, F.col("len")).alias("key")))
-    found = common.table(found.select("key", "k1", "k2", "n", F.col("fp").isNull().alias("own"), "len", tried.alias("tried")), "winnow-hits")
-    hits = found.where("not own").select("k1", "k2", "len", F.explode("tried").alias("t")).select("k1", "k2", "len", "t.start", "t.key.h1", "t.key.h2").distinct()
-    hits = hits.join(common.sized(windows), ["h1", "h2", "len"])
-    per = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "len")).alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
+    rows = keyed(docs, key, text)
+    marks = with_grams(rows.select("key", "k1", "k2", words_of(F.col("text")).alias("words"))).select("key", "k1", "k2", "n", "kept")
+    marks = common.table(marks, "winnow-marks", dictionary=False)
+    seen = marks.select("k1", "k2", F.explode_outer("kept").alias("fp"), F.lit(False).alias("of_word"))
+    if short:
+        words = rows.select("k1", "k2", F.explode_outer(words_of(F.col("text"))).alias("word"))
+        seen = seen.unionByName(words.select("k1", "k2", F.xxhash64("word").alias("fp"), F.lit(True).alias("of_word")).where("word is not null"))
+    hits = common.table(seen.join(common.sized(probes), ["fp", "of_word"]).distinct(), "winnow-hits")
+
+    named = common.sized(hits.select("k1", "k2").distinct())
+    held = rows.join(named, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    held = common.table(held.select("k1", "k2", words_of(F.col("text")).alias("words")), "winnow-held")
+    grams = with_grams(held)
+    places = grams.select("k1", "k2", "n", F.lit(False).alias("of_word"), F.posexplode_outer("gram_h").alias("at", "fp"))
+    if short:
+        places = places.unionByName(grams.select("k1", "k2", "n", F.lit(True).alias("of_word"), F.posexplode_outer("word_h").alias("at", "fp")))
+    starts = places.join(hits, ["k1", "k2", "fp", "of_word"]).select("k1", "k2", "n", "len", "at", F.explode_outer("backs").alias("back"))
+    starts = starts.withColumn("start", F.col("at") - F.col("back")).where("start >= 0 and start <= n - len").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "len")).alias("starts"))
+    tried = F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), window_key(F.col("words"), s["start"], s["len"]).alias("key")))
+    found = held.join(starts, ["k1", "k2"]).select("k1", "k2", F.explode(tried).alias("t")).select("k1", "k2", "t.len", "t.start", "t.key.h1", "t.key.h2")
+    found = common.table(found, "winnow-windows").join(common.sized(windows), ["h1", "h2", "len"])
+    per = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "len")).alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["len"] - 1))))
     per = per.select("k1", "k2", F.size(covered).cast("long").alias("n_hit"), "items")
-    out = found.where("own").select("key", "k1", "k2", F.col("n").cast("long").alias("n_words")).join(per, ["k1", "k2"], "left")
+    out = marks.select("key", "k1", "k2", F.col("n").cast("long").alias("n_words")).join(per, ["k1", "k2"], "left")
     return out.select("key", "k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
