@@ -9,7 +9,8 @@ Spans that overlap form an island: one with a base span keeps only its base span
 Matches are leftmost and do not overlap within a kind. Places are code points: the text between matches comes from
 split() with the same pattern, and their lengths add up. The patterns are possessive and anchored by what precedes, so
 that long runs cost linear time and no deep recursion; they match what the plain forms match.
-Nulls and empty texts have no spans; a repeated row gives a row each time.
+Nulls and empty texts have no spans; a repeated row gives a row each time. No pattern limits the length of a match. Other
+columns of the documents pass through redact() under their own names; `spans`, which it adds, may not be among them.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ADDED = {
-    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,200}+[0-9])[A-Za-z0-9_]{8,}+",
-    "number": r"(?<![0-9A-Za-z+.,-])\(?[0-9]{2,}+(?:[\x20().-]{1,2}+[0-9]++){1,8}+",
-    "spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]{1,63}+){1,8}+",
+    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{8,}+",
+    "number": r"(?<![0-9A-Za-z+.,-])\(?[0-9]{2,}+(?:[\x20().-]{1,2}+[0-9]++)++",
+    "spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++",
 }
 #: A cheap test that a text may hold a match.
 MAY = {
@@ -176,7 +177,10 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text) with every span replaced by its kind in brackets; overlapping base spans become one of the first kind."""
+    """docs with every span of the text replaced by its kind in brackets (overlapping base spans become one of the first
+    kind), and the column `spans`. A null text stays null."""
+    if "spans" in docs.columns:
+        raise ValueError("column spans is the result's own; rename it first")
     k1, k2 = common.fresh(docs, "k1", "k2")
     spans = spans_of(docs, key, text).select(F.col("k1").alias(k1), F.col("k2").alias(k2), "spans").distinct()
     whole = F.coalesce(text, F.lit(""))
