@@ -1,14 +1,19 @@
 """Licence scans: paragraphs classified into licence families by a trained sparse n-gram model.
 
-A paragraph is a line. Its features are the word n-grams of one to three words that the training notices have and that
-hold at least one anchor, a word of TEMPLATES that is no function word, whatever the corpus; a paragraph without an anchor
-has no features and is ordinary. A softmax regression over families and "none" is fitted to notices drawn from TEMPLATES,
-to look-alikes, and to at most BACKGROUND different paragraphs of the corpus chosen by a hash (a bounded parameter) from all
-places; paragraphs that hold LIKE of a template's word pairs are left out of these. Its probabilities are calibrated
-by a temperature on held-out notices; below CERTAIN the class is "unknown". A prediction is confirmed if one of the family's
-templates is contained in the paragraph: at least CONFIRM of the template's word pairs.
-
-Whole texts are scanned. Null and empty texts have no paragraphs; a repeated row gives a row each time.
+A paragraph is a line, or lines that follow each other and only together hold a notice. Its features are the word n-grams of
+one to three words that the training notices have and that hold at least one anchor, a word of TEMPLATES that is no
+function word, whatever the corpus; a paragraph without an anchor has no features and is ordinary. A softmax regression
+over families, "none" and "unknown" is fitted to notices drawn from TEMPLATES, to notices of other licences, some of
+made-up names, to look-alikes, and to at most BACKGROUND different paragraphs of the corpus chosen by a hash (a bounded
+parameter) from all places; paragraphs that hold LIKE of a template's word pairs are left out of these. Its probabilities
+are calibrated by a temperature on held-out notices, and the cut for a family so that of notices of families that a model
+was not shown at most NOVEL pass it.
+
+A paragraph that is likelier a notice than not has the family that the model is sure of if the comparison with the family's
+templates confirms it (at least CONFIRM of a template's word pairs are in the paragraph); else its family is "unknown".
+
+Whole texts are scanned. Null and empty texts have no paragraphs; a repeated row gives a row each time, an empty table none.
+The result's column may not be there already; other columns pass through.
 """
 
 from __future__ import annotations
@@ -17,14 +22,14 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BACKGROUND, CERTAIN, CONFIRM, LIKE = 4000, 0.6, 0.6, 0.5
+BACKGROUND, CONFIRM, LIKE, NOVEL = 4000, 0.6, 0.5, 0.05
 TOKEN = re.compile(r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*")
 TEMPLATES = {
     "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "licensed under the mit license", "spdx-license-identifier mit"],
@@ -38,13 +43,25 @@ TEMPLATES = {
     "Public-Domain": ["this work is released into the public domain", "licensed under cc0 1.0 universal public domain dedication", "this is free and unencumbered software released into the public domain"],
     "Proprietary": ["all rights reserved", "copyright all rights reserved", "no part of this work may be reproduced without written permission all rights reserved"],
 }
-FAMILIES = ["none", *TEMPLATES]
+#: Notices of licences that are no family here, and what others say with any name: they teach the class "unknown".
+OTHERS = [
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "use modification and distribution are subject to the boost software license version 1.0",
+    "the contents of this file are subject to the terms of the common development and distribution license", "licensed under the eupl version 1.2", "do what you want to public license", "licensed under the academic free license version 3.0",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee is hereby granted", "covered by the microsoft public license", "this library is licensed under the open software license version 3.0", "licensed under the zlib license",
+]
+NAMED = [
+    "licensed under the {} license", "licensed under the {} license version {}", "licensed under the {} public license {}", "released under the {} license", "released under the terms of the {} public license version {}", "distributed under the terms of the {} license {}",
+    "this work is made available under the {} licence", "this program and the accompanying materials are made available under the terms of the {} public license {}", "spdx-license-identifier {}", "this file is subject to the {} license see the file license for details",
+    "this software is licensed under the {} license version {}",
+]
+FAMILIES = ["none", *TEMPLATES, "unknown"]
+UNKNOWN = len(FAMILIES) - 1
 FUNCTION = set("a all and any as at be by except for from in is it may no of on or part person that the this to under with without you".split())
 ANCHORS = frozenset(w for ts in TEMPLATES.values() for t in ts for w in t.split() if w not in FUNCTION and not w.isdigit())
 LOOKALIKES = [
     "his driving license expired last year", "the apache helicopter landed at the base version 2.0", "the general public was informed about the work", "students of mit released a study",
     "the license plate was unreadable", "poetic license is allowed here", "all seats are reserved for members", "the public library is part of the domain", "a fishing license costs ten euros", "source code is taught in the third year",
-    "the rights of all citizens", "this work was released last year", "terms of the general agreement", "licensed doctors under the age of forty",
+    "the rights of all citizens", "this work was released last year", "she lost her license to sell alcohol", "the file was released to the public", "version 2.0 of the plan was released", "permission to land was granted", "the software is in the public eye", "he may copy this file", "a copy of the report was made available to the public", "the program was made available last year", "terms of the contract are subject to change", "terms of the general agreement", "licensed doctors under the age of forty",
 ]
 
 
@@ -62,6 +79,11 @@ def grams(words: list[str], anchors: set[str] | None = None) -> set[str]:
     return out
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 @dataclass(frozen=True)
 class Model:
     anchors: frozenset[str]
@@ -69,32 +91,39 @@ class Model:
     weights: np.ndarray  # families x features
     bias: np.ndarray
     temperature: float
+    cut: float  #: the least probability of a family that is sure
 
     def probabilities(self, sets: list[set[str]]) -> np.ndarray:
         z = np.stack([self.bias + self.weights[:, [self.features[g] for g in s if g in self.features]].sum(axis=1) for s in sets]) / self.temperature
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+        return softmax(z)
 
 
-def drawn(seed: int = 5, each: int = 120) -> list[tuple[list[str], int]]:
-    """Notices with their families: templates in small variations, and look-alikes of no family."""
-    r = random.Random(seed)
-    out = []
-    for family, label in [(t, FAMILIES.index(f)) for f, ts in TEMPLATES.items() for t in ts]:
-        for _ in range(each // 3):
-            words = family.split()
-            if len(words) > 5 and r.random() < 0.5:
-                del words[r.randrange(len(words))]
-            before = r.choice([[], ["this", "file", "is"], ["copyright", str(r.randint(1990, 2030))], ["the", "code", "is"], ["see", "notice"]])
-            after = r.choice([[], ["see", "the", "file", "for", "details"], ["and", "no", "other"]])
-            out.append((before + words + after, label))
-    out += [(t.split() + r.choice([[], ["today"], ["as", "they", "said"]]), 0) for t in LOOKALIKES for _ in range(each // 3)]
-    return out
+Notice = tuple[list[str], int]
 
 
-def fit(background: list[str], seed: int = 5) -> Model:
-    plain = [w for p in background if not resembles(w := tokens(p))] or [[]]
-    data = drawn(seed) + [(w, 0) for w in plain]
+def drawn(seed: int = 5, each: int = 120) -> list[Notice]:
+    """Notices with their classes: templates and notices of other licences in small variations, and look-alikes of no family."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(["ba", "co", "di", "fen", "gol", "ka", "lum", "mor", "ne", "pri", "sa", "tor", "vex", "zi"]) for _ in range(r.randint(1, 3)))
+
+    def varied(words: list[str]) -> list[str]:
+        if len(words) > 5 and r.random() < 0.5:
+            del words[r.randrange(len(words))]
+        before = r.choice([[], ["this", "file", "is"], ["copyright", str(r.randint(1990, 2030))], ["the", "code", "is"], ["see", "notice"]])
+        after = r.choice([[], ["see", "the", "file", "for", "details"], ["and", "no", "other"]])
+        return before + words + after
+
+    known = [(t, FAMILIES.index(f)) for f, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in OTHERS]
+    out = [(varied(t.split()), label) for t, label in known for _ in range(each // 3)]
+    for t in NAMED:
+        for _ in range(each // 2):
+            name = " ".join(word() for _ in range(r.randint(1, 2)))
+            out.append((varied(t.format(name, f"{r.randint(1, 4)}.{r.randint(0, 2)}").split()), UNKNOWN))
+    return out + [(t.split() + r.choice([[], ["today"], ["as", "they", "said"]]), 0) for t in LOOKALIKES for _ in range(each // 3)]
+
+
+def trained(data: list[Notice], steps: int = 80) -> tuple[Model, np.ndarray]:
+    """A model whose temperature is fitted to every fourth notice, which its weights are not, and which notices these are."""
     sets, labels = [grams(w, ANCHORS) for w, _ in data], np.array([y for _, y in data])
     seen = Counter(g for s, y in zip(sets, labels, strict=True) if y for g in s)
     features = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n >= 3))}
@@ -111,11 +140,7 @@ def fit(background: list[str], seed: int = 5) -> Model:
             z[:, c] += np.bincount(rows, weights[c, cols], len(sets))
         return z
 
-    def softmax(x: np.ndarray) -> np.ndarray:
-        e = np.exp(x - x.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    for _ in range(80):  # Adagrad on the whole of the bounded sample
+    for _ in range(steps):  # Adagrad on the whole of the bounded sample
         miss = (softmax(scores()) - goal) * ~held[:, None] / (~held).sum()
         for c in range(k):
             g = np.bincount(cols, miss[rows, c], len(features)) + 1e-6 * weights[c]
@@ -126,7 +151,22 @@ def fit(background: list[str], seed: int = 5) -> Model:
         bias -= 0.5 * gb / np.sqrt(speed_b)
     z = scores()[held].copy()
     loss = lambda t: -np.log(softmax(z / t)[np.arange(len(z)), labels[held]] + 1e-12).mean()
-    return Model(ANCHORS, features, weights, bias, float(min(np.linspace(0.5, 3, 26), key=loss)))
+    return Model(ANCHORS, features, weights, bias, float(min(np.linspace(0.5, 3, 26), key=loss)), 0.5), held
+
+
+def fit(background: list[str], seed: int = 5, folds: int = 3) -> Model:
+    """The model of all families, with a cut from models that were not shown some of them: of these families' notices at most
+    NOVEL reach it for another family, and the template comparison has still to confirm those that do."""
+    plain = [w for p in background if not resembles(w := tokens(p))] or [[]]
+    data = drawn(seed) + [(w, 0) for w in plain]
+    model, _ = trained(data)
+    strange = []
+    for fold in range(folds):
+        hidden = {i for i in range(1, UNKNOWN) if i % folds == fold}
+        other, _ = trained([x for x in data if x[1] not in hidden], 40)
+        p = other.probabilities([grams(w, ANCHORS) for w, y in data if y in hidden])
+        strange.append(p[:, 1:UNKNOWN].max(axis=1))
+    return replace(model, cut=float(min(0.95, max(0.5, np.quantile(np.concatenate(strange), 1 - NOVEL)))))
 
 
 PAIRS = {f: [set(zip(t.split(), t.split()[1:], strict=False)) for t in ts] for f, ts in TEMPLATES.items()}
@@ -143,22 +183,57 @@ def resembles(words: list[str]) -> bool:
     return any(contained(f, words) >= LIKE for f in TEMPLATES)
 
 
+def judged(texts: list[list[str]], model: Model) -> list[dict | None]:
+    """Of each paragraph's words its family, or unknown, the likeliest known family and how alike its templates are; None if it is no notice."""
+    out: list[dict | None] = []
+    for words, p in zip(texts, model.probabilities([grams(w, model.anchors) for w in texts]), strict=True):
+        if p[0] >= 0.5:
+            out.append(None)
+            continue
+        best = 1 + int(p[1:UNKNOWN].argmax())
+        like = contained(FAMILIES[best], words)
+        sure = bool(p[best] >= model.cut and like >= CONFIRM)
+        out.append({"family": FAMILIES[best] if sure else "unknown", "guess": FAMILIES[best], "probability": float(p[best]), "likeness": like, "confirmed": sure})
+    return out
+
+
 def scan(text: str | None, model: Model) -> list[dict]:
-    """Of each licence paragraph its place, family (or unknown), probability, and the template comparison."""
+    """Of each licence paragraph its place, number of lines, family, and what speaks for it.
+
+    Lines with anchors are judged one by one. Those without a family of their own are judged again together with their
+    neighbours, as a notice may be wrapped; where that gives none, neighbours that are unknown are one paragraph."""
     if not text or model.anchors.isdisjoint(TOKEN.findall(text.lower())):
         return []
     held = [(i, w) for i, p in enumerate(text.split("\n")) if not model.anchors.isdisjoint(w := tokens(p))]
-    out = []
-    for (i, words), p in zip(held, model.probabilities([grams(w, model.anchors) for _, w in held]), strict=True):
-        best = int(p.argmax())
-        if best == 0:
+    found = judged([w for _, w in held], model)
+    runs: list[list[int]] = []
+    for k, one in enumerate(found):
+        if one and one["confirmed"]:
             continue
-        like = contained(FAMILIES[best], words)
-        out.append({"place": i, "family": FAMILIES[best] if p[best] >= CERTAIN else "unknown", "probability": float(p[best]), "likeness": like, "confirmed": like >= CONFIRM and p[best] >= CERTAIN})
-    return out
+        if runs and runs[-1][-1] == k - 1 and held[k - 1][0] == held[k][0] - 1:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    out = [{"place": held[k][0], "lines": 1, **one} for k, one in enumerate(found) if one and one["confirmed"]]
+    wrapped = [r for r in runs if len(r) > 1]
+    together = judged([[w for k in r for w in held[k][1]] for r in wrapped], model) if wrapped else []
+    whole = {r[0]: one for r, one in zip(wrapped, together, strict=True) if one and one["confirmed"]}
+    for run in runs:
+        if run[0] in whole:
+            out.append({"place": held[run[0]][0], "lines": len(run), **whole[run[0]]})
+            continue
+        last = None
+        for k in (k for k in run if found[k]):
+            if last is not None and k == last + 1:
+                best = max(out[-1], found[k], key=lambda x: x["likeness"])
+                out[-1] |= {c: best[c] for c in ("guess", "probability", "likeness")} | {"lines": out[-1]["lines"] + 1}
+            else:
+                out.append({"place": held[k][0], "lines": 1, **found[k]})
+            last = k
+    return sorted(out, key=lambda x: x["place"])
 
 
-FOUND = "array<struct<place: int, family: string, probability: double, likeness: double, confirmed: boolean>>"
+FOUND = "array<struct<place: int, lines: int, family: string, guess: string, probability: double, likeness: double, confirmed: boolean>>"
 
 
 def train(docs: DataFrame, text: str = "text", rows: int = BACKGROUND) -> Model:
@@ -173,6 +248,10 @@ def train(docs: DataFrame, text: str = "text", rows: int = BACKGROUND) -> Model:
 
 
 def with_licences(docs: DataFrame, model: Model, text: str = "text", name: str = "licences") -> DataFrame:
+    """docs with an array of the licence paragraphs of each text."""
+    if name in docs.columns:
+        raise ValueError(f"column {name} is there already; give another name")
+
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([scan(t, model) for t in texts])
