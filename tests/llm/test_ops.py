@@ -279,6 +279,72 @@ def test_media_parser_resynchronises_and_checks():
     assert [mpeg.header(bytes(h)).length for h in ([0xFF, 0xFD, 0xA4, 0], [0xFF, 0xFF, 0xA4, 0], [0xFF, 0xF3, 0x64, 0])] == [576, 320, 144]
 
 
+def test_media_keeps_every_payload():
+    """Marks of tags, tables and frames at every place of a payload change nothing that is read back."""
+    r = random.Random(8)
+    marks = [b"TAG", b"ID3\x04\0\0\0\0\0\x7f", b"Xing", b"Info", b"VBRI", mpeg.PLAIN, mpeg.SAFE, b"\xff\xff\xff\xff"]
+    payloads = [(b"x" * at + m).ljust(192 * n, b"y")[: 192 * n] for m in marks for n in (1, 2) for at in range(192 * n - len(m) + 1)]
+    payloads += [b"".join(r.choice([*marks, bytes([r.randrange(256)])]) for _ in range(192 * n))[: 192 * n] for n in (1, 2, 3, 5) for _ in range(50)]
+    for p in payloads:
+        data = mpeg.store(p, "note")
+        a = mpeg.parse(data)
+        assert mpeg.payload_of(data, a) == p and (a.skipped, a.crc_bad, a.tags) == (0, 0, [("TXXX", "note")])
+        tagged = data + b"TAG" + b"name".ljust(30, b"\0") + bytes(95)
+        b = mpeg.parse(tagged)
+        assert mpeg.payload_of(tagged, b) == p and b.tags[1] == ("title", "name") and b.tag_bytes == a.tag_bytes + 128
+
+
+def test_media_tags():
+    frame = lambda k, text, size=lambda n: n.to_bytes(4, "big"): k + size(len(text)) + b"\0\0" + text
+    body = frame(b"TIT2", b"\0caf\xe9") + frame(b"TPE1", b"\x01" + "é".encode("utf-16")) + frame(b"COMM", b"\0engx") + frame(b"WOAR", b"http://a") + frame(b"APIC", b"\0\1\2") + bytes(20)
+    tag = b"ID3\x03\0\0" + bytes(len(body) >> k & 127 for k in (21, 14, 7, 0)) + body
+    assert mpeg.parse(tag).tags == [("TIT2", "café"), ("TPE1", "é"), ("COMM", "x"), ("WOAR", "http://a"), ("APIC", "")]
+    old = b"TT2" + (5).to_bytes(3, "big") + b"\0name"
+    assert mpeg.parse(b"ID3\x02\0\0" + bytes([0, 0, 0, len(old)]) + old).tags == [("TT2", "name")]
+    assert mpeg.id3v1_fields(b"TAG" + b"t".ljust(30, b"\0") + b"a".ljust(30) + bytes(30) + b"1999" + b"c".ljust(28, b"\0") + b"\0\7" + b"\x11") == [("title", "t"), ("artist", "a"), ("year", "1999"), ("comment", "c"), ("track", "7"), ("genre", "17")]
+
+
+@pytest.mark.parametrize("head,fields,selected", [
+    ([0xFF, 0xFE, 0x94, 0xC0], [4] * 32, False),  # Layer I, mono
+    ([0xFF, 0xFE, 0x94, 0x00], [4] * 64, False),  # Layer I, stereo
+    ([0xFF, 0xFE, 0x94, 0x60], [4] * 24 + [4] * 20, False),  # Layer I, joint stereo from subband 12 on
+    ([0xFF, 0xFC, 0xA4, 0x00], [w for w in [4] * 11 + [3] * 12 + [2] * 4 for _ in "ab"], True),  # Layer II, 48 kHz, 96 kbit/s a channel
+    ([0xFF, 0xFC, 0x14, 0xC0], [4] * 2 + [3] * 6, True),  # Layer II, mono, 32 kbit/s
+    ([0xFF, 0xF4, 0x84, 0xC0], [4] * 4 + [3] * 7 + [2] * 19, True),  # Layer II, low sample rate
+])
+def test_media_checksums_of_other_layers(head, fields, selected):
+    """Frames whose protected bits are written one by one, with a checksum by long division."""
+    r = random.Random(len(fields))
+    values = [r.choice([0, r.randrange(1 << w)]) for w in fields]
+    bits = "".join(f"{v:0{w}b}" for v, w in zip(values, fields, strict=True))
+    bits += "".join(f"{r.randrange(4):02b}" for v in values if v) if selected else ""
+    covered = "".join(f"{x:08b}" for x in head[2:]) + bits
+    rest = int(covered + "0" * 16, 2) ^ (0xFFFF << len(covered))
+    for k in range(len(covered) + 15, 15, -1):
+        if rest >> k & 1:
+            rest ^= 0x18005 << (k - 16)
+    h = mpeg.header(bytes(head))
+    body = int(bits.ljust((len(bits) + 7) // 8 * 8, "1"), 2).to_bytes((len(bits) + 7) // 8, "big")
+    frame = (bytes(head) + rest.to_bytes(2, "big") + body).ljust(h.length, b"\x55")
+    assert (mpeg.parse(frame * 3).crc_good, mpeg.parse(frame * 3).crc_bad) == (3, 0)
+    for at in (4, 5, 6, 5 + len(body)):
+        bad = bytearray(frame)
+        bad[at] ^= 0x80
+        assert mpeg.parse(bytes(bad) * 3).crc_good == 0
+
+
+def test_media_facts(spark):
+    data = mpeg.store(b"a" * 960, "note")
+    df = spark.createDataFrame([(data, 1), (data, 1), (None, 2), (b"", 3), (b"noise", 4)], "media binary, frames int")
+    rows = [r.audio for r in mpeg.with_facts(df).collect()]
+    a = mpeg.parse(data)
+    assert rows[0] == rows[1] and (rows[0].frames, rows[0].seconds_numerator, rows[0].seconds_denominator, rows[0].offsets, rows[0].table, len(rows[0].table_seek)) == (5, 3, 25, a.offsets, "Xing", 100)
+    assert [(r.frames, r.hz, r.seconds_numerator, r.skipped) for r in rows[2:]] == [(0, None, 0, 0), (0, None, 0, 0), (0, None, 0, 5)]
+    assert mpeg.with_facts(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mpeg.with_facts(df, name="frames")
+
+
 # ---- 9 ----
 
 
@@ -308,6 +374,30 @@ def test_pii(spark, odd, empty):
     assert pii.redact(one).first().text == 'mail é@x [email] now, token = "[secret]" [secret] in 2024 and 12 apples'
 
 
+def test_added_spans_on_planted_rows(spark):
+    """Drawn candidates that the model has not seen, each in a text of its own: recall and false spans by kind."""
+    drawn = [x for x in pii.examples(3000, seed=77)]
+    rows = [(i, f"{context}{value}{'' if context.rstrip()[-1:] not in chr(34) else chr(34)} and so on") for i, (_, value, context, _) in enumerate(drawn)]
+    got = {r.doc_id: r.spans for r in pii.op9(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, name in enumerate(pii.KINDS):
+        if name in pii.ADDED:
+            hit = lambda i, n=name: any(s.startswith(f"{n}:") for s in got[i].split(","))
+            good = [i for i, x in enumerate(drawn) if x[0] == k and x[3]]
+            bad = [i for i, x in enumerate(drawn) if x[0] == k and not x[3]]
+            # a span of a base kind takes the place of one that overlaps it
+            covered = [i for i in good if hit(i) or any(not s.startswith(f"{name}:") for s in got[i].split(",") if s)]
+            assert len(good) > 100 and len(covered) / len(good) >= 0.9, (name, len(covered), len(good))
+            assert sum(map(hit, bad)) <= 0.1 * len(bad), name
+
+
+def test_candidates_of_any_length(spark):
+    rows = [(1, 'token = "' + "a" * 300 + '1b2c3d4e5f6a7b8c9d0e"'), (2, "mail " + "n" * 200 + " [at] " + "h" * 100 + " [dot] org"), (3, "x" * 100_000 + "1 " + "12 " * 50_000)]
+    found = pii.spans_of(spark.createDataFrame(rows, SCHEMA))
+    assert found.count() == 3
+    with pytest.raises(ValueError):
+        pii.redact(spark.createDataFrame([(1, "a", "b")], SCHEMA + ", spans string"))
+
+
 def test_redact_null_keys_and_repeated_keys(spark):
     rows = [(None, "mail a@b.cd now"), (1, "mail a@b.cd now"), (1, "from here 1.2.3.4 on"), (1, "from here 1.2.3.4 on"), (2, None), (2, ""), (None, "nothing")]
     got = [(r.doc_id, r.text) for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()]
@@ -331,12 +421,51 @@ def test_url_rules_odd(spark):
     assert [(k, h) for k, h, _, _ in got] == sorted((k or 0, h or "") for k, _, h in rows)
     assert all((rule, verdict) == rules.get(k, (None, "allow")) for k, _, rule, verdict in got)
     assert urlrules.op4(df.limit(0)).count() == 0
-    own = urlrules.rules_table(spark, [("block", "a.io/pp")], [("all", "p{5}", [])])
+    own = urlrules.rules_table(spark, [("block", "a.io/pp")], [("all", "p{5}")])
     assert {r.rule for r in urlrules.judge(df, own).where("page_id = 7").collect()} == {"a.io/pp"}
     with pytest.raises(ValueError):
         urlrules.judge(df.withColumnRenamed("page_id", "host"), own)
 
 
+def test_url_tokens_of_patterns():
+    """A token that is read off a pattern is in every text that the pattern fits."""
+    want = {r"^(?:[^/]*[.-])?casino[.-]": ["casino"], r"/(?:wp-login|wp-admin)(?:[./]|$)": ["wp"], r"^foo$": ["foo"], "foo": [], "/fo+o/": [], "/foo?/": [], r"/(?:a|b)/x-y/": ["x", "y"], "/(?:a-b|c-b)/": ["b"], "(": [], r"\Qa\E": [], "/a[/-]b/": ["a", "b"], "/a[^/]b/": []}
+    assert {p: urlrules.tokens_of_pattern(p) for p in want} == want
+    r = random.Random(4)
+    parts = ["a", "bc", "/", "-", ".", "[/-]", "[^/]", "(?:a|bc)", "(?:-a)?", "x*", "^", "$", "(?:a-x|/a)"]
+    for _ in range(3000):
+        p = "".join(r.choice(parts) for _ in range(r.randint(1, 6)))
+        tokens = urlrules.tokens_of_pattern(p)
+        for _ in range(20):
+            text = "".join(r.choice("abcx/-.") for _ in range(r.randint(0, 8)))
+            if re.search(p, text):
+                assert set(tokens) <= set(re.split(r"[^a-z0-9]+", text)), (p, text)
+
+
+def test_many_url_rules(spark):
+    """Some hundred rules with common and rare tokens, and without any, against every rule on every URL."""
+    r = random.Random(5)
+    words = ["shop", "casino", "news", "en", "de", "img", "a1", "zz"] + [f"w{i}" for i in range(60)]
+    urls = [(i, f"http://{r.choice(words)}.{r.choice(words)}-{r.choice(words)}.{r.choice(['net', 'org'])}/" + "/".join(r.choice(words) for _ in range(r.randint(0, 4)))) for i in range(600)]
+    urls += [urls[0], (None, "http://zz.net/en"), (1000, "http://shop.net/" + "w1/" * 20_000)]
+    hosts = {f"{r.choice(words)}.{r.choice(['net', 'org'])}/{r.choice(['', r.choice(words), r.choice(words)[:1]])}": r.choice(["allow", "block"]) for _ in range(250)} | {"net/": "allow"}
+    patterns = [(f"p{i}", r.choice([f"^(?:[^/]*[.-])?{w}[.-]", f"/{w}(?:/|$)", f"{w}", f"/(?:{w}|{r.choice(words)})/"])) for i, w in enumerate(r.choices(words, k=200))]
+    rules = urlrules.rules_table(spark, [(v, h) for h, v in hosts.items()], patterns)
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = sorted(((x.page_id or -1), x.rule or "", x.verdict, tuple(x.patterns or ())) for x in urlrules.judge(df, rules).collect())
+    want = []
+    for k, u in urls:
+        host, _, path = u.split("://")[1].partition("/")
+        place = f"{host}/{path}"
+        fits = [h for h in hosts if re.match(rf"(?:[^/]*\.)?{re.escape(h)}", place)]
+        best = max(fits, key=len, default="")
+        names = tuple(sorted(n for n, p in patterns if re.search(p, place)))
+        want.append(((-1 if k is None else k) or -1, best, hosts[best] if best else "block" if names else "allow", names))
+    longest = lambda rows: [(k, len(h), n) for k, h, _, n in rows]
+    assert longest(got) == longest(sorted(want)) or sorted(longest(got)) == sorted(longest(want))
+    assert sum(bool(n) for *_, n in want) > 100
+
+
 # ---- 5 ----
 
 
@@ -395,7 +524,33 @@ def test_licences(spark, odd, empty):
     held = licenses.drawn(99)
     assert (m.probabilities([licenses.grams(w, m.anchors) for w, _ in held]).argmax(1) == [y for _, y in held]).mean() > 0.95
     assert licenses.op1(odd).count() == len(ODD) and licenses.op1(empty).count() == 0
-    assert licenses.scan("licensed under some " + "strange " * 3 + "terms nobody knows", m)[:1] in ([], [x for x in licenses.scan("licensed under some strange strange strange terms nobody knows", m)][:1])
+    with pytest.raises(ValueError):
+        licenses.with_licences(odd, m, name="score")
+
+
+def test_licences_of_no_family_and_wrapped_notices():
+    """Real notices that no training text holds are unknown, those of a family are found over several lines, and ordinary
+    sentences with their words are nothing."""
+    m = licenses.fit([t for _, t in texts(200, 5)])
+    unknown = [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the Eclipse Public License 2.0", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "This program is distributed under the terms of the Artistic License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0",
+    ]
+    for text in unknown:
+        assert [x["family"] for x in licenses.scan(f"words here\n{text}\nmore words", m)] == ["unknown"], text
+    known = {
+        "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files": "MIT",
+        "Redistribution and use in source and binary\nforms, with or without modification, are permitted\nprovided that the following conditions are met": "BSD",
+        "This Source Code Form is subject to the terms\nof the Mozilla Public License, v. 2.0.": "MPL-2.0",
+        "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by": "GPL",
+    }
+    for text, family in known.items():
+        found = licenses.scan(f"words here\n{text}\nmore words", m)
+        assert [x["family"] for x in found] == [family] and found[0]["place"] == 1, (text, found)
+    for text in ["His license was revoked by the court.", "The public file on the matter is in the source code room.", "A version of the software was sold."]:
+        assert not [x for x in licenses.scan(text, m) if x["confirmed"]]
+    assert licenses.scan("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", m)[1]["family"] == "Apache-2.0"
 
 
 def test_licences_that_many_documents_begin_with(spark):
