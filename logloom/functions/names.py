@@ -21,11 +21,19 @@ def part_number(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"Part_(\d+)", 1), F.lit("")).try_cast("int")
 
 
+#: Fixed value: what a bag with a time in its name is called.
+BAG_TIME = r"^rosbag2_(\d{4})_(\d{2})_(\d{2})-(\d{2})_(\d{2})_(\d{2})(?:_short)?$"
+
+
 def bag_time(name: Column) -> Column:
-    """The time in `rosbag2_Y_M_D-h_m_s` or with `_short` behind it; null where there is none or it is no time."""
-    p = r"rosbag2_(\d{4})_(\d{1,2})_(\d{1,2})-(\d{1,2})_(\d{1,2})_(\d{1,2})(?:_short)?"
-    parts = [F.nullif(F.regexp_extract(name, p, i), F.lit("")).try_cast("int") for i in range(1, 7)]
-    return F.try_make_timestamp_ntz(*parts) if hasattr(F, "try_make_timestamp_ntz") else F.to_timestamp_ntz(F.concat_ws("-", *parts), F.lit("y-M-d-H-m-s"))
+    """The time in `rosbag2_YYYY_MM_DD-hh_mm_ss`, with `_short` behind it or not, of a bag's base name or else the last part of
+    a path; null for any other name. Months, days and times past their ends count on from there."""
+    text = F.trim(name)
+    leaf = F.when(text.contains("_multi_parts"), F.substring_index(text, "_multi_parts", 1)).when(text.contains("/Part_"), F.substring_index(text, "/Part_", 1)).otherwise(F.substring_index(text, "/", -1))
+    y, mo, d, h, mi, s = (F.nullif(F.regexp_extract(leaf, BAG_TIME, i), F.lit("")).try_cast("int") for i in range(1, 7))
+    zero = F.lit(0)
+    begin = F.make_timestamp_ntz(F.when(y < 100, y + 1900).otherwise(y), F.lit(1), F.lit(1), zero, zero, zero)
+    return begin + F.make_ym_interval(zero, mo - 1) + F.make_dt_interval(d - 1, h, mi, s.cast("decimal(18,6)"))
 
 
 def topic_folder(topic: Column) -> Column:
@@ -80,11 +88,17 @@ def image_extension(fmt: Column) -> Column:
 
 
 def hue(text: Column) -> Column:
-    """A stable hue of 0 to 359 for a name."""
-    return F.pmod(F.crc32(text), F.lit(360)).cast("int")
+    """A stable hue of 0 to 359 for a name, from a hash of its UTF-16 units: 32 times the last value, wrapped to 32 bits,
+    less that value, plus the unit."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
+    wrapped = lambda x: F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    value = F.aggregate(units, F.lit(0).cast("long"), lambda h, u: u + wrapped(h * 32) - h)
+    return (F.abs(value) % 360).cast("int")
 
 
 def transform_summary(text: Column) -> Column:
-    """`resize{N}_crop{N}` of a printed image transform, with what it lacks left out."""
-    size = lambda word: F.nullif(F.regexp_extract(text, rf"(?i){word}\(size=\(?(\d+)", 1), F.lit(""))
-    return F.concat_ws("_", F.concat(F.lit("resize"), size("Resize")), F.concat(F.lit("crop"), size("CenterCrop")))
+    """`resize{N}_crop{N}_tensor_norm` of a printed image transform, with what it lacks left out; `default` for nothing."""
+    size = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    parts = [F.concat(F.lit("resize"), size(r"Resize\(size=(\d+)")), F.concat(F.lit("crop"), size(r"CenterCrop\(size=\(?(\d+)"))]
+    parts += [F.when(text.contains(word), short) for word, short in (("ToTensor", "tensor"), ("Normalize", "norm"))]
+    return F.coalesce(F.nullif(F.concat_ws("_", *parts), F.lit("")), F.lit("default"))

@@ -30,7 +30,7 @@ def unpack_points(data: bytes | None, step: int, fields: list[tuple[str, int, in
     packed = by.get("rgb") or by.get("rgba")
     if packed:
         bits = column(packed[0], 6).astype(np.int64)
-        colour = [(bits >> s & 255).astype(np.int32) for s in (16, 8, 0)]
+        colour = [(bits >> s & 255).astype(np.int32) for s in ((24, 16, 8) if big else (16, 8, 0))]
     elif all(c in by for c in "rgb"):
         parts = [column(*by[c]) for c in "rgb"]
         colour = [np.where(p <= 1, p * 255, p).astype(np.int32) if p.dtype.kind == "f" else p.astype(np.int32) for p in parts]

@@ -32,7 +32,7 @@ def local_hhmm(ns: Column, zone: str = LOCAL) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """Signed `h:mm:ss` of milliseconds."""
+    """Signed `h:mm:ss` of milliseconds; below one hour `m:ss`."""
     s = div(F.abs(ms), 1000)
     h, m = div(s, 3600), div(s % 3600, 60)
-    return F.concat(F.when(ms < 0, "-").otherwise(""), F.format_string("%d:%02d:%02d", h, m, s % 60))
+    return F.concat(F.when(ms < 0, "-").otherwise(""), F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%d:%02d", m, s % 60)))

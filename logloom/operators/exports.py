@@ -53,10 +53,12 @@ def export_messages(messages: DataFrame, plan: DataFrame, topics: list[str] | No
     are bounded in time, those between are whole. plan: bag, name, start_ts, end_ts, start_mcap, end_mcap."""
     m = messages.where(F.col("topic").isin(topics)) if topics else messages
     number = F.col("mcap_id").try_cast("int")
-    joined = m.withColumn("_n", number).join(F.broadcast(plan) if plan.count() <= 100_000 else plan, "bag")
     lo, hi, n, ts = F.col("start_mcap").try_cast("int"), F.col("end_mcap").try_cast("int"), F.col("_n"), F.col("log_time_ns")
+    # parts meet the list of segments, and messages only the parts of their own segment
+    wanted = m.select("bag", "mcap_id").distinct().withColumn("_n", number).join(plan, "bag").where((n >= lo) & (n <= hi))
+    joined = m.join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, ["bag", "mcap_id"])
     below = ts <= F.col("end_ts") if inclusive_end else ts < F.col("end_ts")
-    held = joined.where((n >= lo) & (n <= hi) & ((n != lo) | (ts >= F.col("start_ts"))) & ((n != hi) | below))
+    held = joined.where(((n != lo) | (ts >= F.col("start_ts"))) & ((n != hi) | below))
     numbers = held.select("name", "_n").distinct().withColumn("part_mcap", F.row_number().over(W.partitionBy("name").orderBy("_n")) - 1)
     return held.join(numbers, ["name", "_n"]).select("name", "part_mcap", *messages.columns)
 
@@ -68,11 +70,12 @@ def duplicate_names(exports: DataFrame) -> DataFrame:
 
 
 def export_names(windows: DataFrame) -> DataFrame:
-    """name: the bag's, sanitised, with `_ids_a_to_b` over all of its windows, and `_partN` if there are several."""
+    """name: the bag's, sanitised, with `_ids_a_to_b` over all of its windows (`_id_a` for one id), and `_partN` if there are several."""
     w = W.partitionBy("bag")
     lo, hi = F.min("lo").over(w), F.max("hi").over(w)
     suffix = F.when(F.count("*").over(w) > 1, F.concat(F.lit("_part"), F.row_number().over(w.orderBy("lo")).cast("string"))).otherwise("")
-    return windows.withColumn("name", F.concat(names.sanitised(F.col("bag")), F.lit("_ids_"), lo.cast("string"), F.lit("_to_"), hi.cast("string"), suffix))
+    ids = F.when(lo == hi, F.concat(F.lit("_id_"), lo.cast("string"))).otherwise(F.concat(F.lit("_ids_"), lo.cast("string"), F.lit("_to_"), hi.cast("string")))
+    return windows.withColumn("name", F.concat(names.sanitised(F.col("bag")), ids, suffix))
 
 
 def pcd_text(points: Column, with_colour: bool) -> Column:

@@ -25,10 +25,15 @@ def fenceposts(messages: DataFrame, parts: int = 8) -> DataFrame:
     return wanted.join(ordinals(messages).select("bag", "mcap_id", "topic", "nth", "log_time_ns"), ["bag", "mcap_id", "topic", "nth"]).select("bag", "topic", "p", "mcap_id", "nth", "log_time_ns")
 
 
-def shards(df: DataFrame, by: list[str], order: list[str], size: int = 100_000, offset: int = 0) -> DataFrame:
-    """Running ids in each group with shard and row within it; offset: rows that are there already."""
-    n = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1 + offset
-    return df.withColumn("id", n.cast("long")).withColumns({"shard_id": F.format_string("shard-%05d", (F.col("id") / size).cast("int")), "row_in_shard": (F.col("id") % size).cast("int")})
+def shards(df: DataFrame, by: list[str], order: list[str], size: int = 100_000, held: DataFrame | None = None) -> DataFrame:
+    """Running ids in each group with shard and row within it. held: (by, id) of rows that are there already; each group goes
+    on behind its own largest id and so fills its last shard first."""
+    n = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
+    if held is not None:
+        df = df.join(held.groupBy(*by).agg((F.max("id") + 1).alias("_from")), by, "left")
+        n = n + F.coalesce("_from", F.lit(0))
+    df = df.withColumn("id", n.cast("long")).drop("_from")
+    return df.withColumns({"shard_id": F.format_string("shard-%05d", (F.col("id") / size).cast("int")), "row_in_shard": (F.col("id") % size).cast("int")})
 
 
 def range_ids(ranges: Column) -> Column:
@@ -43,11 +48,27 @@ def part_numbers(exports: DataFrame, order: str = "start_index") -> DataFrame:
     return exports.withColumn("part", F.when(F.count("*").over(w) > 1, F.row_number().over(w.orderBy(order))))
 
 
+#: The steps of ticks and of labels in seconds, and how many there may be.
+TICK_STEPS, LABEL_STEPS, MOST_TICKS = (10, 20, 30), (10, 20, 30, 60, 120, 180, 300, 600, 900, 1800, 3600), 54
+
+
 def time_ticks(summary: DataFrame) -> DataFrame:
-    """(bag, tick_ns, minute): marks every 10, 20, 30 or 60 s, so that a bag has at most about sixty."""
-    second = 1_000_000_000
-    span = summary.groupBy("bag").agg(F.min("first_ts").alias("a"), F.max("last_ts").alias("b")).withColumn("s", (F.col("b") - F.col("a")) / second)
-    step = F.when(F.col("s") <= 600, 10).when(F.col("s") <= 1200, 20).when(F.col("s") <= 1800, 30).otherwise(60 * F.greatest(F.lit(1), F.ceil(F.col("s") / 3600))).cast("long") * second
-    ticks = span.withColumn("d", step).withColumn("t0", F.ceil(F.col("a").cast("decimal(20,0)") / F.col("d")).cast("long") * F.col("d"))
-    ticks = ticks.where("t0 <= b").select("bag", F.explode(F.sequence("t0", "b", "d")).alias("tick_ns"))
-    return ticks.withColumn("minute", F.col("tick_ns") % (60 * second) == 0)
+    """(bag, tick_s, share, labelled): ticks at whole steps of a bag's span, at the finest step that gives at most
+    MOST_TICKS, else every minute; share is a tick's place in the span, and the labelled ones are those at the least step of
+    LABEL_STEPS with at most MOST_TICKS. A span below a millisecond has none."""
+    ms = lambda c: F.floor(F.col(c) / 1_000_000)
+    span = summary.groupBy("bag").agg(F.min("first_ts").alias("a"), F.max("last_ts").alias("b")).select("bag", ms("a").alias("a"), ms("b").alias("b")).where("b > a")
+    step = F.lit(60)
+    for s in reversed(TICK_STEPS):
+        step = F.when(F.floor((F.col("b") - F.col("a")) / 1000.0 / s) <= MOST_TICKS, s).otherwise(step)
+    span = span.withColumn("step", step)
+    label = F.lit(LABEL_STEPS[-1])
+    for s in reversed(LABEL_STEPS):
+        both = F.when(F.lit(s) % F.col("step") == 0, s).otherwise(2 * s)  # a tick at a multiple of both steps
+        held = F.floor(F.col("b") / (both * 1000)) - F.ceil(F.col("a") / (both * 1000)) + 1
+        label = F.when((F.lit(s) >= F.col("step")) & (held <= MOST_TICKS), s).otherwise(label)
+    first = F.ceil(F.col("a") / (F.col("step") * 1000)).cast("long") * F.col("step")
+    last = F.floor(F.col("b") / 1000).cast("long")
+    ticks = span.withColumn("label", label).withColumn("tick_s", F.explode(F.when(first <= last, F.sequence(first, last, F.col("step").cast("long")))))
+    share = (F.col("tick_s") * 1000 - F.col("a")) / (F.col("b") - F.col("a"))
+    return ticks.select("bag", "tick_s", share.alias("share"), (F.col("tick_s") % F.col("label") == 0).alias("labelled"))

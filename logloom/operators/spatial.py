@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
-TILE = 0.01
+#: Degrees, and the most tiles that span a polygon.
+TILE, TILES = 0.01, 64
 Ring = list[tuple[float, float]]
 
 
@@ -42,17 +43,16 @@ def grid_totals(cells: DataFrame) -> DataFrame:
 
 
 def nested_grid(cells: DataFrame) -> DataFrame:
-    """(bag, cells): a map from cell key to its total and its counts by segment."""
+    """(bag, key, total, mcaps): of every cell its total and a map of its counts by segment. A bag's document is its rows; no
+    group holds more than the segments of one cell."""
     keyed = with_degrees(cells).withColumn("key", geo.cell_key(F.col("lat"), F.col("lon")))
-    per = keyed.groupBy("bag", "key").agg(F.struct(F.sum("cnt").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("mcap_id", "cnt")))).alias("mcaps")).alias("v"))
-    return per.groupBy("bag").agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("cells"))
+    return keyed.groupBy("bag", "key").agg(F.sum("cnt").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("mcap_id", "cnt")))).alias("mcaps"))
 
 
 def exploded_grid(nested: DataFrame) -> DataFrame:
     """The way back: (bag, lat, lon, count); malformed keys are skipped."""
-    flat = nested.select("bag", F.explode("cells").alias("key", "v"))
     lat, lon = geo.parse_cell_key(F.col("key"))
-    return flat.select("bag", lat.alias("lat"), lon.alias("lon"), F.col("v.total").alias("count")).where("lat is not null and lon is not null")
+    return nested.select("bag", lat.alias("lat"), lon.alias("lon"), F.col("total").alias("count")).where("lat is not null and lon is not null")
 
 
 def segment_totals(cells: DataFrame) -> DataFrame:
@@ -115,12 +115,18 @@ def geojson_rings(text: str) -> dict[str, Ring]:
 def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     """points with poly_id, a row for each polygon that holds it: even-odd rule, half-open on borders.
 
-    Points and boxes are cut into tiles and joined on them, so that a point meets only the polygons near it."""
-    tile = lambda x: F.floor(x / TILE).cast("long")
-    tiles = edges.select("poly_id", "min_lat", "max_lat", "min_lon", "max_lon").distinct()
-    tiles = tiles.select("poly_id", F.explode(F.sequence(tile(F.col("min_lat")), tile(F.col("max_lat")))).alias("_ty"), "min_lon", "max_lon").select("poly_id", "_ty", F.explode(F.sequence(tile(F.col("min_lon")), tile(F.col("max_lon")))).alias("_tx"))
-    places = points.select("lat", "lon").distinct().withColumns({"_ty": tile(F.col("lat")), "_tx": tile(F.col("lon"))})
-    near = places.join(tiles, ["_ty", "_tx"]).join(edges, "poly_id")
+    Points and boxes are cut into tiles and joined on them, so that a point meets only the polygons near it. The tiles of a
+    polygon are TILE wide, doubled until at most TILES of them span its box; a point has one tile of each width in use."""
+    tile = lambda x, level: F.floor(x / (TILE * F.pow(F.lit(2.0), level))).cast("long")
+    span = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(span, F.lit(TILE)) / (TILE * TILES)))).cast("int")
+    boxed = edges.select("poly_id", "min_lat", "max_lat", "min_lon", "max_lon").distinct().withColumn("_l", level)
+    every = lambda a, b: F.explode(F.sequence(tile(F.col(a), F.col("_l")), tile(F.col(b), F.col("_l"))))
+    tiles = boxed.select("poly_id", "_l", every("min_lat", "max_lat").alias("_ty"), "min_lon", "max_lon").select("poly_id", "_l", "_ty", every("min_lon", "max_lon").alias("_tx"))
+    levels = [r["_l"] for r in boxed.select("_l").distinct().collect()] or [0]  # at most a few: a degree has seven
+    places = points.select("lat", "lon").distinct().withColumn("_l", F.explode(F.array(*map(F.lit, levels))))
+    places = places.withColumns({"_ty": tile(F.col("lat"), F.col("_l")), "_tx": tile(F.col("lon"), F.col("_l"))})
+    near = places.join(tiles, ["_l", "_ty", "_tx"]).join(edges, "poly_id")
     c = F.col
     hit = geo.crosses(c("lat"), c("lon"), c("lat_i"), c("lon_i"), c("lat_j"), c("lon_j"))
     inside = near.groupBy("lat", "lon", "poly_id").agg((F.count_if(hit) % 2 == 1).alias("inside")).where("inside").drop("inside")
@@ -198,17 +204,12 @@ def simplified(ring: Ring, tolerance: float) -> Ring:
     return [ring[i] for i in sorted(keep)]
 
 
-def cell_outline(cells: set[tuple[int, int]], most: int = 80) -> list[list[tuple[float, float]]]:
-    """Outlines of connected groups of cells (in cell units), largest first: a concave hull of lattice points.
-
-    Cells within two of each other are bridged, as an alpha shape with edges of up to 2.5 cells would; every outline walks
-    the border between inside and outside cells. Long ones are simplified at 1 % of their box's diagonal."""
-    filled = {(a + i, b + j) for a, b in cells for i in (0, 1) for j in (0, 1)}
+def traced(edges: list[tuple[tuple[int, int], tuple[int, int]]], most: int = 80) -> list[Ring]:
+    """Closed rings of directed border edges, the ones of most corners first, holes among them. Long ones are simplified at
+    1 % of their box's diagonal."""
     follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for a, b in filled:
-        for out, p, q in (((a, b - 1), (a, b), (a + 1, b)), ((a + 1, b), (a + 1, b), (a + 1, b + 1)), ((a, b + 1), (a + 1, b + 1), (a, b + 1)), ((a - 1, b), (a, b + 1), (a, b))):
-            if out not in filled:
-                follow.setdefault(p, []).append(q)
+    for p, q in edges:
+        follow.setdefault(p, []).append(q)
     rings = []
     for start in sorted(p for p, qs in follow.items() for _ in qs):
         if start not in follow:
@@ -223,31 +224,42 @@ def cell_outline(cells: set[tuple[int, int]], most: int = 80) -> list[list[tuple
                 break
             ring.append(to)
             at = to
-        area = sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
-        if area > 0:  # holes turn the other way
-            lats, lons = [p[0] for p in ring], [p[1] for p in ring]
-            slim = simplified([(float(p[0]), float(p[1])) for p in ring], 0.01 * math.dist((min(lats), min(lons)), (max(lats), max(lons)))) if len(ring) > most else [(float(p[0]), float(p[1])) for p in ring]
-            rings.append((area, slim))
+        lats, lons = [p[0] for p in ring], [p[1] for p in ring]
+        points = [(float(p[0]), float(p[1])) for p in ring]
+        rings.append((len(ring), simplified(points, 0.01 * math.dist((min(lats), min(lons)), (max(lats), max(lons)))) if len(ring) > most else points))
     return [r for _, r in sorted(rings, key=lambda x: -x[0])]
 
 
+#: Of a filled cell (a, b): the neighbour across a side, and the side's ends, so that the cell is on its left.
+SIDES = [((0, -1), (0, 0), (1, 0)), ((1, 0), (1, 0), (1, 1)), ((0, 1), (1, 1), (0, 1)), ((-1, 0), (0, 1), (0, 0))]
+
+
+def border(cells: DataFrame) -> DataFrame:
+    """(bag, p0, p1, q0, q1): directed sides between filled and empty cells. A position's cell fills the four squares around
+    it, which bridges cells within two of each other, as an alpha shape with edges of up to 2.5 cells would."""
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    filled = cells.select("bag", "lat_idx", "lon_idx").distinct().withColumn("c", corner)
+    filled = filled.select("bag", (F.col("lat_idx") + F.col("c.i")).alias("a"), (F.col("lon_idx") + F.col("c.j")).alias("b")).distinct()
+    names = ("x", "y", "p0", "p1", "q0", "q1")
+    side = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, (*out, *p, *q), strict=True))) for out, p, q in SIDES)))
+    sides = filled.withColumn("s", side).select("bag", *((F.col("a" if n in ("x", "p0", "q0") else "b") + F.col(f"s.{n}")).alias(n) for n in names))
+    empty = sides.join(filled.select("bag", F.col("a").alias("x"), F.col("b").alias("y")), ["bag", "x", "y"], "left_anti")
+    return empty.select("bag", "p0", "p1", "q0", "q1")
+
+
 HULL = "bag string, rings array<array<array<double>>>"
 
 
-def concave_hulls(cells: DataFrame, size: float = geo.CELL, most_cells: int = 200_000) -> DataFrame:
-    """(bag, rings): outlines around each bag's cells. The cells of one bag go to one task; a bag of more than most_cells
-    distinct ones is coarsened first by the least whole factor that brings it below, which bounds the task."""
-    one = cells.select("bag", "lat_idx", "lon_idx").distinct()
-    factor = F.greatest(F.lit(1.0), F.ceil(F.sqrt(F.count("*") / F.lit(most_cells))))
-    sized = one.join(one.groupBy("bag").agg(factor.cast("long").alias("f")), "bag")
-    coarse = sized.select("bag", "f", F.floor(F.col("lat_idx") / F.col("f")).alias("a"), F.floor(F.col("lon_idx") / F.col("f")).alias("b")).distinct()
+def concave_hulls(cells: DataFrame, size: float = geo.CELL) -> DataFrame:
+    """(bag, rings): outlines around each bag's cells, holes among them. Filling and finding the border are joins; only the
+    sides of one bag's border, not its cells, come to one task."""
 
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = int(pdf["f"].iloc[0])
-        rings = cell_outline(set(zip(pdf["a"].astype(int), pdf["b"].astype(int), strict=True)))
-        return pd.DataFrame({"bag": [pdf["bag"].iloc[0]], "rings": [[[[(p[0] - 0.5) * f * size, (p[1] - 0.5) * f * size] for p in r] for r in rings]]})
+        p, q = (zip(pdf[f"{k}0"].astype(int), pdf[f"{k}1"].astype(int), strict=True) for k in "pq")
+        rings = traced(list(zip(p, q, strict=True)))
+        return pd.DataFrame({"bag": [pdf["bag"].iloc[0]], "rings": [[[[(a - 0.5) * size, (b - 0.5) * size] for a, b in r] for r in rings]]})
 
-    return coarse.groupBy("bag").applyInPandas(hull, HULL)
+    return border(cells).groupBy("bag").applyInPandas(hull, HULL)
 
 
 def convex_hulls(cells: DataFrame, size: float = geo.CELL) -> DataFrame:

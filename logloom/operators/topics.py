@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from ..functions import names
 
 IMAGE_TYPES = ["sensor_msgs/msg/CompressedImage", "sensor_msgs/msg/Image"]
-# Where a camera's picture goes in a row of pictures.
-CAMERAS = ["front_left", "front", "front_right", "rear_left", "rear", "rear_right"]
+# The order of cameras, by two words in a topic's name; words of image, point cloud and position topics and types.
+CAMERAS = [("side", "left"), ("side", "right"), ("rear", "left"), ("rear", "mid"), ("rear", "right")]
+IMAGE_WORDS = ["image", "camera", "rgb", "color"]
+CLOUD_WORDS = ["pointcloud", "point_cloud", "lidar", "pcl"]
+POSITION_WORDS = ["gps", "gnss", "navsat", "tf", "odom", "pose", "position"]
+CLOUD_TYPE_WORDS = ["pointcloud", "point_cloud"]
+POSITION_TYPE_WORDS = ["navsatfix", "gps", "gnss", "tf", "odom", "pose"]
 
 
 def is_image_name(topic: Column) -> Column:
@@ -25,24 +30,41 @@ def is_position(topic: Column) -> Column:
     return F.lower(topic).contains("bestpos")
 
 
-def priority(topic: Column) -> Column:
-    """Stereo images 0, images 1, point clouds 2, positions 3, the rest 4."""
-    low = F.lower(topic)
-    image = is_image_name(topic)
-    return F.when(image & low.contains("zed"), 0).when(image, 1).when(low.contains("point") | low.contains("lidar"), 2).when(is_position(topic) | low.contains("gps") | low.contains("odom"), 3).otherwise(4)
+def has_word(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for word in words:
+        out = out | text.contains(word)
+    return out
+
+
+def priority(topic: Column, msg_type: Column | None = None) -> Column:
+    """Stereo images 0, images 1, point clouds 2, positions 3, the rest 4: by the type where there is one, else by the name."""
+    name = F.lower(topic)
+    image, cloud, place = has_word(name, IMAGE_WORDS), has_word(name, CLOUD_WORDS), has_word(name, POSITION_WORDS)
+    if msg_type is not None:
+        kind = F.lower(msg_type)
+        typed = F.coalesce(kind, F.lit("")) != ""
+        image = F.when(typed, kind.contains("sensor_msgs") & kind.contains("image")).otherwise(image)
+        cloud = F.when(typed, has_word(kind, CLOUD_TYPE_WORDS)).otherwise(cloud)
+        place = F.when(typed, has_word(kind, POSITION_TYPE_WORDS)).otherwise(place)
+    return F.when(image & name.contains("zed"), 0).when(image, 1).when(cloud, 2).when(place, 3).otherwise(4)
 
 
 def camera_place(topic: Column) -> Column:
-    low, out = F.lower(topic), F.lit(len(CAMERAS) - 1)
-    for i, c in sorted(enumerate(CAMERAS), key=lambda x: len(x[1])):
-        out = F.when(low.contains(c), F.lit(i)).otherwise(out)
+    """The first pair of CAMERAS whose words the name has, else their number."""
+    name, out = F.lower(topic), F.lit(len(CAMERAS))
+    for i, (a, b) in reversed(list(enumerate(CAMERAS))):
+        out = F.when(name.contains(a) & name.contains(b), i).otherwise(out)
     return out
 
 
 def sorted_topics(topics: DataFrame) -> DataFrame:
-    """With `position`, from 1, by priority, camera and name within a bag."""
-    w = W.partitionBy("bag").orderBy(priority(F.col("topic")), camera_place(F.col("topic")), F.lower("topic"), "topic")
-    return topics.withColumn("priority", priority(F.col("topic"))).withColumn("position", F.row_number().over(w))
+    """With `priority` and `position`, from 1, by priority, by camera for images, and by name within a bag, as a language's
+    alphabet has it; topics have the types of a column msg_type if there is one."""
+    rank = priority(F.col("topic"), F.col("msg_type") if "msg_type" in topics.columns else None)
+    camera = F.when(F.col("priority") <= 1, camera_place(F.col("topic"))).otherwise(0)
+    w = W.partitionBy("bag").orderBy("priority", camera, F.collate(F.lower("topic"), "UNICODE"), "topic")
+    return topics.withColumn("priority", rank).withColumn("position", F.row_number().over(w))
 
 
 def sorted_bags(bags: DataFrame, name: str = "bag") -> DataFrame:

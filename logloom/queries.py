@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import geo, names
 from .functions import time as t
 from .functions import vectors as v
-from .operators import align, density, exports, search, sequences, spatial, topics
+from .operators import align, density, exports, manifests, search, sequences, spatial, topics
 from .sources import views
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -39,10 +40,6 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def first_vector(m: DataFrame) -> DataFrame:
-    return search.query_vector(m, F.col("id") == 0, ["id"])
-
-
 def timeline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m = views.messages(spark, d)
     return m, m.select("bag", "mcap_id", F.col("log_time_ns").alias("ref_ts"), "sequence")
@@ -50,55 +47,62 @@ def timeline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 # ---- search ----
 
-Q0 = "(SELECT embedding FROM v_manifest WHERE id = 0)"
-FOUND = f"""+ f AS (SELECT * FROM v_manifest WHERE minute_of_day BETWEEN 60 AND 1300 AND {IN_WINDOWS} AND {IN_TOPICS}),
+ASKED = "q AS (SELECT id AS query_id, embedding AS qv FROM v_manifest WHERE id % 100 = 0)"
+FOUND = f"""+ {ASKED}, f AS (SELECT * FROM v_manifest WHERE minute_of_day BETWEEN 60 AND 1300 AND {IN_WINDOWS} AND {IN_TOPICS}),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, bag, topic ORDER BY timestamp_ns, id) - 1 AS nth FROM f) WHERE nth % 2 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY model, bag ORDER BY d, id) AS local_rank FROM (SELECT *, list_distance(embedding, {Q0}) ^ 2 AS d FROM s)),
-r AS (SELECT *, row_number() OVER (ORDER BY d, model, bag, local_rank) AS rank FROM k WHERE local_rank <= 100)"""
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, model, bag ORDER BY d, id) AS local_rank FROM (SELECT s.*, query_id, list_distance(embedding, qv) ^ 2 AS d, list_cosine_similarity(embedding, qv) AS c FROM s, q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, model, bag, local_rank) AS rank FROM k WHERE local_rank <= 100)"""
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 100 asks all rows behind the filters."""
     m = views.manifest(spark, d)
-    return search.search(m, first_vector(m), (60, 1300), WINDOWS, TOPICS, 2)
+    return search.search(m, search.query_rows(m), (60, 1300), WINDOWS, TOPICS, 2)
 
 
-@query(FOUND + " SELECT CAST(rank AS int) AS rank, bag, topic, id, CAST(local_rank AS int) AS local_rank, round(d, 6) AS distance, round(list_cosine_similarity(embedding, " + Q0 + "), 6) AS cosine FROM r")
+@query(FOUND + " SELECT query_id, CAST(rank AS int) AS rank, bag, topic, id, CAST(local_rank AS int) AS local_rank, round(d, 6) AS distance, round(c, 6) AS cosine FROM r")
 def search_global_rank(spark, d):
     """FLT-1..3, WIN-1, WIN-3, WIN-4, TOP-1, TOP-2, SRC-12, SRC-19, JN-7, JN-8, SET-2, SET-3."""
-    return rounded(found(spark, d).select("rank", "bag", "topic", "id", "local_rank", "distance", "cosine"), 6, "distance", "cosine")
+    return rounded(found(spark, d).select("query_id", "rank", "bag", "topic", "id", "local_rank", "distance", "cosine"), 6, "distance", "cosine")
 
 
-@query(FOUND + " SELECT CAST(rank AS int) AS rank, model, bag, topic, mcap_identifier AS mcap, CAST(timestamp_ns AS varchar) AS ts, strftime(make_timestamp(timestamp_ns // 1000) + interval 1 hour, '%H:%M') AS minute_local, round(d, 6) AS score FROM r")
+@query(FOUND + " SELECT query_id, CAST(rank AS int) AS rank, model, bag, topic, mcap_identifier AS mcap, CAST(timestamp_ns AS varchar) AS ts, strftime(make_timestamp(timestamp_ns // 1000) + interval 1 hour, '%H:%M') AS minute_local, round(d, 6) AS score FROM r")
 def search_result_rows(spark, d):
     """PRJ-1, FN-2."""
     return rounded(search.result_rows(found(spark, d)), 6, "score")
 
 
-@query(FOUND + " SELECT model, bag, topic, id // 10 AS value, CAST(min(rank) AS int) AS rank FROM r GROUP BY ALL")
+@query(FOUND + " SELECT query_id, CAST(rank AS int) AS rank, bag, topic, id FROM r WHERE rank <= 12")
+def search_first_page(spark, d):
+    """TOP-3."""
+    return manifests.page(found(spark, d), by=("query_id",)).select("query_id", "rank", "bag", "topic", "id")
+
+
+@query(FOUND + " SELECT query_id, model, bag, topic, id // 10 AS value, CAST(min(rank) AS int) AS rank FROM r GROUP BY ALL")
 def search_marks_best_rank(spark, d):
     """AGG-12, JN-13."""
     return search.marks(found(spark, d), t.div(F.col("id"), 10))
 
 
-@query(FOUND + ", m AS (SELECT model, bag, topic, id // 10 AS value, min(rank) AS rank FROM r GROUP BY ALL) SELECT model, bag, topic, string_agg(value || ':' || rank, ',' ORDER BY value) AS marks FROM m GROUP BY ALL")
+@query(FOUND + ", m AS (SELECT query_id, model, bag, topic, id // 10 AS value, min(rank) AS rank FROM r GROUP BY ALL) SELECT query_id, model, bag, topic, string_agg(value || ':' || rank, ',' ORDER BY value) AS marks FROM m GROUP BY ALL")
 def search_marks_nested(spark, d):
     """AGG-13, FN-28."""
     nested = search.nested_marks(search.marks(found(spark, d), t.div(F.col("id"), 10)))
-    flat = nested.select("model", "bag", F.explode("topics").alias("topic", "m"))
-    return flat.select("model", "bag", "topic", F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["value"].cast("string"), x["rank"].cast("string"))), ",").alias("marks"))
+    flat = nested.select("query_id", "model", "bag", F.explode("topics").alias("topic", "m"))
+    return flat.select("query_id", "model", "bag", "topic", F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["value"].cast("string"), x["rank"].cast("string"))), ",").alias("marks"))
 
 
-@query(f"+ k AS (SELECT id, list_distance(embedding, {Q0}) ^ 2 AS dd FROM v_manifest) SELECT id, round(dd, 6) AS distance FROM (SELECT *, row_number() OVER (ORDER BY dd, id) AS n FROM k) WHERE n <= 100")
+@query(f"+ {ASKED}, k AS (SELECT query_id, id, list_distance(embedding, qv) ^ 2 AS dd FROM v_manifest, q) SELECT query_id, id, round(dd, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dd, id) AS n FROM k) WHERE n <= 100")
 def vector_topk_l2(spark, d):
     """TOP-1 over one group, FN-14."""
     m = views.manifest(spark, d)
-    return rounded(search.nearest(m, first_vector(m), 100, ("model",)).select("id", "distance"), 6, "distance")
+    return rounded(search.nearest_to(m, search.query_rows(m), 100, ("model",)).select("query_id", "id", "distance"), 6, "distance")
 
 
-@query(f"+ k AS (SELECT bag, id, list_distance(embedding, {Q0}) ^ 2 AS dd FROM v_manifest) SELECT bag, id, CAST(n AS int) AS local_rank FROM (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY dd, id) AS n FROM k) WHERE n <= 20")
+@query(f"+ {ASKED}, k AS (SELECT query_id, bag, id, list_distance(embedding, qv) ^ 2 AS dd FROM v_manifest, q) SELECT query_id, bag, id, CAST(n AS int) AS local_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bag ORDER BY dd, id) AS n FROM k) WHERE n <= 20")
 def vector_topk_per_bag(spark, d):
     m = views.manifest(spark, d)
-    return search.nearest(m, first_vector(m), 20).select("bag", "id", "local_rank")
+    return search.nearest_to(m, search.query_rows(m), 20).select("query_id", "bag", "id", "local_rank")
 
 
 @query("+ f AS (SELECT *, row_number() OVER (PARTITION BY bag, mcap_id, topic ORDER BY log_time_ns, sequence) - 1 AS nth FROM v_messages) SELECT bag, mcap_id, topic, sequence FROM f WHERE nth % 10 = 0")
@@ -144,30 +148,33 @@ def similarity_resample(spark, d):
     return rounded(out.select("bag", "topic", "k", "value"), 5, "value")
 
 
-@query()
+LONG = ", l AS (SELECT a.bag, a.topic, a.seq - c.w + 1 AS seq, (SELECT avg(b.s) FROM a b WHERE b.bag = a.bag AND b.topic = a.topic AND b.seq > a.seq - c.w AND b.seq <= a.seq) AS s FROM a JOIN c USING (bag, topic) WHERE c.n >= 1000 AND a.seq >= c.w - 1), u AS (SELECT bag, topic, seq, s FROM a JOIN c USING (bag, topic) WHERE c.n < 1000 UNION ALL SELECT * FROM l), z AS (SELECT bag, topic, max(seq) + 1 AS n FROM u GROUP BY ALL), x AS (SELECT bag, topic, n, k, k * (n - 1) / 999.0::double AS p FROM z, range(1000) r(k))"
+
+
+@query(SERIES + LONG + " SELECT x.bag, x.topic, CAST(k AS int) AS k, round(1 - (lo.s + (hi.s - lo.s) * (p - floor(p))), 5) AS value FROM x JOIN u lo ON lo.bag = x.bag AND lo.topic = x.topic AND lo.seq = floor(p) JOIN u hi ON hi.bag = x.bag AND hi.topic = x.topic AND hi.seq = least(floor(p) + 1, x.n - 1)")
 def similarity_strip(spark, d):
     """SNK-8: 1000 values for each series."""
     strip = density.heat_strip(density.adjacent_similarity(views.manifest(spark, d)))
-    return strip.select("bag", "topic", F.size("strip").alias("n"), F.round(F.element_at("strip", 1), 5).alias("first_value"))
+    return strip.select("bag", "topic", F.posexplode("strip").alias("k", "value")).withColumn("value", F.round("value", 5))
 
 
-MARKS = FOUND + ", m AS (SELECT bag, CAST(id AS double) / 2000 AS pos, CAST(rank AS int) AS rank FROM r), w AS (SELECT bag, pos, 1 - 0.8::double * least(rank - 1, 99) / 99.0 AS wt FROM m)"
+MARKS = FOUND + ", m AS (SELECT query_id, bag, CAST(id AS double) / 2000 AS pos, CAST(rank AS int) AS rank FROM r), w AS (SELECT query_id, bag, pos, 1 - 0.8::double * least(rank - 1, 99) / 99.0 AS wt FROM m)"
 
 
 def marked(spark: SparkSession, d: str) -> DataFrame:
-    return found(spark, d).select("bag", (F.col("id") / 2000.0).alias("pos"), "rank")
+    return found(spark, d).select("query_id", "bag", (F.col("id") / 2000.0).alias("pos"), "rank")
 
 
-@query(MARKS + " SELECT bag, CAST(bin AS int) AS bin, round(sum(wt * (1 - abs(bin - pos * 1000) / 50)), 7) AS score FROM w, range(1000) b(bin) WHERE abs(bin - pos * 1000) < 50 GROUP BY ALL")
+@query(MARKS + " SELECT query_id, bag, CAST(bin AS int) AS bin, round(sum(wt * (1 - abs(bin - pos * 1000) / 50)), 7) AS score FROM w, range(1000) b(bin) WHERE abs(bin - pos * 1000) < 50 GROUP BY ALL")
 def mark_density_bins(spark, d):
     """AGG-22, FN-15."""
-    return rounded(density.mark_density(marked(spark, d), ["bag"]), 7, "score")
+    return rounded(density.mark_density(marked(spark, d), ["query_id", "bag"]), 7, "score")
 
 
-@query(MARKS + ", c AS (SELECT DISTINCT bag, pos FROM m), sm AS (SELECT c.bag, c.pos, sum(wt * (1 - abs(w.pos - c.pos) / 0.05::double)) AS s FROM c JOIN w ON w.bag = c.bag AND abs(w.pos - c.pos) < 0.05::double GROUP BY ALL) SELECT bag, round(greatest(max(s), 1), 6) AS peak FROM sm GROUP BY bag")
+@query(MARKS + ", c AS (SELECT DISTINCT query_id, bag, pos FROM m), sm AS (SELECT c.query_id, c.bag, c.pos, sum(wt * (1 - abs(w.pos - c.pos) / 0.05::double)) AS s FROM c JOIN w ON w.query_id = c.query_id AND w.bag = c.bag AND abs(w.pos - c.pos) < 0.05::double GROUP BY ALL) SELECT query_id, bag, round(greatest(max(s), 1), 6) AS peak FROM sm GROUP BY ALL")
 def density_global_maximum(spark, d):
     """AGG-23."""
-    return rounded(density.density_maximum(marked(spark, d), ["bag"]), 6, "peak")
+    return rounded(density.density_maximum(marked(spark, d), ["query_id", "bag"]), 6, "peak")
 
 
 # ---- timelines ----
@@ -237,7 +244,7 @@ def timeline_summary(spark, d):
 
 @query("+ s AS (SELECT bag, mcap_id, count(*) AS c, min(log_time_ns) AS a, max(log_time_ns) AS b FROM v_messages GROUP BY ALL) SELECT bag, CAST(sum(c) AS bigint) AS total_count, min(a) AS first_ts, max(b) AS last_ts, count(*) AS segments FROM s GROUP BY bag")
 def bag_totals(spark, d):
-    """AGG-7 totals, SRC-11, PRJ-3."""
+    """AGG-7 totals."""
     return align.bag_totals(align.summaries(timeline(spark, d)[1])).select("bag", "total_count", "first_ts", "last_ts", F.size("mcap_ranges").cast("long").alias("segments"))
 
 
@@ -341,7 +348,7 @@ INSIDE = CELLS + f", e(poly_id, yi, xi, yj, xj) AS (VALUES {_edge_values(POLYGON
 
 @query(INSIDE + " SELECT poly_id, c.bag, c.mcap_id, c.lat_idx, c.lon_idx, c.cnt FROM cells c JOIN hits USING (lat_idx, lon_idx)")
 def point_in_polygon_cells(spark, d):
-    """FLT-12, JN-5, FN-17."""
+    """FLT-12, JN-5."""
     found = spatial.points_in_polygons(spatial.with_degrees(cells(spark, d)), spatial.polygon_edges(spark, POLYGONS))
     return found.select("poly_id", "bag", "mcap_id", "lat_idx", "lon_idx", "cnt")
 
@@ -365,22 +372,30 @@ def highlight_mask(spark, d):
     return spatial.highlight(c.select("bag", "mcap_id").distinct(), spatial.segments_in_polygons(c, spatial.polygon_edges(spark, {"square": SQUARE})))
 
 
-@query("+ x AS (SELECT 1), q AS (SELECT DISTINCT bag, lat, lon, sqrt((lat - 51.05::double) * (lat - 51.05::double) + (lon - 12.05::double) * (lon - 12.05::double)) AS d FROM v_positions) SELECT round(min(d), 9) AS distance FROM q WHERE d < 0.0001::double HAVING count(*) > 0")
+@query("+ o AS (SELECT min(lat) + 0.00003::double AS y, min_by(lon, (lat, lon)) + 0.00002::double AS x FROM v_positions), q AS (SELECT sqrt((lat - y) * (lat - y) + (lon - x) * (lon - x)) AS d FROM v_positions, o) SELECT round(min(d), 9) AS distance FROM q WHERE d < 0.0001::double HAVING count(*) > 0")
 def nearest_point_hover(spark, d):
-    """JN-10."""
-    return rounded(spatial.nearest_point(views.positions(spark, d), 51.05, 12.05).select("distance"), 9, "distance")
+    """JN-10, beside the southernmost position."""
+    p = views.positions(spark, d)
+    at = p.agg(F.min(F.struct("lat", "lon")).alias("s")).first()["s"]
+    return rounded(spatial.nearest_point(p, at["lat"] + 0.00003, at["lon"] + 0.00002).select("distance"), 9, "distance")
+
+
+def ring_corners(hulls: DataFrame) -> DataFrame:
+    """(bag, ring, corner, lat, lon)."""
+    rings = hulls.select("bag", F.posexplode("rings").alias("ring", "r")).select("bag", "ring", F.posexplode("r").alias("corner", "p"))
+    return rings.select("bag", "ring", "corner", F.round(F.col("p")[0], 6).alias("lat"), F.round(F.col("p")[1], 6).alias("lon"))
 
 
 @query()
 def convex_hull_per_bag(spark, d):
     """AGG-18."""
-    return spatial.convex_hulls(cells(spark, d)).select("bag", F.size(F.element_at("rings", 1)).alias("corners"))
+    return ring_corners(spatial.convex_hulls(cells(spark, d)))
 
 
 @query()
 def concave_hull_per_bag(spark, d):
     """AGG-16, AGG-17."""
-    return spatial.boundaries(views.positions(spark, d)).select("bag", F.size("hull").alias("rings"), F.round("min_lat", 6).alias("min_lat"), F.round("max_lat", 6).alias("max_lat"))
+    return ring_corners(spatial.boundaries(views.positions(spark, d)).withColumnRenamed("hull", "rings"))
 
 
 @query()
@@ -393,18 +408,36 @@ def hulls_overlapping_polygon(spark, d):
 # ---- topics, segments, exports ----
 
 
-@query("+ r AS (SELECT DISTINCT bag, CAST(mcap_id AS int) AS i FROM v_messages WHERE sequence % 31 < 3), g AS (SELECT bag, i, i - row_number() OVER (PARTITION BY bag ORDER BY i) AS k FROM r) SELECT bag, min(i) AS lo, max(i) AS hi, count(*) AS n FROM g GROUP BY bag, k")
+#: Segments that hold such a message have gaps between them.
+DEAR = "topic = '/purchase' AND value > 150"
+RUNS = f"+ r AS (SELECT bag, CAST(mcap_id AS int) AS i FROM v_messages GROUP BY ALL HAVING count_if({DEAR}) > 0), g AS"
+
+
+def dear_segments(spark: SparkSession, d: str) -> DataFrame:
+    per = views.messages(spark, d).groupBy("bag", "mcap_id").agg(F.count_if(F.expr(DEAR)).alias("n"))
+    return per.where("n > 0").select("bag", "mcap_id")
+
+
+@query(RUNS + " (SELECT bag, i, i - row_number() OVER (PARTITION BY bag ORDER BY i) AS k FROM r) SELECT bag, min(i) AS lo, max(i) AS hi, count(*) AS n FROM g GROUP BY bag, k")
 def mcap_islands(spark, d):
     """AGG-20."""
-    m = views.messages(spark, d).where("sequence % 31 < 3")
-    return spatial.islands(m.select("bag", F.col("mcap_id").try_cast("int").alias("i")), ["bag"], "i")
+    return spatial.islands(dear_segments(spark, d).select("bag", F.col("mcap_id").try_cast("int").alias("i")), ["bag"], "i")
+
+
+#: Segments that hold such a message have gaps between them.
+DEAR = "topic = '/purchase' AND value > 150"
+RUNS = f"+ r AS (SELECT bag, CAST(mcap_id AS int) AS i FROM v_messages GROUP BY ALL HAVING count_if({DEAR}) > 0), g AS"
+
+
+def dear_segments(spark: SparkSession, d: str) -> DataFrame:
+    per = views.messages(spark, d).groupBy("bag", "mcap_id").agg(F.count_if(F.expr(DEAR)).alias("n"))
+    return per.where("n > 0").select("bag", "mcap_id")
 
 
-@query("+ r AS (SELECT DISTINCT bag, CAST(mcap_id AS int) AS i FROM v_messages WHERE sequence % 31 < 3), g AS (SELECT bag, i, i - row_number() OVER (PARTITION BY bag ORDER BY i) AS k FROM r), s AS (SELECT bag, min(i) AS lo, max(i) AS hi FROM g GROUP BY bag, k) SELECT bag, bag || ': ' || string_agg(CASE WHEN lo = hi THEN CAST(lo AS varchar) ELSE lo || ' - ' || hi END, ', ' ORDER BY lo) AS text FROM s GROUP BY bag")
+@query(RUNS + " (SELECT bag, i, i - row_number() OVER (PARTITION BY bag ORDER BY i) AS k FROM r), s AS (SELECT bag, min(i) AS lo, max(i) AS hi FROM g GROUP BY bag, k) SELECT bag, bag || ': ' || string_agg(CASE WHEN lo = hi THEN CAST(lo AS varchar) ELSE lo || ' - ' || hi END, ', ' ORDER BY lo) AS text FROM s GROUP BY bag")
 def area_list_text(spark, d):
     """SNK-17."""
-    m = views.messages(spark, d).where("sequence % 31 < 3")
-    return spatial.area_text(spatial.islands(m.select("bag", F.col("mcap_id").try_cast("int").alias("i")), ["bag"], "i"))
+    return spatial.area_text(spatial.islands(dear_segments(spark, d).select("bag", F.col("mcap_id").try_cast("int").alias("i")), ["bag"], "i"))
 
 
 @query("SELECT unnest([0, 1, 2, 3, 4, 7, 8, 9, 12]) AS id")
@@ -429,7 +462,7 @@ def shard_assignment(spark, d):
 
 @query("+ x AS (SELECT 1) SELECT topic, mcap_id, count(*) AS n FROM v_messages GROUP BY ROLLUP (topic, mcap_id)")
 def messages_per_topic(spark, d):
-    """AGG-14, SRC-7."""
+    """AGG-14."""
     return topics.messages_per_topic(views.messages(spark, d)).drop("level")
 
 
@@ -439,45 +472,46 @@ def distinct_topics(spark, d):
     return topics.distinct_values(views.messages(spark, d), ["bag"], "topic").select("bag", F.array_join("values", ",").alias("topics"), "n")
 
 
-@query()
+@query("+ t AS (SELECT bag, topic FROM v_manifest UNION SELECT bag, topic FROM v_messages), p AS (SELECT *, CASE WHEN topic LIKE '%image%' OR topic LIKE '%camera%' OR topic LIKE '%rgb%' OR topic LIKE '%color%' THEN CASE WHEN topic LIKE '%zed%' THEN 0 ELSE 1 END WHEN topic LIKE '%pointcloud%' OR topic LIKE '%point_cloud%' OR topic LIKE '%lidar%' OR topic LIKE '%pcl%' THEN 2 WHEN regexp_matches(topic, 'gps|gnss|navsat|tf|odom|pose|position') THEN 3 ELSE 4 END AS priority FROM t) SELECT bag, topic, priority, CAST(row_number() OVER (PARTITION BY bag ORDER BY priority, topic) AS int) AS position FROM p")
 def topic_priority_sort(spark, d):
-    """TOP-5, FLT-5..7."""
+    """TOP-5, FLT-5..7; no topic here names a side."""
     return topics.sorted_topics(views.manifest(spark, d).select("bag", "topic").unionByName(views.messages(spark, d).select("bag", "topic")).distinct())
 
 
 @query("+ x AS (SELECT 1) SELECT bag, mcap_id, row_number() OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) AS position FROM (SELECT DISTINCT bag, mcap_id FROM v_messages)")
 def numeric_id_sort(spark, d):
-    """TOP-7, SRC-3."""
+    """TOP-7."""
     return topics.numeric_first(views.messages(spark, d).select("bag", "mcap_id").distinct(), ["bag"]).withColumn("position", F.col("position").cast("long"))
 
 
-@query("+ e AS (SELECT DISTINCT bag, topic FROM v_messages), p AS (SELECT DISTINCT bag, mcap_id, topic FROM v_messages WHERE sequence % 3 = 0) SELECT s.bag, s.mcap_id, e.topic FROM (SELECT DISTINCT bag, mcap_id FROM p) s JOIN e ON e.bag = s.bag WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.bag = s.bag AND p.mcap_id = s.mcap_id AND p.topic = e.topic)")
+@query("+ e AS (SELECT DISTINCT bag, topic FROM v_messages), p AS (SELECT bag, mcap_id, topic FROM v_messages GROUP BY ALL HAVING max(value) > 60) SELECT s.bag, s.mcap_id, e.topic FROM (SELECT DISTINCT bag, mcap_id FROM p) s JOIN e ON e.bag = s.bag WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.bag = s.bag AND p.mcap_id = s.mcap_id AND p.topic = e.topic)")
 def missing_topics_anti(spark, d):
-    """FLT-19, SET-7."""
+    """FLT-19, SET-7: topics of a bag that have no value over 60 in a segment that has some such topic."""
     m = views.messages(spark, d)
-    return topics.missing_topics(m.where("sequence % 3 = 0"), m)
+    lively = m.groupBy("bag", "mcap_id", "topic").agg(F.max("value").alias("most")).where("most > 60")
+    return topics.missing_topics(lively, m)
 
 
-@query("+ x AS (SELECT 1) SELECT DISTINCT bag FROM v_messages WHERE topic IN ('/click', '/purchase') AND sequence % 2 = 0")
+@query("+ x AS (SELECT 1) SELECT DISTINCT bag FROM v_messages WHERE topic IN ('/click', '/purchase')")
 def topic_semi_filter(spark, d):
     """FLT-16, FLT-17."""
     m = views.messages(spark, d)
-    return topics.bags_named(m.select("bag").distinct(), topics.bags_with_topics(m.where("sequence % 2 = 0"), ["/click", "/purchase"]))
+    return topics.bags_named(m.select("bag").distinct(), topics.bags_with_topics(m, ["/click", "/purchase"]))
 
 
 @query("+ t AS (SELECT DISTINCT bag, topic, CASE WHEN topic LIKE '%c%' THEN 'sensor_msgs/msg/CompressedImage' WHEN topic LIKE '%v%' THEN 'novatel_oem7_msgs/msg/BESTPOS' ELSE 'sensor_msgs/msg/Imu' END || bag AS ty FROM v_messages) SELECT topic, arg_max(ty, bag) AS msg_type FROM t GROUP BY topic")
 def topic_dictionary(spark, d):
-    """JN-11, FLT-6."""
+    """JN-11."""
     tp = views.topics(views.messages(spark, d)).withColumn("msg_type", F.concat("msg_type", "bag"))
     return topics.topic_dictionary(tp)
 
 
-@query("+ b AS (SELECT DISTINCT bag FROM v_messages UNION SELECT 'bag_9'), s AS (SELECT bag, count(*) AS c, min(log_time_ns) AS a FROM v_messages WHERE bag <> 'bag_1' GROUP BY bag) SELECT b.bag, coalesce(c, 0) AS total_count, a AS first_ts FROM b LEFT JOIN s USING (bag)")
+@query("+ b AS (SELECT DISTINCT bag FROM v_messages UNION SELECT 'bag_9'), s AS (SELECT bag, count(*) AS c, min(log_time_ns) AS a FROM v_messages GROUP BY bag) SELECT b.bag, coalesce(c, 0) AS total_count, a AS first_ts FROM b LEFT JOIN s USING (bag)")
 def bags_with_summaries(spark, d):
-    """JN-12."""
+    """JN-12; bag_9 has no messages."""
     m = views.messages(spark, d)
     bags = m.select("bag").distinct().unionByName(spark.createDataFrame([("bag_9",)], "bag string"))
-    totals = align.bag_totals(align.summaries(timeline(spark, d)[1].where("bag <> 'bag_1'")))
+    totals = align.bag_totals(align.summaries(timeline(spark, d)[1]))
     return topics.with_summaries(bags, totals).select("bag", "total_count", "first_ts")
 
 
@@ -486,7 +520,7 @@ A, B = 1_704_500_000_000_000_000, 1_705_500_000_000_000_000
 
 @query(f"+ x AS (SELECT 1) SELECT bag, topic, sequence FROM v_messages WHERE topic IN ('/click', '/view') AND log_time_ns >= {A} AND log_time_ns < {B}")
 def export_range_scan(spark, d):
-    """SRC-6, SNK-11."""
+    """SRC-6."""
     return exports.range_scan(views.messages(spark, d), ["/click", "/view"], A, B).select("bag", "topic", "sequence")
 
 
@@ -499,27 +533,32 @@ def point_message_lookup(spark, d):
     return same.orderBy("sequence").limit(1).select("bag", "topic", "sequence")
 
 
-@query("+ s AS (SELECT bag, mcap_id, count(*) AS c FROM v_messages GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - 1 AS pos, sum(c) OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - c AS a FROM s), h AS (SELECT *, pos - row_number() OVER (PARTITION BY bag ORDER BY pos) AS k FROM o WHERE CAST(mcap_id AS int) % 5 < 3) SELECT bag, min(pos) AS lo, max(pos) AS hi, CAST(min(a) AS bigint) AS start_index, CAST(max(a + c) - 1 AS bigint) AS end_index FROM h GROUP BY bag, k")
+@query(f"+ d AS (SELECT bag, mcap_id FROM v_messages GROUP BY ALL HAVING count_if({DEAR}) > 0), s AS (SELECT bag, mcap_id, count(*) AS c FROM v_messages GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - 1 AS pos, sum(c) OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - c AS a FROM s), h AS (SELECT *, pos - row_number() OVER (PARTITION BY bag ORDER BY pos) AS k FROM o JOIN d USING (bag, mcap_id)) SELECT bag, min(pos) AS lo, max(pos) AS hi, CAST(min(a) AS bigint) AS start_index, CAST(max(a + c) - 1 AS bigint) AS end_index FROM h GROUP BY bag, k")
 def export_windows(spark, d):
-    """AGG-20 by position, JN-15, SNK-18."""
+    """AGG-20 by position."""
     rows = timeline(spark, d)[1]
     s = align.summaries(rows)
-    out = exports.windows_of_segments(s.where(F.col("mcap_id").try_cast("int") % 5 < 3), s)
+    out = exports.windows_of_segments(dear_segments(spark, d), s)
     return out.select("bag", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "start_index", "end_index")
 
 
-@query()
+@query("""+ i AS (SELECT bag, mcap_id, log_time_ns, row_number() OVER (PARTITION BY bag ORDER BY log_time_ns, CAST(mcap_id AS int)) - 1 AS idx FROM v_messages),
+s AS (SELECT bag, mcap_id, n, sum(n) OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - n AS a FROM (SELECT bag, mcap_id, count(*) AS n FROM v_messages GROUP BY ALL)),
+g AS (SELECT i.bag, i.idx, i.log_time_ns AS ts, CAST(s.mcap_id AS int) AS m FROM i JOIN s ON s.bag = i.bag AND i.idx >= a AND i.idx < a + n),
+p AS (SELECT x.bag, x.name, lo.ts AS ts_a, hi.ts AS ts_b, lo.m AS m_a, hi.m AS m_b FROM (VALUES ('bag_0', 'first', 10, 400), ('bag_1', 'second', 5, 900)) x(bag, name, i_a, i_b) JOIN g lo ON lo.bag = x.bag AND lo.idx = i_a JOIN g hi ON hi.bag = x.bag AND hi.idx = i_b),
+h AS (SELECT name, CAST(v.mcap_id AS int) AS m FROM v_messages v JOIN p ON p.bag = v.bag AND CAST(v.mcap_id AS int) BETWEEN m_a AND m_b WHERE (CAST(v.mcap_id AS int) <> m_a OR log_time_ns >= ts_a) AND (CAST(v.mcap_id AS int) <> m_b OR log_time_ns < ts_b))
+SELECT name, CAST(dense_rank() OVER (PARTITION BY name ORDER BY m) - 1 AS int) AS part_mcap, n FROM (SELECT name, m, count(*) AS n FROM h GROUP BY ALL)""")
 def export_plan_messages(spark, d):
-    """SNK-11, FLT-22, WIN-14."""
+    """FLT-22, WIN-14."""
     m, rows = timeline(spark, d)
     parts = spark.createDataFrame([("bag_0", "first", 10, 400), ("bag_1", "second", 5, 900), ("bag_1", "bad", -1, 5)], "bag string, name string, start_index long, end_index long")
     return exports.export_messages(m, exports.planned(parts, rows, align.summaries(rows))).groupBy("name", "part_mcap").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'bag_a' AS bag, 1 AS lo, 'bag_a_ids_1_to_9_part1' AS name UNION ALL SELECT 'bag_a', 7, 'bag_a_ids_1_to_9_part2' UNION ALL SELECT 'bag b', 3, 'bag_b_ids_3_to_4'")
+@query("SELECT 'bag_a' AS bag, 1 AS lo, 'bag_a_ids_1_to_9_part1' AS name UNION ALL SELECT 'bag_a', 7, 'bag_a_ids_1_to_9_part2' UNION ALL SELECT 'bag b', 3, 'bag_b_ids_3_to_4' UNION ALL SELECT 'bag_c', 5, 'bag_c_id_5'")
 def export_names(spark, d):
     """AGG-26, WIN-14, FN-10."""
-    w = spark.createDataFrame([("bag_a", 1, 4), ("bag_a", 7, 9), ("bag b", 3, 4)], "bag string, lo int, hi int")
+    w = spark.createDataFrame([("bag_a", 1, 4), ("bag_a", 7, 9), ("bag b", 3, 4), ("bag_c", 5, 5)], "bag string, lo int, hi int")
     return exports.export_names(w).select("bag", "lo", "name")
 
 
@@ -529,10 +568,21 @@ def duplicate_export_names(spark, d):
     return exports.duplicate_names(spark.createDataFrame([(1, " a"), (2, "b"), (3, "a "), (4, " "), (5, "")], "i int, name string"))
 
 
-@query("SELECT * FROM (VALUES ('/x/rosbag2_2024_03_05-07_08_09', 'rosbag2_2024_03_05-07_08_09', TIMESTAMP '2024-03-05 07:08:09', 'rosbag2_2024_03_05-07_08_09'), ('/x/rosbag2_2024_3_5-7_8_9_short_multi_parts/Part_2', 'rosbag2_2024_3_5-7_8_9_short_multi_parts/Part_2', TIMESTAMP '2024-03-05 07:08:09', 'rosbag2_2024_3_5-7_8_9_short'), ('plain', 'plain', NULL, 'plain')) x(path, key, taken, base)")
+BAGS = {
+    "/x/rosbag2_2024_03_05-07_08_09": ("rosbag2_2024_03_05-07_08_09", "2024-03-05 07:08:09", "rosbag2_2024_03_05-07_08_09"),
+    "/x/rosbag2_2024_03_05-07_08_09_short_multi_parts/Part_2": ("rosbag2_2024_03_05-07_08_09_short_multi_parts/Part_2", "2024-03-05 07:08:09", "rosbag2_2024_03_05-07_08_09_short"),
+    "/x/rosbag2_2024_13_32-24_00_61": ("rosbag2_2024_13_32-24_00_61", "2025-02-02 00:01:01", "rosbag2_2024_13_32-24_00_61"),
+    "/x/rosbag2_2024_3_5-7_8_9": ("rosbag2_2024_3_5-7_8_9", None, "rosbag2_2024_3_5-7_8_9"),
+    "/x/my_rosbag2_2024_03_05-07_08_09": ("my_rosbag2_2024_03_05-07_08_09", None, "my_rosbag2_2024_03_05-07_08_09"),
+    "/x/rosbag2_2024_03_05-07_08_09_long": ("rosbag2_2024_03_05-07_08_09_long", None, "rosbag2_2024_03_05-07_08_09_long"),
+    "plain": ("plain", None, "plain"),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', {f"TIMESTAMP '{ts}'" if ts else 'NULL'}, '{b}')" for p, (k, ts, b) in BAGS.items()) + ") x(path, key, taken, base)")
 def bag_name_parse(spark, d):
     """FN-5, FN-9, TOP-6."""
-    p = spark.createDataFrame([("/x/rosbag2_2024_03_05-07_08_09",), ("/x/rosbag2_2024_3_5-7_8_9_short_multi_parts/Part_2",), ("plain",)], "path string")
+    p = spark.createDataFrame([(k,) for k in BAGS], "path string")
     key = names.bag_key(F.col("path"))
     return p.select("path", key.alias("key"), names.bag_time(key).alias("taken"), names.base_bag(key).alias("base"))
 
@@ -544,11 +594,14 @@ def topic_names(spark, d):
     return views.messages(spark, d).select("topic").distinct().select("topic", names.topic_folder(c).alias("folder"), names.topic_file(c).alias("file"))
 
 
-@query("+ x AS (SELECT 1) SELECT sequence, log_time_ns // 1000000 AS ms, CAST((log_time_ns // 60000000000) % 1440 AS int) AS minute, printf('%d:%02d:%02d', (log_time_ns // 1000000000) // 3600 % 1000000, (log_time_ns // 1000000000) % 3600 // 60, (log_time_ns // 1000000000) % 60) AS duration FROM v_messages")
+@query("+ x AS (SELECT 1) SELECT sequence, log_time_ns // 1000000 AS ms, CAST((log_time_ns // 60000000000) % 1440 AS int) AS minute, CASE WHEN o >= 3600 THEN printf('%d:%02d:%02d', o // 3600, o % 3600 // 60, o % 60) ELSE printf('%d:%02d', o // 60, o % 60) END AS duration FROM (SELECT *, (log_time_ns - min(log_time_ns) OVER (PARTITION BY bag, mcap_id)) // 1000000000 AS o FROM v_messages)")
 def time_functions(spark, d):
-    """FN-1, FN-3, FN-4."""
+    """FN-1, FN-3, FN-4: a duration is the time since its segment began."""
+    from pyspark.sql import Window as W
+
     ns = F.col("log_time_ns")
-    return views.messages(spark, d).select("sequence", t.millis(ns).alias("ms"), t.minute_of_day(ns).alias("minute"), t.duration(t.millis(ns)).alias("duration"))
+    since = ns - F.min(ns).over(W.partitionBy("bag", "mcap_id"))
+    return views.messages(spark, d).select("sequence", t.millis(ns).alias("ms"), t.minute_of_day(ns).alias("minute"), t.duration(t.millis(since)).alias("duration"))
 
 
 @query("+ x AS (SELECT 1) SELECT id, round(list_dot_product(embedding, embedding), 6) AS dot, round(sqrt(list_dot_product(embedding, embedding)), 6) AS norm, round(1 - 0.8::double * least(id, 99) / 99.0, 6) AS weight FROM v_manifest")
@@ -558,19 +611,90 @@ def vector_functions(spark, d):
     return rounded(views.manifest(spark, d).select("id", v.dot(e, e).alias("dot"), v.norm(e).alias("norm"), v.rank_weight(F.col("id") + 1).alias("weight")), 6, "dot", "norm", "weight")
 
 
-@query("+ s AS (SELECT bag, min(log_time_ns) AS a, max(log_time_ns) AS b FROM v_messages WHERE log_time_ns < 1704074400000000000 GROUP BY bag), z AS (SELECT *, (b - a) / 1000000000.0::double AS sec FROM s), k AS (SELECT bag, b, CAST(CASE WHEN sec <= 600 THEN 10 WHEN sec <= 1200 THEN 20 WHEN sec <= 1800 THEN 30 ELSE 60 * greatest(1, ceil(sec / 3600)) END AS bigint) * 1000000000 AS dd, a FROM z) SELECT bag, unnest(range((a + dd - 1) // dd * dd, b + 1, dd)) AS tick_ns FROM k")
+@query("""+ s AS (SELECT bag, min(log_time_ns) // 1000000 AS a, max(log_time_ns) // 1000000 AS b FROM v_messages GROUP BY bag HAVING max(log_time_ns) // 1000000 > min(log_time_ns) // 1000000),
+z AS (SELECT *, CASE WHEN (b - a) / 1000.0 / 10 < 55 THEN 10 WHEN (b - a) / 1000.0 / 20 < 55 THEN 20 WHEN (b - a) / 1000.0 / 30 < 55 THEN 30 ELSE 60 END AS step FROM s),
+k AS (SELECT bag, a, b, step, unnest(range((a + step * 1000 - 1) // (step * 1000) * step, b // 1000 + 1, step)) AS sec FROM z),
+l AS (SELECT bag, coalesce(min(nice) FILTER (WHERE held <= 54), 3600) AS label FROM (SELECT bag, nice, count_if(sec % nice = 0) AS held FROM k, (SELECT unnest([10, 20, 30, 60, 120, 180, 300, 600, 900, 1800, 3600]) AS nice) WHERE nice >= step GROUP BY ALL) GROUP BY bag)
+SELECT bag, CAST(sec AS bigint) AS tick_s, round((sec * 1000 - a) / (b - a)::double, 9) AS share, sec % label = 0 AS labelled FROM k JOIN l USING (bag)""")
 def time_ticks(spark, d):
     """WIN-15."""
-    rows = timeline(spark, d)[1].where("ref_ts < 1704074400000000000")
-    return sequences.time_ticks(align.summaries(rows)).select("bag", "tick_ns")
+    return rounded(sequences.time_ticks(align.summaries(timeline(spark, d)[1])), 9, "share")
 
 
 @query("+ x AS (SELECT 1) SELECT DISTINCT bag FROM v_manifest WHERE bag IN (SELECT bag FROM v_messages)")
 def bag_index(spark, d):
-    """SNK-15, SRC-2, SRC-17."""
+    """SNK-15."""
     return exports.bag_index(views.messages(spark, d), views.manifest(spark, d)).select("bag")
 
 
+def sharded(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.shards(views.manifest(spark, d).withColumnRenamed("id", "vec"), ["model", "bag"], ["timestamp_ns", "vec"], 40)
+
+
+SHARDED = "+ n AS (SELECT *, row_number() OVER (PARTITION BY model, bag ORDER BY timestamp_ns, id) - 1 AS nth FROM v_manifest)"
+
+
+@query(SHARDED + " SELECT bag, CAST(nth AS bigint) AS id, topic, round(list_dot_product(embedding, embedding), 6) AS dot FROM n")
+def manifest_with_vectors(spark, d):
+    """JN-2, PRJ-2: a manifest without vectors meets the shards that hold them."""
+    s = sharded(spark, d)
+    joined = manifests.with_vectors(manifests.ordered_columns(s.drop("embedding")), s)
+    return rounded(joined.select("bag", "id", "topic", v.dot(F.col("embedding"), F.col("embedding")).alias("dot")), 6, "dot")
+
+
+@query("+ x AS (SELECT 1) SELECT model, bag, CAST(max(len(embedding)) AS int) AS D, 'float32' AS dtype, count(*) AS total_count FROM v_manifest GROUP BY ALL")
+def embedding_metadata(spark, d):
+    """SNK-6."""
+    return manifests.metadata(views.manifest(spark, d))
+
+
+@query(SHARDED + ", h AS (SELECT model, bag, max(nth) + 1 AS held FROM n WHERE timestamp_ns < 1704100000000000000 GROUP BY ALL), a AS (SELECT n.model, n.bag, n.id AS vec, row_number() OVER (PARTITION BY n.model, n.bag ORDER BY timestamp_ns, id) - 1 + coalesce(held, 0) AS id FROM n LEFT JOIN h USING (model, bag) WHERE timestamp_ns >= 1704100000000000000) SELECT bag, vec, CAST(id AS bigint) AS id, format('shard-{:05d}', CAST(id // 40 AS int)) AS shard_id, CAST(id % 40 AS int) AS row_in_shard FROM a")
+def shard_append(spark, d):
+    """SNK-5, WIN-13: later frames go on behind what each bag holds already."""
+    m, at = views.manifest(spark, d).withColumnRenamed("id", "vec"), 1_704_100_000_000_000_000
+    by, order = ["model", "bag"], ["timestamp_ns", "vec"]
+    held = sequences.shards(m.where(F.col("timestamp_ns") < at), by, order, 40)
+    return sequences.shards(m.where(F.col("timestamp_ns") >= at), by, order, 40, held).select("bag", "vec", "id", "shard_id", "row_in_shard")
+
+
+@query("+ s AS (SELECT bag, mcap_id, count(*) AS n, min(log_time_ns) AS a, max(log_time_ns) AS b FROM v_messages GROUP BY ALL), o AS (SELECT *, sum(n) OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - n AS start FROM s) SELECT bag, CAST(sum(n) AS bigint) AS count, CAST(min(a) AS varchar) AS firstTimestampNs, CAST(max(b) AS varchar) AS lastTimestampNs, string_agg(CAST(start AS bigint) || ':' || mcap_id || ':' || n || ':' || a || ':' || b, ',' ORDER BY start) AS ranges, false AS needsBackfill FROM o GROUP BY bag")
+def client_summaries(spark, d):
+    """PRJ-3."""
+    out = manifests.client_summary(align.bag_totals(align.summaries(timeline(spark, d)[1])))
+    one = lambda r: F.concat_ws(":", *(r[c].cast("string") for c in ("startIndex", "mcapIdentifier", "count", "firstTimestampNs", "lastTimestampNs")))
+    return out.select("bag", "count", "firstTimestampNs", "lastTimestampNs", F.array_join(F.transform("mcapRanges", one), ",").alias("ranges"), F.col("_needsBackfill").alias("needsBackfill"))
+
+
+@query(f"+ d AS (SELECT bag, mcap_id FROM v_messages GROUP BY ALL HAVING count_if({DEAR}) > 0) SELECT '/data/' || bag AS path, mcap_id FROM d WHERE bag <> 'bag_3'")
+def pending_to_bags(spark, d):
+    """JN-15: segments chosen by a bag's name meet the selected paths; bag_3 is not selected."""
+    selected = spark.createDataFrame([("/data/bag_0",), ("/data/bag_1",), ("/data/bag_2",)], "path string")
+    return manifests.pending_segments(dear_segments(spark, d).withColumnRenamed("bag", "key"), selected)
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 'bag_2', 'export_1'), (2, 'b', 'bag_0', 'export_1'), (3, 'c', 'bag_2', 'export_1'), (4, 'd', 'bag_2', 'export_1')) x(place, name, source_rosbag, output_parent)")
+def export_batch_items(spark, d):
+    """SNK-18."""
+    items = spark.createDataFrame([(1, "a", "bag_2"), (2, "b", "bag_0"), (3, "c", None), (4, "d", "")], "place int, name string, source_rosbag string")
+    return manifests.export_batch(items, F.lit("export_1"))
+
+
+@query("+ x AS (SELECT bag, topic, sequence, row_number() OVER (PARTITION BY bag, topic ORDER BY sequence) AS n FROM v_messages) SELECT bag, string_agg(topic, ',' ORDER BY sequence) AS topics FROM x WHERE n = 1 GROUP BY bag")
+def ordered_distinct_topics(spark, d):
+    """SET-6: a bag's topics in the order of their first messages."""
+    m = views.messages(spark, d).groupBy("bag", "topic").agg(F.min("sequence").alias("at")).groupBy("bag").agg(F.array_sort(F.collect_list(F.struct("at", "topic"))).alias("m"))
+    return m.select("bag", F.array_join(manifests.ordered_distinct(F.transform("m", lambda x: x["topic"])), ",").alias("topics"))
+
+
+@query("+ s AS (SELECT DISTINCT bag, mcap_id FROM v_messages), d AS (SELECT bag, mcap_id, topic FROM v_messages GROUP BY ALL HAVING max(value) > 60) SELECT DISTINCT v.bag, v.mcap_id, v.topic FROM v_messages v WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.bag = v.bag AND d.mcap_id = v.mcap_id AND d.topic = v.topic)")
+def incremental_ledger(spark, d):
+    """FLT-20, SET-5 at the level of topics: what a ledger leaves to do; the latest row of a key counts."""
+    m = views.messages(spark, d)
+    done = m.groupBy("bag", "mcap_id", "topic").agg(F.max("value").alias("most")).where("most > 60")
+    rows = ingest.ledger_rows(done, "embed").unionByName(ingest.ledger_rows(m.select("bag", "mcap_id", "topic").distinct(), "embed", "started", at=0))
+    return ingest.unprocessed(m.select("bag", "mcap_id", "topic").distinct(), rows, "embed")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -41,9 +41,13 @@ def topics_of_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("bag", clean("name").alias("topic"), F.coalesce(F.nullif(clean("type"), F.lit("")), F.lit("unknown")).alias("msg_type")).where("topic <> ''")
 
 
+#: Fixed value: a topic's name in any text.
+TOPIC_NAME = r"(\/[a-zA-Z0-9_][a-zA-Z0-9_/]*)"
+
+
 def topics_of_text(text: DataFrame, column: str = "value") -> DataFrame:
     """(topic, msg_type): distinct topic names in any text, of unknown type."""
-    found = text.select(F.explode_outer(F.regexp_extract_all(column, F.lit(r"(\/[a-zA-Z0-9_][a-zA-Z0-9_/]*)"), F.lit(1))).alias("topic"))
+    found = text.select(F.explode_outer(F.regexp_extract_all(column, F.lit(TOPIC_NAME), F.lit(1))).alias("topic"))
     return found.where("topic is not null").distinct().withColumn("msg_type", F.lit("unknown"))
 
 
@@ -74,8 +78,12 @@ def parquet_stats(spark: SparkSession, path: str, column: str) -> DataFrame:
             spark.conf.set(k, v)
 
 
+#: Files beside the models' folders.
+NO_MODELS = [".DS_Store", "README.md", "completion.json"]
+
+
 def models(manifest: DataFrame) -> DataFrame:
-    return manifest.select("model").distinct().where(~F.col("model").isin("manifests", "shards", "tmp"))
+    return manifest.select("model").distinct().where(~F.col("model").isin(NO_MODELS))
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

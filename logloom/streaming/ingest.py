@@ -20,20 +20,26 @@ from ..operators import align, spatial
 KEY = ["processor", "model", "bag", "mcap", "topic"]
 
 
-def ledger_rows(segments: DataFrame, processor: str, status: str = "completed") -> DataFrame:
-    """Rows for segments (bag, mcap_id)."""
-    none = F.lit(None).cast("string")
-    return segments.select(F.lit(processor).alias("processor"), none.alias("model"), "bag", F.col("mcap_id").alias("mcap"), none.alias("topic"), F.lit(status).alias("status"), F.unix_micros(F.current_timestamp()).alias("completed_at"))
+def ledger_rows(items: DataFrame, processor: str, status: str = "completed", at: int | None = None) -> DataFrame:
+    """Rows for items at any level: (bag, mcap_id) of a segment, with a model, a topic or both, or a model or bag alone."""
+    level = lambda c: F.col(c).cast("string") if c in items.columns else F.lit(None).cast("string")
+    when = F.unix_micros(F.current_timestamp()) if at is None else F.lit(at).cast("long")
+    return items.select(F.lit(processor).alias("processor"), level("model").alias("model"), level("bag").alias("bag"), level("mcap_id").alias("mcap"), level("topic").alias("topic"), F.lit(status).alias("status"), when.alias("completed_at"))
 
 
 def latest(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy(*KEY).agg(F.max_by("status", "completed_at").alias("status"), F.max("completed_at").alias("completed_at"))
 
 
-def unprocessed(segments: DataFrame, ledger: DataFrame, processor: str) -> DataFrame:
-    """Segments (bag, mcap_id) that the processor has not completed."""
-    done = latest(ledger.where(F.col("processor") == processor)).where("status = 'completed'").select("bag", F.col("mcap").alias("mcap_id")).distinct()
-    return segments.join(done, ["bag", "mcap_id"], "left_anti")
+def unprocessed(items: DataFrame, ledger: DataFrame, processor: str) -> DataFrame:
+    """Items that the processor has not completed: an item's columns among model, bag, mcap_id and topic name it, and the
+    ledger's rows of just that level count."""
+    named = {c: "mcap" if c == "mcap_id" else c for c in ("model", "bag", "mcap_id", "topic") if c in items.columns}
+    others = [c for c in KEY[1:] if c not in named.values()]
+    done = latest(ledger.where(F.col("processor") == processor)).where("status = 'completed'")
+    for c in others:
+        done = done.where(F.col(c).isNull())
+    return items.join(done.select(*(F.col(k).alias(c) for c, k in named.items())).distinct(), list(named), "left_anti")
 
 
 def merged_outputs(old: Column, new: Column) -> Column:

@@ -42,7 +42,7 @@ def test_documents_beside_bags(spark, tmp_path):
     wide = spark.createDataFrame([(1, 5, None), (2, None, 7)], "`Reference Timestamp` long, `/a` long, `Max Distance` long")
     wide.coalesce(1).write.parquet(str(tmp_path / "lookup"))
     long = bags.aligned(bags.lookup_tables(spark, str(tmp_path / "lookup")))
-    assert sorted((r.ref_ts, r.topic, r.topic_ts) for r in long.collect()) == [(1, "/a", 5), (2, "/a", None)] or long.count() == 2
+    assert sorted((r.ref_ts, r.topic, r.topic_ts) for r in long.collect()) == [(1, "/a", 5), (2, "/a", None)]
     stats = bags.parquet_stats(spark, str(tmp_path / "lookup"), "`Reference Timestamp`").first()
     assert (stats.n, stats.least, stats.largest) == (2, 1, 2)
 
