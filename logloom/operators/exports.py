@@ -5,11 +5,18 @@ A plan row is (bag, name, start_index, end_index, windows); ends of a range in t
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import messages as decoding
 from ..functions import names
+from ..sources import mcap
 from .align import global_index, segment_of_index
 from .spatial import islands
 
@@ -81,20 +88,57 @@ def export_names(windows: DataFrame) -> DataFrame:
 def pcd_text(points: Column, with_colour: bool) -> Column:
     """An ASCII point cloud file, version 0.7, of structs x, y, z (r, g, b)."""
     rgb = lambda p: F.shiftleft(p["r"], 16).bitwiseOR(F.shiftleft(p["g"], 8)).bitwiseOR(p["b"])
-    line = lambda p: F.concat_ws(" ", *(p[c].cast("string") for c in "xyz"), *([rgb(p).cast("string")] if with_colour else []))
+    line = lambda p: F.concat(F.concat_ws(" ", *(p[c].cast("double").cast("string") for c in "xyz"), *([rgb(p).cast("string")] if with_colour else [])), F.lit("\n"))
     n = F.size(points).cast("string")
     fields = ("x y z rgb", "4 4 4 4", "F F F U", "1 1 1 1") if with_colour else ("x y z", "4 4 4", "F F F", "1 1 1")
-    head = ["# .PCD v0.7 - Point Cloud Data file format", "VERSION 0.7", *(f"{k} {v}" for k, v in zip(("FIELDS", "SIZE", "TYPE", "COUNT"), fields, strict=True))]
-    return F.concat_ws("\n", F.lit("\n".join(head)), F.concat(F.lit("WIDTH "), n), F.lit("HEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0"), F.concat(F.lit("POINTS "), n), F.lit("DATA ascii"), F.array_join(F.transform(points, line), "\n"))
+    head = ["# .PCD v0.7 - Point Cloud Data", "VERSION 0.7", *(f"{k} {v}" for k, v in zip(("FIELDS", "SIZE", "TYPE", "COUNT"), fields, strict=True))]
+    return F.concat_ws("\n", F.lit("\n".join(head)), F.concat(F.lit("WIDTH "), n), F.lit("HEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0"), F.concat(F.lit("POINTS "), n), F.concat(F.lit("DATA ascii\n"), F.array_join(F.transform(points, line), "")))
 
 
 def raw_file_path(name: Column, mcap: Column, topic: Column, ts: Column, msg_type: Column, fmt: Column) -> Column:
-    """`name/mcap/topic/ts.ext` with the extension of the message's type."""
+    """`name/mcap/topic/ts.ext` with the extension that the message's type usually has; raw_files() knows the one it got."""
     ext = F.when(msg_type.endswith("CompressedImage"), names.image_extension(fmt)).when(msg_type.endswith("/Image"), "png").when(msg_type.endswith("PointCloud2"), "pcd")
     ext = F.coalesce(ext, F.when(msg_type.rlike("(NavSatFix|BESTPOS|Imu|Odometry|TFMessage)$"), "json").otherwise("txt"))
     return F.concat_ws("/", name, mcap.cast("string"), names.topic_file(topic), F.concat(ts.cast("string"), F.lit("."), ext))
 
 
+def raw_files(plan_messages: DataFrame, definitions: dict[str, str]) -> DataFrame:
+    """(path, content) of planned messages (name, part_mcap, topic, msg_type, log_time_ns, data) as files of their own: pictures,
+    point clouds, JSON or text by type. Messages that are none, or empty, have no file; of two at one path one counts."""
+    raw = plan_messages.withColumn("_f", decoding.raw_files(F.col("data"), F.col("msg_type"), definitions)).where("_f.content is not null")
+    path = F.concat_ws("/", "name", F.col("part_mcap").cast("string"), names.topic_file(F.col("topic")), F.concat(F.col("log_time_ns").cast("string"), F.lit("."), F.col("_f.extension")))
+    return raw.select(path.alias("path"), F.col("_f.content").alias("content"))
+
+
+def mcap_files(plan_messages: DataFrame, definitions: dict[str, str]) -> DataFrame:
+    """(path, content): a recording of each part and segment, `name/name_N.mcap`, in the order of time. One segment's
+    messages, as one file of the source holds them, come to one task."""
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["log_time_ns", "sequence"], kind="stable")
+        columns = ("topic", "msg_type", "log_time_ns", "publish_time_ns", "sequence", "data")
+        name, part = pdf["name"].iloc[0], pdf["part_mcap"].iloc[0]
+        content = mcap.encode(zip(*(pdf[c] for c in columns), strict=True), definitions, {"rosbag": {"name": name}})
+        return pd.DataFrame({"path": [f"{name}/{name}_{part}.mcap"], "content": [content]})
+
+    return plan_messages.groupBy("name", "part_mcap").applyInPandas(encode, "path string, content binary")
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write (path, content) below root, a folder that all executors reach, each file whole or not at all; their number."""
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                target = Path(root) / path
+                target.parent.mkdir(parents=True, exist_ok=True)
+                draft = target.with_name(f".{target.name}-{uuid.uuid4().hex}")  # a task that runs again replaces the same file
+                draft.write_bytes(content)
+                draft.rename(target)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.where(names.is_safe_path(F.col("path"))).mapInPandas(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_messages(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Messages by name and segment; a segment that is written again replaces only its own files."""
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("name", "part_mcap").parquet(path)

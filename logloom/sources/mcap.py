@@ -1,23 +1,29 @@
-"""MCAP files as a Spark data source: one partition for each file, time and topic filters applied while reading.
+"""MCAP files as a Spark data source: one partition for each file; times, topics, bags and segments are filtered while reading.
 
-Follows the public MCAP specification. Chunks may be plain or zstd-compressed; a chunk may name
-channels that later ones use, so all are opened. Records of unknown kinds are skipped, and a truncated file gives what comes before the cut. Files are read
-from a folder that all executors reach.
+Follows the public MCAP specification. Chunks may be plain or compressed with zstd or lz4. Where a file ends in an index of
+its chunks, only those are read that overlap the times asked for and hold a topic asked for; without one, or in a file that
+was cut off, all records are read up to the cut. Records of unknown kinds are skipped. Messages come in the order of the
+file; order by log_time_ns where time counts. Files are read from a folder that all executors reach, or, by read_any(), from
+any store that Spark lists.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 # Fixed values of the format.
 MAGIC = b"\x89MCAP0\r\n"
-HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, DATA_END = 1, 2, 3, 4, 5, 6, 15
+HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX, STATISTICS, METADATA, DATA_END = 1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 15
 COLUMNS = "bag string, mcap_id string, topic string, msg_type string, log_time_ns long, publish_time_ns long, sequence long, data binary"
+FOREVER = 2**63
 
 
 def records(f: io.BufferedIOBase) -> Iterator[tuple[int, bytes]]:
@@ -34,60 +40,231 @@ def text(body: bytes, at: int) -> tuple[str, int]:
     return body[at + 4 : at + 4 + n].decode("utf-8", "replace"), at + 4 + n
 
 
-def messages(f: io.BufferedIOBase, start: int = 0, end: int = 2**63, topics: set[str] | None = None) -> Iterator[tuple]:
+def unpacked(chunk: bytes) -> bytes:
+    """The records of a chunk's body."""
+    size = struct.unpack_from("<Q", chunk, 16)[0]
+    codec, at = text(chunk, 28)
+    data = chunk[at + 8 : at + 8 + struct.unpack_from("<Q", chunk, at)[0]]
+    if codec == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+    if codec == "lz4":
+        return pa.decompress(data, decompressed_size=size, codec="lz4").to_pybytes() if size else b""
+    if codec:
+        raise ValueError(f"chunks compressed with {codec} can't be read")
+    return data
+
+
+def summary(f: io.BufferedIOBase) -> list[tuple[int, bytes]] | None:
+    """The records behind a file's messages; None where it has none or was cut off."""
+    f.seek(0, 2)
+    end = f.tell()
+    if end < 8 + 9 + 20 + 8:
+        return None
+    f.seek(end - 37)
+    tail = f.read(37)
+    if tail[29:] != MAGIC or tail[0] != FOOTER or not (start := struct.unpack_from("<Q", tail, 9)[0]):
+        return None
+    f.seek(start)
+    return list(records(io.BytesIO(f.read(end - 8 - start))))
+
+
+class Names:
+    """Schemas and channels as they come."""
+
+    def __init__(self) -> None:
+        self.schemas: dict[int, tuple[str, str, str]] = {0: ("", "", "")}
+        self.channels: dict[int, tuple[str, str]] = {}
+
+    def take(self, kind: int, body: bytes) -> None:
+        if kind == SCHEMA:
+            name, at = text(body, 2)
+            encoding, at = text(body, at)
+            self.schemas[struct.unpack_from("<H", body)[0]] = (name, encoding, text(body, at)[0])
+        elif kind == CHANNEL:
+            number, schema = struct.unpack_from("<HH", body)
+            self.channels[number] = (text(body, 4)[0], self.schemas.get(schema, ("", "", ""))[0])
+
+
+def wanted_chunks(ends: list[tuple[int, bytes]], names: Names, start: int, end: int, topics: set[str] | None) -> list[tuple[int, int]] | None:
+    """(offset, length) of the chunks to read; None if the summary has no index of chunks or names no channels."""
+    index = [b for k, b in ends if k == CHUNK_INDEX]
+    if not index or not names.channels:
+        return None
+    out = []
+    for body in index:
+        first, last, offset, length, width = struct.unpack_from("<QQQQI", body)
+        held = {struct.unpack_from("<H", body, 36 + i)[0] for i in range(0, width, 10)}
+        if first < end and last >= start and (topics is None or not held or any(names.channels.get(c, ("",))[0] in topics for c in held)):
+            out.append((offset, length))
+    return sorted(out)
+
+
+def messages(f: io.BufferedIOBase, start: int = 0, end: int = FOREVER, topics: set[str] | None = None) -> Iterator[tuple]:
     """(topic, msg_type, log_time, publish_time, sequence, data) with start <= log_time < end."""
     if f.read(8) != MAGIC:
         raise ValueError("not an MCAP file")
-    schemas: dict[int, str] = {0: ""}
-    channels: dict[int, tuple[str, str]] = {}
+    names = Names()
 
     def each(source: Iterable[tuple[int, bytes]]) -> Iterator[tuple]:
         for kind, body in source:
-            if kind == SCHEMA:
-                schemas[struct.unpack_from("<H", body)[0]] = text(body, 2)[0]
-            elif kind == CHANNEL:
-                number, schema = struct.unpack_from("<HH", body)
-                channels[number] = (text(body, 4)[0], schemas.get(schema, ""))
-            elif kind == MESSAGE:
+            if kind == MESSAGE:
                 number, sequence, log, publish = struct.unpack_from("<HIQQ", body)
-                topic, msg_type = channels.get(number, ("", ""))
+                topic, msg_type = names.channels.get(number, ("", ""))
                 if start <= log < end and (topics is None or topic in topics):
                     yield topic, msg_type, log, publish, sequence, body[22:]
             elif kind == CHUNK:
-                size = struct.unpack_from("<Q", body, 16)[0]
-                codec, at = text(body, 28)
-                data = body[at + 8 : at + 8 + struct.unpack_from("<Q", body, at)[0]]
-                if codec == "zstd":
-                    import zstandard
-
-                    data = zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
-                elif codec:
-                    raise ValueError(f"chunks compressed with {codec} can't be read")
-                yield from each(records(io.BytesIO(data)))
+                yield from each(records(io.BytesIO(unpacked(body))))
             elif kind in (FOOTER, DATA_END):
                 return
+            else:
+                names.take(kind, body)
 
+    if f.seekable() and (start > 0 or end < FOREVER or topics is not None) and (ends := summary(f)):
+        for kind, body in ends:
+            names.take(kind, body)
+        if (chunks := wanted_chunks(ends, names, start, end, topics)) is not None:
+            for offset, length in chunks:
+                f.seek(offset)
+                yield from each(records(io.BytesIO(f.read(length))))
+            return
+    if f.seekable():
+        f.seek(8)
     yield from each(records(f))
 
 
-def encode(rows: Iterable[tuple]) -> bytes:
-    """A file of (topic, msg_type, log_time, publish_time, sequence, data) in one zstd chunk, for exports and tests."""
+def definitions_in(f: io.BufferedIOBase) -> dict[str, str]:
+    """The text of every message type of a file, from its summary or else from all of it."""
+    names = Names()
+    for kind, body in summary(f) or ():
+        names.take(kind, body)
+    if len(names.schemas) == 1:
+        f.seek(8)
+        for kind, body in records(f):
+            for k, b in records(io.BytesIO(unpacked(body))) if kind == CHUNK else [(kind, body)]:
+                names.take(k, b)
+    return {name: definition for name, _, definition in names.schemas.values() if name}
+
+
+def counts_in(f: io.BufferedIOBase) -> list[tuple[str, str, int]] | None:
+    """(topic, msg_type, messages) from a file's statistics, without its messages; None where it has none."""
+    names, counts = Names(), None
+    for kind, body in summary(f) or ():
+        names.take(kind, body)
+        if kind == STATISTICS:
+            width = struct.unpack_from("<I", body, 42)[0]
+            counts = dict(struct.unpack_from("<HQ", body, 46 + i) for i in range(0, width, 10))
+    return None if counts is None else [(*names.channels[c], n) for c, n in sorted(counts.items()) if c in names.channels]
+
+
+def encode(rows: Iterable[tuple], definitions: dict[str, str] | None = None, metadata: dict[str, dict[str, str]] | None = None, codec: str = "zstd", chunk_size: int = 1 << 22) -> bytes:
+    """A file of (topic, msg_type, log_time, publish_time, sequence, data): chunks of about chunk_size bytes, metadata, and a
+    summary of schemas, channels, statistics and the index of chunks. codec: zstd, lz4 or none, an empty text."""
     import zstandard
 
     pack = lambda s: struct.pack("<I", len(s.encode())) + s.encode()
     record = lambda kind, body: struct.pack("<BQ", kind, len(body)) + body
-    out, channels, times = [], {}, []
+    pairs = lambda d: (lambda b: struct.pack("<I", len(b)) + b)(b"".join(pack(k) + pack(str(v)) for k, v in d.items()))
+    out = io.BytesIO(MAGIC + record(HEADER, pack("ros2") + pack("")))
+    out.seek(0, 2)
+    names, channels, schemas, chunks, counts, span = [], {}, {}, [], {}, []
+    part, held, times = [], set(), []
+
+    def close() -> None:
+        if not part:
+            return
+        raw = b"".join(part)
+        packed = zstandard.ZstdCompressor().compress(raw) if codec == "zstd" else pa.compress(raw, codec="lz4", asbytes=True) if codec == "lz4" else raw
+        body = struct.pack("<QQQI", min(times, default=0), max(times, default=0), len(raw), 0) + pack(codec) + struct.pack("<Q", len(packed)) + packed
+        at = out.tell()
+        out.write(record(CHUNK, body))
+        offsets = b"".join(struct.pack("<HQ", c, 0) for c in sorted(held))
+        chunks.append(struct.pack("<QQQQI", min(times, default=0), max(times, default=0), at, out.tell() - at, len(offsets)) + offsets + struct.pack("<Q", 0) + pack(codec) + struct.pack("<QQ", len(packed), len(raw)))
+        span.extend((min(times, default=0), max(times, default=0)))
+        part.clear(), held.clear(), times.clear()
+
+    size = 0
     for topic, msg_type, log, publish, sequence, data in rows:
-        if topic not in channels:
-            channels[topic] = n = len(channels) + 1
-            out.append(record(SCHEMA, struct.pack("<H", n) + pack(msg_type) + pack("ros2msg") + struct.pack("<I", 0)))
-            out.append(record(CHANNEL, struct.pack("<HH", n, n) + pack(topic) + pack("cdr") + struct.pack("<I", 0)))
-        out.append(record(MESSAGE, struct.pack("<HIQQ", channels[topic], sequence, log, publish) + data))
-        times.append(log)
-    raw = b"".join(out)
-    packed = zstandard.ZstdCompressor().compress(raw)
-    chunk = struct.pack("<QQQI", min(times, default=0), max(times, default=0), len(raw), 0) + pack("zstd") + struct.pack("<Q", len(packed)) + packed
-    return MAGIC + record(HEADER, pack("ros2") + pack("")) + record(CHUNK, chunk) + record(DATA_END, bytes(4)) + record(FOOTER, bytes(20)) + MAGIC
+        if (topic, msg_type) not in channels:
+            if msg_type not in schemas:
+                schemas[msg_type] = len(schemas) + 1
+                names.append(record(SCHEMA, struct.pack("<H", schemas[msg_type]) + pack(msg_type) + pack("ros2msg") + pack((definitions or {}).get(msg_type, ""))))
+                part.append(names[-1])
+            channels[topic, msg_type] = n = len(channels) + 1
+            names.append(record(CHANNEL, struct.pack("<HH", n, schemas[msg_type]) + pack(topic) + pack("cdr") + struct.pack("<I", 0)))
+            part.append(names[-1])
+        number = channels[topic, msg_type]
+        part.append(record(MESSAGE, struct.pack("<HIQQ", number, int(sequence), int(log), int(publish)) + bytes(data)))
+        counts[number] = counts.get(number, 0) + 1
+        held.add(number), times.append(int(log))
+        size += len(part[-1])
+        if size >= chunk_size:
+            close()
+            size = 0
+    close()
+    for name, values in (metadata or {}).items():
+        out.write(record(METADATA, pack(name) + pairs(values)))
+    out.write(record(DATA_END, bytes(4)))
+    start = out.tell()
+    total = b"".join(struct.pack("<HQ", c, n) for c, n in sorted(counts.items()))
+    statistics = struct.pack("<QHIIIIQQ", sum(counts.values()), len(schemas), len(channels), 0, len(metadata or {}), len(chunks), min(span, default=0), max(span, default=0)) + struct.pack("<I", len(total)) + total
+    out.write(b"".join(names) + record(STATISTICS, statistics) + b"".join(record(CHUNK_INDEX, c) for c in chunks))
+    out.write(record(FOOTER, struct.pack("<QQI", start, 0, 0)) + MAGIC)
+    return out.getvalue()
+
+
+def named(path: str) -> tuple[str, str | None]:
+    """The bag and segment that a file's path names."""
+    folder, _, name = path.rpartition("/")
+    parts = folder.rsplit("/", 2)
+    found = re.search(r"_(\d+)\.mcap$", name)
+    return "/".join(parts[-2:]) if len(parts) > 1 and parts[-2].endswith("_multi_parts") else parts[-1], found[1] if found else None
+
+
+def _opened(spark: SparkSession, root: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mcap").load(root)
+    return found.select("path", "content")
+
+
+def read_any(spark: SparkSession, root: str, start: int = 0, end: int = FOREVER, topics: list[str] | None = None) -> DataFrame:
+    """The source's rows from any store that Spark reads; each file comes whole into memory."""
+    wanted = set(topics) if topics else None
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = [(*named(path), *m) for m in messages(io.BytesIO(content), start, end, wanted)]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
+
+    return _opened(spark, root).mapInPandas(read, COLUMNS)
+
+
+def topic_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(bag, mcap_id, topic, msg_type, n) from the files' statistics, and from the messages of files without."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                found = counts_in(io.BytesIO(content))
+                if found is None:
+                    every = pd.DataFrame([m[:2] for m in messages(io.BytesIO(content))], columns=["topic", "msg_type"])
+                    found = [(*k, n) for k, n in every.value_counts().items()]
+                yield pd.DataFrame([(*named(path), *x) for x in found], columns=["bag", "mcap_id", "topic", "msg_type", "n"])
+
+    return _opened(spark, root).mapInPandas(read, "bag string, mcap_id string, topic string, msg_type string, n long")
+
+
+def definitions(spark: SparkSession, root: str) -> dict[str, str]:
+    """The text of every message type below root, one for each name: as many as there are types, for the driver."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found = {k: v for content in pdf["content"] for k, v in definitions_in(io.BytesIO(content)).items()}
+            yield pd.DataFrame(found.items(), columns=["msg_type", "definition"])
+
+    rows = _opened(spark, root).mapInPandas(read, "msg_type string, definition string").groupBy("msg_type").agg({"definition": "max"})
+    return dict(tuple(r) for r in rows.collect())
 
 
 class McapSource(DataSource):
@@ -107,7 +284,8 @@ class McapSource(DataSource):
 class McapReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"].removeprefix("file://").removeprefix("file:")
-        self.start, self.end, self.topics = 0, 2**63, None
+        self.start, self.end = 0, FOREVER
+        self.only: dict[str, set[str] | None] = {"topic": None, "bag": None, "mcap_id": None}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
         for f in filters:
@@ -120,9 +298,10 @@ class McapReader(DataSourceReader):
                 self.end = min(self.end, f.value)
             elif column == ("log_time_ns",) and isinstance(f, LessThanOrEqual):
                 self.end = min(self.end, f.value + 1)
-            elif column == ("topic",) and isinstance(f, (EqualTo, In)):
+            elif column and column[0] in self.only and len(column) == 1 and isinstance(f, (EqualTo, In)):
                 wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.topics = wanted if self.topics is None else self.topics & wanted
+                old = self.only[column[0]]
+                self.only[column[0]] = wanted if old is None else old & wanted
             else:
                 yield f
 
@@ -131,17 +310,13 @@ class McapReader(DataSourceReader):
         import os
 
         found = sorted(glob.glob(os.path.join(self.path, "**", "*.mcap"), recursive=True)) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(f) for f in found] or [InputPartition(None)]
+        fits = lambda f: all(self.only[k] is None or v in self.only[k] for k, v in zip(("bag", "mcap_id"), named(f), strict=True))
+        return [InputPartition(f) for f in found if fits(f)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        import re
-
         if not partition.value:
             return
-        folder, _, name = partition.value.rpartition("/")
-        parts = folder.rsplit("/", 2)
-        bag = "/".join(parts[-2:]) if len(parts) > 1 and parts[-2].endswith("_multi_parts") else parts[-1]
-        found = re.search(r"_(\d+)\.mcap$", name)
+        bag, segment = named(partition.value)
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         types = [pa.string()] * 4 + [pa.int64()] * 3 + [pa.binary()]
 
@@ -150,8 +325,8 @@ class McapReader(DataSourceReader):
 
         rows, size = [], 0
         with open(partition.value, "rb") as f:
-            for m in messages(f, self.start, self.end, self.topics):
-                rows.append((bag, found[1] if found else None, *m))
+            for m in messages(f, self.start, self.end, self.only["topic"]):
+                rows.append((bag, segment, *m))
                 size += len(m[-1])
                 if len(rows) == 5000 or size > 1 << 24:
                     yield batch(rows)

@@ -60,17 +60,30 @@ def with_start_index(segments: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
     """Every output over each batch's segments, into target/<name> by (bag, mcap_id); the ledger into target/ledger.
 
-    A segment's file must come whole in one batch, as recorders write it."""
+    A segment may come in several files and batches: a batch that touches one that is there already computes it from all
+    of its files."""
     made = outputs or {"summary": summaries_of, "aligned": lambda b: align.nearest_messages(align.uniform_timeline(b), b)}
 
+    def whole_segments(batch: DataFrame, number: int) -> DataFrame:
+        segments = batch.select("bag", F.col("mcap_id").cast("string").alias("mcap_id")).distinct()
+        if not number:
+            return batch
+        done = spark.read.parquet(f"{target}/ledger").where(F.col("batch") < number).select("bag", F.col("mcap").alias("mcap_id"))
+        again = segments.join(done.distinct(), ["bag", "mcap_id"], "left_semi")
+        if again.isEmpty():
+            return batch
+        every = spark.read.schema(schema).parquet(source)
+        fresh = batch.join(again, ["bag", "mcap_id"], "left_anti")
+        return fresh.unionByName(every.join(again, ["bag", "mcap_id"], "left_semi").select(*batch.columns))
+
     def write(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
+        held = whole_segments(batch.persist(), number)
         try:
             for name, f in made.items():
                 f(held).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bag", "mcap_id").parquet(f"{target}/{name}")
             ledger_rows(held.select("bag", "mcap_id").distinct(), "ingest").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/ledger")
         finally:
-            held.unpersist()
+            batch.unpersist()
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -166,7 +166,7 @@ def test_pcd_and_points(spark):
     assert pl.unpack_points(struct.pack(">fff", 1.0, 2.0, 3.0), 12, fields[:3], big=True)[0][:3] == (1.0, 2.0, 3.0)
     df = spark.createDataFrame([(bytearray(data), 16, [(n, o, k) for n, o, k in fields], False), (None, 16, [], False)], "d binary, s int, f array<struct<name:string,offset:int,datatype:int>>, b boolean")
     text = df.select(exports.pcd_text(pl.points(F.col("d"), F.col("s"), F.col("f"), F.col("b")), True).alias("t")).collect()
-    assert text[0].t.endswith("POINTS 1\nDATA ascii\n1.0 2.0 3.0 66051") and "POINTS 0" in text[1].t
+    assert text[0].t.endswith("POINTS 1\nDATA ascii\n1.0 2.0 3.0 66051\n") and "POINTS 0" in text[1].t
     assert pl.to_rgb(bytes([1, 2, 3]), "bgr8", 1, 1) == bytes([3, 2, 1]) and pl.to_rgb(b"\x00\x02", "mono16", 1, 1) == bytes([2, 2, 2]) and pl.to_rgb(b"", "jpeg", 1, 1) is None
 
 
