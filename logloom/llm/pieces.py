@@ -372,11 +372,12 @@ def sample_batch(l: Lattices, texts: list[str], seeds: list[int], k: int) -> Ite
 SAMPLES = "sample int, n_pieces long, pieces binary, log_p double, perturbed double, inclusion double"
 
 
-def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, path: str = MODEL, theta: float = THETA, seed: int = SEED, digest: bool = False) -> DataFrame:
+def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, path: str = MODEL, theta: float = THETA, seed: int = SEED, digest: bool = False, chars: int = CHARS) -> DataFrame:
     """(key, sample, n_pieces, pieces, log_p, perturbed, inclusion): up to k distinct segmentations of each text.
 
     pieces holds the ids as little-endian numbers of 2 bytes (4, if the vocabulary needs them). With digest it is left
-    out for its SHA-256 and whether it decodes to the text, so that the ids need not leave the task."""
+    out for its SHA-256 and whether it decodes to the text, so that the ids need not leave the task. chars: how many characters
+    of texts are taken at once; fewer need less memory and a little more time, and the draws stay the same."""
     v = load(path, theta)
     dtype = "<u2" if len(v.pieces) <= 1 << 16 else "<u4"
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, " + (SAMPLES if not digest else SAMPLES.replace("pieces binary", "pieces_sha256 string, decodes boolean"))
@@ -388,7 +389,7 @@ def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
             at = 0
             while at < batch.num_rows:
                 to, size = at, 0
-                while to < batch.num_rows and (to == at or size + len(texts[to].as_py() or "") <= CHARS):
+                while to < batch.num_rows and (to == at or size + len(texts[to].as_py() or "") <= chars):
                     size += len(texts[to].as_py() or "")
                     to += 1
                 part = batch.slice(at, to - at)
