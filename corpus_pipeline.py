@@ -40,7 +40,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.segmentations(docs, digest=True)
+    return pieces.segmentations(docs, digest=True, chars=1 << 18)  # its workers share their executors with those of the stages before
 
 
 STAGES = [
