@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+FOLDER: ContextVar[str | None] = ContextVar("FOLDER", default=None)
+
+
+@contextmanager
+def tables_in(spark: SparkSession, folder: str) -> Iterator[None]:
+    """What table() writes meanwhile goes to folder, which is deleted at the end: what reads it must have been run by then."""
+    token = FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        FOLDER.reset(token)
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None, dictionary: bool = True) -> DataFrame:
     """df written as Parquet in the shared folder and read back. It cuts lineage as checkpoint() does, survives lost
     executors, and lets later steps read single columns. scratch gathers tables that drop_tables() is to delete.
@@ -34,7 +56,7 @@ def table(df: DataFrame, name: str, scratch: list[DataFrame] | None = None, dict
     While it is written, Spark drops shuffle files as soon as a job has ended, since the table stands for what they held;
     the setting changes no result."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{FOLDER.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -54,11 +76,8 @@ def drop_tables(scratch: list[DataFrame]) -> None:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table() that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(hadoop).delete(path, True)
+        delete(df.sparkSession, parent)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -71,8 +90,8 @@ BROADCAST_ROWS = 500_000
 
 
 def sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Broadcast a side whose rows have been counted and are few; else Spark joins it by shuffle. Rows with arrays count
-    by `weight`, their length."""
+    """Broadcast a side whose rows have been counted and are few; else Spark joins it by shuffle. A row with an array counts as
+    `weight` rows more, about one for fifty bytes."""
     rows = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 

@@ -17,6 +17,8 @@ be enough (see `enough`), and the rest is verified on the whole sets. Up to thre
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ BUCKET_BITS = 17
 SPACE = r"[\x20\x09-\x0D]+"
 #: Sets of fewer words match only equal ones.
 SMALLEST = 4
-#: Sets of as many words have twice the parity bits, as the bits of long ones differ by chance no more than they may.
-LONG = 72
+#: Sets of as many words have three times the parity bits, as the bits of long ones differ by chance no more than they may.
+LONG = 32
 #: Two 32-bit numbers in one.
 WIDE = 1 << 32
 #: monotonically_increasing_id() counts the rows of a partition in its low bits.
@@ -62,7 +64,7 @@ def rarity(sets: DataFrame) -> list[int]:
 
 
 def with_codes(sets: DataFrame, levels: list[int]) -> DataFrame:
-    """(id, n, bits, more, least, codes) of (id, line): the number of different words, parity bits, the three least hashes, and
+    """(id, n, bits, more, most, least, codes) of (id, line): the number of different words, parity bits, the four least hashes, and
     the words as sorted 63-bit codes, the 7 bits of a word's class above 56 of its hash.
 
     The table is a literal: as a column it would be copied into every row. No element that the sorts get may be null, or
@@ -70,13 +72,13 @@ def with_codes(sets: DataFrame, levels: list[int]) -> DataFrame:
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
     shiftleft = lambda x, n: F.call_function("shiftleft", x.cast("long"), n)
     bit = lambda h: shiftleft(F.lit(1), F.shiftrightunsigned(h, 58).cast("int"))
-    is_odd = lambda h: h.bitwiseAND(F.lit(1 << 57)) != 0
+    third = lambda h, k: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(255)) % 3 == k
     zero = F.lit(0).cast("long")
     code = lambda h: F.coalesce(shiftleft(table[bucket(h)], F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
     df = sets.select("id", F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
     parity = F.aggregate("h", zero, lambda acc, h: acc.bitwiseXOR(bit(h)))
-    odd = F.when(F.size("h") >= LONG, F.aggregate("h", zero, lambda acc, h: F.when(is_odd(h), acc.bitwiseXOR(bit(h))).otherwise(acc))).otherwise(zero)
-    return df.select("id", F.size("h").alias("n"), parity.alias("bits"), odd.alias("more"), F.slice(F.sort_array("h"), 1, 3).alias("least"), F.sort_array(F.transform("h", code)).alias("codes"))
+    of_third = lambda k: F.when(F.size("h") >= LONG, F.aggregate("h", zero, lambda acc, h: F.when(third(h, k), acc.bitwiseXOR(bit(h))).otherwise(acc))).otherwise(zero)
+    return df.select("id", F.size("h").alias("n"), parity.alias("bits"), of_third(1).alias("more"), of_third(2).alias("most"), F.slice(F.sort_array("h"), 1, 4).alias("least"), F.sort_array(F.transform("h", code)).alias("codes"))
 
 
 def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
@@ -85,11 +87,15 @@ def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
     return (n_a * DOWN >= n_b * UP) & (n_b * DOWN >= n_a * UP) & (most * (UP + DOWN) >= (n_a + n_b) * UP)
 
 
-def near(n_a: Column, bits_a: Column, more_a: Column, n_b: Column, bits_b: Column, more_b: Column) -> Column:
-    """The filter of parity bits; sets of the similarity pass it always. `more` has those of about half of the words, so that
-    two long sets are compared by them and by the rest."""
-    bits, more = bits_a.bitwiseXOR(bits_b), more_a.bitwiseXOR(more_b)
-    differ = F.when((n_a >= LONG) & (n_b >= LONG), F.bit_count(more) + F.bit_count(bits.bitwiseXOR(more))).otherwise(F.bit_count(bits))
+PARITY = ("bits", "more", "most")
+
+
+def near(n_a: Column, a: list[Column], n_b: Column, b: list[Column]) -> Column:
+    """The filter of parity bits (PARITY); sets of the similarity pass it always. `more` and `most` have those of a third of the
+    words each, so that two long sets are compared by thirds."""
+    bits, more, most = (x.bitwiseXOR(y) for x, y in zip(a, b, strict=True))
+    thirds = F.bit_count(more) + F.bit_count(most) + F.bit_count(bits.bitwiseXOR(more).bitwiseXOR(most))
+    differ = F.when((n_a >= LONG) & (n_b >= LONG), thirds).otherwise(F.bit_count(bits))
     return differ * (UP + DOWN) <= (n_a + n_b) * (DOWN - UP)
 
 
@@ -118,25 +124,25 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: list[DataFrame]) -> Dat
 def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -> DataFrame:
     """(id) of the sets (id, line) that have a similar set with a lesser id.
 
-    A set is first held against one other: any two of its three words of the least hashes, whatever their rarity, name a
+    A set is first held against one other: any two of its four words of the least hashes, whatever their rarity, name a
     group; of these groups' earliest sets that pass the parity filter it is the one that most name. This settles nearly
     all copies in as many pairs as there are sets, even in a group of very many near copies; only the sets it leaves open
     are joined with all earlier ones that share words of the prefix."""
     coded = with_codes(sets, levels)
     prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, prefix_length(F.col("n")))).otherwise(F.col("codes"))
-    anchors = F.array(*(F.xxhash64(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for i, j in ((0, 1), (0, 2), (1, 2))))
-    index = common.table(coded.select("id", "n", "bits", "more", prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch, dictionary=False)
+    anchors = F.array(*(F.xxhash64(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for i, j in combinations(range(4), 2)))
+    index = common.table(coded.select("id", "n", *PARITY, prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch, dictionary=False)
 
     small = index.where(F.col("n") < SMALLEST)
     same = small.groupBy("prefix").agg(F.min("id").alias("e"), F.count("*").alias("size")).where("size > 1")
     equal = small.join(same, "prefix").where("id > e").select(F.col("id").alias("b"))
 
     whole = index.where(F.col("n") >= SMALLEST)
-    rows = whole.select("id", "n", "bits", "more", F.explode_outer("anchors").alias("code"))
+    rows = whole.select("id", "n", *PARITY, F.explode_outer("anchors").alias("code"))
     earliest = rows.groupBy("code").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("code", "a")
-    votes = rows.join(earliest, "code").where("id > a").groupBy("a", "id").agg(F.count("*").alias("votes"), *(F.any_value(c).alias(c) for c in ("n", "bits", "more")))
-    first = whole.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "bits", "more")))
-    votes = votes.join(first, "a").where(near(*(F.col(c) for c in ("n", "bits", "more", "n_a", "bits_a", "more_a"))))
+    votes = rows.join(earliest, "code").where("id > a").groupBy("a", "id").agg(F.count("*").alias("votes"), *(F.any_value(c).alias(c) for c in ("n", *PARITY)))
+    first = whole.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", *PARITY)))
+    votes = votes.join(first, "a").where(near(F.col("n"), [F.col(c) for c in PARITY], F.col("n_a"), [F.col(f"{c}_a") for c in PARITY]))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
     settled = common.table(verified(common.table(best, "linededup-pairs", scratch), sets, scratch), "linededup-settled", scratch)
 
@@ -144,14 +150,15 @@ def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -
     # more, by a negative id, and 32 bits of a code, whose collisions only add candidates. Both sides read the same columns,
     # so that they are one exchange
     done = common.sized(settled.select(F.col("b").alias("id"), F.lit(True).alias("done")))
-    sides = whole.join(done, "id", "left").select(F.coalesce(F.when(F.col("done"), -1 - F.col("id")), "id", F.lit(0)).alias("tag"), "n", "bits", "more", F.posexplode_outer("prefix").alias("i", "code"))
-    sides = sides.select("tag", (F.col("n").cast("long") * WIDE + F.col("i")).alias("n_i"), "bits", "more", F.hash("code").alias("code"))
-    c = {f"{k}_{x}": F.col(f"{x}.{k}") for k in ("tag", "bits", "more") for x in "ab"}
+    sides = whole.join(done, "id", "left").select(F.coalesce(F.when(F.col("done"), -1 - F.col("id")), "id", F.lit(0)).alias("tag"), "n", *PARITY, F.posexplode_outer("prefix").alias("i", "code"))
+    sides = sides.select("tag", (F.col("n").cast("long") * WIDE + F.col("i")).alias("n_i"), *PARITY, F.hash("code").alias("code"))
+    parity_a, parity_b = ([F.col(f"{k}.{c}") for c in PARITY] for k in "ab")
+    tag_b = F.col("b.tag")
     n_a, i_a, n_b, i_b = (x for k in "ab" for x in (F.shiftright(f"{k}.n_i", 32), F.col(f"{k}.n_i").bitwiseAND(F.lit(WIDE - 1))))
-    earlier = F.greatest(c["tag_a"], -1 - c["tag_a"])
+    earlier = F.greatest("a.tag", -1 - F.col("a.tag"))
     pairs = sides.alias("a").join(sides.alias("b"), F.col("a.code") == F.col("b.code"))
-    pairs = pairs.where((earlier < c["tag_b"]) & fitting(n_a, i_a, n_b, i_b) & near(n_a, c["bits_a"], c["more_a"], n_b, c["bits_b"], c["more_b"]))
-    pairs = pairs.groupBy(earlier.alias("a"), c["tag_b"].alias("b"), n_a.cast("int").alias("n_a"), n_b.cast("int").alias("n_b")).agg(F.count("*").alias("shared"), F.max(i_a).alias("last_a"), F.max(i_b).alias("last_b"))
+    pairs = pairs.where((earlier < tag_b) & fitting(n_a, i_a, n_b, i_b) & near(n_a, parity_a, n_b, parity_b))
+    pairs = pairs.groupBy(earlier.alias("a"), tag_b.alias("b"), n_a.cast("int").alias("n_a"), n_b.cast("int").alias("n_b")).agg(F.count("*").alias("shared"), F.max(i_a).alias("last_a"), F.max(i_b).alias("last_b"))
     pairs = pairs.where(enough(*(F.col(k) for k in ("shared", "n_a", "last_a", "n_b", "last_b")))).select("a", "b")
     rest = verified(common.table(pairs, "linededup-pairs", scratch), sets, scratch)
     return equal.unionByName(settled).unionByName(rest).select(F.col("b").alias("id"))
@@ -205,7 +212,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     removed = common.table(removed_lines(docs, scratch, key, text), "linededup-removed")
     common.drop_tables(scratch)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit("#"), text, key).alias("k2"))
-    rows = rows.join(common.sized(removed, F.size("places")), ["k1", "k2"], "left")
+    rows = rows.join(common.sized(removed, F.size("places") / 12), ["k1", "k2"], "left")
     whole = F.col("row").getField(text)
     lines = F.split(whole, "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("places", i)), "\n")
