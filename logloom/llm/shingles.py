@@ -3,7 +3,9 @@
 A set's shingles are put in one order for all documents, rare ones first; two sets that are alike share one of the first
 n - ceil(0.8 n) + 1 in it. Which shingles are common is read from a sample and only decides that order, so it changes no
 result. Of a shingle that many sets share, pairs with the least and greatest set are compared first; after that only pairs
-that are not yet in one component are. Every candidate pair is compared by its whole sets.
+that are not yet in one component are. A candidate pair is tried by BITS parity bits: bit b of a set tells whether an odd
+number of its shingles hash to b, so that two sets' bits differ in no more places than they have shingles of one alone,
+which is at most a ninth of both sizes' sum. Pairs that pass are compared by their whole sets.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, SEED = 5, 42
+BITS = 1024
 #: One document in SAMPLE is read for common shingles, and of these the COMMON most frequent come last in the order.
 SAMPLE, COMMON = 16, 500_000
 #: Groups with more sets than this are compared by their ends first.
@@ -38,6 +41,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
+def parity(own: np.ndarray) -> bytes:
+    return np.packbits(np.bincount(own & (BITS - 1), minlength=BITS) & 1).tobytes()
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two sets is at least 0.8."""
     if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
@@ -164,6 +171,18 @@ def pairs_of(rows: DataFrame, ends: bool) -> DataFrame:
     return ordered.mapInArrow(make, "a long, b long").distinct()
 
 
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (h, n, bits) may be alike by their parity bits."""
+
+    def check(n_a: pd.Series, bits_a: pd.Series, n_b: pd.Series, bits_b: pd.Series) -> pd.Series:
+        words = lambda x: np.frombuffer(b"".join(x), np.uint64).reshape(len(x), BITS // 64)
+        return pd.Series(9 * np.bitwise_count(words(bits_a) ^ words(bits_b)).sum(axis=1).astype(np.int64) <= n_a + n_b)
+
+    a, b = (sets.select(F.col("h").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    both = pairs.join(a, "a").join(b, "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    return both.where(F.pandas_udf(check, "boolean")("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (h, own) are alike."""
 
@@ -177,17 +196,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) of h that join every pair of alike sets; from sets (k1, k2, h, n, prefix) and docs (k1, k2, text)."""
-    unique = sets.where("n > 0").groupBy("h").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min(F.struct("k1", "k2")).alias("k"))
-    unique = common.table(unique, "shingle-sets")
+    """Links (a, b) of h that join every pair of alike sets; from sets (k1, k2, h, n, bits, prefix) and docs (k1, k2, text)."""
+    unique = sets.where("n > 0").groupBy("h").agg(*(F.any_value(c).alias(c) for c in ("n", "bits", "prefix")), F.min(F.struct("k1", "k2")).alias("k"))
+    unique = common.table(unique, "shingle-sets", dictionary=False)
     rows = unique.select("h", "n", F.posexplode("prefix").alias("i", "s")).select("s", "h", "n", "i")
     rows = common.table(rows.repartition("s").sortWithinPartitions("s").mapInArrow(shared, "s long, h long, n int, i int"), "shingle-shared")
     chosen = unique.join(common.sized(rows.select("h").distinct()), "h", "left_semi").select("h", "k.k1", "k.k2")
     chosen = common.table(chosen, "shingle-chosen")
     texts = docs.join(common.sized(chosen), ["k1", "k2"]).select("h", "text").dropDuplicates(["h"])
     whole = common.table(texts.select("h", F.pandas_udf(hashes, "array<long>")("text").alias("own")), "shingle-whole")
-    found = common.table(verified(common.table(pairs_of(rows.withColumn("c", F.col("h")), True), "shingle-pairs"), whole), "shingle-links")
+    found = common.table(verified(common.table(plausible(pairs_of(rows.withColumn("c", F.col("h")), True), unique), "shingle-pairs"), whole), "shingle-links")
     of = common.components(found, "shingle-parts").select(F.col("node").alias("h"), F.col("root"))
     labelled = rows.join(common.sized(common.table(of, "shingle-of")), "h", "left").withColumn("c", F.coalesce("root", "h"))
-    more = verified(common.table(pairs_of(labelled, False), "shingle-pairs"), whole)
+    more = verified(common.table(plausible(pairs_of(labelled, False), unique), "shingle-pairs"), whole)
     return found.unionByName(more)

@@ -10,7 +10,8 @@ fingerprints is split before the shuffle: of three thirds of the other 32 bits o
 keys of 42 bits or more, and no key has over 2^22 fingerprints.
 
 Nulls and empty texts have fingerprint zero and are linked like any other. A null key column is never a component's
-name unless all its members are null.
+name unless all its members are null. A repeated row gives a row each time (keep_one() keeps one of them), an empty table none;
+other columns pass through keep_one() under their own names.
 """
 
 from __future__ import annotations
@@ -222,10 +223,10 @@ def shingle_links(prints: DataFrame, named: DataFrame) -> DataFrame:
         for texts in parts:
             own = [shingles.shingle_set(t) for t in texts]
             h = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own]
-            yield pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64), "n": np.array([len(x) for x in own], np.int32), "prefix": [shingles.prefix(x, often, counts) for x in own]})
+            yield pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64), "n": np.array([len(x) for x in own], np.int32), "bits": [shingles.parity(x) for x in own], "prefix": [shingles.prefix(x, often, counts) for x in own]})
 
-    made = named.select("k1", "k2", F.pandas_udf(sets, "h long, n int, prefix array<long>")(F.col("text")).alias("x")).select("k1", "k2", "x.*")
-    made = common.table(made, "shingles")
+    made = named.select("k1", "k2", F.pandas_udf(sets, "h long, n int, bits binary, prefix array<long>")(F.col("text")).alias("x")).select("k1", "k2", "x.*")
+    made = common.table(made, "shingles", dictionary=False)
     links = shingles.links(made, named)
     fp_of = made.select("k1", "k2", "h").join(prints.select("k1", "k2", "fp").distinct(), ["k1", "k2"]).select("h", "fp").distinct()
     fp_of = common.table(fp_of, "shingle-prints")
