@@ -11,7 +11,8 @@ state to each; matrices of up to BLOCK blocks are multiplied (minimum for sum, s
 back hands each block its first and last state, with which it chooses its turns' actions. The rendering is one piece for
 each row, and a conversation is its pieces in order.
 
-Null or unknown roles are relabelled, null texts are empty, rows with a null turn come last, repeated rows each are a turn.
+Null or unknown roles are relabelled, null texts are empty, rows with a null turn come last, repeated rows each are a turn, and
+a null conversation is one like any other. A text of any length is one piece. Other columns of the table are left out.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ turn, ROUNDS times: a shallow tree on one feature's bins takes a small step alon
 is added to that feature's lookup table. Then the pairs that would reduce the loss most get two-way tables in the same way.
 A score is the sum of table entries, looked up for whole batches at once, through the logistic function.
 
-Features come from the text alone, the whole of it. Null and empty texts have all features zero and a score like any other.
+Features come from the text alone, the whole of it. Null and empty texts have all features zero and a score like any other;
+a repeated row gives a row each time, an empty table none, and without labels every score is 0.5. Other columns pass
+through keep_good() under their own names.
 The model is fitted on at most TRAIN_ROWS labelled rows, chosen by a hash of the key; this bound is a parameter.
 """
 
@@ -159,6 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
+    """docs with a column `score`, which may not be there already."""
+    if score in docs.columns:
+        raise ValueError(f"column {score} is there already; give another name")
+
     def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series(model.scores(np.array([features(t) for t in texts]).reshape(-1, len(NAMES))))

@@ -607,3 +607,12 @@ def test_segmentations_decode_and_depend_on_the_key_alone(spark, odd, empty, voc
     raw = pieces.segmentations(again, k=3).collect()
     assert all(pieces.decode(np.frombuffer(bytes(r.pieces), "<u2"), vocabulary) == dict(ODD)[r.doc_id] and 0 < r.inclusion <= 1 for r in raw)
     assert pieces.op2(empty).count() == 0
+
+
+def test_clashing_columns_and_odd_conversations(spark, odd):
+    with pytest.raises(ValueError):
+        quality.with_score(odd, quality.fit(np.zeros((0, len(quality.NAMES))), np.zeros(0)))
+    rows = [(None, None, None, None)] * 3 + [(1, 0, "user", LONG), (1, 1, "user", LONG)]
+    out = chat.op5(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert out.count() > 0
+    assert chat.op5(spark.createDataFrame(rows[:3], "conv_id long, turn long, role string, text string")).count() > 0
