@@ -56,10 +56,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is a Parquet table in the shared folder."""
+    """All stages over documents; what each returns is a Parquet table in the shared folder. A stage's own tables, and the
+    table that it has read, go once it is written; the last stage's input stays for the result."""
     docs = common.read(spark, sf_dir, "documents")
     path = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with common.tables_in(spark, f"{path}/{name}-tables"):
+            stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        if k:
+            common.drop_table(docs)
         docs = spark.read.parquet(f"{path}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
