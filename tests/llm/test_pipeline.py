@@ -83,3 +83,20 @@ def test_near_dedup_stage_links_edited_copies(spark):
     assert n_pairs > 100
     kept = pipeline.stage_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
     assert sorted(x.doc_id for x in kept.collect()) == sorted({find(k) for k, _ in rows})
+
+
+LONG = "word " * 3000 + "x" * 3000
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one two three four five six"), (5, "one two three four five six"), (5, "one two three four five six"), (None, "no key at all here"), (6, LONG), (7, LONG), (8, "é ñ 😀 ▁ tabs\tand\r\nlines")]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_a_whole_run_over_odd_rows_and_over_none(spark, tmp_path, rows):
+    """Nothing is labelled, so that quality keeps all; of copies one stays, and a row without a key stays."""
+    spark.createDataFrame([(k, t, "en", "s", len(t or ""), "theirs") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, k1 string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "é ñ tabs and lines")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.decodes for r in out)
+    kept = {r.doc_id for r in out}
+    # 1, 2 and 3 have no words; the second copy of a line goes before documents are compared, which leaves 5 and 7 empty as well
+    assert kept == ({None, 1, 4, 6, 8} if rows else set())
