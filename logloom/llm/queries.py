@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, linededup, mpeg, pieces, pii, quality, simhash, urlrules, winnow
+from . import chat, licenses, linededup, mpeg, packing, phrases, pieces, pii, quality, simhash, urlrules, variants, winnow
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,11 @@ def queries() -> dict[str, Query]:
         "op8_mpeg_audio": lambda spark, d: mpeg.op8(read(spark, d, "documents")),
         "op9_pii_candidates": lambda spark, d: pii.op9(read(spark, d, "documents")),
         "op10_winnowing_decontamination": lambda spark, d: winnow.op10(read(spark, d, "documents"), read(spark, d, "benchmark")),
+        "op11_phrase_collocations": lambda spark, d: phrases.op11(read(spark, d, "documents")),
+        "op12_best_fit_packing": lambda spark, d: packing.op12(read(spark, d, "documents")),
+        "op13_spelling_variants": lambda spark, d: variants.op13(read(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_rules": urlrules.ORACLE, "op10_winnowing_decontamination": winnow.ORACLE}
+    return {"op4_url_rules": urlrules.ORACLE, "op10_winnowing_decontamination": winnow.ORACLE, "op11_phrase_collocations": phrases.ORACLE}
