@@ -35,8 +35,8 @@ VOCABULARY = "word_bpe_49k.json"
 SIZE, END = 2048, 0
 #: Pieces of a shard; islands, packings on each, generations of an epoch, epochs; fill below which sequences are dissolved.
 SHARD, ISLANDS, PACKINGS, GENERATIONS, EPOCHS, FULL, SEED = 4096, 2, 4, 8, 2, 0.98, 11
-#: Words whose ids a worker keeps.
-SEEN = 600_000
+#: Rounds of exchange in a crossing, and words whose ids a worker keeps.
+SWAPS, SEEN = 4, 600_000
 MARKS = ",.;:!?"
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, r long"
 
@@ -160,6 +160,30 @@ def best_fit(lengths: np.ndarray, bin_of: np.ndarray, fill: np.ndarray, items: n
     return Packing(bin_of, np.array(fills, np.int64))
 
 
+def exchanged(p: Packing, lengths: np.ndarray, loose: np.ndarray, size: int) -> np.ndarray:
+    """Fill sequences up by exchange: in each the item that a longer loose one of at most the room left replaces best, which
+    sets the shorter one loose. Returns what is loose then; changes p."""
+    loose = loose[np.argsort(lengths[loose], kind="stable")]
+    placed = np.setdiff1d(np.arange(len(lengths)), loose)
+    placed = placed[p.fill[p.bin_of[placed]] < size]
+    if not len(loose) or not len(placed):
+        return loose
+    short = lengths[loose]
+    best = np.searchsorted(short, lengths[placed] + size - p.fill[p.bin_of[placed]], "right") - 1
+    gain = np.where(best >= 0, short[best] - lengths[placed], 0)
+    order = np.argsort(-gain, kind="stable")
+    order = order[gain[order] > 0]
+    _, first = np.unique(p.bin_of[placed[order]], return_index=True)  # one item of each sequence
+    order = order[np.sort(first)]
+    _, first = np.unique(best[order], return_index=True)  # and each loose one once
+    order = order[first]
+    out, into = placed[order], loose[best[order]]
+    bins = p.bin_of[out]
+    p.bin_of[into] = bins
+    p.fill[bins] += lengths[into] - lengths[out]
+    return np.concatenate([np.delete(loose, best[order]), out])
+
+
 def compact(p: Packing) -> Packing:
     used = p.fill > 0
     number = np.cumsum(used) - 1
@@ -168,7 +192,7 @@ def compact(p: Packing) -> Packing:
 
 def crossed(a: Packing, b: Packing, lengths: np.ndarray, size: int, draw: np.random.Generator) -> Packing:
     """Well-filled sequences of b go whole into a; a's sequences with any of the same items are dissolved, and the least filled of
-    the others too; what is displaced goes in by best fit."""
+    the others too; what is displaced is first exchanged for shorter items of sequences with room, then goes in by best fit."""
     share = draw.uniform(0.1, 0.5)
     order = np.argsort(-(b.fill + draw.uniform(0, size / 64, len(b.fill))), kind="stable")
     taken = np.zeros(len(b.fill), bool)
@@ -180,7 +204,10 @@ def crossed(a: Packing, b: Packing, lengths: np.ndarray, size: int, draw: np.ran
     gone[worst[: max(1, len(worst) // 50)]] = True
     fill = np.concatenate([np.where(gone, 0, a.fill), np.where(taken, b.fill, 0)])
     bin_of = np.where(injected, b.bin_of + len(a.fill), a.bin_of)
-    return compact(best_fit(lengths, bin_of, fill, np.flatnonzero(gone[a.bin_of] & ~injected), size))
+    child, loose = Packing(bin_of, fill), np.flatnonzero(gone[a.bin_of] & ~injected)
+    for _ in range(SWAPS):
+        loose = exchanged(child, lengths, loose, size)
+    return compact(best_fit(lengths, child.bin_of, child.fill, loose, size))
 
 
 def first_packings(lengths: np.ndarray, many: int, size: int, draw: np.random.Generator) -> list[Packing]:
