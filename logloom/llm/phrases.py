@@ -1,7 +1,7 @@
 """Phrase collocations from vertical positional inverted lists.
 
 Texts are dealt to blocks of about BLOCK bytes, and every block becomes an inverted index: for each word the ascending
-list of its positions. A position is a word's number in its block; a mark between pieces and texts takes a number too, so
+list of its positions, kept as gaps. A position is a word's number in its block; a mark between pieces and texts takes a number too, so
 that what is adjacent is so within a piece. The lists of a frequent phrase of k words and those of the phrases that
 start one word later are merge-joined by position, which gives the lists of the phrases of k + 1 words; a list's length
 is its exact frequency, summed over blocks. A block is the unit of work however often a phrase occurs, so a frequent
@@ -32,7 +32,7 @@ from . import common
 #: frequency that a longer one needs to stand for it.
 WORDS, LEAST, TOP, WITHIN = 5, 100, 2000, 100
 #: Bytes of text in a block (a longer text is a block of its own), and bits of the map of frequent phrases.
-BLOCK, BITS = 12_000_000, 1 << 25
+BLOCK, BITS = 1 << 20, 1 << 25
 CHUNK = 32768  # bits in one row of a bit map, as bitmap_or_agg() takes them
 
 BREAK = b"."
@@ -48,6 +48,11 @@ def lists_of(codes: np.ndarray, at: np.ndarray, many: int) -> tuple[np.ndarray,
 
 
 def list_column(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Lists as the first value of each and then the gaps, which are small numbers."""
+    first = ends[:-1][np.diff(ends) > 0]
+    gaps = np.diff(values, prepend=0)
+    gaps[first] = values[first]
+    values = gaps
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
@@ -90,7 +95,10 @@ def joined(ids: np.ndarray, lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     """The merge join of a block's lists with themselves, one position on: rows of the phrase before and of the one after
     (as one key, in order), the position of each, and the places where a new key starts."""
     whole = lists.combine_chunks()
-    lengths, at = whole.value_lengths().to_numpy(), whole.flatten().to_numpy()
+    lengths, gaps = whole.value_lengths().to_numpy(), whole.flatten().to_numpy()
+    at = np.cumsum(gaps, dtype=np.int64)
+    first = np.cumsum(lengths) - lengths
+    at -= np.repeat(at[first] - gaps[first], lengths)
     row = np.repeat(np.arange(len(ids)), lengths)
     order = np.argsort(at, kind="stable")
     at, row = at[order], row[order]
@@ -159,10 +167,14 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", wo
     sizes = common.table(sizes, "phrase-words")
     totals = common.table(sizes.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
     level = common.table(sizes.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", F.col("phrase").alias("last"), "f"), "phrase-level")
+    common.drop_table(sizes)
     lists = index.join(common.sized(level.select("lang", F.col("phrase").alias("word"), "id")), ["lang", "word"]).select("block", "id", "at")
     every = [level.select(F.lit(1).alias("k"), "lang", "phrase", "f")]
+    read = index
     for k in range(2, words + 1):
         lists = common.table(lists, "phrase-lists")
+        common.drop_table(read)
+        read = lists
         found = lists.groupBy("block").applyInArrow(counted, "p long, s long, c long").groupBy("p", "s").agg(F.sum("c").alias("f"))
         pairs = common.table(found.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "phrase-pairs")
         before = level.select(F.col("id").alias("p"), "lang", F.col("phrase").alias("head"))
@@ -174,6 +186,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", wo
             known = spark.sparkContext.broadcast(bit_map(pairs, bits))
             longer = lists.groupBy("block").applyInArrow(lists_by(known, bits), "block long, p long, s long, at array<int>")
             lists = longer.join(common.sized(pairs.select("p", "s", "id")), ["p", "s"]).select("block", "id", "at")
+    common.drop_table(read)
     out = every[0]
     for e in every[1:]:
         out = out.unionByName(e)
