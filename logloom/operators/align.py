@@ -1,7 +1,8 @@
 """Aligning topics to one timeline, and summaries of timelines.
 
-The nearest message comes from two running windows over the union of ticks and messages, one in rising and one in falling
-order of time; both frames end at the current row, so each is one pass. The partition is a topic of one segment.
+The nearest message comes from the union of ticks and messages in ranges of (segment, topic, time): two running windows inside
+a range, and a carry of each range's first and last message. Places in a bag are numbered over ranges likewise, so a
+topic or bag that holds most rows is spread over all tasks (numbering.py).
 """
 
 from __future__ import annotations
@@ -10,8 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import numbering
+
+#: Fixed value: 100 ms.
 TOLERANCE = 100_000_000
 SEGMENT = ["bag", "mcap_id"]
+#: Rows of a bucket of indexes.
+BUCKET = 1024
+
+
+def by_number() -> list[Column]:
+    """The order of a bag's segments: by number, then those that are none."""
+    return [F.col("mcap_id").try_cast("int").asc_nulls_last(), F.col("mcap_id")]
 
 
 def topic_counts(messages: DataFrame) -> DataFrame:
@@ -46,10 +57,7 @@ def nearest_messages(ticks: DataFrame, messages: DataFrame, tolerance: int = TOL
     topics = messages.select(*SEGMENT, "topic").distinct()
     asked = ticks.join(topics, SEGMENT).select(*SEGMENT, "topic", F.col("ref_ts").alias("t"), "ref_idx", F.lit(None).cast("long").alias("v"))
     given = messages.select(*SEGMENT, "topic", F.col("log_time_ns").alias("t"), F.lit(None).cast("long").alias("ref_idx"), F.col("log_time_ns").alias("v")).distinct()
-    by = W.partitionBy(*SEGMENT, "topic")
-    up = by.orderBy("t", F.col("v").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    down = by.orderBy(F.desc("t"), F.col("v").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = asked.unionByName(given).withColumn("before", F.last("v", True).over(up)).withColumn("after", F.last("v", True).over(down)).where("ref_idx is not null")
+    both = numbering.with_neighbours(asked.unionByName(given), [*SEGMENT, "topic"], ["t", F.col("v").asc_nulls_last(), "ref_idx"], "v").where("ref_idx is not null")
     at, before, after = F.col("t"), F.col("before"), F.col("after")
     near = F.when(before.isNull(), after).when(after.isNull(), before).when(at - before <= after - at, before).otherwise(after)
     return both.select(*SEGMENT, "ref_idx", F.col("t").alias("ref_ts"), "topic", F.when(F.abs(near - at) < tolerance, near).alias("topic_ts"))
@@ -84,9 +92,7 @@ def topic_map(aligned: DataFrame) -> DataFrame:
 def summaries(timeline: DataFrame, ts: str = "ref_ts") -> DataFrame:
     """(bag, mcap_id, start_index, count, first_ts, last_ts): segments in numeric order with the index at which each begins."""
     per = timeline.groupBy(*SEGMENT).agg(F.count("*").alias("count"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
-    order = W.partitionBy("bag").orderBy(F.col("mcap_id").try_cast("int").asc_nulls_last(), "mcap_id")
-    start = F.coalesce(F.sum("count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return per.withColumn("start_index", start).select(*SEGMENT, "start_index", "count", "first_ts", "last_ts")
+    return numbering.running_sum(per, ["bag"], by_number(), "count", "start_index").select(*SEGMENT, "start_index", "count", "first_ts", "last_ts")
 
 
 def bag_totals(summary: DataFrame) -> DataFrame:
@@ -95,32 +101,39 @@ def bag_totals(summary: DataFrame) -> DataFrame:
 
 
 def global_index(timeline: DataFrame, ts: str = "ref_ts") -> DataFrame:
-    """idx: a row's place in its bag, by time and then by segment."""
-    return timeline.withColumn("idx", F.row_number().over(W.partitionBy("bag").orderBy(ts, F.col("mcap_id").try_cast("int").asc_nulls_last(), "mcap_id")) - 1)
+    """idx: a row's place in its bag, by time and then by segment; rows that share both are numbered in any order."""
+    return numbering.numbered(timeline, ["bag"], [ts, *by_number()])
+
+
+def buckets(lo: Column, hi: Column) -> Column:
+    return F.explode(F.sequence(F.floor(lo / BUCKET), F.floor(hi / BUCKET)))
 
 
 def segment_of_index(points: DataFrame, summary: DataFrame, idx: str = "idx") -> DataFrame:
-    """points (bag, idx) with the segment whose range holds idx: the last start at or before it.
+    """points (bag, idx) with the segment whose range holds idx, and the place in it.
 
-    A running window over starts and points instead of a range join: cost grows with their number, not their product."""
-    starts = summary.select("bag", F.col("start_index").alias("_at"), F.struct("mcap_id", "start_index", "count").alias("_s"))
-    asked = points.withColumn("_at", F.col(idx)).withColumn("_s", F.lit(None).cast(starts.schema["_s"].dataType))
-    both = asked.unionByName(starts, allowMissingColumns=True).withColumn("_is", F.col("_s").isNull())
-    order = W.partitionBy("bag").orderBy("_at", "_is").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = both.withColumn("_f", F.last("_s", True).over(order)).where("_is")
-    inside = F.col(idx) < F.col("_f.start_index") + F.col("_f.count")
-    return found.select(*points.columns, F.when(inside, F.col("_f.mcap_id")).alias("mcap_id"), F.when(inside, F.col(idx) - F.col("_f.start_index")).alias("offset"))
+    A segment is copied to each bucket of BUCKET indexes that it reaches, so the join is one of equal bags and buckets."""
+    held = summary.where(F.col("count") > 0).select(F.col("bag").alias("_bag"), F.col("mcap_id").alias("_m"), F.col("start_index").alias("_s"), "count")
+    held = held.withColumn("_k", buckets(F.col("_s"), F.col("_s") + F.col("count") - 1))
+    inside = (F.col("bag") == F.col("_bag")) & (F.floor(F.col(idx) / BUCKET) == F.col("_k")) & (F.col(idx) >= F.col("_s")) & (F.col(idx) < F.col("_s") + F.col("count"))
+    return points.join(held, inside, "left").select(*points.columns, F.col("_m").alias("mcap_id"), (F.col(idx) - F.col("_s")).alias("offset"))
 
 
 def nearest_non_null(rows: DataFrame, by: list[str], idx: str, value: str, radius: int = 100) -> DataFrame:
-    """found, found_at: the value at idx or the nearest one within `radius` rows; the one before on ties."""
-    here = F.when(F.col(value).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))
-    order = W.partitionBy(*by).orderBy(idx)
-    left, right = F.last(here, True).over(order.rowsBetween(-radius, 0)), F.first(here, True).over(order.rowsBetween(0, radius))
-    both = rows.withColumn("_l", left).withColumn("_r", right)
-    use_left = F.col("_r").isNull() | (F.col("_l").isNotNull() & (F.col(idx) - F.col("_l.i") <= F.col("_r.i") - F.col(idx)))
-    pick = F.when(use_left, F.col("_l")).otherwise(F.col("_r"))
-    return both.withColumn("found", pick["v"]).withColumn("found_at", pick["i"]).drop("_l", "_r")
+    """found, found_at: the value at idx or the nearest one at most `radius` indexes off; the one before on ties.
+
+    Buckets of indexes, with the values within `radius` of a bucket copied to it, are the unit of work."""
+    span = max(4 * BUCKET, 4 * radius)
+    bucket = lambda c: F.floor(c / span)
+    given = rows.where(F.col(value).isNotNull()).select(*by, idx, F.struct(F.col(idx).alias("i"), F.col(value).alias("v")).alias("_g"))
+    given = given.withColumn("_b", F.explode(F.sequence(bucket(F.col(idx) - radius), bucket(F.col(idx) + radius)))).withColumn("_asks", F.lit(False))
+    asked = rows.withColumn("_g", F.lit(None).cast(given.schema["_g"].dataType)).withColumn("_b", bucket(F.col(idx))).withColumn("_asks", F.lit(True))
+    own = W.partitionBy(*by, "_b")
+    up, down = (own.orderBy(o, "_asks").rowsBetween(W.unboundedPreceding, W.currentRow) for o in (F.col(idx), F.desc(idx)))
+    both = asked.unionByName(given, allowMissingColumns=True).withColumn("_l", F.last("_g", True).over(up)).withColumn("_r", F.last("_g", True).over(down)).where("_asks")
+    left, right = F.col(idx) - F.col("_l.i"), F.col("_r.i") - F.col(idx)
+    pick = F.when((left <= radius) & (right.isNull() | (left <= right)), F.col("_l")).when(right <= radius, F.col("_r"))
+    return both.withColumn("found", pick["v"]).withColumn("found_at", pick["i"]).drop("_l", "_r", "_g", "_b", "_asks")
 
 
 def reference_index_of(aligned: DataFrame, stamps: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import numbering
+
 
 def ordinals(messages: DataFrame) -> DataFrame:
     """nth: a message's place among its topic's in its segment, from 0."""
@@ -28,11 +30,11 @@ def fenceposts(messages: DataFrame, parts: int = 8) -> DataFrame:
 def shards(df: DataFrame, by: list[str], order: list[str], size: int = 100_000, held: DataFrame | None = None) -> DataFrame:
     """Running ids in each group with shard and row within it. held: (by, id) of rows that are there already; each group goes
     on behind its own largest id and so fills its last shard first."""
-    n = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
+    df, n = numbering.numbered(df, by, order, "_nth"), F.col("_nth")
     if held is not None:
         df = df.join(held.groupBy(*by).agg((F.max("id") + 1).alias("_from")), by, "left")
         n = n + F.coalesce("_from", F.lit(0))
-    df = df.withColumn("id", n.cast("long")).drop("_from")
+    df = df.withColumn("id", n.cast("long")).drop("_from", "_nth")
     return df.withColumns({"shard_id": F.format_string("shard-%05d", (F.col("id") / size).cast("int")), "row_in_shard": (F.col("id") % size).cast("int")})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geo, names
 from .functions import time as t
 from .functions import vectors as v
-from .operators import align, density, exports, manifests, search, sequences, spatial, topics
+from .operators import align, density, exports, manifests, numbering, search, sequences, spatial, topics
 from .sources import views
 from .streaming import ingest
 
@@ -259,9 +259,7 @@ def index_to_segment(spark, d):
 @query("+ r AS (SELECT bag, row_number() OVER (PARTITION BY bag ORDER BY log_time_ns, sequence) - 1 AS idx, CASE WHEN sequence % 7 = 0 THEN sequence END AS val FROM v_messages) SELECT r.bag, r.idx, (SELECT arg_min(q.val, (abs(q.idx - r.idx), q.idx)) FROM r q WHERE q.bag = r.bag AND q.val IS NOT NULL AND abs(q.idx - r.idx) <= 5) AS found FROM r")
 def nearest_non_null_probe(spark, d):
     """JN-9."""
-    from pyspark.sql import Window as W
-
-    m = views.messages(spark, d).withColumn("idx", F.row_number().over(W.partitionBy("bag").orderBy("log_time_ns", "sequence")) - 1)
+    m = numbering.numbered(views.messages(spark, d), ["bag"], ["log_time_ns", "sequence"])
     m = m.withColumn("val", F.when(F.col("sequence") % 7 == 0, F.col("sequence")))
     return align.nearest_non_null(m, ["bag"], "idx", "val", 5).select("bag", F.col("idx").cast("long").alias("idx"), "found")
 

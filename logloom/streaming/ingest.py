@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import align, spatial
+from ..operators import align, numbering, spatial
 
 KEY = ["processor", "model", "bag", "mcap", "topic"]
 
@@ -53,8 +52,7 @@ def summaries_of(batch: DataFrame) -> DataFrame:
 
 def with_start_index(segments: DataFrame) -> DataFrame:
     """The summary over all segments that have been ingested so far, from each one's count."""
-    order = W.partitionBy("bag").orderBy(F.col("mcap_id").try_cast("int").asc_nulls_last(), "mcap_id")
-    return segments.withColumn("start_index", F.coalesce(F.sum("count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    return numbering.running_sum(segments, ["bag"], align.by_number(), "count", "start_index")
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, outputs: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
