@@ -1,25 +1,20 @@
 """Semantic search: filters, stride sample, nearest vectors, ranks, marks and the funnel of counts.
 
 Per-group top-k is a rank filter, which Spark plans as WindowGroupLimit: each task keeps k rows of a group before the
-shuffle. Many queries meet all rows in cells of a block of queries and a slot of rows; a cell keeps k rows of a query and
-group, so that what is shuffled after it doesn't grow with the rows. The rank of a query runs over at most k rows for each
-model and bag.
+shuffle. Many queries ask a metric index (vectorindex.py). The rank of a query runs over at most k rows for each model and bag.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import time as t
 from ..functions import vectors as v
+from . import vectorindex
 
 K = 100
-#: Queries in a block and rows in a slot, which bound a task's memory.
-BLOCK, SLOT = 1024, 50_000
 #: Fixed value: columns that a manifest must have.
 REQUIRED = ["topic", "timestamp_ns", "minute_of_day", "mcap_identifier", "reference_timestamp_index", "shard_id", "row_in_shard"]
 
@@ -88,43 +83,10 @@ def query_rows(df: DataFrame, every: int = 100, id: str = "id") -> DataFrame:  #
     return df.where((F.col(id) % every == 0) & F.col("embedding").isNotNull()).select(F.col(id).alias("query_id"), F.col("embedding").alias("query"))
 
 
-def cell_nearest(rows: pd.DataFrame, queries: pd.DataFrame, by: list[str], tie: str, k: int) -> pd.DataFrame:
-    """The rows of one slot that may be among the k nearest of a query and group: all up to the k-th distance, with ties."""
-    names = ["query_id", *by, tie, "distance", "cosine"]
-    if not len(rows) or not len(queries):
-        return pd.DataFrame(columns=names)
-    e, q = (np.stack(x).astype(np.float64) for x in (rows["embedding"], queries["query"]))
-    one = lambda n: np.where(n == 0, 1.0, n)
-    norms = one(np.sqrt((e * e).sum(axis=1)))
-    members = [np.asarray(x) for x in rows.groupby(by, dropna=False, sort=False).indices.values()]
-    out = []
-    for vector, number in zip(q, queries["query_id"], strict=True):
-        d = ((e - vector) ** 2).sum(axis=1)
-        kept = np.concatenate([m if len(m) <= k else m[d[m] <= np.partition(d[m], k - 1)[k - 1]] for m in members])
-        part = rows.iloc[kept][[*by, tie]].assign(query_id=number, distance=d[kept])
-        out.append(part.assign(cosine=e[kept] @ vector / (norms[kept] * one(np.sqrt(vector @ vector)))))
-    return pd.concat(out)[names]
-
-
-def nearest_to(df: DataFrame, queries: DataFrame, k: int = K, by: tuple[str, ...] = ("model", "bag"), tie: str = "id", block: int = BLOCK, slot: int = SLOT) -> DataFrame:
+def nearest_to(df: DataFrame, queries: DataFrame, k: int = K, by: tuple[str, ...] = ("model", "bag"), tie: str = "id", clusters: int | None = None, slot: int = vectorindex.SLOT) -> DataFrame:
     """df's k nearest rows of each query (query_id, query) and group by squared L2 distance, exact, with query_id, `distance`,
     `cosine` and `local_rank`; `tie` names a row within its group. All vectors have one width; rows without one are left out."""
-    rows = df.where(F.col("embedding").isNotNull()).select(*by, tie, "embedding")
-    blocks, slots = (max(1, -(-x.count() // n)) for x, n in ((queries, block), (rows, slot)))
-    part = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("_s", part(slots, *by, tie)).withColumn("_b", every(blocks))
-    right = queries.select("query_id", "query", part(blocks, "query_id").alias("_b")).withColumn("_s", every(slots))
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"query_id {dict(queries.dtypes)['query_id']}", *(f"`{c}` {kinds[c]}" for c in (*by, tie)), "distance double, cosine double"])
-    columns = list(by)
-
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return cell_nearest(a, b, columns, tie, k)
-
-    near = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(cell, schema)
-    place = F.row_number().over(W.partitionBy("query_id", *by).orderBy("distance", tie))
-    near = near.withColumn("local_rank", place).where(F.col("local_rank") <= k)
+    near, _ = vectorindex.nearest(vectorindex.build(df, by, tie, clusters, slot), queries, k)
     return near.join(df, [*by, tie])
 
 

@@ -279,7 +279,7 @@ def test_big_endian_colours():
 
 
 def test_nearest_rows_of_many_queries(spark):
-    """In blocks and slots of any size, with ties, zero vectors and rows without a vector, as all pairs give."""
+    """With clusters and shells of any size, with ties, zero vectors and rows without a vector, as all pairs give."""
     import numpy as np
 
     r = np.random.default_rng(3)
@@ -291,8 +291,8 @@ def test_nearest_rows_of_many_queries(spark):
         for group in {x[:2] for x in e}:
             near = sorted((sum((a - b) ** 2 for a, b in zip(x[3], q[3], strict=True)), x[2]) for x in e if x[:2] == group and x[3])[:7]
             want |= {(q[2], i, d, n + 1) for n, (d, i) in enumerate(near)}
-    for block, slot in ((1000, 1000), (3, 17)):
-        got = search.nearest_to(df, asked, 7, block=block, slot=slot)
+    for clusters, slot in ((1, 1000), (5, 17), (40, 3)):
+        got = search.nearest_to(df, asked, 7, clusters=clusters, slot=slot)
         assert {(x.query_id, x.id, x.distance, x.local_rank) for x in got.collect()} == want and set(df.columns) < set(got.columns)
     assert search.nearest_to(df, asked.limit(0)).count() == 0 and search.nearest_to(df.limit(0), asked).count() == 0
 
@@ -314,3 +314,50 @@ def test_batches_of_exports_and_pending_segments(spark):
     got = manifests.pending_segments(pending, spark.createDataFrame([("/x/B",), ("/y/D",)], "path string"))
     assert sorted(tuple(r) for r in got.collect()) == [("/x/B", "1"), ("/x/B", "2")]
     assert manifests.ordered_columns(spark.createDataFrame([(1, 2, 3)], "x int, topic int, id int")).columns == ["id", "topic", "x"]
+
+
+def test_vector_index_visits_few_rows_of_clustered_vectors(spark):
+    """Under a tenth of all pairs, and every result as all pairs give it, with half of all rows in one place."""
+    import numpy as np
+
+    from logloom.operators import vectorindex
+
+    r = np.random.default_rng(5)
+    middles = r.normal(0, 10, (60, 16))
+    e = [middles[i % 60] + r.normal(0, 0.3, 16) if i % 2 == 0 else np.full(16, 40.0) + 0.3 * (i % 7 == 0) for i in range(6000)]
+    df = spark.createDataFrame([("m", "b", i, [float(np.float32(x)) for x in v]) for i, v in enumerate(e)], "model string, bag string, id long, embedding array<float>")
+    asked = search.query_rows(df, 100)
+    index = vectorindex.build(df, ("model", "bag"), "id", 60, 100)
+    near, visits = vectorindex.nearest(index, asked, 10)
+    e = np.array(e, np.float32).astype(float)
+    for q, rows in near.toPandas().groupby("query_id"):
+        d = np.square(e - e[q]).sum(axis=1)
+        assert rows.sort_values("local_rank")["id"].tolist() == sorted(range(6000), key=lambda i: (d[i], i))[:10]
+    pairs = visits.agg(F.sum("rows")).first()[0]
+    assert near.select("query_id").distinct().count() == 60 and pairs < 60 * 6000 / 10
+    assert visits.where("rows > 100").isEmpty()
+
+
+def test_numbers_and_sums_of_one_large_group(spark):
+    """A group with nine tenths of all rows is spread: no task of the numbering holds more than a quarter of it."""
+    from logloom.operators import numbering
+
+    rows = [("big" if i % 10 else None, (i * 7919) % 4000, i) for i in range(8000)]
+    df = spark.createDataFrame(rows, "g string, t long, id long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        held = numbering.ranged(df, ["g"], ["t", "id"]).groupBy("g", numbering.PART).count().where("g = 'big'")
+        assert held.count() >= 5 and held.agg(F.max("count")).first()[0] < 7200 / 4
+        got = {r.id: (r.idx, r.s) for r in numbering.running_sum(numbering.numbered(df, ["g"], ["t", "id"]), ["g"], ["t", "id"], "t", "s").collect()}
+        near = {r.id: (r.before, r.after) for r in numbering.with_neighbours(df.withColumn("v", F.when(F.col("id") % 997 == 1, F.col("t"))), ["g"], ["t", "id"], "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for g in ("big", None):
+        own, s = sorted(r[1:] for r in rows if r[0] == g), 0
+        given = [(t, i) for t, i in own if i % 997 == 1]
+        for n, (t, i) in enumerate(own):
+            assert got[i] == (n, s)
+            s += t
+            assert near[i] == (max((x for x in given if x <= (t, i)), default=(None,))[0], min((x for x in given if x >= (t, i)), default=(None,))[0])
