@@ -10,7 +10,7 @@ Sequences of a shard's best packing that are filled less than FULL are dissolved
 for a second run, since what one shard lacks another may have.
 
 Tokens come word by word from a bounded table of words already seen: no token of this vocabulary spans white space or depends on what lies beyond
-it, and a mark at a word's end is a token by itself. A null text is an empty one, an empty text is one piece of one id, repeated rows
+it, and a mark behind letters is a token by itself. A null text is an empty one, an empty text is one piece of one id, repeated rows
 are packed each on their own, other columns play no part, and an empty table gives no rows. Ties are settled by the
 order of a shard's pieces; a task that is run again gives the same rows.
 """
@@ -18,6 +18,8 @@ order of a shard's pieces; a task that is run again gives the same rows.
 from __future__ import annotations
 
 import random
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,39 +38,54 @@ SIZE, END = 2048, 0
 #: Pieces of a shard; islands, packings on each, generations of an epoch, epochs; fill below which sequences are dissolved.
 SHARD, ISLANDS, PACKINGS, GENERATIONS, EPOCHS, FULL, SEED = 4096, 2, 4, 8, 2, 0.98, 11
 #: Rounds of exchange in a crossing, and words whose ids a worker keeps.
-SWAPS, SEEN = 4, 600_000
-MARKS = ",.;:!?"
+SWAPS, SEEN = 4, 1_000_000
+#: Letters up to U+00FF, which are one word of the tokenizer, and a run of marks, which is another; an apostrophe may not be.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, r long"
 
 
 class Words(dict):
-    """Little-endian ids of words already met, at most `most` of them at a time."""
+    """Little-endian ids of words already met (UTF-8); a word that is new is learned when it is asked for."""
 
     def __init__(self, path: str, most: int = SEEN):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.merges = self.tokenizer.model
+        letters = [chr(c) for c in range(0x80, 0x100) if chr(c).isalpha()]
+        self.bytes_as_text = str.maketrans({c: "".join(part for part, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)) for c in letters})
+
+    def __missing__(self, word: bytes) -> bytes:
+        """Letters and a run of marks behind them are two words of the tokenizer, so `word,` needs no merging if `word` and
+        `,` have been met."""
+        m = PLAIN.fullmatch(word)
+        if m and m[2]:
+            out = self[m[1]] + self[m[2]]
+        elif m:
+            ids = [t.id for t in self.merges.tokenize(word.decode().lower().translate(self.bytes_as_text))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
+        return out
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Of each text its ids and END. When there are too many words, those met later go: frequent words come first."""
+        end = struct.pack("<I", END)
+        for t in texts:
+            yield b"".join(map(self.__getitem__, lowered(t).replace(b"\n", b" ").split(b" "))) + end
+        if len(self) > self.most:
+            for w in list(self)[self.most // 2 :]:
+                del self[w]
+
 
-    def learn(self, words: set[str]) -> None:
-        """A mark after a letter is a token of its own, whatever the word, so `word,` needs no encoding if `word` has one."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
-        cut = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in MARKS and ("a" <= w[-2] <= "z" or "A" <= w[-2] <= "Z")}
-        whole = [w for w in {*(cut.get(w, w) for w in new), *MARKS} if w not in self]
-        for w, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        for w, base in cut.items():
-            self[w] = self[base] + self[w[-1]]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        end = np.array([END], "<u4").tobytes()
-        for words in split:
-            yield b"".join(map(self.__getitem__, words)) + end
+def lowered(text: bytes) -> bytes:
+    """A-Z lower-cased, as the tokenizer does later, so that fewer words differ; not beside special tokens, and not where a
+    combining mark may join a small letter but not its capital."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 @cache
@@ -82,14 +99,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def piecewise(path: str | None, size: int, chars: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (id, text) to pieces, about `chars` characters at a time; r is a random number, the same if a task is run again."""
+def piecewise(path: str | None, size: int, step: int = 1 << 22) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, text) to pieces, about `step` bytes at a time; r is a random number, the same if a task is run again."""
 
-    def pieces(own: Words, ids: list[object], texts: list[str], draw: random.Random, kind: pa.DataType) -> pa.RecordBatch:
+    def pieces(own: Words, ids: list[object], texts: list[bytes], draw: random.Random, kind: pa.DataType) -> pa.RecordBatch:
         rows = []
         for i, whole in zip(ids, own.encode(texts), strict=True):
-            view, step = memoryview(whole), 4 * size
-            rows += [(i, k, k * size, min(step, len(view) - s) // 4, zlib.crc32(view[s : s + step]), draw.getrandbits(62)) for k, s in enumerate(range(0, len(view), step))]
+            view, cut = memoryview(whole), 4 * size
+            rows += [(i, k, k * size, min(cut, len(view) - s) // 4, zlib.crc32(view[s : s + cut]), draw.getrandbits(62)) for k, s in enumerate(range(0, len(view), cut))]
         kinds = [kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "r"])
 
@@ -99,11 +116,11 @@ def piecewise(path: str | None, size: int, chars: int = 1 << 21) -> Callable[[It
         own, draw = words_of(path or vocabulary_path()), random.Random(SEED * 1_000_003 + TaskContext.get().partitionId())
         for batch in batches:
             ids, texts, held = [], [], 0
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+            for i, t in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
                 ids.append(i.as_py())
                 texts.append(t.as_py())
                 held += len(texts[-1])
-                if held >= chars:
+                if held >= step:
                     yield pieces(own, ids, texts, draw, batch.column(0).type)
                     ids, texts, held = [], [], 0
             if ids:

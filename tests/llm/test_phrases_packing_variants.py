@@ -124,7 +124,7 @@ def check_packing(rows, got, size):
     return len(sequences)
 
 
-WORDY = "Naïve café; İstanbul's ŒUVRE, don't 3,000 x.y <|endoftext|>, ﬁn é́ Á,  x\x0b\x1c. Σας ΣΑΣ, ok?! 中文, 12:30... ’s nb"
+WORDY = "Naïve café; İstanbul's ŒUVRE, don't 3,000 x.y <|endoftext|>, <|EndOfText|> J̌ H̱ İx ßÿ÷×a ﬁn é́ Á,  x\x0b\x1c. Σας ΣΑΣ, ok?! 中文, 12:30... ’s nb"
 
 
 def test_packing(spark):
