@@ -7,8 +7,8 @@ start one word later are merge-joined by position, which gives the lists of the
 is its exact frequency, summed over blocks. A block is the unit of work however often a phrase occurs, so a frequent
 word is one row in each block and no group holds all its places.
 
-Each level takes two steps: frequencies of all extensions are counted without their lists; then lists are made of
-frequent ones alone. Tasks learn of these by a bit map of at most BITS bits, which a join with the table of frequent phrases makes
+Each level takes two steps: frequencies of all extensions are counted without their lists, summed up in each block before they are
+shuffled; then lists are made of frequent ones alone. Tasks learn of these by a bit map of at most BITS bits, which a join with the table of frequent phrases makes
 exact; that table is broadcast only while it is small (common.sized). All parts of a frequent phrase are frequent, so
 nothing is lost by extending those only.
 
@@ -32,7 +32,9 @@ from . import common
 #: frequency that a longer one needs to stand for it.
 WORDS, LEAST, TOP, WITHIN = 5, 100, 2000, 100
 #: Bytes of text in a block (a longer text is a block of its own), and bits of the map of frequent phrases.
-BLOCK, BITS = 1 << 20, 1 << 25
+BLOCK, BITS = 1 << 19, 1 << 25
+#: Words of all texts for each part in which pairs are summed up.
+PAIRS = 1 << 21
 CHUNK = 32768  # bits in one row of a bit map, as bitmap_or_agg() takes them
 
 BREAK = b"."
@@ -115,9 +117,44 @@ def extensions(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return ids[key[first] // max(len(ids), 1)], ids[key[first] % max(len(ids), 1)], at, np.append(first, len(key))
 
 
-def counted(table: pa.Table) -> pa.Table:
-    p, s, _, ends = extensions(table)
-    return pa.table({"p": p, "s": s, "c": np.diff(ends)})
+def packed(p: np.ndarray, s: np.ndarray, c: np.ndarray) -> bytes:
+    """Counted pairs in the order of p, which is kept as gaps."""
+    columns = np.diff(p, prepend=0), s, c
+    return pa.compress(b"".join(x.astype("<i8").tobytes() for x in columns), codec="zstd", asbytes=True)
+
+
+def counter(parts: int) -> Callable[[pa.Table], pa.Table]:
+    """A block's extensions with their counts, packed into one row for each of `parts` parts of all pairs."""
+
+    def counted(table: pa.Table) -> pa.Table:
+        p, s, _, ends = extensions(table)
+        c, part = np.diff(ends), slot(p, s, 1 << 30) % parts
+        order = np.lexsort([s, p, part])
+        p, s, c, part = p[order], s[order], c[order], part[order]
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(starts[1:], len(part))
+        rows = [packed(p[i:j], s[i:j], c[i:j]) for i, j in zip(starts, ends, strict=True)]
+        return pa.table({"part": part[starts], "many": ends - starts, "pairs": pa.array(rows, pa.binary())})
+
+    return counted
+
+
+def summer(least: int) -> Callable[[pa.Table], pa.Table]:
+    """The pairs of one part that occur at least `least` times over all blocks."""
+
+    def summed(table: pa.Table) -> pa.Table:
+        held = []
+        for many, own in zip(table.column("many").to_pylist(), table.column("pairs").to_pylist(), strict=True):
+            rows = np.frombuffer(pa.decompress(own, decompressed_size=24 * many, codec="zstd"), "<i8").reshape(3, many)
+            held.append(np.stack([np.cumsum(rows[0]), rows[1], rows[2]]))
+        p, s, c = np.concatenate(held, axis=1)
+        order = np.lexsort([s, p])
+        p, s, c = p[order], s[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
+        f = np.add.reduceat(c, first)
+        return pa.table({"p": p[first], "s": s[first], "f": f}).filter(pa.array(f >= least))
+
+    return summed
 
 
 def slot(p: np.ndarray, s: np.ndarray, bits: int) -> np.ndarray:
@@ -166,6 +203,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", wo
     sizes = index.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum(F.size("at")).alias("f"))
     sizes = common.table(sizes, "phrase-words")
     totals = common.table(sizes.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
+    parts = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // PAIRS)
     level = common.table(sizes.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", F.col("phrase").alias("last"), "f"), "phrase-level")
     common.drop_table(sizes)
     lists = index.join(common.sized(level.select("lang", F.col("phrase").alias("word"), "id")), ["lang", "word"]).select("block", "id", "at")
@@ -175,8 +213,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", wo
         lists = common.table(lists, "phrase-lists")
         common.drop_table(read)
         read = lists
-        found = lists.groupBy("block").applyInArrow(counted, "p long, s long, c long").groupBy("p", "s").agg(F.sum("c").alias("f"))
-        pairs = common.table(found.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "phrase-pairs")
+        found = lists.groupBy("block").applyInArrow(counter(parts), "part long, many long, pairs binary")
+        found = found.groupBy("part").applyInArrow(summer(least), "p long, s long, f long")
+        pairs = common.table(found.withColumn("id", F.monotonically_increasing_id()), "phrase-pairs")
         before = level.select(F.col("id").alias("p"), "lang", F.col("phrase").alias("head"))
         after = level.select(F.col("id").alias("s"), "last")
         named = pairs.join(common.sized(before), "p").join(common.sized(after), "s")
