@@ -132,7 +132,7 @@ def counter(parts: int) -> Callable[[pa.Table], pa.Table]:
         order = np.lexsort([s, p, part])
         p, s, c, part = p[order], s[order], c[order], part[order]
         starts = np.flatnonzero(np.diff(part, prepend=-1))
-        ends = np.append(starts[1:], len(part))
+        ends = np.append(starts, len(part))[1:]
         rows = [packed(p[i:j], s[i:j], c[i:j]) for i, j in zip(starts, ends, strict=True)]
         return pa.table({"part": part[starts], "many": ends - starts, "pairs": pa.array(rows, pa.binary())})
 
