@@ -1,23 +1,33 @@
-"""MCAP files as a Spark data source: one partition for each file; times, topics, bags and segments are filtered while reading.
+"""MCAP files as a Spark data source, batch and stream; times, topics, bags and segments are filtered while reading.
 
 Follows the public MCAP specification. Chunks may be plain or compressed with zstd or lz4. Where a file ends in an index of
-its chunks, only those are read that overlap the times asked for and hold a topic asked for; without one, or in a file that
-was cut off, all records are read up to the cut. Records of unknown kinds are skipped. Messages come in the order of the
-file; order by log_time_ns where time counts. Files are read from a folder that all executors reach, or, by read_any(), from
-any store that Spark lists.
+its chunks, only those are read that overlap the times asked for and hold a topic asked for, and they are dealt to input partitions of
+about `partitionBytes`, so one large file gives many tasks; without an index, or in a file that was cut off, one task reads all
+records up to the cut. Only byte ranges are read: the last part of a file for planning, counts and definitions, and then its
+chunks. Records of unknown kinds are skipped. Messages come in the order of the file; with option("order", "time"), a
+partition's messages come in the order of time, partitions of a file don't overlap in time, and chunks that do are merged.
+
+Paths may be local or name a store that pyarrow opens (file:, hdfs:, s3: and s3a:, gs:, abfs:); read_any() takes whole files from any
+other store that Spark lists.
+
+The stream, spark.readStream.format("mcap"), has offsets of (file, chunk): each trigger gives the chunks that came since,
+also those of a file that is still being written, each once. A file whose last change lies more than `maxFileAge` seconds before the newest one's
+counts as done, which bounds the offsets.
 """
 
 from __future__ import annotations
 
+import heapq
 import io
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 # Fixed values of the format.
 MAGIC = b"\x89MCAP0\r\n"
@@ -26,6 +36,37 @@ COLUMNS = "bag string, mcap_id string, topic string, msg_type string, log_time_n
 FOREVER = 2**63
 
 
+#: Bytes of chunks in one input partition; the end of a file that is read first; seconds after which a file counts as done; footers read at once.
+PART, TAIL, AGE, THREADS = 1 << 26, 1 << 12, 7 * 86_400, 16
+
+
+def store_of(path: str) -> tuple[object, str]:
+    """pyarrow's file system for a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if not re.match(r"[a-z0-9]+:/", path):
+        return fs.LocalFileSystem(), path
+    path = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path))
+    return fs.FileSystem.from_uri(path)
+
+
+def opened(path: str) -> io.BufferedIOBase:
+    """A file for reads of byte ranges."""
+    store, at = store_of(path)
+    return store.open_input_file(at)
+
+
+def listed(path: str) -> list[tuple[str, int, float]]:
+    """(path, bytes, seconds of the last change) of the recordings below a folder, or of one file, in the order of names."""
+    from pyarrow import fs
+
+    store, at = store_of(path)
+    prefix = path[: len(path) - len(at)] if path.endswith(at) else ""
+    info = store.get_file_info(at)
+    found = [info] if info.is_file else store.get_file_info(fs.FileSelector(at, allow_not_found=True, recursive=True))
+    return sorted((prefix + f.path, f.size, f.mtime.timestamp() if f.mtime else 0.0) for f in found if f.is_file and (f is info or f.path.endswith(".mcap")))
+
+
 def records(f: io.BufferedIOBase) -> Iterator[tuple[int, bytes]]:
     while len(head := f.read(9)) == 9:
         size = struct.unpack_from("<Q", head, 1)[0]
@@ -57,17 +98,21 @@ def unpacked(chunk: bytes) -> bytes:
 
 
 def summary(f: io.BufferedIOBase) -> list[tuple[int, bytes]] | None:
-    """The records behind a file's messages; None where it has none or was cut off."""
+    """The records behind a file's messages; None where it has none or was cut off. Reads the file's end, once if that
+    holds all of them."""
     f.seek(0, 2)
     end = f.tell()
     if end < 8 + 9 + 20 + 8:
         return None
-    f.seek(end - 37)
-    tail = f.read(37)
-    if tail[29:] != MAGIC or tail[0] != FOOTER or not (start := struct.unpack_from("<Q", tail, 9)[0]):
+    f.seek(max(0, end - TAIL))
+    tail = f.read()
+    foot = tail[-37:]
+    if foot[29:] != MAGIC or foot[0] != FOOTER or not (start := struct.unpack_from("<Q", foot, 9)[0]):
         return None
-    f.seek(start)
-    return list(records(io.BytesIO(f.read(end - 8 - start))))
+    if start < end - len(tail):
+        f.seek(start)
+        tail = f.read(end - start)
+    return list(records(io.BytesIO(tail[start - end : -8])))
 
 
 class Names:
@@ -87,8 +132,9 @@ class Names:
             self.channels[number] = (text(body, 4)[0], self.schemas.get(schema, ("", "", ""))[0])
 
 
-def wanted_chunks(ends: list[tuple[int, bytes]], names: Names, start: int, end: int, topics: set[str] | None) -> list[tuple[int, int]] | None:
-    """(offset, length) of the chunks to read; None if the summary has no index of chunks or names no channels."""
+def wanted_chunks(ends: list[tuple[int, bytes]], names: Names, start: int, end: int, topics: set[str] | None) -> list[tuple[int, int, int, int]] | None:
+    """(offset, length, first time, last time) of the chunks to read; None if the summary has no index of chunks or names no
+    channels."""
     index = [b for k, b in ends if k == CHUNK_INDEX]
     if not index or not names.channels:
         return None
@@ -97,41 +143,82 @@ def wanted_chunks(ends: list[tuple[int, bytes]], names: Names, start: int, end:
         first, last, offset, length, width = struct.unpack_from("<QQQQI", body)
         held = {struct.unpack_from("<H", body, 36 + i)[0] for i in range(0, width, 10)}
         if first < end and last >= start and (topics is None or not held or any(names.channels.get(c, ("",))[0] in topics for c in held)):
-            out.append((offset, length))
+            out.append((offset, length, first, last))
     return sorted(out)
 
 
+def written_chunks(f: io.BufferedIOBase) -> list[tuple[int, int]]:
+    """(offset, length) of the whole chunks of a file without an index, by stepping from record to record."""
+    out, at = [], 8
+    f.seek(0, 2)
+    end = f.tell()
+    while at + 9 <= end:
+        f.seek(at)
+        kind, size = struct.unpack("<BQ", f.read(9))
+        if at + 9 + size > end or kind == DATA_END:
+            break
+        if kind == CHUNK:
+            out.append((at, 9 + size))
+        at += 9 + size
+    return out
+
+
+def in_chunks(f: io.BufferedIOBase, names: Names, chunks: list[tuple[int, ...]], start: int, end: int, topics: set[str] | None, by_time: bool = False) -> Iterator[tuple]:
+    """The messages of some chunks, in their order or merged by time."""
+
+    def one(offset: int, length: int) -> Iterator[tuple]:
+        f.seek(offset)
+        yield from decoded_records(records(io.BytesIO(f.read(length))), names, start, end, topics)
+
+    if not by_time:
+        for c in chunks:
+            yield from one(*c[:2])
+        return
+    for group in overlapping(chunks):
+        yield from heapq.merge(*(sorted(one(*c[:2]), key=lambda m: m[2]) for c in group), key=lambda m: m[2])
+
+
+def overlapping(chunks: list[tuple[int, ...]]) -> Iterator[list[tuple[int, ...]]]:
+    """Chunks (offset, length, first, last) in the order of time, in groups that don't overlap."""
+    group: list[tuple[int, ...]] = []
+    for c in sorted(chunks, key=lambda c: (c[2], c[0])):
+        if group and c[2] > max(g[3] for g in group):
+            yield group
+            group = []
+        group.append(c)
+    if group:
+        yield group
+
+
+def decoded_records(source: Iterable[tuple[int, bytes]], names: Names, start: int, end: int, topics: set[str] | None) -> Iterator[tuple]:
+    for kind, body in source:
+        if kind == MESSAGE:
+            number, sequence, log, publish = struct.unpack_from("<HIQQ", body)
+            topic, msg_type = names.channels.get(number, ("", ""))
+            if start <= log < end and (topics is None or topic in topics):
+                yield topic, msg_type, log, publish, sequence, body[22:]
+        elif kind == CHUNK:
+            yield from decoded_records(records(io.BytesIO(unpacked(body))), names, start, end, topics)
+        elif kind in (FOOTER, DATA_END):
+            return
+        else:
+            names.take(kind, body)
+
+
 def messages(f: io.BufferedIOBase, start: int = 0, end: int = FOREVER, topics: set[str] | None = None) -> Iterator[tuple]:
     """(topic, msg_type, log_time, publish_time, sequence, data) with start <= log_time < end."""
     if f.read(8) != MAGIC:
         raise ValueError("not an MCAP file")
     names = Names()
-
-    def each(source: Iterable[tuple[int, bytes]]) -> Iterator[tuple]:
-        for kind, body in source:
-            if kind == MESSAGE:
-                number, sequence, log, publish = struct.unpack_from("<HIQQ", body)
-                topic, msg_type = names.channels.get(number, ("", ""))
-                if start <= log < end and (topics is None or topic in topics):
-                    yield topic, msg_type, log, publish, sequence, body[22:]
-            elif kind == CHUNK:
-                yield from each(records(io.BytesIO(unpacked(body))))
-            elif kind in (FOOTER, DATA_END):
-                return
-            else:
-                names.take(kind, body)
-
     if f.seekable() and (start > 0 or end < FOREVER or topics is not None) and (ends := summary(f)):
         for kind, body in ends:
             names.take(kind, body)
         if (chunks := wanted_chunks(ends, names, start, end, topics)) is not None:
-            for offset, length in chunks:
-                f.seek(offset)
-                yield from each(records(io.BytesIO(f.read(length))))
+            yield from in_chunks(f, names, chunks, start, end, topics)
             return
     if f.seekable():
         f.seek(8)
-    yield from each(records(f))
+    yield from decoded_records(records(f), names, start, end, topics)
 
 
 def definitions_in(f: io.BufferedIOBase) -> dict[str, str]:
@@ -222,9 +309,8 @@ def named(path: str) -> tuple[str, str | None]:
     return "/".join(parts[-2:]) if len(parts) > 1 and parts[-2].endswith("_multi_parts") else parts[-1], found[1] if found else None
 
 
-def _opened(spark: SparkSession, root: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mcap").load(root)
-    return found.select("path", "content")
+def _found(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mcap").load(root).select("path", *columns)
 
 
 def read_any(spark: SparkSession, root: str, start: int = 0, end: int = FOREVER, topics: list[str] | None = None) -> DataFrame:
@@ -237,22 +323,24 @@ def read_any(spark: SparkSession, root: str, start: int = 0, end: int = FOREVER,
                 rows = [(*named(path), *m) for m in messages(io.BytesIO(content), start, end, wanted)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return _opened(spark, root).mapInPandas(read, COLUMNS)
+    return _found(spark, root, "content").mapInPandas(read, COLUMNS)
 
 
 def topic_counts(spark: SparkSession, root: str) -> DataFrame:
-    """(bag, mcap_id, topic, msg_type, n) from the files' statistics, and from the messages of files without."""
+    """(bag, mcap_id, topic, msg_type, n) from the statistics at the files' ends, and from the messages of files without."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                found = counts_in(io.BytesIO(content))
-                if found is None:
-                    every = pd.DataFrame([m[:2] for m in messages(io.BytesIO(content))], columns=["topic", "msg_type"])
-                    found = [(*k, n) for k, n in every.value_counts().items()]
+            for path in pdf["path"]:
+                with opened(path) as f:
+                    found = counts_in(f)
+                    if found is None:
+                        f.seek(0)
+                        every = pd.DataFrame([m[:2] for m in messages(f)], columns=["topic", "msg_type"])
+                        found = [(*k, n) for k, n in every.value_counts().items()]
                 yield pd.DataFrame([(*named(path), *x) for x in found], columns=["bag", "mcap_id", "topic", "msg_type", "n"])
 
-    return _opened(spark, root).mapInPandas(read, "bag string, mcap_id string, topic string, msg_type string, n long")
+    return _found(spark, root).mapInPandas(read, "bag string, mcap_id string, topic string, msg_type string, n long")
 
 
 def definitions(spark: SparkSession, root: str) -> dict[str, str]:
@@ -260,13 +348,49 @@ def definitions(spark: SparkSession, root: str) -> dict[str, str]:
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            found = {k: v for content in pdf["content"] for k, v in definitions_in(io.BytesIO(content)).items()}
+            found: dict[str, str] = {}
+            for path in pdf["path"]:
+                with opened(path) as f:
+                    found |= definitions_in(f)
             yield pd.DataFrame(found.items(), columns=["msg_type", "definition"])
 
-    rows = _opened(spark, root).mapInPandas(read, "msg_type string, definition string").groupBy("msg_type").agg({"definition": "max"})
+    rows = _found(spark, root).mapInPandas(read, "msg_type string, definition string").groupBy("msg_type").agg({"definition": "max"})
     return dict(tuple(r) for r in rows.collect())
 
 
+def parts_of(chunks: list[tuple[int, ...]], size: int, by_time: bool) -> list[list[tuple[int, ...]]]:
+    """Chunks in parts of about `size` bytes; by time, chunks that overlap stay together."""
+    out: list[list[tuple[int, ...]]] = []
+    held = 0
+    for group in overlapping(chunks) if by_time else ([c] for c in chunks):
+        own = sum(c[1] for c in group)
+        if not out or held + own > size:
+            out.append([])
+            held = 0
+        out[-1] += group
+        held += own
+    return out
+
+
+TYPES = [pa.string()] * 4 + [pa.int64()] * 3 + [pa.binary()]
+
+
+def batches(path: str, rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Messages of one file with its bag and segment."""
+    bag, segment = named(path)
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    batch = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), TYPES, strict=True)], names=names)
+    held, size = [], 0
+    for m in rows:
+        held.append((bag, segment, *m))
+        size += len(m[-1])
+        if len(held) == 5000 or size > 1 << 24:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
 class McapSource(DataSource):
     """spark.read.format("mcap").load(folder or file)."""
 
@@ -280,10 +404,21 @@ class McapSource(DataSource):
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return McapReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
+        return McapStream(self.options)
+
+
+class Part(InputPartition):
+    """What one task reads of a file: chunks with the channels that the file's end names, or all of it."""
+
+    def __init__(self, path: str | None, channels: dict | None = None, chunks: list[tuple[int, ...]] | None = None, earlier: int = 0) -> None:
+        self.path, self.channels, self.chunks, self.earlier = path, channels, chunks, earlier
+
 
 class McapReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"].removeprefix("file://").removeprefix("file:")
+        self.path = options["path"]
+        self.size, self.by_time = int(options.get("partitionbytes", PART)), options.get("order") == "time"
         self.start, self.end = 0, FOREVER
         self.only: dict[str, set[str] | None] = {"topic": None, "bag": None, "mcap_id": None}
 
@@ -305,31 +440,97 @@ class McapReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
+    def planned(self, path: str) -> list[Part]:
+        """A file's parts from the index at its end."""
+        with opened(path) as f:
+            ends = summary(f)
+        names = Names()
+        for kind, body in ends or ():
+            names.take(kind, body)
+        chunks = wanted_chunks(ends, names, self.start, self.end, self.only["topic"]) if ends else None
+        if chunks is None:
+            return [Part(path)]
+        return [Part(path, names.channels, c) for c in parts_of(chunks, self.size, self.by_time)]
 
-        found = sorted(glob.glob(os.path.join(self.path, "**", "*.mcap"), recursive=True)) if os.path.isdir(self.path) else [self.path]
+    def partitions(self) -> list[InputPartition]:
         fits = lambda f: all(self.only[k] is None or v in self.only[k] for k, v in zip(("bag", "mcap_id"), named(f), strict=True))
-        return [InputPartition(f) for f in found if fits(f)] or [InputPartition(None)]
+        files = [path for path, _, _ in listed(self.path) if fits(path)]
+        with ThreadPoolExecutor(THREADS) as pool:
+            return [p for own in pool.map(self.planned, files) for p in own] or [Part(None)]
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        if partition.path:
+            with opened(partition.path) as f:
+                yield from batches(partition.path, self.rows(f, partition))
+
+    def rows(self, f: io.BufferedIOBase, partition: Part) -> Iterator[tuple]:
+        if partition.chunks is None:
+            found = messages(f, self.start, self.end, self.only["topic"])
+            yield from sorted(found, key=lambda m: m[2]) if self.by_time else found
+            return
+        names = Names()
+        names.channels = partition.channels
+        yield from in_chunks(f, names, partition.chunks, self.start, self.end, self.only["topic"], self.by_time)
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not partition.value:
+
+class McapStream(DataSourceStreamReader):
+    """Offsets: {"files": {path: chunks taken}, "done": seconds}; files that changed last before `done` are taken whole."""
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.size, self.age = options["path"], int(options.get("partitionbytes", PART)), float(options.get("maxfileage", AGE))
+        self.seen: dict[str, tuple[tuple[int, float], list[tuple[int, ...]] | None]] = {}
+
+    def chunks_of(self, path: str, state: tuple[int, float]) -> list[tuple[int, ...]] | None:
+        """The chunks that a file has so far; a finished file without chunks is one piece, None."""
+        if path not in self.seen or self.seen[path][0] != state:
+            with opened(path) as f:
+                ends = summary(f)
+                chunks = [struct.unpack_from("<QQ", b, 16) for k, b in ends or () if k == CHUNK_INDEX]
+                self.seen[path] = state, sorted(chunks) or (None if ends else written_chunks(f))
+        return self.seen[path][1]
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"files": {}, "done": 0.0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        found = listed(self.path)
+        done = max(0.0, max((changed for _, _, changed in found), default=0.0) - self.age)
+        count = lambda chunks: 1 if chunks is None else len(chunks)
+        return {"files": {path: count(self.chunks_of(path, (size, changed))) for path, size, changed in found if changed >= done}, "done": done}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        sizes = {path: (size, changed) for path, size, changed in listed(self.path)}
+        if not start["files"] and not start["done"]:  # the first trigger takes files of any age
+            out += [Part(path) for path, (_, changed) in sizes.items() if changed < end["done"]]
+        for path, many in sorted(end["files"].items()):
+            had = start["files"].get(path, 0)
+            if path not in sizes or many <= had or path not in start["files"] and sizes[path][1] < start["done"]:
+                continue
+            chunks = self.chunks_of(path, sizes[path])
+            out += [Part(path)] if chunks is None else [Part(path, None, c, had) for c in parts_of(chunks[had:many], self.size, False)]
+        return out
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        with opened(partition.path) as f:
+            yield from batches(partition.path, self.rows(f, partition))
+
+    def rows(self, f: io.BufferedIOBase, partition: Part) -> Iterator[tuple]:
+        if partition.chunks is None:
+            yield from messages(f)
             return
-        bag, segment = named(partition.value)
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
-        types = [pa.string()] * 4 + [pa.int64()] * 3 + [pa.binary()]
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-        rows, size = [], 0
-        with open(partition.value, "rb") as f:
-            for m in messages(f, self.start, self.end, self.only["topic"]):
-                rows.append((bag, segment, *m))
-                size += len(m[-1])
-                if len(rows) == 5000 or size > 1 << 24:
-                    yield batch(rows)
-                    rows, size = [], 0
-        if rows:
-            yield batch(rows)
+        names = Names()
+        for kind, body in summary(f) or ():
+            names.take(kind, body)
+        if not names.channels:  # no end yet: channels come in the records and chunks before
+            first = partition.chunks[0][0]
+            f.seek(8)
+            while f.tell() < first and len(head := f.read(9)) == 9:
+                kind, size = struct.unpack("<BQ", head)
+                body = f.read(size)
+                for _ in decoded_records([(kind, body)], names, 0, 0, set()):
+                    pass
+        yield from in_chunks(f, names, partition.chunks, 0, FOREVER, None)
+
+    def commit(self, end: dict) -> None:
+        pass

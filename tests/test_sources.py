@@ -267,3 +267,80 @@ def test_progress_and_cancellation(spark):
             break
     t.join(1)
     assert ended == ["cancelled"]
+
+
+def long_recording(folder, name, chunks=40, rows=50, overlap=0):
+    """Chunks of rows messages each; with overlap, every fourth chunk also has times of the one before."""
+    from logloom.sources import mcap
+
+    folder.mkdir(parents=True, exist_ok=True)
+    every = [(f"/t{i % 3}", "pkg/msg/T", (i - (overlap if i // rows % 4 == 1 else 0)) * 10, i, i, bytes(100)) for i in range(chunks * rows)]
+    (folder / name).write_bytes(mcap.encode(every, codec="", chunk_size=rows * (9 + 22 + 100)))
+    return every
+
+
+def test_one_recording_gives_many_tasks(spark, tmp_path):
+    from logloom.sources import mcap
+
+    spark.dataSource.register(mcap.McapSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    every = long_recording(tmp_path / "bag", "bag_7.mcap", overlap=30)
+    size = (tmp_path / "bag" / "bag_7.mcap").stat().st_size
+    for path in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/bag/bag_7.mcap"):
+        df = spark.read.format("mcap").option("partitionBytes", size // 8).load(path)
+        assert 7 <= df.rdd.getNumPartitions() <= 12
+        assert sorted((r.topic, r.log_time_ns, r.sequence) for r in df.collect()) == sorted((t, ts, n) for t, _, ts, _, n, _ in every)
+    some = spark.read.format("mcap").option("partitionBytes", size // 8).load(str(tmp_path)).where("log_time_ns >= 5000 and log_time_ns < 5300 and topic = '/t1'")
+    assert some.rdd.getNumPartitions() <= 2 and sorted(r.sequence for r in some.collect()) == sorted(n for t, _, ts, _, n, _ in every if 5000 <= ts < 5300 and t == "/t1")
+    ordered = spark.read.format("mcap").option("partitionBytes", size // 8).option("order", "time").load(str(tmp_path))
+    parts = [[r.log_time_ns for r in p] for p in ordered.select("log_time_ns").rdd.glom().collect()]
+    assert len(parts) > 3 and all(p == sorted(p) for p in parts) and [x for p in parts for x in p] == sorted(ts for _, _, ts, *_ in every)
+
+
+def test_counts_read_only_the_end_of_a_file(spark, tmp_path):
+    from logloom.sources import mcap
+
+    long_recording(tmp_path / "bag", "bag_7.mcap", chunks=400)
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, *n):
+            out = super().read(*n)
+            self.taken += len(out)
+            return out
+
+    data = (tmp_path / "bag" / "bag_7.mcap").read_bytes()
+    f = Counted(data)
+    assert sum(n for *_, n in mcap.counts_in(f)) == 20_000 and f.taken < 200_000 < 2_000_000 < len(data)
+    got = {(r.bag, r.mcap_id, r.topic): r.n for r in mcap.topic_counts(spark, str(tmp_path)).collect()}
+    assert got == {("bag", "7", f"/t{i}"): n for i, n in enumerate((6667, 6667, 6666))}
+
+
+def test_stream_of_recordings_with_restarts(spark, tmp_path):
+    """Each message once, over restarts, new files, and a file that is still being written."""
+    from logloom.sources import mcap
+
+    spark.dataSource.register(mcap.McapSource)
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run():
+        q = spark.readStream.format("mcap").option("partitionBytes", 20_000).load(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return sorted((r.bag, r.mcap_id, r.sequence) for r in spark.read.parquet(out).collect())
+
+    first = [("a", "0", r[4]) for r in long_recording(tmp_path / "in" / "a", "a_0.mcap", chunks=6)]
+    assert run() == first
+    assert run() == first
+    long_recording(tmp_path / "b", "b_1.mcap", chunks=6)
+    whole = (tmp_path / "b" / "b_1.mcap").read_bytes()
+    chunks = mcap.written_chunks(io.BytesIO(whole))
+    assert len(chunks) == 6
+    (tmp_path / "in" / "b").mkdir()
+    cut = chunks[3][0] + 20  # three whole chunks and a piece of the fourth
+    (tmp_path / "in" / "b" / "b_1.mcap").write_bytes(whole[:cut])
+    part = run()
+    assert part == sorted(first + [("b", "1", n) for n in range(150)])
+    (tmp_path / "in" / "b" / "b_1.mcap").write_bytes(whole)
+    assert run() == sorted(first + [("b", "1", n) for n in range(300)])
