@@ -84,9 +84,18 @@ def wide(aligned: DataFrame, topics: list[str]) -> DataFrame:
     return aligned.groupBy(*SEGMENT, "ref_idx", "ref_ts").pivot("topic", topics).agg(F.first("topic_ts"))
 
 
+#: Texts that stand for no time in a lookup table.
+NO_TIME = ["nan", "None", ""]
+
+
+def present(text: Column) -> Column:
+    """A time as text, null where it stands for none."""
+    return F.when(~text.isin(NO_TIME), text)
+
+
 def topic_map(aligned: DataFrame) -> DataFrame:
-    """Of each tick a map from topic to its time as text; topics without one are null in it."""
-    return aligned.groupBy(*SEGMENT, "ref_idx", "ref_ts").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("topic", F.col("topic_ts").cast("string"))))).alias("topics"))
+    """Of each tick a map from topic to its time as text; topics without one are null in it; times may be numbers or text."""
+    return aligned.groupBy(*SEGMENT, "ref_idx", "ref_ts").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("topic", present(F.col("topic_ts").cast("string")).alias("topic_ts"))))).alias("topics"))
 
 
 def summaries(timeline: DataFrame, ts: str = "ref_ts") -> DataFrame:

@@ -153,6 +153,13 @@ def append_vectors(df: DataFrame, path: str, rows: int = 100_000) -> None:
     df.write.mode("append").option("compression", "zstd").option("maxRecordsPerFile", rows).partitionBy("model", "bag").parquet(path)
 
 
+def write_topics(found: DataFrame, path: str) -> None:
+    """A document {bag, topics: {topic: type}} for each bag of (bag, topic, msg_type), in a folder of its own; a bag that is
+    written again replaces its own."""
+    per = found.groupBy("bag").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("topic", "msg_type")))).alias("topics"))
+    per.withColumn("of", F.col("bag")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of").json(path)
+
+
 def write_text(df: DataFrame, path: str, column: str = "text") -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 

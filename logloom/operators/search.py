@@ -64,11 +64,6 @@ def stride(df: DataFrame, every: int, by: list[str], order: list[str]) -> DataFr
     return df.withColumn("_nth", nth).where(F.col("_nth") % every == 0).drop("_nth")
 
 
-def query_vector(df: DataFrame, condition: Column, order: list[str]) -> DataFrame:
-    """One row (query): the embedding of the first row for which the condition holds."""
-    return df.where(condition).orderBy(*order).limit(1).select(F.col("embedding").alias("query"))
-
-
 def nearest(df: DataFrame, query: DataFrame | list[float], k: int = K, by: tuple[str, ...] = ("model", "bag"), tie: str = "id") -> DataFrame:
     """The k rows of each group with the least squared L2 distance: exact, with `distance`, `cosine` and `local_rank`."""
     vector = query.scalar() if isinstance(query, DataFrame) else F.array(*(F.lit(float(x)).cast("float") for x in query))

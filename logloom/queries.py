@@ -143,7 +143,7 @@ def similarity_moving_average(spark, d):
 
 @query(SERIES + ", x AS (SELECT bag, topic, c.n, k, k * (c.n - 1) / 99.0::double AS p FROM c, range(100) r(k)) SELECT x.bag, x.topic, CAST(k AS int) AS k, round(lo.s + (hi.s - lo.s) * (p - floor(p)), 5) AS value FROM x JOIN a lo ON lo.bag = x.bag AND lo.topic = x.topic AND lo.seq = floor(p) JOIN a hi ON hi.bag = x.bag AND hi.topic = x.topic AND hi.seq = least(floor(p) + 1, x.n - 1)")
 def similarity_resample(spark, d):
-    """WIN-10, FN-16."""
+    """WIN-10."""
     out = density.resampled(density.adjacent_similarity(views.manifest(spark, d)), ["model", "bag", "topic"], "seq", "similarity", 100)
     return rounded(out.select("bag", "topic", "k", "value"), 5, "value")
 
@@ -398,7 +398,7 @@ def concave_hull_per_bag(spark, d):
 
 @query()
 def hulls_overlapping_polygon(spark, d):
-    """FLT-14, FLT-15, FN-18, FN-19."""
+    """FLT-14, FLT-15, FN-19."""
     grown = {"square": spatial.offset_ring(SQUARE, 50.0)}
     return spatial.hulls_overlapping(spatial.convex_hulls(cells(spark, d)), grown)
 
@@ -422,29 +422,12 @@ def mcap_islands(spark, d):
     return spatial.islands(dear_segments(spark, d).select("bag", F.col("mcap_id").try_cast("int").alias("i")), ["bag"], "i")
 
 
-#: Segments that hold such a message have gaps between them.
-DEAR = "topic = '/purchase' AND value > 150"
-RUNS = f"+ r AS (SELECT bag, CAST(mcap_id AS int) AS i FROM v_messages GROUP BY ALL HAVING count_if({DEAR}) > 0), g AS"
-
-
-def dear_segments(spark: SparkSession, d: str) -> DataFrame:
-    per = views.messages(spark, d).groupBy("bag", "mcap_id").agg(F.count_if(F.expr(DEAR)).alias("n"))
-    return per.where("n > 0").select("bag", "mcap_id")
-
-
 @query(RUNS + " (SELECT bag, i, i - row_number() OVER (PARTITION BY bag ORDER BY i) AS k FROM r), s AS (SELECT bag, min(i) AS lo, max(i) AS hi FROM g GROUP BY bag, k) SELECT bag, bag || ': ' || string_agg(CASE WHEN lo = hi THEN CAST(lo AS varchar) ELSE lo || ' - ' || hi END, ', ' ORDER BY lo) AS text FROM s GROUP BY bag")
 def area_list_text(spark, d):
     """SNK-17."""
     return spatial.area_text(spatial.islands(dear_segments(spark, d).select("bag", F.col("mcap_id").try_cast("int").alias("i")), ["bag"], "i"))
 
 
-@query("SELECT unnest([0, 1, 2, 3, 4, 7, 8, 9, 12]) AS id")
-def range_union_ids(spark, d):
-    """SET-4, FN-29."""
-    r = F.array(*(F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in [(7, 9), (0, 3), (2, 4), (12, 12), (6, 5)]))
-    return spark.range(1).select(F.explode(sequences.range_ids(r)).alias("id"))
-
-
 @query("+ s AS (SELECT bag, mcap_id, row_number() OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - 1 AS pos, count(*) OVER (PARTITION BY bag) AS n FROM (SELECT DISTINCT bag, mcap_id FROM v_messages)), p AS (SELECT s.bag, q AS p, s.mcap_id, n * q / 8.0 - floor(n * q / 8.0) AS frac FROM s, range(1, 8) r(q) WHERE pos = floor(n * q / 8.0)), c AS (SELECT bag, mcap_id, topic, count(*) AS c FROM v_messages GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY bag, mcap_id, topic ORDER BY log_time_ns, sequence) - 1 AS nth FROM v_messages) SELECT p.bag, c.topic, CAST(p.p AS int) AS p, p.mcap_id, CAST(o.nth AS int) AS nth, o.log_time_ns FROM p JOIN c USING (bag, mcap_id) JOIN o ON o.bag = p.bag AND o.mcap_id = p.mcap_id AND o.topic = c.topic AND o.nth = floor(c.c * p.frac)")
 def fencepost_samples(spark, d):
     """WIN-7, WIN-8."""
@@ -472,7 +455,7 @@ def distinct_topics(spark, d):
 
 @query("+ t AS (SELECT bag, topic FROM v_manifest UNION SELECT bag, topic FROM v_messages), p AS (SELECT *, CASE WHEN topic LIKE '%image%' OR topic LIKE '%camera%' OR topic LIKE '%rgb%' OR topic LIKE '%color%' THEN CASE WHEN topic LIKE '%zed%' THEN 0 ELSE 1 END WHEN topic LIKE '%pointcloud%' OR topic LIKE '%point_cloud%' OR topic LIKE '%lidar%' OR topic LIKE '%pcl%' THEN 2 WHEN regexp_matches(topic, 'gps|gnss|navsat|tf|odom|pose|position') THEN 3 ELSE 4 END AS priority FROM t) SELECT bag, topic, priority, CAST(row_number() OVER (PARTITION BY bag ORDER BY priority, topic) AS int) AS position FROM p")
 def topic_priority_sort(spark, d):
-    """TOP-5, FLT-5..7; no topic here names a side."""
+    """TOP-5; no topic here names a side."""
     return topics.sorted_topics(views.manifest(spark, d).select("bag", "topic").unionByName(views.messages(spark, d).select("bag", "topic")).distinct())
 
 
@@ -522,15 +505,6 @@ def export_range_scan(spark, d):
     return exports.range_scan(views.messages(spark, d), ["/click", "/view"], A, B).select("bag", "topic", "sequence")
 
 
-@query("+ f AS (SELECT * FROM v_messages WHERE bag = 'bag_1' ORDER BY log_time_ns, sequence LIMIT 1) SELECT m.bag, m.topic, m.sequence FROM v_messages m JOIN f ON m.bag = f.bag AND m.topic = f.topic AND m.log_time_ns = f.log_time_ns ORDER BY m.sequence LIMIT 1")
-def point_message_lookup(spark, d):
-    """SRC-5, TOP-4, FLT-4."""
-    m = views.messages(spark, d)
-    one = m.where("bag = 'bag_1'").orderBy("log_time_ns", "sequence").limit(1)
-    same = m.join(one.select("bag", "topic", "log_time_ns"), ["bag", "topic", "log_time_ns"], "left_semi")
-    return same.orderBy("sequence").limit(1).select("bag", "topic", "sequence")
-
-
 @query(f"+ d AS (SELECT bag, mcap_id FROM v_messages GROUP BY ALL HAVING count_if({DEAR}) > 0), s AS (SELECT bag, mcap_id, count(*) AS c FROM v_messages GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - 1 AS pos, sum(c) OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - c AS a FROM s), h AS (SELECT *, pos - row_number() OVER (PARTITION BY bag ORDER BY pos) AS k FROM o JOIN d USING (bag, mcap_id)) SELECT bag, min(pos) AS lo, max(pos) AS hi, CAST(min(a) AS bigint) AS start_index, CAST(max(a + c) - 1 AS bigint) AS end_index FROM h GROUP BY bag, k")
 def export_windows(spark, d):
     """AGG-20 by position."""
@@ -553,38 +527,6 @@ def export_plan_messages(spark, d):
     return exports.export_messages(m, exports.planned(parts, rows, align.summaries(rows))).groupBy("name", "part_mcap").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'bag_a' AS bag, 1 AS lo, 'bag_a_ids_1_to_9_part1' AS name UNION ALL SELECT 'bag_a', 7, 'bag_a_ids_1_to_9_part2' UNION ALL SELECT 'bag b', 3, 'bag_b_ids_3_to_4' UNION ALL SELECT 'bag_c', 5, 'bag_c_id_5'")
-def export_names(spark, d):
-    """AGG-26, WIN-14, FN-10."""
-    w = spark.createDataFrame([("bag_a", 1, 4), ("bag_a", 7, 9), ("bag b", 3, 4), ("bag_c", 5, 5)], "bag string, lo int, hi int")
-    return exports.export_names(w).select("bag", "lo", "name")
-
-
-@query("SELECT * FROM (VALUES (1, ' a'), (3, 'a ')) x(i, name)")
-def duplicate_export_names(spark, d):
-    """FLT-18."""
-    return exports.duplicate_names(spark.createDataFrame([(1, " a"), (2, "b"), (3, "a "), (4, " "), (5, "")], "i int, name string"))
-
-
-BAGS = {
-    "/x/rosbag2_2024_03_05-07_08_09": ("rosbag2_2024_03_05-07_08_09", "2024-03-05 07:08:09", "rosbag2_2024_03_05-07_08_09"),
-    "/x/rosbag2_2024_03_05-07_08_09_short_multi_parts/Part_2": ("rosbag2_2024_03_05-07_08_09_short_multi_parts/Part_2", "2024-03-05 07:08:09", "rosbag2_2024_03_05-07_08_09_short"),
-    "/x/rosbag2_2024_13_32-24_00_61": ("rosbag2_2024_13_32-24_00_61", "2025-02-02 00:01:01", "rosbag2_2024_13_32-24_00_61"),
-    "/x/rosbag2_2024_3_5-7_8_9": ("rosbag2_2024_3_5-7_8_9", None, "rosbag2_2024_3_5-7_8_9"),
-    "/x/my_rosbag2_2024_03_05-07_08_09": ("my_rosbag2_2024_03_05-07_08_09", None, "my_rosbag2_2024_03_05-07_08_09"),
-    "/x/rosbag2_2024_03_05-07_08_09_long": ("rosbag2_2024_03_05-07_08_09_long", None, "rosbag2_2024_03_05-07_08_09_long"),
-    "plain": ("plain", None, "plain"),
-}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', {f"TIMESTAMP '{ts}'" if ts else 'NULL'}, '{b}')" for p, (k, ts, b) in BAGS.items()) + ") x(path, key, taken, base)")
-def bag_name_parse(spark, d):
-    """FN-5, FN-9, TOP-6."""
-    p = spark.createDataFrame([(k,) for k in BAGS], "path string")
-    key = names.bag_key(F.col("path"))
-    return p.select("path", key.alias("key"), names.bag_time(key).alias("taken"), names.base_bag(key).alias("base"))
-
-
 @query("+ x AS (SELECT DISTINCT topic FROM v_messages) SELECT topic, replace(topic, '/', '__') AS folder, ltrim(replace(topic, '/', '_'), '_') AS file FROM x")
 def topic_names(spark, d):
     """FN-6."""
@@ -670,13 +612,6 @@ def pending_to_bags(spark, d):
     return manifests.pending_segments(dear_segments(spark, d).withColumnRenamed("bag", "key"), selected)
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 'bag_2', 'export_1'), (2, 'b', 'bag_0', 'export_1'), (3, 'c', 'bag_2', 'export_1'), (4, 'd', 'bag_2', 'export_1')) x(place, name, source_rosbag, output_parent)")
-def export_batch_items(spark, d):
-    """SNK-18."""
-    items = spark.createDataFrame([(1, "a", "bag_2"), (2, "b", "bag_0"), (3, "c", None), (4, "d", "")], "place int, name string, source_rosbag string")
-    return manifests.export_batch(items, F.lit("export_1"))
-
-
 @query("+ x AS (SELECT bag, topic, sequence, row_number() OVER (PARTITION BY bag, topic ORDER BY sequence) AS n FROM v_messages) SELECT bag, string_agg(topic, ',' ORDER BY sequence) AS topics FROM x WHERE n = 1 GROUP BY bag")
 def ordered_distinct_topics(spark, d):
     """SET-6: a bag's topics in the order of their first messages."""
@@ -686,13 +621,16 @@ def ordered_distinct_topics(spark, d):
 
 @query("+ s AS (SELECT DISTINCT bag, mcap_id FROM v_messages), d AS (SELECT bag, mcap_id, topic FROM v_messages GROUP BY ALL HAVING max(value) > 60) SELECT DISTINCT v.bag, v.mcap_id, v.topic FROM v_messages v WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.bag = v.bag AND d.mcap_id = v.mcap_id AND d.topic = v.topic)")
 def incremental_ledger(spark, d):
-    """FLT-20, SET-5 at the level of topics: what a ledger leaves to do; the latest row of a key counts."""
+    """FLT-20 at the level of topics: what a ledger leaves to do; the latest row of a key counts."""
     m = views.messages(spark, d)
     done = m.groupBy("bag", "mcap_id", "topic").agg(F.max("value").alias("most")).where("most > 60")
     rows = ingest.ledger_rows(done, "embed").unionByName(ingest.ledger_rows(m.select("bag", "mcap_id", "topic").distinct(), "embed", "started", at=0))
     return ingest.unprocessed(m.select("bag", "mcap_id", "topic").distinct(), rows, "embed")
 
 
+from . import small_queries  # noqa: E402, F401  registers more
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

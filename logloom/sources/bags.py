@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..operators.align import present
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*.mcap") -> DataFrame:
@@ -61,7 +62,7 @@ def aligned(wide: DataFrame) -> DataFrame:
     """(mcap_id, ref_ts, topic, topic_ts) from wide lookup tables."""
     keep = {"Reference Timestamp", "Max Distance", "mcap_id"}
     topics = [c for c in wide.columns if c not in keep]
-    return wide.select("mcap_id", F.col("Reference Timestamp").alias("ref_ts"), *(F.col(f"`{c}`").cast("long").alias(c) for c in topics)).unpivot(["mcap_id", "ref_ts"], topics, "topic", "topic_ts")
+    return wide.select("mcap_id", F.col("Reference Timestamp").alias("ref_ts"), *(present(F.col(f"`{c}`").cast("string")).try_cast("long").alias(c) for c in topics)).unpivot(["mcap_id", "ref_ts"], topics, "topic", "topic_ts")
 
 
 def parquet_stats(spark: SparkSession, path: str, column: str) -> DataFrame:

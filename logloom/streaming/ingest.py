@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import align, numbering, spatial
+from ..operators import align, numbering
 
 KEY = ["processor", "model", "bag", "mcap", "topic"]
 
@@ -91,7 +91,3 @@ def live_counts(messages: DataFrame, late: str = "1 minute", width: str = "1 min
     """Counts by topic and window of event time over a live stream of (topic, log_time_ns); later rows than `late` are dropped."""
     timed = messages.withColumn("at", F.timestamp_micros(F.call_function("div", "log_time_ns", F.lit(1000)))).withWatermark("at", late)
     return timed.groupBy(F.window("at", width), "topic").agg(F.count("*").alias("n"))
-
-
-def grid_of(batch: DataFrame) -> DataFrame:
-    return spatial.grid(spatial.valid_positions(batch))
