@@ -22,6 +22,8 @@ def unpack_points(data: bytes | None, step: int, fields: list[tuple[str, int, in
 
     def column(offset: int, kind: int) -> np.ndarray:
         t = np.dtype((">" if big else "<") + TYPES[kind])
+        if not 0 <= offset <= step - t.itemsize:
+            raise ValueError("a field beyond its point")
         return np.ascontiguousarray(raw[:, offset : offset + t.itemsize]).view(t)[:, 0]
 
     by = {name: (offset, kind) for name, offset, kind in fields}
@@ -41,12 +43,17 @@ def unpack_points(data: bytes | None, step: int, fields: list[tuple[str, int, in
 
 
 def points(data: Column, step: Column, fields: Column, big: Column, drop_zero: bool = True) -> Column:
-    """data: bytes; fields: array of structs (name, offset, datatype). Null bytes are no points."""
+    """data: bytes; fields: array of structs (name, offset, datatype). Null bytes are no points; null for fields beyond a point
+    or of an unknown datatype."""
 
     def run(d: pd.Series, s: pd.Series, f: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, n, fs, e in zip(d, s, f, b, strict=True):
-            got = unpack_points(x, int(n or 0), [(q["name"], int(q["offset"]), int(q["datatype"])) for q in (fs if fs is not None else [])], bool(e), drop_zero)
+            try:
+                got = unpack_points(x, int(n or 0), [(q["name"], int(q["offset"]), int(q["datatype"])) for q in (fs if fs is not None else [])], bool(e), drop_zero)
+            except (ValueError, KeyError):
+                out.append(None)
+                continue
             out.append([dict(zip(("x", "y", "z", "r", "g", "b"), p, strict=True)) for p in got])
         return pd.Series(out)
 

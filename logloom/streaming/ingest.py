@@ -59,35 +59,52 @@ def ingest(spark: SparkSession, source: str, schema: StructType | str, target: s
     """Every output over each batch's segments, into target/<name> by (bag, mcap_id); the ledger into target/ledger.
 
     A segment may come in several files and batches: a batch that touches one that is there already computes it from all
-    of its files."""
+    of its files, which target/files names by segment; no other file is read again."""
     made = outputs or {"summary": summaries_of, "aligned": lambda b: align.nearest_messages(align.uniform_timeline(b), b)}
+    key = ["bag", "mcap_id"]
+
+    def by_batch(df: DataFrame, name: str, number: int) -> None:
+        df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/{name}")
 
     def whole_segments(batch: DataFrame, number: int) -> DataFrame:
-        segments = batch.select("bag", F.col("mcap_id").cast("string").alias("mcap_id")).distinct()
         if not number:
             return batch
-        done = spark.read.parquet(f"{target}/ledger").where(F.col("batch") < number).select("bag", F.col("mcap").alias("mcap_id"))
-        again = segments.join(done.distinct(), ["bag", "mcap_id"], "left_semi")
-        if again.isEmpty():
+        segments = batch.select("bag", F.col("mcap_id").cast("string").alias("mcap_id")).distinct()
+        held = spark.read.parquet(f"{target}/files").where(F.col("batch") < number).join(segments, key, "left_semi")
+        paths = [r["file"] for r in held.select("file").distinct().collect()]  # the late segments' own files
+        if not paths:
             return batch
-        every = spark.read.schema(schema).parquet(source)
-        fresh = batch.join(again, ["bag", "mcap_id"], "left_anti")
-        return fresh.unionByName(every.join(again, ["bag", "mcap_id"], "left_semi").select(*batch.columns))
+        earlier = spark.read.schema(schema).parquet(*paths).withColumn("file", F.lit(None).cast("string"))
+        return batch.unionByName(earlier.join(segments, key, "left_semi").select(*batch.columns))
 
     def write(batch: DataFrame, number: int) -> None:
         held = whole_segments(batch.persist(), number)
         try:
             for name, f in made.items():
-                f(held).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bag", "mcap_id").parquet(f"{target}/{name}")
-            ledger_rows(held.select("bag", "mcap_id").distinct(), "ingest").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/ledger")
+                f(held.drop("file")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(f"{target}/{name}")
+            named = batch.select("bag", F.col("mcap_id").cast("string").alias("mcap_id"), "file").distinct()
+            by_batch(named, "files", number)
+            by_batch(ledger_rows(named.select(*key).distinct(), "ingest"), "ledger", number)
         finally:
             batch.unpersist()
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_path").alias("file"))
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def timed(messages: DataFrame, late: str) -> DataFrame:
+    return messages.withColumn("at", F.timestamp_micros(F.call_function("div", "log_time_ns", F.lit(1000)))).withWatermark("at", late)
+
+
 def live_counts(messages: DataFrame, late: str = "1 minute", width: str = "1 minute") -> DataFrame:
     """Counts by topic and window of event time over a live stream of (topic, log_time_ns); later rows than `late` are dropped."""
-    timed = messages.withColumn("at", F.timestamp_micros(F.call_function("div", "log_time_ns", F.lit(1000)))).withWatermark("at", late)
-    return timed.groupBy(F.window("at", width), "topic").agg(F.count("*").alias("n"))
+    return timed(messages, late).groupBy(F.window("at", width), "topic").agg(F.count("*").alias("n"))
+
+
+def live_segments(messages: DataFrame, gap: str = "30 seconds", late: str = "1 minute") -> DataFrame:
+    """Segments of a live stream of (bag, topic, log_time_ns): a bag's messages without a pause of `gap`. State is kept for open segments
+    alone; a segment is closed, and given out in append mode, when the watermark has passed its last message by `gap`. A late
+    message that is not too late joins its own segment, or two that it lies between."""
+    per = timed(messages, late).groupBy(F.session_window("at", gap).alias("s"), "bag")
+    out = per.agg(F.count("*").alias("count"), F.min("log_time_ns").alias("first_ts"), F.max("log_time_ns").alias("last_ts"), F.approx_count_distinct("topic").alias("topics"))
+    return out.select("bag", "count", "first_ts", "last_ts", "topics")

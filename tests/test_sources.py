@@ -344,3 +344,75 @@ def test_stream_of_recordings_with_restarts(spark, tmp_path):
     assert part == sorted(first + [("b", "1", n) for n in range(150)])
     (tmp_path / "in" / "b" / "b_1.mcap").write_bytes(whole)
     assert run() == sorted(first + [("b", "1", n) for n in range(300)])
+
+
+def test_a_late_file_reads_its_own_segment_alone(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "bag string, mcap_id string, topic string, log_time_ns long, sequence long"
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        ingest.ingest(spark, source, schema, target, state).awaitTermination(120)
+        return {(r.bag, str(r.mcap_id)): r["count"] for r in spark.read.parquet(f"{target}/summary").collect()}
+
+    add([("a", "0", "x", i, i) for i in range(5)])
+    add([("a", "1", "x", i, i) for i in range(7)])
+    assert run() == {("a", "0"): 5, ("a", "1"): 7}
+    import os
+
+    (other,) = {r.file for r in spark.read.parquet(f"{target}/files").where("mcap_id = '1'").collect()} - {r.file for r in spark.read.parquet(f"{target}/files").where("mcap_id = '0'").collect()}
+    os.truncate("/" + other.removeprefix("file:").lstrip("/"), 3)  # reading it again would fail
+    add([("a", "0", "x", 9, 9)])
+    assert run() == {("a", "0"): 6, ("a", "1"): 7}
+
+
+def test_live_segments_close_after_a_pause(spark, tmp_path):
+    source = str(tmp_path / "in")
+    second = 1_000_000_000
+    for rows in ([("a", "x", t * second) for t in (0, 10, 20, 100, 110)] + [("b", "x", 5 * second)], [("a", "y", 30 * second), ("a", "x", 130 * second)], [("c", "x", 1000 * second)]):
+        spark.createDataFrame(rows, "bag string, topic string, log_time_ns long").coalesce(1).write.mode("append").parquet(source)
+        stream = ingest.live_segments(spark.readStream.schema("bag string, topic string, log_time_ns long").parquet(source), late="2 minutes")
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = sorted((r.bag, r["count"], r.first_ts // second, r.last_ts // second, r.topics) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 3, 100, 130, 1), ("a", 4, 0, 30, 2), ("b", 1, 5, 5, 1)]
+
+
+def test_bad_messages_stop_nothing(spark):
+    """Point clouds with fields beyond a point, of unknown kinds, cut off; a good one beside them."""
+    import struct
+
+    from logloom.functions import messages as decoding
+
+    text = "std_msgs/Header header\nuint32 height\nuint32 width\nsensor_msgs/PointField[] fields\nbool is_bigendian\nuint32 point_step\nuint32 row_step\nuint8[] data\nbool is_dense\n" + "=" * 80 + "\nMSG: std_msgs/Header\nbuiltin_interfaces/Time stamp\nstring frame_id\n" + "=" * 80 + "\nMSG: sensor_msgs/PointField\nstring name\nuint32 offset\nuint8 datatype\nuint32 count\n"
+
+    def cloud(offset, kind):
+        out = bytearray(struct.pack("<iI", 1, 2))
+        pad = lambda n: out.extend(bytes(-len(out) % n))
+
+        def string(s):
+            pad(4)
+            out.extend(struct.pack("<I", len(s) + 1) + s.encode() + b"\0")
+
+        string("map")
+        pad(4)
+        out.extend(struct.pack("<III", 1, 1, 3))
+        for name, at, k in (("x", 0, 7), ("y", 4, 7), ("z", offset, kind)):
+            string(name)
+            pad(4)
+            out.extend(struct.pack("<IB", at, k))
+            pad(4)
+            out.extend(struct.pack("<I", 1))
+        out.extend(b"\0")
+        pad(4)
+        out.extend(struct.pack("<III", 12, 12, 12) + struct.pack("<fff", 1, 2, 3) + b"\1")
+        return b"\0\1\0\0" + bytes(out)
+
+    kind = "sensor_msgs/msg/PointCloud2"
+    rows = [(0, cloud(8, 7)), (1, cloud(10, 7)), (2, cloud(8, 9)), (3, cloud(8, 7)[:60]), (4, b""), (5, None)]
+    df = spark.createDataFrame([(i, bytearray(b) if b is not None else None, kind) for i, b in rows], "i int, data binary, msg_type string")
+    defs = {kind: text}
+    got = df.select("i", decoding.documents(F.col("data"), F.col("msg_type"), F.lit(7), defs).alias("d"), decoding.raw_files(F.col("data"), F.col("msg_type"), defs)["content"].alias("c"), decoding.is_bad(F.col("data"), F.col("msg_type"), defs).alias("bad")).collect()
+    assert [(r.i, r.d is not None, r.c is not None, r.bad) for r in sorted(got)] == [(0, True, True, False)] + [(i, False, False, i < 5) for i in range(1, 6)]
