@@ -8,7 +8,7 @@ is its exact frequency, summed over blocks. A block is the unit of work however
 word is one row in each block and no group holds all its places.
 
 Each level takes two steps: frequencies of all extensions are counted without their lists, summed up in each block before they are
-shuffled; then lists are made of frequent ones alone. Tasks learn of these by a bit map of at most BITS bits, which a join with the table of frequent phrases makes
+shuffled; then lists are made of frequent ones alone, and those of a block are packed together. Tasks learn of these by a bit map of at most BITS bits, which a join with the table of frequent phrases makes
 exact; that table is broadcast only while it is small (common.sized). All parts of a frequent phrase are frequent, so
 nothing is lost by extending those only.
 
@@ -93,11 +93,36 @@ def indexer(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return index
 
 
-def joined(ids: np.ndarray, lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+PACKED = "block long, many long, places long, lists binary"
+
+
+def pack_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists (block, id, at), those of a batch that share a block as one row."""
+    for batch in batches:
+        block, ids = (batch.column(i).to_numpy() for i in (0, 1))
+        order = np.argsort(block, kind="stable")
+        at = batch.column(2).take(pa.array(order))
+        ids, lengths, gaps = ids[order], at.value_lengths().to_numpy(), at.flatten().to_numpy()
+        starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+        ends = np.append(starts, len(ids))[1:]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        rows = [(int(block[order[i]]), j - i, int(upto[j] - upto[i]), pa.compress(ids[i:j].astype("<i8").tobytes() + lengths[i:j].astype("<i4").tobytes() + gaps[upto[i] : upto[j]].astype("<i4").tobytes(), codec="zstd", asbytes=True)) for i, j in zip(starts, ends, strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "many", "places", "lists"])
+
+
+def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, lengths and gaps of a block's lists."""
+    out = []
+    for many, places, own in zip(*(table.column(c).to_pylist() for c in ("many", "places", "lists")), strict=True):
+        data = pa.decompress(own, decompressed_size=12 * many + 4 * places, codec="zstd").to_pybytes()
+        out.append([np.frombuffer(data, t, n, at) for t, n, at in (("<i8", many, 0), ("<i4", many, 8 * many), ("<i4", places, 12 * many))])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def joined(ids: np.ndarray, lengths: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The merge join of a block's lists with themselves, one position on: rows of the phrase before and of the one after
     (as one key, in order), the position of each, and the places where a new key starts."""
-    whole = lists.combine_chunks()
-    lengths, gaps = whole.value_lengths().to_numpy(), whole.flatten().to_numpy()
     at = np.cumsum(gaps, dtype=np.int64)
     first = np.cumsum(lengths) - lengths
     at -= np.repeat(at[first] - gaps[first], lengths)
@@ -108,12 +133,13 @@ def joined(ids: np.ndarray, lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     key = row[next_to] * len(ids) + row[next_to + 1]
     order = np.argsort(key, kind="stable")
     key = key[order]
-    return key, at[next_to[order]], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64), ids
+    return key, at[next_to[order]], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
 def extensions(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """p and s of each extension in a block, its positions one after another, and the extensions' ends with a leading 0."""
-    key, at, first, ids = joined(table.column("id").to_numpy(), table.column("at"))
+    ids, lengths, gaps = unpacked(table)
+    key, at, first = joined(ids, lengths, gaps)
     return ids[key[first] // max(len(ids), 1)], ids[key[first] % max(len(ids), 1)], at, np.append(first, len(key))
 
 
@@ -210,7 +236,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", wo
     every = [level.select(F.lit(1).alias("k"), "lang", "phrase", "f")]
     read = index
     for k in range(2, words + 1):
-        lists = common.table(lists, "phrase-lists")
+        lists = common.table(lists.mapInArrow(pack_lists, PACKED), "phrase-lists", dictionary=False)
         common.drop_table(read)
         read = lists
         found = lists.groupBy("block").applyInArrow(counter(parts), "part long, many long, pairs binary")
