@@ -10,7 +10,9 @@ are calibrated by a temperature on held-out notices, and the cut for a family so
 was not shown at most NOVEL pass it.
 
 A paragraph that is likelier a notice than not has the family that the model is sure of if the comparison with the family's
-templates confirms it (at least CONFIRM of a template's word pairs are in the paragraph); else its family is "unknown".
+templates confirms it: at least CONFIRM of a template's word pairs are in the paragraph, and no sibling whose template is there as well has
+more words of its own; a whole template needs a probability of WHOLE alone. Else its family is "unknown". A paragraph that denies a licence is ordinary. The identifiers of an SPDX
+expression are judged one by one.
 
 Whole texts are scanned. Null and empty texts have no paragraphs; a repeated row gives a row each time, an empty table none.
 The result's column may not be there already; other columns pass through.
@@ -30,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BACKGROUND, CONFIRM, LIKE, NOVEL = 4000, 0.6, 0.5, 0.05
+#: The least probability of a family of which a whole template is in the paragraph.
+WHOLE = 0.5
 TOKEN = re.compile(r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*")
 TEMPLATES = {
     "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "licensed under the mit license", "spdx-license-identifier mit"],
@@ -43,6 +47,35 @@ TEMPLATES = {
     "Public-Domain": ["this work is released into the public domain", "licensed under cc0 1.0 universal public domain dedication", "this is free and unencumbered software released into the public domain"],
     "Proprietary": ["all rights reserved", "copyright all rights reserved", "no part of this work may be reproduced without written permission all rights reserved"],
 }
+#: Licences of one house, whose notices differ by their names alone: (family, name, short names, SPDX identifiers).
+HOUSE = [
+    ("GPL", "gnu general public license", ["gplv3", "gplv2", "gpl-3.0", "gnu gpl", "gnu gplv3", "gpl"], ["gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0-only", "gpl-3.0-or-later", "gpl-2.0", "gpl-3.0"]),
+    ("LGPL", "gnu lesser general public license", ["lgplv3", "lgplv2.1", "lgpl-2.1", "gnu lgpl", "gnu lgplv3", "lgpl"], ["lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0-only", "lgpl-3.0-or-later", "lgpl-2.1", "lgpl-3.0"]),
+    ("LGPL", "gnu library general public license", [], []),
+    ("AGPL", "gnu affero general public license", ["agplv3", "agpl-3.0", "gnu agpl", "gnu agplv3", "agpl"], ["agpl-3.0-only", "agpl-3.0-or-later", "agpl-3.0"]),
+]
+#: Further wordings of the families, and the identifiers of those without a house.
+MORE = {
+    "MIT": ["mit license", "the mit license mit", "license mit", "distributed under the mit license", "available under the terms of the mit license", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
+    "Apache-2.0": ["apache license version 2.0 january 2004", "license apache 2.0", "distributed under the apache 2.0 license", "released under the apache license 2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"],
+    "BSD": ["bsd 3-clause license", "bsd 2-clause license", "governed by a bsd-style license", "use of this source code is governed by a bsd-style license", "licensed under the bsd license", "new bsd license", "license bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
+    "MPL-2.0": ["mozilla public license version 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at mozilla.org", "license mpl-2.0", "released under the mpl 2.0"],
+    "CC": ["creative commons attribution-sharealike 3.0 unported", "creative commons attribution 3.0 unported", "creative commons attribution-noncommercial-sharealike 4.0 international", "creative commons attribution-noderivatives 4.0 international license", "creative commons license", "available under a creative commons attribution license", "licensed under cc by-nc-sa 3.0"],
+    "Public-Domain": ["released under cc0", "licensed under cc0", "cc0 1.0 universal", "distributed under the unlicense", "released under the unlicense", "license unlicense", "dedicated to the public domain", "placed in the public domain"],
+    "Proprietary": ["this software is proprietary and confidential unauthorized copying is strictly prohibited", "proprietary license"],
+}
+IDS = {
+    "MIT": ["mit", "mit-0"], "Apache-2.0": ["apache-2.0"], "BSD": ["bsd-3-clause", "bsd-2-clause", "bsd-4-clause", "0bsd"], "MPL-2.0": ["mpl-2.0", "mpl-1.1"], "CC": ["cc-by-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "cc-by-3.0"], "Public-Domain": ["cc0-1.0", "unlicense"],
+}
+for family, wordings in MORE.items():
+    TEMPLATES[family] += wordings
+for family, name, short, ids in HOUSE:
+    TEMPLATES[family] += [name, f"{name} version 3 29 june 2007", f"{name} version 2 june 1991", f"licensed under the {name}", f"released under the {name}", f"under the terms of the {name} version 2 or at your option any later version"]
+    TEMPLATES[family] += [f"this program is free software you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation", f"you should have received a copy of the {name} along with this program"]
+    TEMPLATES[family] += [t.format(x) for x in short for t in ("license {}", "licensed under the {}", "released under the {}")]
+    IDS[family] = IDS.get(family, []) + ids
+for family, ids in IDS.items():
+    TEMPLATES[family] += [f"spdx-license-identifier {x}" for x in ids]
 #: Notices of licences that are no family here, and what others say with any name: they teach the class "unknown".
 OTHERS = [
     "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "use modification and distribution are subject to the boost software license version 1.0",
@@ -122,7 +155,7 @@ def drawn(seed: int = 5, each: int = 120) -> list[Notice]:
     return out + [(t.split() + r.choice([[], ["today"], ["as", "they", "said"]]), 0) for t in LOOKALIKES for _ in range(each // 3)]
 
 
-def trained(data: list[Notice], steps: int = 80) -> tuple[Model, np.ndarray]:
+def trained(data: list[Notice], steps: int = 160) -> tuple[Model, np.ndarray]:
     """A model whose temperature is fitted to every fourth notice, which its weights are not, and which notices these are."""
     sets, labels = [grams(w, ANCHORS) for w, _ in data], np.array([y for _, y in data])
     seen = Counter(g for s, y in zip(sets, labels, strict=True) if y for g in s)
@@ -169,6 +202,24 @@ def fit(background: list[str], seed: int = 5, folds: int = 3) -> Model:
     return replace(model, cut=float(min(0.95, max(0.5, np.quantile(np.concatenate(strange), 1 - NOVEL)))))
 
 
+WORDS = {f: frozenset(w for t in ts for w in t.split()) for f, ts in TEMPLATES.items()}
+#: A paragraph that says that something does not hold is no notice of it.
+NEGATED = re.compile(r"\b(?:not|never|neither|nor|isn.t|aren.t|no longer|without being)\W+(?:\w+\W+){0,2}(?:licen[sc]ed|released|distributed|covered|governed|available|under|in the public domain)\b", re.I)
+#: SPDX expressions: behind their key, or a line of at least two identifiers alone.
+ID = r"\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
+EXPRESSION = re.compile(rf"^[^A-Za-z0-9]*(?:(?:SPDX-License-Identifier|License|Licence)\s*:\s*({ID}(?:\s+(?:OR|AND|WITH)\s+{ID})*)|({ID}(?:\s+(?:OR|AND)\s+{ID})+))[^A-Za-z0-9]*$")
+
+
+def identifiers(line: str) -> list[str]:
+    """The licences that an SPDX expression names, without exceptions; none for other lines."""
+    m = EXPRESSION.match(line)
+    if not m:
+        return []
+    parts = re.split(r"\s+(OR|AND|WITH)\s+", m[1] or m[2])
+    names = [parts[0], *(name for sign, name in zip(parts[1::2], parts[2::2], strict=True) if sign != "WITH")]
+    return [n.strip("()").rstrip("+").lower() for n in names]
+
+
 PAIRS = {f: [set(zip(t.split(), t.split()[1:], strict=False)) for t in ts] for f, ts in TEMPLATES.items()}
 
 
@@ -178,6 +229,14 @@ def contained(family: str, words: list[str]) -> float:
     return max(len(p & own) / len(p) for p in PAIRS[family])
 
 
+def outdone(family: str, words: list[str]) -> bool:
+    """Whether a sibling, whose template is in the paragraph too, has more words of its own there: words that the other's
+    templates don't have."""
+    own = set(words)
+    rivals = [g for g in TEMPLATES if g != family and contained(g, words) >= CONFIRM]
+    return any(len(own & WORDS[g] - WORDS[family]) > len(own & WORDS[family] - WORDS[g]) for g in rivals)
+
+
 def resembles(words: list[str]) -> bool:
     """Whether a paragraph may be a notice of some family, so that nobody may call it ordinary."""
     return any(contained(f, words) >= LIKE for f in TEMPLATES)
@@ -186,13 +245,15 @@ def resembles(words: list[str]) -> bool:
 def judged(texts: list[list[str]], model: Model) -> list[dict | None]:
     """Of each paragraph's words its family, or unknown, the likeliest known family and how alike its templates are; None if it is no notice."""
     out: list[dict | None] = []
+    if not texts:
+        return out
     for words, p in zip(texts, model.probabilities([grams(w, model.anchors) for w in texts]), strict=True):
-        if p[0] >= 0.5:
+        if p[0] >= 0.5 or NEGATED.search(" ".join(words)):
             out.append(None)
             continue
         best = 1 + int(p[1:UNKNOWN].argmax())
         like = contained(FAMILIES[best], words)
-        sure = bool(p[best] >= model.cut and like >= CONFIRM)
+        sure = bool(like >= CONFIRM and p[best] >= (WHOLE if like == 1 else model.cut) and not outdone(FAMILIES[best], words))
         out.append({"family": FAMILIES[best] if sure else "unknown", "guess": FAMILIES[best], "probability": float(p[best]), "likeness": like, "confirmed": sure})
     return out
 
@@ -204,7 +265,9 @@ def scan(text: str | None, model: Model) -> list[dict]:
     neighbours, as a notice may be wrapped; where that gives none, neighbours that are unknown are one paragraph."""
     if not text or model.anchors.isdisjoint(TOKEN.findall(text.lower())):
         return []
-    held = [(i, w) for i, p in enumerate(text.split("\n")) if not model.anchors.isdisjoint(w := tokens(p))]
+    lines = text.split("\n")
+    named = {i: ids for i, p in enumerate(lines) if (":" in p or " OR " in p or " AND " in p) and len(p) < 500 and (ids := identifiers(p)) and not model.anchors.isdisjoint(tokens(p))}
+    held = [(i, w) for i, p in enumerate(lines) if i not in named and not model.anchors.isdisjoint(w := tokens(p))]
     found = judged([w for _, w in held], model)
     runs: list[list[int]] = []
     for k, one in enumerate(found):
@@ -215,6 +278,10 @@ def scan(text: str | None, model: Model) -> list[dict]:
         else:
             runs.append([k])
     out = [{"place": held[k][0], "lines": 1, **one} for k, one in enumerate(found) if one and one["confirmed"]]
+    for i, ids in named.items():
+        as_key, as_name = (judged([[key, x] for x in ids], model) for key in ("spdx-license-identifier", "license"))
+        for one in (max(pair, key=lambda x: x["likeness"] if x else -1.0) for pair in zip(as_key, as_name, strict=True)):
+            out.append({"place": i, "lines": 1, **(one or {"family": "unknown", "guess": "none", "probability": 0.0, "likeness": 0.0, "confirmed": False})})
     wrapped = [r for r in runs if len(r) > 1]
     together = judged([[w for k in r for w in held[k][1]] for r in wrapped], model) if wrapped else []
     whole = {r[0]: one for r, one in zip(wrapped, together, strict=True) if one and one["confirmed"]}
@@ -230,7 +297,24 @@ def scan(text: str | None, model: Model) -> list[dict]:
             else:
                 out.append({"place": held[k][0], "lines": 1, **found[k]})
             last = k
-    return sorted(out, key=lambda x: x["place"])
+    return joined(sorted(out, key=lambda x: x["place"]), dict(held), model)
+
+
+def joined(found: list[dict], words: dict[int, list[str]], model: Model) -> list[dict]:
+    """A notice that one of its lines already shows takes the unknown lines before and behind it that are of one paragraph with it: together
+    they have the same family."""
+    out: list[dict] = []
+    for one in found:
+        last = out[-1] if out else None
+        if last and last["place"] + last["lines"] == one["place"] and last["confirmed"] != one["confirmed"]:
+            places = range(last["place"], one["place"] + one["lines"])
+            both = judged([[w for i in places for w in words.get(i, [])]], model)[0]
+            family = last["family"] if last["confirmed"] else one["family"]
+            if both and both["confirmed"] and both["family"] == family:
+                out[-1] = {"place": last["place"], "lines": len(places), **both}
+                continue
+        out.append(one)
+    return out
 
 
 FOUND = "array<struct<place: int, lines: int, family: string, guess: string, probability: double, likeness: double, confirmed: boolean>>"

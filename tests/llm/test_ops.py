@@ -553,6 +553,28 @@ def test_licences_of_no_family_and_wrapped_notices():
     assert licenses.scan("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", m)[1]["family"] == "Apache-2.0"
 
 
+def test_licences_of_siblings_titles_identifiers_and_denials():
+    """Wordings of real notices, none of them a template's as it stands."""
+    m = licenses.fit([t for _, t in texts(200, 5)])
+    known = {
+        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the FSF, version 3.": ["AGPL"],
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1.": ["LGPL"],
+        "This library is distributed under the terms of the GNU Library General Public License, version 2.": ["LGPL"],
+        "This program is free software: you can redistribute it under the terms of the GNU General Public License, either version 3 of the License, or (at your option) any later version.": ["GPL"],
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": ["GPL"], "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": ["AGPL"], "GNU LESSER GENERAL PUBLIC LICENSE": ["LGPL"],
+        "Released under CC0": ["Public-Domain"], "Distributed under the Unlicense.": ["Public-Domain"], "License: GPLv3+": ["GPL"], "Creative Commons Attribution-ShareAlike 3.0 Unported": ["CC"],
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": ["BSD"], "SPDX-License-Identifier: BSD-3-Clause": ["BSD"], "// SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"],
+        "MIT OR Apache-2.0": ["MIT", "Apache-2.0"], "License: (LGPL-2.1-or-later OR MPL-2.0)": ["LGPL", "MPL-2.0"], "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": ["GPL"], "Mozilla Public License Version 2.0": ["MPL-2.0"],
+        "SPDX-License-Identifier: AGPL-3.0-only": ["AGPL"], "THE SOFTWARE IS LICENSED UNDER THE MIT LICENSE": ["MIT"], "Licensed under the GNU AGPLv3": ["AGPL"],
+        "GNU Free Documentation License, Version 1.3": ["unknown"], "SPDX-License-Identifier: EPL-2.0": ["unknown"],
+        "Not licensed under the MIT License.": [], "This code is no longer distributed under the Apache License, Version 2.0.": [], "The license was not seen by anyone.": [],
+    }
+    got = {text: [x["family"] for x in licenses.scan(f"words here\n\n{text}\n\nmore words", m)] for text in known}
+    wrong = {t: (f, known[t]) for t, f in got.items() if f != known[t]}
+    assert not {t: w for t, w in wrong.items() if set(w[0]) - set(w[1]) - {"unknown"}}, wrong  # never another family
+    assert len(wrong) <= 1, wrong
+
+
 def test_licences_that_many_documents_begin_with(spark):
     """Notices on first lines of many documents are found, and so is one inside a long paragraph."""
     notice = "Released under the MIT License."
