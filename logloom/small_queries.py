@@ -12,7 +12,7 @@ from . import tables
 from .functions import geo, names, payloads
 from .functions import time as t
 from .functions import vectors as v
-from .operators import align, exports, manifests, search, sequences, spatial, topics
+from .operators import align, exports, manifests, previews, search, sequences, spatial, topics
 from .queries import NEAR, POLYGON, POLYGONS, REF, SHARDED, TICKS, cells, dear_segments, query, rounded, sharded, timeline, INSIDE, RUNS
 from .sources import bags, views
 from .streaming import ingest
@@ -310,3 +310,15 @@ def manifest_columns(spark, d):
     """SRC-13: which required columns a manifest lacks."""
     m = views.manifest(spark, d)
     return m.groupBy("bag").agg(F.count("*").alias("n"), F.lit(",".join(search.missing_columns(m))).alias("missing"))
+
+
+FENCE = "+ s AS (SELECT bag, mcap_id, row_number() OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int)) - 1 AS pos, count(*) OVER (PARTITION BY bag) AS n FROM (SELECT DISTINCT bag, mcap_id FROM v_messages)), p AS (SELECT s.bag, q AS p, s.mcap_id, n * q / 8.0 - floor(n * q / 8.0) AS frac FROM s, range(1, 8) r(q) WHERE pos = floor(n * q / 8.0)), c AS (SELECT bag, mcap_id, topic, count(*) AS c FROM v_messages GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY bag, mcap_id, topic ORDER BY log_time_ns, sequence) - 1 AS nth FROM v_messages), f AS (SELECT p.bag, c.topic, p.p, o.log_time_ns AS t FROM p JOIN c USING (bag, mcap_id) JOIN o ON o.bag = p.bag AND o.mcap_id = p.mcap_id AND o.topic = c.topic AND o.nth = floor(c.c * p.frac))"
+
+
+@query(FENCE + ", w AS (SELECT *, (t // 1000) % 251 AS v, max(1 + (t // 1000) % 2) OVER (PARTITION BY bag, topic) AS most FROM f) SELECT bag, topic, count(*) AS frames, CAST(count(*) * max(most) AS bigint) AS width, string_agg(repeat(printf('%02X', v), CAST(3 * most AS int)), '' ORDER BY p) AS pixels FROM w GROUP BY bag, topic")
+def preview_strips(spark, d):
+    """SNK-7: a grey frame of one or two pixels from each fencepost sample, side by side."""
+    s = sequences.fenceposts(views.messages(spark, d)).withColumn("us", F.expr("log_time_ns div 1000"))
+    grey, width = F.unhex(F.lpad(F.hex(F.col("us") % 251), 2, "0")), (F.col("us") % 2 + 1).cast("int")
+    frames = previews.frames_of(s, F.when(width == 2, F.concat(grey, grey)).otherwise(grey), F.lit("mono8"), width, F.lit(1))
+    return previews.strips(frames).select("bag", "topic", F.col("frames").cast("long").alias("frames"), F.col("width").cast("long").alias("width"), F.hex("pixels").alias("pixels"))

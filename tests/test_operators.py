@@ -361,3 +361,32 @@ def test_numbers_and_sums_of_one_large_group(spark):
             assert got[i] == (n, s)
             s += t
             assert near[i] == (max((x for x in given if x <= (t, i)), default=(None,))[0], min((x for x in given if x >= (t, i)), default=(None,))[0])
+
+
+def test_preview_strips_by_pixel(spark):
+    """Against plain means of areas; the PNG holds the same pixels; nine frames are rows of four on white."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from logloom.operators import previews
+
+    r = np.random.default_rng(2)
+    wide, small = r.integers(0, 256, (4, 6, 3)).astype(np.uint8), r.integers(0, 256, (2, 3, 3)).astype(np.uint8)
+    assert np.array_equal(previews.resampled(small, 4, 6), small.repeat(2, 0).repeat(2, 1))
+    half = wide.reshape(2, 2, 3, 2, 3).astype(float).mean(axis=(1, 3))
+    assert np.array_equal(previews.resampled(wide, 2, 3), np.floor(half + 0.5).astype(np.uint8))
+    big = wide.repeat(5, 0).repeat(5, 1).astype(float)  # 4 x 6 to 5 x 5: areas of a common grid
+    want = np.floor(big.reshape(5, 4, 5, 6, 3).mean(axis=(1, 3)) + 0.5)
+    assert np.array_equal(previews.resampled(wide, 5, 5), want)
+    rows = [("b", "t", i, 6 if i % 2 else 3, 4 if i % 2 else 2, bytearray((wide if i % 2 else small).tobytes())) for i in range(9)]
+    (one,) = previews.strips(spark.createDataFrame(rows, "bag string, topic string, p int, width int, height int, rgb binary")).collect()
+    px = np.frombuffer(bytes(one.pixels), np.uint8).reshape(one.height, one.width, 3)
+    assert (one.frames, one.width, one.height) == (9, 24, 12) and np.array_equal(px[:4, 6:12], wide) and np.array_equal(px[4:8, :6], small.repeat(2, 0).repeat(2, 1)) and (px[8:, 6:] == 255).all()
+    data = bytes(one.png)
+    at = data.index(b"IDAT")
+    lines = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]]), np.uint8).reshape(one.height, 1 + 3 * one.width)
+    assert np.array_equal(lines[:, 1:].reshape(px.shape), px)
+    bad = spark.createDataFrame([("b", "t", 1, bytearray(b"1234"))], "bag string, topic string, p int, data binary")
+    assert previews.frames_of(bad, F.col("data"), F.lit("rgb8"), F.lit(2), F.lit(1)).count() == 0
