@@ -211,6 +211,8 @@ def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     is_base = F.col("kind") < len(BASE)
     hits = hits.withColumn("base", is_base).where(~is_base | passes(F.col("kind"), F.col("value")))
     hits, _ = with_features(hits)
+    # a table, as the trees name each feature many times and Spark would write out its expression each time
+    hits = common.table(hits.select("k1", "k2", "kind", "start", "end", "base", *names), "pii-features")
     least = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in cut.items()))
     hits = hits.withColumn("score", F.when(is_base, F.lit(0.0)).otherwise(boost.margin_column(trees, names))).where(is_base | (F.col("score") >= least))
 
