@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -307,30 +308,124 @@ def hulls_overlapping(hulls: DataFrame, polygons: dict[str, Ring]) -> DataFrame:
     return hulls.where(F.pandas_udf(test, "boolean")(F.col("rings"))).select("bag")
 
 
-def offset_ring(ring: Ring, metres: float, miter: float = 10.0) -> Ring:
-    """A ring moved outwards by metres (inwards if negative), corners mitred; exact for convex rings, a degenerate result gives the ring itself."""
-    if len(ring) < 3 or not metres:
-        return ring
-    lat0 = sum(p[0] for p in ring) / len(ring)
-    k = geo.METRES * math.cos(math.radians(lat0))
-    xy = [(p[1] * k, p[0] * geo.METRES) for p in ring]
-    area = sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(xy, xy[1:] + xy[:1], strict=True)) / 2
-    if not area:
-        return ring
-    side, out = (1 if area > 0 else -1), []
-    for i, q in enumerate(xy):
-        p, r = xy[i - 1], xy[(i + 1) % len(xy)]
-        n = []
-        for a, b in ((p, q), (q, r)):
-            length = math.dist(a, b) or 1.0
-            n.append((side * (b[1] - a[1]) / length, -side * (b[0] - a[0]) / length))
-        sx, sy = n[0][0] + n[1][0], n[0][1] + n[1][1]
-        half = (sx * sx + sy * sy) / 2
-        scale = min(miter, 1 / half) if half > 1e-9 else 0.0
-        out.append((q[0] + sx * scale * metres, q[1] + sy * scale * metres))
-    new = sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(out, out[1:] + out[:1], strict=True)) / 2
-    turned = any((b[0] - a[0]) * (d[0] - c[0]) + (b[1] - a[1]) * (d[1] - c[1]) < 0 for a, b, c, d in zip(xy, xy[1:] + xy[:1], out, out[1:] + out[:1], strict=True))
-    return ring if new * area <= 0 or turned else [(y / geo.METRES, x / k) for x, y in out]
+#: Places nearer than this, in metres, are one; a side of an edge is looked at this far off it.
+SNAP, ASIDE = 1e-6, 1e-4
+
+
+def raw_offset(xy: np.ndarray, by: float, miter: float) -> np.ndarray:
+    """The path of a counter-clockwise ring's edges moved by `by` to their right; it may cross itself. Corners that open are mitred,
+    and squared beyond `miter` times the distance; at others the path goes through the corner itself."""
+    edges = np.roll(xy, -1, axis=0) - xy
+    ways = edges / np.hypot(*edges.T)[:, None]
+    out = []
+    for k, q in enumerate(xy):
+        e0, e1 = ways[k - 1], ways[k]
+        n0, n1 = np.array([e0[1], -e0[0]]), np.array([e1[1], -e1[0]])
+        turn, same = e0[0] * e1[1] - e0[1] * e1[0], float(n0 @ n1)
+        if turn * by < 0 and same < 1 - 1e-12:
+            out += [q + n0 * by, q, q + n1 * by]
+        elif 1 + same >= 2 / miter**2:
+            out.append(q + (n0 + n1) * by / (1 + same))
+        else:
+            side = abs(by) * math.tan(math.acos(max(-1.0, min(1.0, same))) / 4)
+            out += [q + n0 * by + e0 * side, q + n1 * by - e1 * side]
+    return np.array(out)
+
+
+def winding(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How often the closed path of edges a-b goes around each point."""
+    x, y = points[:, 0, None], points[:, 1, None]
+    side = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) - (x - a[:, 0]) * (b[:, 1] - a[:, 1])
+    up, down = (a[:, 1] <= y) & (b[:, 1] > y) & (side > 0), (a[:, 1] > y) & (b[:, 1] <= y) & (side < 0)
+    return up.sum(axis=1) - down.sum(axis=1)
+
+
+def cut_at_crossings(path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a closed path between all places where they meet."""
+    a, b = path, np.roll(path, -1, axis=0)
+    starts, ends = [], []
+    for p, q in zip(a, b, strict=True):
+        d = q - p
+        length = float(d @ d)
+        if length < SNAP**2:
+            continue
+        e = b - a
+        cross = d[0] * e[:, 1] - d[1] * e[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((a[:, 0] - p[0]) * e[:, 1] - (a[:, 1] - p[1]) * e[:, 0]) / cross
+            u = ((a[:, 0] - p[0]) * d[1] - (a[:, 1] - p[1]) * d[0]) / cross
+        hit = (np.abs(cross) > 1e-12) & (t > 0) & (t < 1) & (u >= -1e-9) & (u <= 1 + 1e-9)
+        on = (a - p) @ d / length  # corners that lie on this edge, as those of edges along it
+        near = np.abs(d[0] * (a[:, 1] - p[1]) - d[1] * (a[:, 0] - p[0])) <= SNAP * math.sqrt(length)
+        cuts = np.unique(np.concatenate([[0.0, 1.0], t[hit], on[near & (on > 0) & (on < 1)]]))
+        places = p + cuts[:, None] * d
+        starts.append(places[:-1])
+        ends.append(places[1:])
+    return (np.concatenate(starts), np.concatenate(ends)) if starts else (np.zeros((0, 2)), np.zeros((0, 2)))
+
+
+def positive_rings(path: np.ndarray) -> list[np.ndarray]:
+    """The borders of what a closed path goes around counter-clockwise more often than the other way, inside on the left."""
+    a, b = cut_at_crossings(path)
+    way = b - a
+    length = np.hypot(*way.T)
+    a, b, way = (x[length > SNAP] for x in (a, b, way))
+    if not len(a):
+        return []
+    aside = np.stack([-way[:, 1], way[:, 0]], axis=1) / np.hypot(*way.T)[:, None] * np.minimum(ASIDE, np.hypot(*way.T) / 4)[:, None]
+    middle, whole = (a + b) / 2, (path, np.roll(path, -1, axis=0))
+    border = (winding(middle + aside, *whole) > 0) & (winding(middle - aside, *whole) <= 0)
+    key = lambda p: (round(p[0] / SNAP / 4), round(p[1] / SNAP / 4))
+    leaving: dict[tuple, dict[tuple, np.ndarray]] = {}
+    for p, q in zip(a[border], b[border], strict=True):
+        if key(p) != key(q):
+            leaving.setdefault(key(p), {})[key(q)] = q
+    rings = []
+    while leaving:
+        first = at = next(iter(leaving))
+        ring, came = [], None
+        while at in leaving:
+            here = np.array(at) * SNAP * 4
+            angle = lambda k, here=here, came=came: 0.0 if came is None else (math.atan2(*(np.array(k) * SNAP * 4 - here)[::-1]) - came) % (2 * math.pi)
+            to = max(leaving[at], key=angle)  # the sharpest turn to the left keeps pieces that touch apart
+            place = leaving[at].pop(to)
+            if not leaving[at]:
+                del leaving[at]
+            ring.append(place)
+            came = math.atan2(*(here - place)[::-1])
+            at = to
+            if at == first:
+                break
+        if len(ring) >= 3:
+            rings.append(np.array(ring))
+    return rings
+
+
+def straightened(ring: np.ndarray) -> np.ndarray:
+    """Without corners on a straight line."""
+    before, after = np.roll(ring, 1, axis=0) - ring, np.roll(ring, -1, axis=0) - ring
+    bent = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0]) > 10 * SNAP * np.maximum(np.hypot(*before.T), np.hypot(*after.T))
+    return ring[bent]
+
+
+def offset_rings(ring: Ring, metres: float, miter: float = 10.0) -> list[Ring]:
+    """A ring grown by metres (shrunk if negative), corners mitred: every ring of the result, as a concave one may fall into
+    pieces when it shrinks, or close around holes when it grows. Nothing left gives the ring itself."""
+    xy = np.array([(p[1], p[0]) for p in ring], dtype=float).reshape(-1, 2)
+    if len(xy) > 3 and (xy[0] == xy[-1]).all():
+        xy = xy[:-1]
+    if len(xy) < 3 or not metres:
+        return [ring]
+    middle = xy.mean(axis=0)
+    scale = np.array([geo.METRES * math.cos(math.radians(middle[1])), geo.METRES])
+    xy = (xy - middle) * scale
+    xy = xy[np.hypot(*(xy - np.roll(xy, 1, axis=0)).T) > SNAP]
+    x, y = xy.T
+    area = float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())
+    if len(xy) < 3 or not area:
+        return [ring]
+    found = [straightened(r) for r in positive_rings(raw_offset(xy if area > 0 else xy[::-1], metres, miter))]
+    return [[(float(q[1]), float(q[0])) for q in r / scale + middle] for r in found if len(r) >= 3] or [ring]
 
 
 def boundaries(p: DataFrame, size: float = geo.CELL) -> DataFrame:

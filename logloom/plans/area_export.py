@@ -10,7 +10,7 @@ from ..operators import align, exports, spatial
 def plan(positions: DataFrame, timeline: DataFrame, polygons: dict[str, spatial.Ring], metres: float = 0.0) -> DataFrame:
     """(bag, name, start_index, end_index, start_ts, end_ts, start_mcap, end_mcap) of every run of segments inside."""
     spark = positions.sparkSession
-    grown = {n: spatial.offset_ring(r, metres) for n, r in polygons.items()}
+    grown = {f"{n}/{i}": r for n, ring in polygons.items() for i, r in enumerate(spatial.offset_rings(ring, metres))}
     cells = spatial.grid(spatial.valid_positions(positions))
     edges = spatial.polygon_edges(spark, grown)
     held = cells.join(spatial.bags_in_polygons(cells, edges, spatial.boxes(positions)), "bag", "left_semi")

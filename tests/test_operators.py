@@ -126,9 +126,9 @@ def test_islands_keep_every_id_once(spark):
 
 def test_offset_grows_a_square():
     ring = [(0.0, 0.0), (0.0, 0.01), (0.01, 0.01), (0.01, 0.0)]
-    out = spatial.offset_ring(ring, 111.0)
+    (out,) = spatial.offset_rings(ring, 111.0)
     assert min(p[0] for p in out) == pytest.approx(-0.001, abs=1e-5) and max(p[1] for p in out) == pytest.approx(0.011, abs=1e-5)
-    assert spatial.offset_ring(ring, -5000.0) == ring and spatial.rings_overlap(ring, out) and not spatial.rings_overlap(ring, [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0)])
+    assert spatial.offset_rings(ring, -5000.0) == [ring] and spatial.rings_overlap(ring, out) and not spatial.rings_overlap(ring, [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0)])
 
 
 def test_names(spark):
@@ -390,3 +390,56 @@ def test_preview_strips_by_pixel(spark):
     assert np.array_equal(lines[:, 1:].reshape(px.shape), px)
     bad = spark.createDataFrame([("b", "t", 1, bytearray(b"1234"))], "bag string, topic string, p int, data binary")
     assert previews.frames_of(bad, F.col("data"), F.lit("rgb8"), F.lit(2), F.lit(1)).count() == 0
+
+
+def metric(points):
+    """Corners in metres as a ring of degrees on the equator."""
+    return [(y / geo.METRES, x / geo.METRES) for x, y in points]
+
+
+OFFSETS = {
+    "U": [(0, 0), (300, 0), (300, 300), (185, 300), (185, 100), (115, 100), (115, 300), (0, 300)],  # a gap of 70 m
+    "dumbbell": [(0, 0), (200, 0), (200, 80), (300, 80), (300, 0), (500, 0), (500, 200), (300, 200), (300, 120), (200, 120), (200, 200), (0, 200)],
+    "C": [(0, 0), (300, 0), (300, 130), (250, 130), (250, 50), (50, 50), (50, 250), (250, 250), (250, 170), (300, 170), (300, 300), (0, 300)],  # closes around a hole
+    "comb": [(0, 0), (400, 0), (400, 200), (350, 200), (350, 60), (250, 60), (250, 200), (200, 200), (200, 60), (100, 60), (100, 200), (0, 200)],
+}
+
+
+@pytest.mark.parametrize("name", sorted(OFFSETS))
+@pytest.mark.parametrize("metres", [60.0, 20.0, -20.0, -30.0, 38.0])
+def test_offset_against_a_raster_of_distances(name, metres):
+    """Rings of right angles: what is nearer than the distance belongs to it, what is farther than a mitre's end doesn't, both
+    counted by the rings' even-odd rule; clockwise rings give the same."""
+    import numpy as np
+
+    corners = np.array(OFFSETS[name], float)
+    rings = spatial.offset_rings(metric(corners), metres)
+    turned = spatial.offset_rings(metric(corners[::-1]), metres)
+    assert len(rings) == len(turned)
+    a, b = corners, np.roll(corners, -1, axis=0)
+    r = np.random.default_rng(7)
+    pts = np.stack([r.uniform(-120, 620, 6000), r.uniform(-120, 420, 6000)], axis=1)
+    t = np.clip((((pts[:, None] - a) * (b - a)).sum(-1) / ((b - a) ** 2).sum(-1)), 0, 1)
+    far = np.hypot(*np.moveaxis(pts[:, None] - (a + t[..., None] * (b - a)), -1, 0)).min(axis=1)
+    odd = lambda p, rs: sum(spatial.inside((p[1] / geo.METRES, p[0] / geo.METRES), ring) for ring in rs) % 2 == 1
+    within = np.array([odd(p, [metric(corners)]) for p in pts])
+    signed = np.where(within, -far, far)  # below zero inside
+    if rings == [metric(corners)]:
+        assert metres < 0 and signed.min() > metres * 2**0.5  # nothing is left
+        return
+    for p, s in zip(pts, signed, strict=True):
+        low, high = (metres, metres * 2**0.5) if metres > 0 else (metres * 2**0.5, metres)
+        if s < low - 0.01:
+            assert odd(p, rings) and odd(p, turned), (p, s)
+        elif s > high + 0.01:
+            assert not odd(p, rings) and not odd(p, turned), (p, s)
+
+
+def test_offset_pieces_holes_and_crossing_rings():
+    count = lambda name, by: len(spatial.offset_rings(metric(OFFSETS[name]), by))
+    assert count("dumbbell", -30.0) == 2 and count("dumbbell", -10.0) == 1 and count("C", 30.0) == 2 and count("U", 60.0) == 1
+    bow = metric([(0, 0), (100, 100), (100, 0), (0, 100)])  # crosses itself: both halves are there or the ring comes back
+    assert all(len(r) >= 3 for r in spatial.offset_rings(bow, 5.0))
+    spike = metric([(0, 0), (1000, 1), (0, 2)])
+    assert max(p[1] for p in spatial.offset_rings(spike, 10.0)[0]) * geo.METRES <= 1000 + 10 * 10 + 1
+    assert spatial.offset_rings(metric([(0, 0), (1, 1)]), 5.0) == [metric([(0, 0), (1, 1)])]
