@@ -14,7 +14,7 @@ from .functions import time as t
 from .functions import vectors as v
 from .operators import align, exports, manifests, previews, search, sequences, spatial, topics
 from .queries import NEAR, POLYGON, POLYGONS, REF, SHARDED, TICKS, cells, dear_segments, query, rounded, sharded, timeline, INSIDE, RUNS
-from .sources import bags, views
+from .sources import bags, snapshots, views
 from .streaming import ingest
 
 
@@ -322,3 +322,13 @@ def preview_strips(spark, d):
     grey, width = F.unhex(F.lpad(F.hex(F.col("us") % 251), 2, "0")), (F.col("us") % 2 + 1).cast("int")
     frames = previews.frames_of(s, F.when(width == 2, F.concat(grey, grey)).otherwise(grey), F.lit("mono8"), width, F.lit(1))
     return previews.strips(frames).select("bag", "topic", F.col("frames").cast("long").alias("frames"), F.col("width").cast("long").alias("width"), F.hex("pixels").alias("pixels"))
+
+
+@query("+ s AS (SELECT bag, mcap_id, count(*) AS count, min(log_time_ns) AS first_ts, max(log_time_ns) AS last_ts FROM v_messages GROUP BY ALL) SELECT bag, mcap_id, count, first_ts, last_ts, CAST(coalesce(sum(count) OVER (PARTITION BY bag ORDER BY CAST(mcap_id AS int) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS start_index FROM s")
+def upserted_summaries(spark, d):
+    """SNK-2, SNK-10: summaries that two writes put down, the second for some bags once more."""
+    path = folder(spark, "summaries")
+    s = align.summaries(timeline(spark, d)[1])
+    snapshots.upsert(s.withColumn("count", F.when(F.col("bag") == "bag_1", F.lit(-1)).otherwise(F.col("count")).cast("long")), path, ["bag"])
+    snapshots.upsert(s.where("bag in ('bag_1', 'bag_2')"), path, ["bag"])
+    return snapshots.read(spark, path)

@@ -416,3 +416,30 @@ def test_bad_messages_stop_nothing(spark):
     defs = {kind: text}
     got = df.select("i", decoding.documents(F.col("data"), F.col("msg_type"), F.lit(7), defs).alias("d"), decoding.raw_files(F.col("data"), F.col("msg_type"), defs)["content"].alias("c"), decoding.is_bad(F.col("data"), F.col("msg_type"), defs).alias("bad")).collect()
     assert [(r.i, r.d is not None, r.c is not None, r.bad) for r in sorted(got)] == [(0, True, True, False)] + [(i, False, False, i < 5) for i in range(1, 6)]
+
+
+def test_several_writers_of_one_table(spark, tmp_path):
+    """Writers at once lose nothing; one that dies before its last step changes nothing, and what it left goes."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from logloom.sources import snapshots
+
+    root = str(tmp_path / "table")
+    rows = lambda bag, n: spark.createDataFrame([(bag, str(i % 2), n) for i in range(4)], "bag string, mcap_id string, n int")
+    state = lambda: {(r.bag, r.mcap_id): (r.n, r.c) for r in snapshots.read(spark, root).groupBy("bag", "mcap_id", "n").agg(F.count("*").alias("c")).collect()}
+    snapshots.upsert(rows("a b/ü", 0), root, ["bag", "mcap_id"])
+    assert state() == {("a b/ü", "0"): (0, 2), ("a b/ü", "1"): (0, 2)}
+    staged = [snapshots.stage(rows(f"b{k}", k), root, ["bag", "mcap_id"]) for k in range(6)]
+    schema = rows("x", 0).schema
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda m: snapshots.commit(spark, root, schema, m), staged))
+    assert sorted(numbers) == list(range(2, 8)) and len(state()) == 14
+    before, reader = state(), snapshots.read(spark, root)
+    snapshots.stage(rows("b1", 99), root, ["bag", "mcap_id"])  # dies here
+    assert state() == before
+    snapshots.upsert(rows("b1", 7).where("mcap_id = '0'"), root, ["bag", "mcap_id"])
+    assert state() == before | {("b1", "0"): (7, 2)}
+    assert {r.n for r in reader.where("bag = 'b1'").collect()} == {1}  # a reader goes on in the state that it began with
+    kept = len(list((tmp_path / "table" / "data").iterdir()))
+    assert snapshots.clean(spark, root, 3600) == 0 and snapshots.clean(spark, root, -1) >= 8
+    assert len(list((tmp_path / "table" / "data").iterdir())) == kept - 1 and state() == before | {("b1", "0"): (7, 2)}
