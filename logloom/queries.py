@@ -399,7 +399,7 @@ def concave_hull_per_bag(spark, d):
 @query()
 def hulls_overlapping_polygon(spark, d):
     """FLT-14, FLT-15, FN-19."""
-    grown = {f"square/{i}": r for i, r in enumerate(spatial.offset_rings(SQUARE, 50.0))}
+    grown = {f"{n}/{i}": r for n, ring in POLYGONS.items() for i, r in enumerate(spatial.offset_rings(ring, 50.0))}
     return spatial.hulls_overlapping(spatial.convex_hulls(cells(spark, d)), grown)
 
 
