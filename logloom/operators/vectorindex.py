@@ -79,7 +79,7 @@ def build(df: DataFrame, by: tuple[str, ...], tie: str, clusters: int | None = N
     rows = df.where(F.col("embedding").isNotNull()).select(*by, tie, "embedding")
     sample = [r[0] for r in rows.select("embedding", F.xxhash64(*by, tie).alias("h")).orderBy("h").limit(SAMPLE).collect()]
     vectors = np.array(sample, np.float64) if sample else np.zeros((0, 1))
-    centroids = centroids_of(vectors, clusters or min(CLUSTERS, max(1, int(np.sqrt(len(vectors)) / 4))))
+    centroids = centroids_of(vectors, clusters or min(CLUSTERS, max(1, int(np.sqrt(rows.count()) / 8))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -121,7 +121,7 @@ def reach(limit: np.ndarray | float, at: np.ndarray | float) -> np.ndarray | flo
 
 def nearest_in(e: np.ndarray, norms: np.ndarray, dist: np.ndarray, names: pd.Series, asks: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
     """Of each query that visits a shell the rows that may be among its k nearest: all up to the k-th distance, with ties."""
-    one = lambda n: np.where(n == 0, 1.0, n)
+    found, numbers, near, alike = [], [], [], []
     for number, q, at, limit in zip(asks["query_id"], asks["vector"], asks["from_centroid"], asks["limit"], strict=True):
         q = np.asarray(q, np.float64)
         span = reach(limit, at)
@@ -129,7 +129,12 @@ def nearest_in(e: np.ndarray, norms: np.ndarray, dist: np.ndarray, names: pd.Ser
         d = np.square(e[a:b] - q).sum(axis=1)
         kept = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
         if len(kept):
-            yield pd.DataFrame({"name": names.iloc[a + kept].to_numpy(), "query_id": number, "distance": d[kept], "cosine": e[a + kept] @ q / (norms[a + kept] * one(np.sqrt(q @ q)))})
+            found.append(a + kept)
+            numbers.append(np.full(len(kept), number))
+            near.append(d[kept])
+            alike.append(e[a + kept] @ q / (norms[a + kept] * (np.sqrt(q @ q) or 1.0)))
+    if found:
+        yield pd.DataFrame({"name": names.iloc[np.concatenate(found)].to_numpy(), "query_id": np.concatenate(numbers), "distance": np.concatenate(near), "cosine": np.concatenate(alike)})
 
 
 def visited(index: VectorIndex, visits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
