@@ -32,6 +32,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SMALLEST = 4
 #: Sets of as many words have three times the parity bits, as the bits of long ones differ by chance no more than they may.
 LONG = 32
+#: Prefix words are joined in parts, by their codes' remainders from 0 to 7; the first part settles most of what is open.
+PARTS = ((0, 2), (2, 5), (5, 8))
 #: Two 32-bit numbers in one.
 WIDE = 1 << 32
 #: monotonically_increasing_id() counts the rows of a partition in its low bits.
@@ -90,13 +92,17 @@ def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
 PARITY = ("bits", "more", "most")
 
 
-def near(n_a: Column, a: list[Column], n_b: Column, b: list[Column]) -> Column:
-    """The filter of parity bits (PARITY); sets of the similarity pass it always. `more` and `most` have those of a third of the
+def differing(n_a: Column, a: list[Column], n_b: Column, b: list[Column]) -> Column:
+    """Parity bits (PARITY) that differ: no more than words of one set alone. `more` and `most` have those of a third of the
     words each, so that two long sets are compared by thirds."""
     bits, more, most = (x.bitwiseXOR(y) for x, y in zip(a, b, strict=True))
     thirds = F.bit_count(more) + F.bit_count(most) + F.bit_count(bits.bitwiseXOR(more).bitwiseXOR(most))
-    differ = F.when((n_a >= LONG) & (n_b >= LONG), thirds).otherwise(F.bit_count(bits))
-    return differ * (UP + DOWN) <= (n_a + n_b) * (DOWN - UP)
+    return F.when((n_a >= LONG) & (n_b >= LONG), thirds).otherwise(F.bit_count(bits))
+
+
+def near(n_a: Column, a: list[Column], n_b: Column, b: list[Column]) -> Column:
+    """The filter of parity bits; sets of the similarity pass it always."""
+    return differing(n_a, a, n_b, b) * (UP + DOWN) <= (n_a + n_b) * (DOWN - UP)
 
 
 def prefix_length(n: Column) -> Column:
@@ -127,41 +133,59 @@ def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -
     A set is first held against one other: any two of its four words of the least hashes, whatever their rarity, name a
     group; of these groups' earliest sets that pass the parity filter it is the one that most name. This settles nearly
     all copies in as many pairs as there are sets, even in a group of very many near copies; only the sets it leaves open
-    are joined with all earlier ones that share words of the prefix."""
+    are joined with all earlier ones that share words of the prefix, by some of the words at a time (PARTS). After the first
+    of these joins every open set is held against the one whose parity bits are nearest, as near copies that are not
+    like the earliest of their group have many others that they are like, and would meet all of these."""
     coded = with_codes(sets, levels)
-    prefix = F.when(F.col("n") >= SMALLEST, F.slice("codes", 1, prefix_length(F.col("n")))).otherwise(F.col("codes"))
-    anchors = F.array(*(F.xxhash64(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for i, j in combinations(range(4), 2)))
-    index = common.table(coded.select("id", "n", *PARITY, prefix.alias("prefix"), anchors.alias("anchors")), "linededup-prefixes", scratch, dictionary=False)
+    small, whole = F.col("n") < SMALLEST, F.col("n") >= SMALLEST
+    prefix = F.transform(F.slice("codes", 1, prefix_length(F.col("n"))), lambda c: F.hash(c))
+    index = coded.select("id", "n", *PARITY, F.when(small, F.col("codes")).alias("same"), F.when(whole, prefix).alias("prefix"), F.when(whole, F.col("least")).alias("least"))
+    index = common.table(index, "linededup-prefixes", scratch, dictionary=False)
 
-    small = index.where(F.col("n") < SMALLEST)
-    same = small.groupBy("prefix").agg(F.min("id").alias("e"), F.count("*").alias("size")).where("size > 1")
-    equal = small.join(same, "prefix").where("id > e").select(F.col("id").alias("b"))
+    same = index.where(small).groupBy("same").agg(F.min("id").alias("e"), F.count("*").alias("size")).where("size > 1")
+    equal = index.where(small).join(same, "same").where("id > e").select(F.col("id").alias("b"))
 
-    whole = index.where(F.col("n") >= SMALLEST)
-    rows = whole.select("id", "n", *PARITY, F.explode_outer("anchors").alias("code"))
+    whole = index.where(whole)
+    anchors = F.array(*(F.xxhash64(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for i, j in combinations(range(4), 2)))
+    rows = whole.select("id", "n", "bits", F.explode_outer(anchors).alias("code"))
     earliest = rows.groupBy("code").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("code", "a")
-    votes = rows.join(earliest, "code").where("id > a").groupBy("a", "id").agg(F.count("*").alias("votes"), *(F.any_value(c).alias(c) for c in ("n", *PARITY)))
-    first = whole.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", *PARITY)))
-    votes = votes.join(first, "a").where(near(F.col("n"), [F.col(c) for c in PARITY], F.col("n_a"), [F.col(f"{c}_a") for c in PARITY]))
-    best = votes.groupBy("id").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
-    settled = common.table(verified(common.table(best, "linededup-pairs", scratch), sets, scratch), "linededup-settled", scratch)
-
-    # these rows are most of what is shuffled, so they are narrow: n and i in one number, a settled set, which is no b any
-    # more, by a negative id, and 32 bits of a code, whose collisions only add candidates. Both sides read the same columns,
-    # so that they are one exchange
+    votes = rows.join(earliest, "code").where("id > a").groupBy("a", "id").agg(F.count("*").alias("votes"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    first = whole.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_a")))
+    votes = votes.join(first, "a").where(differ * (UP + DOWN) <= (F.col("n") + F.col("n_a")) * (DOWN - UP))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", -differ, "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
+    settled = [common.table(verified(common.table(best, "linededup-pairs", scratch), sets, scratch), "linededup-settled", scratch)]
+
+    pairs = common.table(sharing(whole, settled[0], PARTS[0]), "linededup-pairs", scratch)
+    best = pairs.groupBy("b").agg(F.min(F.struct(F.col("differ") / (F.col("n_a") + F.col("n_b")), "a")).alias("m")).select("m.a", "b")
+    settled.append(common.table(verified(best, sets, scratch), "linededup-settled", scratch))
+    pairs = pairs.join(common.sized(settled[1]), "b", "left_anti")
+    for part in PARTS[1:]:
+        pairs = pairs.unionByName(common.table(sharing(whole, settled[0].unionByName(settled[1]), part), "linededup-pairs", scratch))
+    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"), F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b"))
+    pairs = pairs.where(enough(*(F.col(k) for k in ("shared", "n_a", "last_a", "n_b", "last_b")))).select("a", "b")
+    rest = verified(common.table(pairs, "linededup-pairs", scratch), sets, scratch)
+    return equal.unionByName(settled[0]).unionByName(settled[1]).unionByName(rest).select(F.col("b").alias("id"))
+
+
+def sharing(whole: DataFrame, settled: DataFrame, part: tuple[int, int]) -> DataFrame:
+    """(a, b, n_a, n_b, shared, last_a, last_b, differ): pairs of a set b that is not settled and an earlier one, both of `whole`, that share
+    words of their prefixes whose codes leave one of the remainders from part[0] to part[1], that one out: how many, their last places, and the parity bits that differ.
+
+    The joined rows are most of what is shuffled, so they are narrow: n and i in one number, a settled set, which is no b any
+    more, by a negative id, and 32 bits of a code, whose collisions only add candidates. Both sides read the same columns,
+    so that they are one exchange."""
     done = common.sized(settled.select(F.col("b").alias("id"), F.lit(True).alias("done")))
     sides = whole.join(done, "id", "left").select(F.coalesce(F.when(F.col("done"), -1 - F.col("id")), "id", F.lit(0)).alias("tag"), "n", *PARITY, F.posexplode_outer("prefix").alias("i", "code"))
-    sides = sides.select("tag", (F.col("n").cast("long") * WIDE + F.col("i")).alias("n_i"), *PARITY, F.hash("code").alias("code"))
+    held = F.pmod("code", F.lit(PARTS[-1][1]))
+    sides = sides.where((held >= part[0]) & (held < part[1])).select("tag", (F.col("n").cast("long") * WIDE + F.col("i")).alias("n_i"), *PARITY, "code")
     parity_a, parity_b = ([F.col(f"{k}.{c}") for c in PARITY] for k in "ab")
     tag_b = F.col("b.tag")
     n_a, i_a, n_b, i_b = (x for k in "ab" for x in (F.shiftright(f"{k}.n_i", 32), F.col(f"{k}.n_i").bitwiseAND(F.lit(WIDE - 1))))
     earlier = F.greatest("a.tag", -1 - F.col("a.tag"))
     pairs = sides.alias("a").join(sides.alias("b"), F.col("a.code") == F.col("b.code"))
     pairs = pairs.where((earlier < tag_b) & fitting(n_a, i_a, n_b, i_b) & near(n_a, parity_a, n_b, parity_b))
-    pairs = pairs.groupBy(earlier.alias("a"), tag_b.alias("b"), n_a.cast("int").alias("n_a"), n_b.cast("int").alias("n_b")).agg(F.count("*").alias("shared"), F.max(i_a).alias("last_a"), F.max(i_b).alias("last_b"))
-    pairs = pairs.where(enough(*(F.col(k) for k in ("shared", "n_a", "last_a", "n_b", "last_b")))).select("a", "b")
-    rest = verified(common.table(pairs, "linededup-pairs", scratch), sets, scratch)
-    return equal.unionByName(settled).unionByName(rest).select(F.col("b").alias("id"))
+    return pairs.groupBy(earlier.alias("a"), tag_b.alias("b"), n_a.cast("int").alias("n_a"), n_b.cast("int").alias("n_b")).agg(F.count("*").alias("shared"), F.max(i_a).alias("last_a"), F.max(i_b).alias("last_b"), F.max(differing(n_a, parity_a, n_b, parity_b)).alias("differ"))
 
 
 def numbered(docs: DataFrame, text: str, scratch: list[DataFrame]) -> tuple[DataFrame, int]:

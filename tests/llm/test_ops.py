@@ -213,6 +213,35 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.op6(empty).count() == 0
 
 
+def test_near_copies_unlike_their_earliest_line_meet_few_others(spark, monkeypatch):
+    """Lines that the earliest of their group is not like settle on one another after the first words, not on all others by all words."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    lines = [" ".join(base[:52] + [f"e{i}" for i in range(12)])]
+    for i in range(60):
+        copy = list(base)
+        for j in rng.sample(range(60), 3):
+            copy[j] = f"x{i}y{j}"
+        lines.append(" ".join(copy))
+    kept, table = {}, linededup.common.table
+
+    def held(df, name, *more, **named):
+        kept.setdefault(name, []).append(table(df, name, *more, **named))
+        return kept[name][-1]
+
+    monkeypatch.setattr(linededup.common, "table", held)
+    scratch = []
+    rows = list(enumerate(lines))
+    found = linededup.removed_lines(spark.createDataFrame(rows, SCHEMA), scratch).count()
+    assert found == len(brute_lines(rows)) > 50
+    whole = kept["linededup-prefixes"][0]
+    none = spark.createDataFrame([], "b long")
+    full = linededup.sharing(whole, none, (0, 8)).agg({"shared": "sum"}).first()[0]
+    joined = sum(p.agg({"shared": "sum"}).first()[0] or 0 for p in kept["linededup-pairs"] if "shared" in p.columns)
+    assert 0 < 2 * joined < full
+    linededup.common.drop_tables(scratch)
+
+
 # ---- 7 ----
 
 
