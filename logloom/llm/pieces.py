@@ -35,6 +35,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, THETA, SEED, STEP = 2, 1.0, 7, 16
 #: Characters of one batch of texts, and words whose lattices are kept.
 CHARS, WORDS = 1 << 20, 100_000
+#: Uniform numbers that are made for all texts of a batch at once; a text that needs more makes these itself.
+READY = 64
+#: Words whose lattices are built at once.
+PORTION = 4096
 SPACE = "▁"
 WORD = re.compile(r" *[^ \n]+| +|\n")
 U64 = np.uint64
@@ -68,6 +72,14 @@ class Vocabulary:
     children: np.ndarray
     piece: np.ndarray
     weight: np.ndarray
+    sizes: np.ndarray = field(init=False)  # of the pieces' bytes, and where these begin in `flat`
+    begin: np.ndarray = field(init=False)
+    flat: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.sizes = np.array([len(p) for p in self.pieces], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
 
     def child(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         key = node * self.n_chars + char
@@ -141,11 +153,30 @@ class Lattices:
     what: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # piece, or below zero -1 - character
     logp: np.ndarray = field(default_factory=lambda: np.zeros(0))
     cum: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    leave: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log of what the other edges of its row have, -inf without others
 
     def ends(self, rows: np.ndarray) -> np.ndarray:
         return self.first[rows] == self.first[rows + 1]
 
     def add(self, words: list[str]) -> None:
+        """In portions whose arrays stay in a processor's cache."""
+        rows, edges = len(self.first) - 1, len(self.row)
+        parts: dict[str, list[np.ndarray]] = {}
+        for k in range(0, len(words), PORTION):
+            new = self.lattices(words[k : k + PORTION])
+            own = len(new["first"])
+            for name, by in (("start", rows), ("first", edges), ("row", rows), ("to", rows)):
+                new[name] += new[name].dtype.type(by)
+            rows, edges = rows + own, edges + len(new["row"])
+            for name, values in new.items():
+                parts.setdefault(name, [getattr(self, name)]).append(values)
+        for w in words:
+            self.index[w] = len(self.index)
+        for name, values in parts.items():
+            setattr(self, name, np.concatenate(values))
+
+    def lattices(self, words: list[str]) -> dict[str, np.ndarray]:
+        """The columns of the words alone; narrow types, as these are most of a task's memory."""
         v = self.v
         sizes = np.array([len(w) for w in words])
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -194,19 +225,18 @@ class Lattices:
                 beta[at[near[a:b]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, near_n[a:b])), cut))
         logp = weight + beta[to] - beta[row]
         cum = np.exp(logp)
-        nth = np.arange(len(row)) - first[row]
-        for j in range(1, int(nth.max(initial=0)) + 1):  # running sums within rows, so that no other word has a say in them
-            here = np.flatnonzero(nth == j)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            leave = np.log1p(-cum)  # log1mexp
+        likely = np.flatnonzero(logp > -0.693)
+        leave[likely] = log1mexp(logp[likely])
+        leave[n[row] == 1] = -np.inf
+        here, j = first[:-1][n > 1] + 1, 1
+        while len(here):  # running sums within rows, so that no other word has a say in them
             cum[here] += cum[here - 1]
+            j += 1
+            here = here[n[row[here]] > j] + 1
         cum[first[1:][n > 0] - 1] = np.inf
-        rows, edges = len(self.first) - 1, len(self.row)
-        for w in words:
-            self.index[w] = len(self.index)
-        self.start = np.concatenate([self.start, begin + rows])
-        self.first = np.concatenate([self.first, first[1:] + edges])
-        # narrow types, as these are most of a task's memory
-        for name, new in (("row", (row + rows).astype(np.int32)), ("to", (to + rows).astype(np.int32)), ("what", what.astype(np.int32)), ("logp", logp), ("cum", cum.astype(np.float32))):
-            setattr(self, name, np.concatenate([getattr(self, name), new]))
+        return {"start": begin, "first": first[1:], "row": row.astype(np.int32), "to": to.astype(np.int32), "what": what.astype(np.int32), "logp": logp, "cum": cum.astype(np.float32), "leave": leave}
 
     def draw(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A way through each word: the edges of all of them in order, and where each word's begin (and the end)."""
@@ -254,18 +284,18 @@ class Region:
 
 def truncated(mass: np.ndarray, below: float, u: np.ndarray) -> np.ndarray:
     """Gumbel draws at locations `mass` that are at most `below`."""
-    with np.errstate(over="ignore", divide="ignore"):
-        return -np.log(np.exp(-below) + np.exp(-mass) * -np.log(u))
+    return -np.log(np.exp(-below) + np.exp(-mass) * -np.log(u))
 
 
-def ways(l: Lattices, drawn: list[tuple[np.ndarray, np.ndarray]], words: slice, seed: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
-    """The k ways (edges, log p, perturbed log p, inclusion score) through the words; drawn has a free way for each of them."""
+def ways(l: Lattices, drawn: list[tuple[np.ndarray, np.ndarray]], words: slice, seed: int, ready: np.ndarray, k: int) -> list[tuple[np.ndarray, float, float, float]]:
+    """The k ways (edges, log p, perturbed log p, inclusion score) through the words; drawn has a free way for each of them, and
+    ready the first uniform numbers of the seed."""
     used = 0
 
     def uniform(n: int) -> np.ndarray:
         nonlocal used
         used += n
-        return mix(counter(seed, 0xA5, np.arange(used - n, used)))
+        return ready[used - n : used] if used <= len(ready) else mix(counter(seed, 0xA5, np.arange(used - n, used)))
 
     heap: list[Region] = []
     out: list[tuple[np.ndarray, float, float]] = []
@@ -275,14 +305,10 @@ def ways(l: Lattices, drawn: list[tuple[np.ndarray, np.ndarray]], words: slice,
         part = way[at : at + STEP]
         lp = l.logp[part]
         prefix = before + np.concatenate(([0.0], np.cumsum(lp)))
-        mass = prefix[:-1] + log1mexp(lp)
+        mass = prefix[:-1] + l.leave[part]
         if without:
-            mass[0] = before + float(log1mexp(min(0.0, float(np.logaddexp.reduce(l.logp[list(without)])))))
-            single = l.first[l.row[part[0]] + 1] - l.first[l.row[part[0]]]
-            if len(without) >= single:
-                mass[0] = -np.inf
-        only = l.first[l.row[part] + 1] - l.first[l.row[part]] == 1
-        mass[only] = -np.inf
+            row = l.row[part[0]]
+            mass[0] = before + float(log1mexp(min(0.0, float(np.logaddexp.reduce(l.logp[list(without)]))))) if len(without) < l.first[row + 1] - l.first[row] else -np.inf
         rest = float(l.logp[way[at + STEP :]].sum()) if len(way) > at + STEP else 0.0
         tail = float(prefix[-1] + log1mexp(rest)) if len(way) > at + STEP and rest < 0 else -np.inf
         every = np.append(mass, tail)
@@ -311,13 +337,12 @@ def ways(l: Lattices, drawn: list[tuple[np.ndarray, np.ndarray]], words: slice,
         if r.tail:
             split(r.way, r.at, r.before, -r.minus_max, (), holds_max=True)
             continue
-        row = int(l.row[r.way[r.at]])
+        row = l.row[r.way[r.at]]
         fresh = [e for e in range(int(l.first[row]), int(l.first[row + 1])) if e not in r.without]
         p = np.exp(l.logp[fresh] - l.logp[fresh].max())
         e = fresh[int(np.searchsorted(np.cumsum(p), uniform(1)[0] * p.sum()).clip(0, len(fresh) - 1))]
         new = [e]
-        while not l.ends(np.array([l.to[e]]))[0]:
-            a, b = int(l.first[l.to[e]]), int(l.first[l.to[e] + 1])
+        while (b := int(l.first[l.to[e] + 1])) > (a := int(l.first[l.to[e]])):
             e = a + int(np.searchsorted(l.cum[a:b], uniform(1)[0]))
             new.append(e)
         word = words.start + int(l.ends(l.to[r.way[: r.at]]).sum())
@@ -346,7 +371,11 @@ def to_ids(l: Lattices, way: np.ndarray) -> np.ndarray:
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text of pieces; the space before the first word, which encoding adds, goes."""
-    return b"".join([v.pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+    n = v.sizes[ids]
+    ends = np.cumsum(n)
+    at = np.repeat(v.begin[ids] - ends + n, n)
+    at += np.arange(len(at))
+    return v.flat[at].tobytes().decode("utf-8", "replace")[1:]
 
 
 def sample_batch(l: Lattices, texts: list[str], seeds: list[int], k: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
@@ -362,11 +391,14 @@ def sample_batch(l: Lattices, texts: list[str], seeds: list[int], k: int) -> Ite
     base = np.repeat(np.array(seeds, np.int64), np.diff(ends))
     place = np.arange(len(words)) - np.repeat(ends[:-1], np.diff(ends))
     drawn = [l.draw(words, counter(base, place, s).view(np.int64)) for s in range(k)]
+    ready = mix(counter(np.array(seeds, np.int64)[:, None], 0xA5, np.arange(READY)))
     for i, seed in enumerate(seeds):
         if ends[i] == ends[i + 1]:
-            yield [(np.zeros(0, np.int64), 0.0, float(-np.log(-np.log(mix(counter(seed, 0xA5, 0))[0]))), 1.0)]
+            yield [(np.zeros(0, np.int64), 0.0, float(-np.log(-np.log(ready[i, 0]))), 1.0)]
         else:
-            yield [(to_ids(l, w), lp, g, q) for w, lp, g, q in ways(l, drawn, slice(int(ends[i]), int(ends[i + 1])), seed, k)]
+            with np.errstate(over="ignore", divide="ignore"):
+                found = ways(l, drawn, slice(int(ends[i]), int(ends[i + 1])), seed, ready[i], k)
+            yield [(to_ids(l, w), lp, g, q) for w, lp, g, q in found]
 
 
 SAMPLES = "sample int, n_pieces long, pieces binary, log_p double, perturbed double, inclusion double"

@@ -649,6 +649,19 @@ def test_ways_are_draws_without_replacement(vocabulary):
         assert second[s] / n == pytest.approx(sum(p[o] * p[s] / (1 - p[o]) for o in p if o != s), abs=0.04)
 
 
+def test_lattices_in_portions_are_the_same(vocabulary, monkeypatch):
+    words = sorted({" theta", " th", " q\u4e2dx", "\n", "   ", " aaaaaaaaaa", " zebra,", " x"})
+    whole, parts = pieces.Lattices(vocabulary), pieces.Lattices(vocabulary)
+    whole.add(words)
+    monkeypatch.setattr(pieces, "PORTION", 3)
+    parts.add(words)
+    for name in ("start", "first", "row", "to", "what", "logp", "cum", "leave"):
+        assert np.array_equal(getattr(whole, name), getattr(parts, name))
+    n = np.diff(whole.first)[whole.row]
+    assert np.array_equal(whole.leave == -np.inf, n == 1)
+    assert np.allclose(np.exp(whole.leave), np.where(n == 1, 0, -np.expm1(np.minimum(whole.logp, 0))))
+
+
 def test_segmentations_decode_and_depend_on_the_key_alone(spark, odd, empty, vocabulary):
     got = pieces.op2(odd).collect()
     assert all(r.decodes for r in got)
