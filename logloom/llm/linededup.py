@@ -34,6 +34,8 @@ SMALLEST = 4
 LONG = 32
 #: Prefix words are joined in parts, by their codes' remainders from 0 to 7; the first part settles most of what is open.
 PARTS = ((0, 2), (2, 5), (5, 8))
+#: A set that is not settled first meets one in SHARE of the others, and is held against those of near parity bits in NEAREST shares of what it met.
+SHARE, NEAREST = 8, 3
 #: Two 32-bit numbers in one.
 WIDE = 1 << 32
 #: monotonically_increasing_id() counts the rows of a partition in its low bits.
@@ -121,21 +123,23 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: list[DataFrame]) -> Dat
     """The ids b of pairs (a, b) whose whole sets have the similarity."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = common.table(sets.select("id", "line").join(common.sized(named), "id", "left_semi"), "linededup-held", scratch)
-    words = lambda x: held.select(F.col("id").alias(x), F.array_distinct(words_of(F.col("line"))).alias(f"words_{x}"))
-    both = pairs.join(words("b"), "b").join(words("a"), "a")
-    alike = F.size(F.array_intersect("words_a", "words_b")) * (UP + DOWN) >= (F.size("words_a") + F.size("words_b")) * UP
+    lines = lambda x: held.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
+    both = pairs.join(lines("b"), "b").join(lines("a"), "a")
+    words_a, words_b = (F.array_distinct(words_of(F.col(f"line_{x}"))) for x in "ab")
+    alike = F.size(F.array_intersect(words_a, words_b)) * (UP + DOWN) >= (F.size(words_a) + F.size(words_b)) * UP
     return both.select("b", alike.alias("alike")).where("alike").select("b").distinct()
 
 
 def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -> DataFrame:
     """(id) of the sets (id, line) that have a similar set with a lesser id.
 
-    A set is first held against one other: any two of its four words of the least hashes, whatever their rarity, name a
-    group; of these groups' earliest sets that pass the parity filter it is the one that most name. This settles nearly
-    all copies in as many pairs as there are sets, even in a group of very many near copies; only the sets it leaves open
-    are joined with all earlier ones that share words of the prefix, by some of the words at a time (PARTS). After the first
-    of these joins every open set is held against the one whose parity bits are nearest, as near copies that are not
-    like the earliest of their group have many others that they are like, and would meet all of these."""
+    A set is first held against few others: any two of its four words of the least hashes, whatever their rarity, name a
+    group, and of these groups' earliest sets, six at most, those that pass the parity filter are its candidates. This settles nearly
+    all copies in pairs that grow with the number of sets; only the sets it leaves open are joined with all earlier ones that share
+    words of the prefix, by some of the words at a time (PARTS). Near copies that are not like the earliest of their group may have
+    very many others that they are like, and would meet all of these. So by the first words a set meets only one in SHARE of the others at first,
+    which settles those that have many, and what is left then meets all of them; after both, every open set is held against those
+    whose parity bits are nearest."""
     coded = with_codes(sets, levels)
     small, whole = F.col("n") < SMALLEST, F.col("n") >= SMALLEST
     prefix = F.transform(F.slice("codes", 1, prefix_length(F.col("n"))), lambda c: F.hash(c))
@@ -147,30 +151,39 @@ def with_earlier(sets: DataFrame, levels: list[int], scratch: list[DataFrame]) -
 
     whole = index.where(whole)
     anchors = F.array(*(F.xxhash64(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for i, j in combinations(range(4), 2)))
-    rows = whole.select("id", "n", "bits", F.explode_outer(anchors).alias("code"))
-    earliest = rows.groupBy("code").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("code", "a")
-    votes = rows.join(earliest, "code").where("id > a").groupBy("a", "id").agg(F.count("*").alias("votes"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
-    first = whole.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_a")))
-    votes = votes.join(first, "a").where(differ * (UP + DOWN) <= (F.col("n") + F.col("n_a")) * (DOWN - UP))
-    best = votes.groupBy("id").agg(F.max(F.struct("votes", -differ, "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("id").alias("b"))
-    settled = [common.table(verified(common.table(best, "linededup-pairs", scratch), sets, scratch), "linededup-settled", scratch)]
-
-    pairs = common.table(sharing(whole, settled[0], PARTS[0]), "linededup-pairs", scratch)
-    best = pairs.groupBy("b").agg(F.min(F.struct(F.col("differ") / (F.col("n_a") + F.col("n_b")), "a")).alias("m")).select("m.a", "b")
-    settled.append(common.table(verified(best, sets, scratch), "linededup-settled", scratch))
-    pairs = pairs.join(common.sized(settled[1]), "b", "left_anti")
+    rows = whole.select("id", F.explode_outer(anchors).alias("code"))
+    earliest = rows.groupBy("code").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("last > a").select("code", "a")
+    voted = common.table(rows.join(earliest, "code").where("id > a").select("a", F.col("id").alias("b")).distinct(), "linededup-voted", scratch)
+    voted = common.table(passing(voted, whole), "linededup-pairs", scratch)
+    done = common.table(verified(voted, sets, scratch), "linededup-settled", scratch)
+    for share in (SHARE, 1):
+        pairs = common.table(sharing(whole, done, PARTS[0], share), "linededup-pairs", scratch)
+        of = F.pmod(F.hash("a"), F.lit(NEAREST))
+        best = pairs.groupBy("b", of).agg(F.min(F.struct(F.col("differ") / (F.col("n_a") + F.col("n_b")), "a")).alias("m")).select("m.a", "b")
+        settled = common.table(verified(best, sets, scratch), "linededup-settled", scratch)
+        done = done.unionByName(settled)
+    pairs = pairs.join(common.sized(settled), "b", "left_anti")
     for part in PARTS[1:]:
-        pairs = pairs.unionByName(common.table(sharing(whole, settled[0].unionByName(settled[1]), part), "linededup-pairs", scratch))
+        pairs = pairs.unionByName(common.table(sharing(whole, done, part), "linededup-pairs", scratch))
     pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"), F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b"))
     pairs = pairs.where(enough(*(F.col(k) for k in ("shared", "n_a", "last_a", "n_b", "last_b")))).select("a", "b")
     rest = verified(common.table(pairs, "linededup-pairs", scratch), sets, scratch)
-    return equal.unionByName(settled[0]).unionByName(settled[1]).unionByName(rest).select(F.col("b").alias("id"))
+    return equal.unionByName(done).unionByName(rest).select(F.col("b").alias("id"))
 
 
-def sharing(whole: DataFrame, settled: DataFrame, part: tuple[int, int]) -> DataFrame:
+def passing(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that pass the filters of lengths and of parity bits."""
+    for k in "ab":
+        pairs = pairs.join(whole.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", *PARITY))), k)
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    parity_a, parity_b = ([F.col(f"{c}_{k}") for c in PARITY] for k in "ab")
+    return pairs.where((n_a * DOWN >= n_b * UP) & (n_b * DOWN >= n_a * UP) & near(n_a, parity_a, n_b, parity_b)).select("a", "b")
+
+
+def sharing(whole: DataFrame, settled: DataFrame, part: tuple[int, int], share: int = 1) -> DataFrame:
     """(a, b, n_a, n_b, shared, last_a, last_b, differ): pairs of a set b that is not settled and an earlier one, both of `whole`, that share
-    words of their prefixes whose codes leave one of the remainders from part[0] to part[1], that one out: how many, their last places, and the parity bits that differ.
+    words of their prefixes whose codes leave one of the remainders from part[0] to part[1], that one out: how many, their last places, and the parity bits that differ. With a share only one pair in so many,
+    by their numbers' hash.
 
     The joined rows are most of what is shuffled, so they are narrow: n and i in one number, a settled set, which is no b any
     more, by a negative id, and 32 bits of a code, whose collisions only add candidates. Both sides read the same columns,
@@ -184,6 +197,8 @@ def sharing(whole: DataFrame, settled: DataFrame, part: tuple[int, int]) -> Data
     n_a, i_a, n_b, i_b = (x for k in "ab" for x in (F.shiftright(f"{k}.n_i", 32), F.col(f"{k}.n_i").bitwiseAND(F.lit(WIDE - 1))))
     earlier = F.greatest("a.tag", -1 - F.col("a.tag"))
     pairs = sides.alias("a").join(sides.alias("b"), F.col("a.code") == F.col("b.code"))
+    if share > 1:
+        pairs = pairs.where(F.pmod(F.hash(earlier, tag_b), F.lit(share)) == 0)
     pairs = pairs.where((earlier < tag_b) & fitting(n_a, i_a, n_b, i_b) & near(n_a, parity_a, n_b, parity_b))
     return pairs.groupBy(earlier.alias("a"), tag_b.alias("b"), n_a.cast("int").alias("n_a"), n_b.cast("int").alias("n_b")).agg(F.count("*").alias("shared"), F.max(i_a).alias("last_a"), F.max(i_b).alias("last_b"), F.max(differing(n_a, parity_a, n_b, parity_b)).alias("differ"))
 

@@ -242,6 +242,33 @@ def test_near_copies_unlike_their_earliest_line_meet_few_others(spark, monkeypat
     linededup.common.drop_tables(scratch)
 
 
+def test_near_copies_with_many_like_others_meet_few_of_them(spark, monkeypatch):
+    """In a dense group that is unlike its earliest line most lines are settled before they could meet all others."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    lines = [" ".join(base[:52] + [f"e{i}" for i in range(12)])]
+    for i in range(150):
+        copy = list(base)
+        for j in rng.sample(range(60), rng.randint(2, 6)):
+            copy[j] = f"x{i}y{j}"
+        lines.append(" ".join(copy))
+    kept, table = {}, linededup.common.table
+
+    def held(df, name, *more, **named):
+        kept.setdefault(name, []).append(table(df, name, *more, **named))
+        return kept[name][-1]
+
+    monkeypatch.setattr(linededup.common, "table", held)
+    scratch = []
+    rows = list(enumerate(lines))
+    found = linededup.removed_lines(spark.createDataFrame(rows, SCHEMA), scratch).count()
+    assert found == len(brute_lines(rows)) > 100
+    full = linededup.sharing(kept["linededup-prefixes"][0], spark.createDataFrame([], "b long"), (0, 8)).agg({"shared": "sum"}).first()[0]
+    joined = sum(p.agg({"shared": "sum"}).first()[0] or 0 for p in kept["linededup-pairs"] if "shared" in p.columns)
+    assert 8 * joined < full
+    linededup.common.drop_tables(scratch)
+
+
 # ---- 7 ----
 
 
