@@ -34,7 +34,7 @@ SMALLEST = 4
 LONG = 32
 #: Prefix words are joined in parts, by their codes' remainders from 0 to 7; the first part settles most of what is open.
 PARTS = ((0, 2), (2, 5), (5, 8))
-#: A set that is not settled first meets one in SHARE of the others, and is held against those of near parity bits in NEAREST shares of what it met.
+#: A set that is not settled first meets one in SHARE of the others, the same ones for all, and is held against those of near parity bits in NEAREST shares of what it met.
 SHARE, NEAREST = 8, 3
 #: Two 32-bit numbers in one.
 WIDE = 1 << 32
@@ -42,10 +42,19 @@ WIDE = 1 << 32
 NTH = (1 << 33) - 1
 
 
-def split_words(line: Column) -> Column:
-    """Words of a line, and empty strings. A single character splits, and is looked for, several times faster than a class."""
+#: The hashes of words fall into thirds at these.
+CUTS = (-(1 << 64) // 6, (1 << 64) // 6)
+
+
+def plain(line: Column) -> Column:
+    """The line with spaces alone between its words. A single character is looked for, and splits, several times faster than a class."""
     other = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\n")
-    return F.when(other, F.split(line, SPACE)).otherwise(F.split(line, " "))
+    return F.when(other, F.regexp_replace(line, SPACE, " ")).otherwise(line)
+
+
+def split_words(line: Column) -> Column:
+    """Words of a plain line, and empty strings."""
+    return F.split(line, " ")
 
 
 def words_of(line: Column) -> Column:
@@ -72,17 +81,24 @@ def with_codes(sets: DataFrame, levels: list[int]) -> DataFrame:
     the words as sorted 63-bit codes, the 7 bits of a word's class above 56 of its hash.
 
     The table is a literal: as a column it would be copied into every row. No element that the sorts get may be null, or
-    they compare boxed values."""
+    they compare boxed values. The thirds are ranges of the sorted hashes, found by two cuts sorted with them, so that each
+    word is looked at once."""
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
     shiftleft = lambda x, n: F.call_function("shiftleft", x.cast("long"), n)
-    bit = lambda h: shiftleft(F.lit(1), F.shiftrightunsigned(h, 58).cast("int"))
-    third = lambda h, k: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(255)) % 3 == k
+    bit = lambda h: shiftleft(F.lit(1), F.shiftrightunsigned(h, 33).cast("int"))  # noqa: E731  by the low six bits of that
     zero = F.lit(0).cast("long")
-    code = lambda h: F.coalesce(shiftleft(table[bucket(h)], F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
+    code = lambda h: F.coalesce(shiftleft(table[bucket(h)], F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8)), zero)
+    parity = lambda part: F.aggregate(part, zero, lambda acc, h: acc.bitwiseXOR(bit(h)))
+    first, second = (F.lit(x).cast("long") for x in CUTS)
     df = sets.select("id", F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    parity = F.aggregate("h", zero, lambda acc, h: acc.bitwiseXOR(bit(h)))
-    of_third = lambda k: F.when(F.size("h") >= LONG, F.aggregate("h", zero, lambda acc, h: F.when(third(h, k), acc.bitwiseXOR(bit(h))).otherwise(acc))).otherwise(zero)
-    return df.select("id", F.size("h").alias("n"), parity.alias("bits"), of_third(1).alias("more"), of_third(2).alias("most"), F.slice(F.sort_array("h"), 1, 4).alias("least"), F.sort_array(F.transform("h", code)).alias("codes"))
+    df = df.select("id", "h", F.size("h").alias("n"), F.sort_array(F.concat("h", F.array(first, second))).alias("cut"))
+    df = df.select("id", "h", "n", "cut", F.array_position("cut", first).cast("int").alias("p"), F.array_position("cut", second).cast("int").alias("q"))
+    low, middle, high = F.slice("cut", F.lit(1), F.col("p") - 1), F.slice("cut", F.col("p") + 1, F.col("q") - F.col("p") - 1), F.slice("cut", F.col("q") + 1, F.lit(2) + F.col("n") - F.col("q"))
+    long = F.col("n") >= LONG
+    df = df.select("id", "h", "n", "cut", F.when(long, parity(low)).otherwise(parity("h")).alias("rest"), F.when(long, parity(middle)).otherwise(zero).alias("more"), F.when(long, parity(high)).otherwise(zero).alias("most"))
+    bits = F.col("rest").bitwiseXOR(F.col("more")).bitwiseXOR(F.col("most"))
+    least = F.slice(F.filter(F.slice("cut", 1, 6), lambda h: (h != first) & (h != second)), 1, 4)
+    return df.select("id", "n", bits.alias("bits"), "more", "most", least.alias("least"), F.sort_array(F.transform("h", code)).alias("codes"))
 
 
 def fitting(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
@@ -182,8 +198,8 @@ def passing(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
 def sharing(whole: DataFrame, settled: DataFrame, part: tuple[int, int], share: int = 1) -> DataFrame:
     """(a, b, n_a, n_b, shared, last_a, last_b, differ): pairs of a set b that is not settled and an earlier one, both of `whole`, that share
-    words of their prefixes whose codes leave one of the remainders from part[0] to part[1], that one out: how many, their last places, and the parity bits that differ. With a share only one pair in so many,
-    by their numbers' hash.
+    words of their prefixes whose codes leave one of the remainders from part[0] to part[1], that one out: how many, their last places, and the parity bits that differ. With a share only one earlier
+    set in so many, by its number's hash, so that one side has no more rows than that.
 
     The joined rows are most of what is shuffled, so they are narrow: n and i in one number, a settled set, which is no b any
     more, by a negative id, and 32 bits of a code, whose collisions only add candidates. Both sides read the same columns,
@@ -196,9 +212,8 @@ def sharing(whole: DataFrame, settled: DataFrame, part: tuple[int, int], share:
     tag_b = F.col("b.tag")
     n_a, i_a, n_b, i_b = (x for k in "ab" for x in (F.shiftright(f"{k}.n_i", 32), F.col(f"{k}.n_i").bitwiseAND(F.lit(WIDE - 1))))
     earlier = F.greatest("a.tag", -1 - F.col("a.tag"))
-    pairs = sides.alias("a").join(sides.alias("b"), F.col("a.code") == F.col("b.code"))
-    if share > 1:
-        pairs = pairs.where(F.pmod(F.hash(earlier, tag_b), F.lit(share)) == 0)
+    few = sides if share == 1 else sides.where(F.pmod(F.hash(F.greatest("tag", -1 - F.col("tag"))), F.lit(share)) == 0)
+    pairs = few.alias("a").join(sides.alias("b"), F.col("a.code") == F.col("b.code"))
     pairs = pairs.where((earlier < tag_b) & fitting(n_a, i_a, n_b, i_b) & near(n_a, parity_a, n_b, parity_b))
     return pairs.groupBy(earlier.alias("a"), tag_b.alias("b"), n_a.cast("int").alias("n_a"), n_b.cast("int").alias("n_b")).agg(F.count("*").alias("shared"), F.max(i_a).alias("last_a"), F.max(i_b).alias("last_b"), F.max(differing(n_a, parity_a, n_b, parity_b)).alias("differ"))
 
@@ -230,7 +245,7 @@ def removed_lines(docs: DataFrame, scratch: list[DataFrame], key: str = "doc_id"
     numbers, most = numbered(docs, text, scratch)
     at = F.col("number") * F.lit(most) + F.col("place")
     lines = lines_of(docs.join(common.sized(numbers), ["k1", "k2"]), text, "number")
-    sets = lines.groupBy("h1", "h2").agg(F.min(at).alias("id"), F.count("*").alias("times"), F.first("line").alias("line"))
+    sets = lines.groupBy("h1", "h2").agg(F.min(at).alias("id"), F.count("*").alias("times"), F.first("line").alias("line")).withColumn("line", plain(F.col("line")))
     sets = common.table(sets, "linededup-sets", scratch)
     later = common.table(with_earlier(sets.select("id", "line"), rarity(sets), scratch), "linededup-later", scratch).withColumn("near", F.lit(True))
     marked = sets.select("id", "h1", "h2", "times").join(common.sized(later), "id", "left").where("times > 1 or near is not null")

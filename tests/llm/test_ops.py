@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from logloom.llm import chat, licenses, linededup, mpeg, pieces, pii, quality, simhash, urlrules, winnow
 from tests.oracle import compare, sorted_rows
@@ -269,6 +270,23 @@ def test_near_copies_with_many_like_others_meet_few_of_them(spark, monkeypatch):
     linededup.common.drop_tables(scratch)
 
 
+def test_the_first_join_reads_a_share_of_the_earlier_sets(spark):
+    """Sets that are open meet the same one in SHARE of the earlier ones at first, so that one side of that join is small."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    lines = [rng.choice([" ", "\t", "  "]).join(rng.sample(base, 40 - i % 5) + [f"x{i}"]) for i in range(120)]
+    sets = spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("line", linededup.plain(F.col("line")))
+    coded = linededup.with_codes(sets, [1] * (1 << linededup.BUCKET_BITS))
+    assert [r.n for r in coded.orderBy("id").collect()] == [41 - i % 5 for i in range(120)]
+    whole = coded.withColumn("prefix", F.transform(F.slice("codes", 1, linededup.prefix_length(F.col("n"))), lambda c: F.hash(c)))
+    none = spark.createDataFrame([], "b long")
+    pairs = linededup.sharing(whole, none, (0, 8), linededup.SHARE).select("a", "b").collect()
+    earlier = {r.a for r in pairs}
+    assert len(pairs) > 100 and 4 * len(earlier) < 120 and all(r.a < r.b for r in pairs)
+    every = {(r.a, r.b) for r in linededup.sharing(whole, none, (0, 8)).select("a", "b").collect()}
+    assert {(r.a, r.b) for r in pairs} == {(a, b) for a, b in every if a in earlier}
+
+
 # ---- 7 ----
 
 
